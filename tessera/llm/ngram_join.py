@@ -5,8 +5,8 @@
    of their sets in any common order (frequent elements go last, else the order of hashes), so every point is placed
    in the region of each of these elements and no close pair is lost.  Points at distance 1 from everything, among
    which the triangle inequality says nothing, drop out here.
-3. A region of up to LEAF points is joined directly.  A larger one takes PIVOTS pivots, its most central points first.
-   Every point is measured against them.  Points within the radius of a pivot make up its Voronoi ball: all are linked
+3. A region of up to LEAF points is joined directly.  A larger one takes PIVOTS pivots, its most central points first
+   (MORE_PIVOTS times as many in each further round, so that the rounds grow with the logarithm of a region).  Every point is measured against them.  Points within the radius of a pivot make up its Voronoi ball: all are linked
    through the pivot, so pairs inside a ball are never formed.  Two kinds of regions remain and are joined recursively:
    the outside (points in no ball), and each pivot's window, its ball with the points that the triangle inequality
    lets come near it (distance up to twice the radius).  Regions whose points are all linked already are finished.
@@ -28,7 +28,7 @@ from tessera.llm.common import checkpointed, staged
 from tessera.llm.shingles import mixed, shingle_set
 
 PERCENT = 80
-LEAF, PIVOTS = 16, 4
+LEAF, PIVOTS, MORE_PIVOTS = 48, 4, 4
 #: A key counts as frequent from this many points on, and from 1 / FREQUENT_LIMIT of all keys on: at most
 #: FREQUENT_LIMIT keys (8 MB) are frequent, however large the input.
 FREQUENT, FREQUENT_LIMIT = 48, 1 << 20
@@ -220,12 +220,12 @@ def region_rows(points: DataFrame, docs: DataFrame, size: int, percent: int) ->
     return staged(rows.withColumn("m", m).where("m > 1"))
 
 
-def _pairs(regions: DataFrame, percent: int) -> DataFrame:
+def _pairs(regions: DataFrame, percent: int, pivot_count: int) -> DataFrame:
     """Distinct pairs (x, y, nx, ny), x < y, to measure in this round; a region's central points are its pivots."""
     central = regions.groupBy("rep").agg(F.avg("m").alias("central"))
     w = Window.partitionBy("key")
     ranked = regions.join(central, "rep").withColumn("at", F.row_number().over(w.orderBy(F.desc("central"), "rep")))
-    pivots = ranked.where((F.col("m") <= LEAF) | (F.col("at") <= PIVOTS)).select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("at").alias("p_at"), F.col("label").alias("p_label"))
+    pivots = ranked.where((F.col("m") <= LEAF) | (F.col("at") <= pivot_count)).select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("at").alias("p_at"), F.col("label").alias("p_label"))
     met = ranked.join(pivots, "key").where((F.col("p_at") < F.col("at")) & (F.col("label") != F.col("p_label")))
     met = met.where(100 * F.least("n", "np") >= percent * F.greatest("n", "np"))
     x, y = F.least("rep", "p"), F.greatest("rep", "p")
@@ -241,6 +241,8 @@ def _distances(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int,
     bounded = joined.select("x", "y", F.col("nx").cast("long"), F.col("ny").cast("long"), "sketch_x", "sketch_y").mapInArrow(_bounds, "x long, y long, nx long, ny long, apart long")
     bounded = staged(bounded.select("x", "y", (F.col("nx") + F.col("ny")).alias("total"), "apart"))
     near = bounded.where(_close(F.col("apart"), F.col("total"), percent))
+    if not near.limit(1).count():
+        return bounded.withColumn("known", F.lit(False))
     wanted = near.select(F.col("x").alias("doc_id")).union(near.select("y")).distinct()
     bits = spark.sparkContext.broadcast(_filter_of(wanted))
     sets = docs.where("doc_id is not null").mapInArrow(_sets(size, bits), "doc_id long, elements binary").dropDuplicates(["doc_id"]).join(wanted, "doc_id", "left_semi")
@@ -251,13 +253,13 @@ def _distances(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int,
     return staged(out.select("x", "y", "total", F.coalesce("exact", "apart").alias("apart"), F.col("exact").isNotNull().alias("known")))
 
 
-def _next_regions(regions: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+def _next_regions(regions: DataFrame, measured: DataFrame, percent: int, pivot_count: int) -> DataFrame:
     """Outside and windows of the regions above LEAF, without pivots (columns key, rep, n, label)."""
     central = regions.groupBy("rep").agg(F.avg("m").alias("central"))
     w = Window.partitionBy("key")
     ranked = regions.where(F.col("m") > LEAF).join(central, "rep").withColumn("at", F.row_number().over(w.orderBy(F.desc("central"), "rep")))
-    pivots = ranked.where(F.col("at") <= PIVOTS).select("key", F.col("rep").alias("p"), F.col("n").alias("np"), "at")
-    rest = ranked.where(F.col("at") > PIVOTS).select("key", "rep", "n", "label")
+    pivots = ranked.where(F.col("at") <= pivot_count).select("key", F.col("rep").alias("p"), F.col("n").alias("np"), "at")
+    rest = ranked.where(F.col("at") > pivot_count).select("key", "rep", "n", "label")
     met = rest.join(pivots, "key").withColumn("x", F.least("rep", "p")).withColumn("y", F.greatest("rep", "p"))
     # A pair that was not measured (sizes too far apart, or linked before) is bounded by its sizes.
     met = met.join(measured, ["x", "y"], "left").withColumn("total", F.coalesce("total", F.col("n") + F.col("np"))).withColumn("apart", F.coalesce("apart", F.abs(F.col("n") - F.col("np"))))
@@ -279,21 +281,24 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, i
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     points = staged(docs.mapInArrow(_points(size, percent), POINTS))
     regions = region_rows(points, docs, size, percent).withColumn("label", F.col("rep"))
-    measured, labels = None, None
+    measured, labels, pivot_count = None, None, PIVOTS
     while True:
-        pairs = _pairs(regions, percent)
+        pairs = _pairs(regions, percent, pivot_count)
         if measured is not None:
             pairs = pairs.join(measured.select("x", "y"), ["x", "y"], "left_anti")
-        new = _distances(checkpointed(pairs), points, docs, size, percent)
-        measured = new if measured is None else staged(measured.unionByName(new))
-        labels = components(measured.where(F.col("known") & _close(F.col("apart"), F.col("total"), percent)).select("x", "y"))
-        regions = _next_regions(regions, measured, percent).drop("label").join(labels.select(F.col("id").alias("rep"), F.col("component").alias("label")), "rep", "left")
+        pairs = checkpointed(pairs)
+        if measured is None or pairs.limit(1).count():
+            new = _distances(pairs, points, docs, size, percent)
+            measured = new if measured is None else staged(measured.unionByName(new))
+            labels = components(measured.where(F.col("known") & _close(F.col("apart"), F.col("total"), percent)).select("x", "y"))
+        regions = _next_regions(regions, measured, percent, pivot_count).drop("label").join(labels.select(F.col("id").alias("rep"), F.col("component").alias("label")), "rep", "left")
         regions = regions.withColumn("label", F.coalesce("label", "rep"))
         w = Window.partitionBy("key")
         regions = regions.withColumn("m", F.count("*").over(w)).withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w))
         regions = checkpointed(regions.where("low < high").drop("low", "high"))
         if not regions.limit(1).count():
             break
+        pivot_count *= MORE_PIVOTS
     classes = points.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = points.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
