@@ -26,7 +26,7 @@ CAPACITY = 2048
 #: Groups into which the pieces of one length are dealt for ranking.
 SALTS = 256
 #: Pieces of text that one Python worker keeps encoded, and the longest that it keeps.
-CACHE_ENTRIES, CACHE_LENGTH = 700_000, 40
+CACHE_ENTRIES, CACHE_LENGTH = 1_600_000, 32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SLOTS = "length long, rank_from long, rank_to long, per_sequence long, first_sequence long, first_offset long"
@@ -49,11 +49,28 @@ def _to_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _simple_spaces(text: str) -> bool:
-    """Whether single spaces and single line feeds, between other characters, are the only white space."""
-    if not text or text[0].isspace() or text[-1].isspace():
-        return False
-    return not any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
+#: Marks the first cut of a text, which has no space before it.
+_FIRST = "\x01"
+
+
+def _cuts(text: str) -> list[str] | None:
+    """The text cut before every space and line feed, spaces left out; None where cuts could share a token.
+
+    Single spaces and single line feeds between other characters must be the only white space.
+    """
+    if not text or text[0].isspace() or text[-1].isspace() or _FIRST in text:
+        return None
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return None
+    found = text.replace("\n", " \n").split(" ")
+    if len(found) != len(text.split()):  # other white space inside a cut
+        return None
+    found[0] = _FIRST + found[0]
+    return found
+
+
+def _as_text(cut: str) -> str:
+    return cut if cut[0] == "\n" else cut[1:] if cut[0] == _FIRST else " " + cut
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
@@ -64,20 +81,15 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     tokenizer whole.
     """
     tokenizer, cache = _tokenizer(path), _encoded.setdefault(path, {})
-    cuts: list[list[str] | None] = []
-    for text in texts:
-        found = None
-        if _simple_spaces(text):
-            found = text.replace("\n", " \n").split(" ")
-            if len(found) != len(text.split()):  # other white space inside a cut
-                found = None
-            else:
-                found = [found[0], *(x if x[0] == "\n" else " " + x for x in found[1:])]
-        cuts.append(found)
-    missing = list({x for found in cuts if found for x in found if x not in cache})
+    cuts = [_cuts(text) for text in texts]
+    distinct: set[str] = set()
+    for found in cuts:
+        if found:
+            distinct.update(found)
+    missing = [x for x in distinct if x not in cache]
     for at in range(0, len(missing), 4096):
         part = missing[at : at + 4096]
-        for x, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+        for x, e in zip(part, tokenizer.encode_batch_fast([_as_text(x) for x in part], add_special_tokens=False), strict=True):
             cache[x] = _to_bytes(e.ids)
     out = [
         _to_bytes(tokenizer.encode(text, add_special_tokens=False).ids) if found is None else b"".join(map(cache.__getitem__, found))
