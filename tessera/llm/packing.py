@@ -9,6 +9,8 @@ distinct lengths (2048 at most), not on the number of documents.  Documents then
 
 from __future__ import annotations
 
+import importlib.util
+import json
 import os
 import struct
 import zlib
@@ -32,6 +34,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SLOTS = "length long, rank_from long, rank_to long, per_sequence long, first_sequence long, first_offset long"
 
 _tokenizers: dict = {}
+_mergers: dict = {}
+_specials: dict = {}
 _encoded: dict = {}
 
 
@@ -45,6 +49,35 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+#: Fixed value: how byte-level tokenizers split a text before merging.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _merger(path: str):
+    """A function from a cut to its ids: the tokenizer's own vocabulary merged by tiktoken, which is four times as fast.
+
+    Only for plain byte-level BPE whose ids follow the order of merges; otherwise, or without tiktoken, None.
+    """
+    if path not in _mergers:
+        _mergers[path] = None
+        spec = json.loads(_tokenizer(path).to_str())
+        pre, model, vocab = spec.get("pre_tokenizer") or {}, spec["model"], spec["model"]["vocab"]
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and model["type"] == "BPE" and not spec.get("normalizer") and not model.get("ignore_merges")
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        rising = all(vocab[a] < vocab[b] for a, b in zip(merged, merged[1:], strict=False))
+        if plain and rising and importlib.util.find_spec("tiktoken"):
+            import tiktoken
+
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            others = [b for b in range(256) if b not in shown]
+            byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(others)}
+            special = {t["content"] for t in spec.get("added_tokens", [])}
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
+            _mergers[path] = tiktoken.Encoding("cuts", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            _specials[path] = tuple(special)
+    return _mergers[path]
+
+
 def _to_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -81,13 +114,18 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     tokenizer whole.
     """
     tokenizer, cache = _tokenizer(path), _encoded.setdefault(path, {})
-    cuts = [_cuts(text) for text in texts]
+    merge = _merger(path)
+    special = _specials.get(path, ())
+    cuts = [None if any(t in text for t in special) else _cuts(text) for text in texts]
     distinct: set[str] = set()
     for found in cuts:
         if found:
             distinct.update(found)
     missing = [x for x in distinct if x not in cache]
-    for at in range(0, len(missing), 4096):
+    if merge:
+        for x in missing:
+            cache[x] = _to_bytes(merge(_as_text(x)))
+    for at in range(0, 0 if merge else len(missing), 4096):
         part = missing[at : at + 4096]
         for x, e in zip(part, tokenizer.encode_batch_fast([_as_text(x) for x in part], add_special_tokens=False), strict=True):
             cache[x] = _to_bytes(e.ids)
