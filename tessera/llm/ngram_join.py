@@ -5,12 +5,14 @@
    of their sets in any common order (frequent elements go last, else the order of hashes), so every point is placed
    in the region of each of these elements and no close pair is lost.  Points at distance 1 from everything, among
    which the triangle inequality says nothing, drop out here.
-3. A region of up to LEAF points is joined directly.  A larger one takes PIVOTS pivots, its most central points first
-   (MORE_PIVOTS times as many in each further round, so that the rounds grow with the logarithm of a region).  Every point is measured against them.  Points within the radius of a pivot make up its Voronoi ball: all are linked
-   through the pivot, so pairs inside a ball are never formed.  Two kinds of regions remain and are joined recursively:
-   the outside (points in no ball), and each pivot's window, its ball with the points that the triangle inequality
-   lets come near it (distance up to twice the radius).  Regions whose points are all linked already are finished.
-4. Before two points are measured, their sizes and their counts in 64 hash classes bound the distance from below.
+3. Each region takes pivots, its most central points first: one in the first round, MORE_PIVOTS times as many in each
+   further round.  Every point is measured against them.  Points within the radius of a pivot make up its Voronoi ball:
+   all are linked through the pivot, so pairs inside a ball are never formed.  A region of up to LEAF points is joined
+   directly in the second round.  A larger one leaves two kinds of regions that are joined recursively: the outside
+   (points in no ball), and each pivot's window, its ball on one side and on the other the points that the triangle
+   inequality lets come near it (distance up to twice the radius) and that are not linked to it yet.  Regions whose
+   points are all linked already are finished.
+4. Before two points are measured, their sizes and their counts in CLASSES hash classes bound the distance from below.
 
 Links go between pivots and members only; components are found by spreading smallest ids with pointer jumping.
 """
@@ -28,13 +30,13 @@ from tessera.llm.common import checkpointed, staged
 from tessera.llm.shingles import mixed, shingle_set
 
 PERCENT = 80
-LEAF, PIVOTS, MORE_PIVOTS = 48, 4, 4
+LEAF, MORE_PIVOTS = 256, 4
 #: A key counts as frequent from this many points on, and from 1 / FREQUENT_LIMIT of all keys on: at most
 #: FREQUENT_LIMIT keys (8 MB) are frequent, however large the input.
 FREQUENT, FREQUENT_LIMIT = 48, 1 << 20
 #: Bits of the filter by which texts are picked for measuring; fixed, so what is broadcast is 8 MB at most.
 FILTER_BITS = 1 << 26
-CLASSES = 64
+CLASSES = 256
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -46,8 +48,8 @@ def _as_long(x: np.ndarray) -> np.ndarray:
 
 
 def _sketch(shingles: np.ndarray) -> bytes:
-    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=CLASSES)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _points(size: int, percent: int):
@@ -165,8 +167,8 @@ def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lower bounds of distances from class counts (columns x, y, nx, ny, sketch_x, sketch_y)."""
     for batch in batches:
         nx, ny = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, CLASSES).astype(np.int64) for k in (4, 5))
-        apart = np.maximum(np.abs(a - b).sum(axis=1), np.abs(nx - ny))
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CLASSES).astype(np.int16) for k in (4, 5))
+        apart = np.maximum(np.abs(a - b).sum(axis=1, dtype=np.int64), np.abs(nx - ny))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(apart)], ["x", "y", "nx", "ny", "apart"])
 
 
@@ -220,13 +222,20 @@ def region_rows(points: DataFrame, docs: DataFrame, size: int, percent: int) ->
     return staged(rows.withColumn("m", m).where("m > 1"))
 
 
-def _pairs(regions: DataFrame, percent: int, pivot_count: int) -> DataFrame:
-    """Distinct pairs (x, y, nx, ny), x < y, to measure in this round; a region's central points are its pivots."""
+def _ranked(regions: DataFrame) -> DataFrame:
+    """Adds the place of each point in its region: in a window the outer side first, else the most central points."""
     central = regions.groupBy("rep").agg(F.avg("m").alias("central"))
-    w = Window.partitionBy("key")
-    ranked = regions.join(central, "rep").withColumn("at", F.row_number().over(w.orderBy(F.desc("central"), "rep")))
-    pivots = ranked.where((F.col("m") <= LEAF) | (F.col("at") <= pivot_count)).select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("at").alias("p_at"), F.col("label").alias("p_label"))
-    met = ranked.join(pivots, "key").where((F.col("p_at") < F.col("at")) & (F.col("label") != F.col("p_label")))
+    w = Window.partitionBy("key").orderBy(F.desc_nulls_last("side"), F.desc("central"), "rep")
+    return regions.join(central, "rep").withColumn("at", F.row_number().over(w))
+
+
+def _pairs(ranked: DataFrame, percent: int, pivot_count: int) -> DataFrame:
+    """Distinct pairs (x, y, nx, ny), x < y, to measure in this round."""
+    pivot = F.col("at") <= pivot_count
+    if pivot_count > 1:
+        pivot = pivot | (F.col("m") <= LEAF)
+    pivots = ranked.where(pivot).select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("at").alias("p_at"), F.col("label").alias("p_label"), F.col("side").alias("p_side"))
+    met = ranked.join(pivots, "key").where((F.col("p_at") < F.col("at")) & (F.col("label") != F.col("p_label")) & (F.col("side").isNull() | (F.col("side") != F.col("p_side"))))
     met = met.where(100 * F.least("n", "np") >= percent * F.greatest("n", "np"))
     x, y = F.least("rep", "p"), F.greatest("rep", "p")
     nx, ny = F.when(F.col("rep") < F.col("p"), F.col("n")).otherwise(F.col("np")), F.when(F.col("rep") < F.col("p"), F.col("np")).otherwise(F.col("n"))
@@ -253,21 +262,33 @@ def _distances(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int,
     return staged(out.select("x", "y", "total", F.coalesce("exact", "apart").alias("apart"), F.col("exact").isNotNull().alias("known")))
 
 
-def _next_regions(regions: DataFrame, measured: DataFrame, percent: int, pivot_count: int) -> DataFrame:
-    """Outside and windows of the regions above LEAF, without pivots (columns key, rep, n, label)."""
-    central = regions.groupBy("rep").agg(F.avg("m").alias("central"))
-    w = Window.partitionBy("key")
-    ranked = regions.where(F.col("m") > LEAF).join(central, "rep").withColumn("at", F.row_number().over(w.orderBy(F.desc("central"), "rep")))
-    pivots = ranked.where(F.col("at") <= pivot_count).select("key", F.col("rep").alias("p"), F.col("n").alias("np"), "at")
-    rest = ranked.where(F.col("at") > pivot_count).select("key", "rep", "n", "label")
-    met = rest.join(pivots, "key").withColumn("x", F.least("rep", "p")).withColumn("y", F.greatest("rep", "p"))
+def _next_regions(ranked: DataFrame, measured: DataFrame, labels: DataFrame, percent: int, pivot_count: int) -> DataFrame:
+    """What is left to join after a round (columns key, rep, n, side, label): regions with several labels only."""
+    left = ranked.where(F.col("at") > pivot_count)
+    if pivot_count > 1:
+        left = left.where(F.col("m") > LEAF)
+    named = labels.select(F.col("id").alias("rep"), F.col("component").alias("new"))
+    left = left.select("key", "rep", "n", "m", "side").join(named, "rep", "left").select("key", "rep", "n", "m", "side", F.coalesce("new", "rep").alias("label"))
+    whole = left.where(F.col("side").isNotNull() | (F.col("m") <= LEAF)).select("key", "rep", "n", "side", "label")
+    pivots = ranked.where((F.col("at") <= pivot_count) & F.col("side").isNull() & (F.col("m") > LEAF)).select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("at"))
+    pivots = pivots.join(named.withColumnRenamed("rep", "p"), "p", "left").select("key", "p", "np", "at", F.coalesce("new", "p").alias("p_label"))
+    met = left.where(F.col("side").isNull() & (F.col("m") > LEAF)).join(pivots, "key").withColumn("x", F.least("rep", "p")).withColumn("y", F.greatest("rep", "p"))
     # A pair that was not measured (sizes too far apart, or linked before) is bounded by its sizes.
     met = met.join(measured, ["x", "y"], "left").withColumn("total", F.coalesce("total", F.col("n") + F.col("np"))).withColumn("apart", F.coalesce("apart", F.abs(F.col("n") - F.col("np"))))
-    ball = F.coalesce(F.col("known") & _close(F.col("apart"), F.col("total"), percent), F.lit(False))
-    met = met.withColumn("ball", ball).withColumn("window", _close(F.col("apart"), F.col("total"), percent, 2))
-    outside = met.groupBy("key", "rep", "n", "label").agg(F.max("ball").alias("ball")).where("not ball").select(F.xxhash64("key", F.lit(0)).alias("key"), "rep", "n", "label")
-    windows = met.where("window").select(F.xxhash64("key", "at").alias("key"), "rep", "n", "label")
-    return outside.union(windows)
+    met = met.withColumn("ball", F.coalesce(F.col("known") & _close(F.col("apart"), F.col("total"), percent), F.lit(False)))
+    met = met.withColumn("distance", 2 * F.col("apart") / (F.col("total") + F.col("apart")))
+    outside = met.groupBy("key", "rep", "n", "label").agg(F.max("ball").alias("ball")).where("not ball").select(F.xxhash64("key", F.lit(0)).alias("key"), "rep", "n", F.lit(None).cast("int").alias("side"), "label")
+    outer = ~F.col("ball") & _close(F.col("apart"), F.col("total"), percent, 2) & (F.col("label") != F.col("p_label"))
+    windows = met.where(F.col("ball") | outer)
+    # Of the ball only what lies near enough to the nearest outer point can be within the radius of one.
+    nearest = F.min(F.when(~F.col("ball"), F.col("distance"))).over(Window.partitionBy("key", "at"))
+    radius = (100 - percent) / 100
+    windows = windows.withColumn("nearest", nearest).where(~F.col("ball") | (F.col("distance") >= F.col("nearest") - radius - 1e-9))
+    windows = windows.select(F.xxhash64("key", "at").alias("key"), "rep", "n", F.when(F.col("ball"), 0).otherwise(1).alias("side"), "label")
+    out = whole.unionByName(outside).unionByName(windows)
+    w = Window.partitionBy("key")
+    out = out.withColumn("m", F.count("*").over(w)).withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w))
+    return out.where("low < high").drop("low", "high")
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,10 +301,11 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, i
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     points = staged(docs.mapInArrow(_points(size, percent), POINTS))
-    regions = region_rows(points, docs, size, percent).withColumn("label", F.col("rep"))
-    measured, labels, pivot_count = None, None, PIVOTS
+    regions = region_rows(points, docs, size, percent).withColumns({"label": F.col("rep"), "side": F.lit(None).cast("int")})
+    measured, labels, pivot_count = None, None, 1
     while True:
-        pairs = _pairs(regions, percent, pivot_count)
+        ranked = staged(_ranked(regions))
+        pairs = _pairs(ranked, percent, pivot_count)
         if measured is not None:
             pairs = pairs.join(measured.select("x", "y"), ["x", "y"], "left_anti")
         pairs = checkpointed(pairs)
@@ -291,12 +313,8 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, i
             new = _distances(pairs, points, docs, size, percent)
             measured = new if measured is None else staged(measured.unionByName(new))
             labels = components(measured.where(F.col("known") & _close(F.col("apart"), F.col("total"), percent)).select("x", "y"))
-        regions = _next_regions(regions, measured, percent, pivot_count).drop("label").join(labels.select(F.col("id").alias("rep"), F.col("component").alias("label")), "rep", "left")
-        regions = regions.withColumn("label", F.coalesce("label", "rep"))
-        w = Window.partitionBy("key")
-        regions = regions.withColumn("m", F.count("*").over(w)).withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w))
-        regions = checkpointed(regions.where("low < high").drop("low", "high"))
-        if not regions.limit(1).count():
+        regions = staged(_next_regions(ranked, measured, labels, percent, pivot_count))
+        if regions.isEmpty():
             break
         pivot_count *= MORE_PIVOTS
     classes = points.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
