@@ -46,7 +46,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.concat(F.array_repeat("size", F.col("whole").cast("int")), F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<bigint>")))
     rows = parts.select("doc_id", "size", F.explode(copies).alias("words"))
     blank = SPACES.replace(" ", r"\x20")
-    head = F.regexp_extract("text", F.concat(F.lit(rf"^[{blank}]*(?:[^{blank}]+[{blank}]*){{"), F.col("words").cast("string"), F.lit("}")), 0)
+    # Cut at every end of a word: each part is one word with the white space before it.
+    parts = F.split("text", rf"(?<=[^{blank}])(?=[{blank}])")
+    head = F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")
     out = docs.join(rows, "doc_id").withColumn("text", F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
