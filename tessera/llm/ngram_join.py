@@ -5,13 +5,13 @@
    of their sets in any common order (frequent elements go last, else the order of hashes), so every point is placed
    in the region of each of these elements and no close pair is lost.  Points at distance 1 from everything, among
    which the triangle inequality says nothing, drop out here.
-3. Each region takes pivots, its most central points first: one in the first round, MORE_PIVOTS times as many in each
-   further round.  Every point is measured against them.  Points within the radius of a pivot make up its Voronoi ball:
-   all are linked through the pivot, so pairs inside a ball are never formed.  A region of up to LEAF points is joined
-   directly in the second round.  A larger one leaves two kinds of regions that are joined recursively: the outside
-   (points in no ball), and each pivot's window, its ball on one side and on the other the points that the triangle
-   inequality lets come near it (distance up to twice the radius) and that are not linked to it yet.  Regions whose
-   points are all linked already are finished.
+3. Each region takes its most central point as pivot and every point is measured against it.  Points within the radius
+   make up the pivot's Voronoi ball: all are linked through it, so pairs inside a ball are never formed.  Regions whose
+   points are all linked already are finished, and what is left of a region of up to LEAF points is joined directly.
+   Larger regions of one pivot become one region, which is cut in two: the outside (points not in the ball), and the
+   pivot's window, the ball on one side and on the other the points that the triangle inequality lets come near it
+   (distance up to twice the radius) and that are not linked to it.  Both are joined block by block; a task holds two
+   blocks and puts out close pairs only.
 4. Before two points are measured, their sizes and their counts in CLASSES hash classes bound the distance from below.
 
 Links go between pivots and members only; components are found by spreading smallest ids with pointer jumping.
@@ -30,7 +30,7 @@ from tessera.llm.common import checkpointed, staged
 from tessera.llm.shingles import mixed, shingle_set
 
 PERCENT = 80
-LEAF, MORE_PIVOTS = 256, 4
+LEAF, BLOCK = 64, 512
 #: A key counts as frequent from this many points on, and from 1 / FREQUENT_LIMIT of all keys on: at most
 #: FREQUENT_LIMIT keys (8 MB) are frequent, however large the input.
 FREQUENT, FREQUENT_LIMIT = 48, 1 << 20
@@ -222,35 +222,36 @@ def region_rows(points: DataFrame, docs: DataFrame, size: int, percent: int) ->
     return staged(rows.withColumn("m", m).where("m > 1"))
 
 
-def _ranked(regions: DataFrame) -> DataFrame:
-    """Adds the place of each point in its region: in a window the outer side first, else the most central points."""
-    central = regions.groupBy("rep").agg(F.avg("m").alias("central"))
-    w = Window.partitionBy("key").orderBy(F.desc_nulls_last("side"), F.desc("central"), "rep")
-    return regions.join(central, "rep").withColumn("at", F.row_number().over(w))
+def _with_pivots(regions: DataFrame) -> DataFrame:
+    """Adds the pivot of each region (p, np).
+
+    A point is central if its elements are shared by many, counting those that nobody shares: the original of a group of
+    edited copies comes before its copies.
+    """
+    central = regions.groupBy("rep").agg((F.sum("m") / F.max("n")).alias("central"))
+    best = F.max(F.struct("central", (-F.col("rep")).alias("first"), F.col("rep").alias("p"), F.col("n").alias("np"))).alias("best")
+    ranked = regions.join(central, "rep")
+    pivots = ranked.groupBy("key").agg(best).select("key", "best.p", "best.np")
+    return regions.join(pivots, "key")
 
 
-def _pairs(ranked: DataFrame, percent: int, pivot_count: int) -> DataFrame:
-    """Distinct pairs (x, y, nx, ny), x < y, to measure in this round."""
-    pivot = F.col("at") <= pivot_count
-    if pivot_count > 1:
-        pivot = pivot | (F.col("m") <= LEAF)
-    pivots = ranked.where(pivot).select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("at").alias("p_at"), F.col("label").alias("p_label"), F.col("side").alias("p_side"))
-    met = ranked.join(pivots, "key").where((F.col("p_at") < F.col("at")) & (F.col("label") != F.col("p_label")) & (F.col("side").isNull() | (F.col("side") != F.col("p_side"))))
-    met = met.where(100 * F.least("n", "np") >= percent * F.greatest("n", "np"))
-    x, y = F.least("rep", "p"), F.greatest("rep", "p")
-    nx, ny = F.when(F.col("rep") < F.col("p"), F.col("n")).otherwise(F.col("np")), F.when(F.col("rep") < F.col("p"), F.col("np")).otherwise(F.col("n"))
-    return met.select(x.alias("x"), y.alias("y"), nx.alias("nx"), ny.alias("ny")).distinct()
+def _ordered_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (x, y, nx, ny), x < y, of rows (rep, n, p, np) whose sizes allow a link."""
+    met = rows.where((F.col("rep") != F.col("p")) & (100 * F.least("n", "np") >= percent * F.greatest("n", "np")))
+    low = F.col("rep") < F.col("p")
+    return met.select(
+        F.least("rep", "p").alias("x"), F.greatest("rep", "p").alias("y"), F.when(low, F.col("n")).otherwise(F.col("np")).alias("nx"), F.when(low, F.col("np")).otherwise(F.col("n")).alias("ny")
+    ).distinct()
 
 
-def _distances(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _distances(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(x, y, total, apart, known): apart is exact where known, else a lower bound that already excludes a link."""
     spark = docs.sparkSession
-    sketches = points.select("doc_id", "sketch").dropDuplicates(["doc_id"])
     joined = pairs.join(sketches.select(F.col("doc_id").alias("x"), F.col("sketch").alias("sketch_x")), "x").join(sketches.select(F.col("doc_id").alias("y"), F.col("sketch").alias("sketch_y")), "y")
     bounded = joined.select("x", "y", F.col("nx").cast("long"), F.col("ny").cast("long"), "sketch_x", "sketch_y").mapInArrow(_bounds, "x long, y long, nx long, ny long, apart long")
     bounded = staged(bounded.select("x", "y", (F.col("nx") + F.col("ny")).alias("total"), "apart"))
     near = bounded.where(_close(F.col("apart"), F.col("total"), percent))
-    if not near.limit(1).count():
+    if near.isEmpty():
         return bounded.withColumn("known", F.lit(False))
     wanted = near.select(F.col("x").alias("doc_id")).union(near.select("y")).distinct()
     bits = spark.sparkContext.broadcast(_filter_of(wanted))
@@ -262,33 +263,61 @@ def _distances(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int,
     return staged(out.select("x", "y", "total", F.coalesce("exact", "apart").alias("apart"), F.col("exact").isNotNull().alias("known")))
 
 
-def _next_regions(ranked: DataFrame, measured: DataFrame, labels: DataFrame, percent: int, pivot_count: int) -> DataFrame:
-    """What is left to join after a round (columns key, rep, n, side, label): regions with several labels only."""
-    left = ranked.where(F.col("at") > pivot_count)
-    if pivot_count > 1:
-        left = left.where(F.col("m") > LEAF)
+def _near_in_blocks(percent: int):
+    """Pairs of one block pair (rows rep, n, label, side, block, lo, hi, sketch) whose bounds allow a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, n, label, side, block = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "label", "side", "block"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, CLASSES).astype(np.int16)
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        out: list[list[np.ndarray]] = [[], []]
+        for i in left:
+            j = right[right > i] if lo == hi else right
+            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[j] < 0)) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            apart = np.abs(sketch[j] - sketch[i]).sum(axis=1, dtype=np.int64)
+            j = j[200 * apart <= (100 - percent) * (n[j] + n[i] + apart)]
+            out[0].append(np.full(len(j), i))
+            out[1].append(j)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
+        return pa.table({"x": pa.array(rep[a]), "y": pa.array(rep[b]), "nx": pa.array(n[a].astype(np.int32)), "ny": pa.array(n[b].astype(np.int32))})
+
+    return run
+
+
+def _block_pairs(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Close pairs of regions (key, rep, n, side, label) of any size, from tasks of two blocks each."""
+    m = regions.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    blocks = F.floor((F.col("m") + BLOCK - 1) / BLOCK)
+    rows = regions.join(m.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("side", F.coalesce("side", F.lit(-1)))
+    rows = rows.join(sketches.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "n", "label", "side", "block", "lo", "hi", "sketch")
+    return rows.groupBy("key", "lo", "hi").applyInArrow(_near_in_blocks(percent), "x long, y long, nx int, ny int").distinct()
+
+
+def _remaining(starred: DataFrame, measured: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What the star round leaves: small regions (key, rep, n, label), and outsides and windows (key, rep, n, side, label)."""
     named = labels.select(F.col("id").alias("rep"), F.col("component").alias("new"))
-    left = left.select("key", "rep", "n", "m", "side").join(named, "rep", "left").select("key", "rep", "n", "m", "side", F.coalesce("new", "rep").alias("label"))
-    whole = left.where(F.col("side").isNotNull() | (F.col("m") <= LEAF)).select("key", "rep", "n", "side", "label")
-    pivots = ranked.where((F.col("at") <= pivot_count) & F.col("side").isNull() & (F.col("m") > LEAF)).select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("at"))
-    pivots = pivots.join(named.withColumnRenamed("rep", "p"), "p", "left").select("key", "p", "np", "at", F.coalesce("new", "p").alias("p_label"))
-    met = left.where(F.col("side").isNull() & (F.col("m") > LEAF)).join(pivots, "key").withColumn("x", F.least("rep", "p")).withColumn("y", F.greatest("rep", "p"))
-    # A pair that was not measured (sizes too far apart, or linked before) is bounded by its sizes.
-    met = met.join(measured, ["x", "y"], "left").withColumn("total", F.coalesce("total", F.col("n") + F.col("np"))).withColumn("apart", F.coalesce("apart", F.abs(F.col("n") - F.col("np"))))
+    rows = starred.join(named, "rep", "left").withColumn("label", F.coalesce("new", "rep")).drop("new")
+    w = Window.partitionBy("key")
+    rows = staged(rows.withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).where("low < high").drop("low", "high"))
+    small = rows.where((F.col("m") <= LEAF) & (F.col("rep") != F.col("p"))).select("key", "rep", "n", "label")
+    # Regions of one pivot share most of their points; together each point is there once.
+    large = rows.where((F.col("m") > LEAF) & (F.col("rep") != F.col("p"))).select("p", "np", "rep", "n", "label").distinct()
+    large = large.join(named.withColumnRenamed("rep", "p"), "p", "left").withColumn("p_label", F.coalesce("new", "p")).withColumn("x", F.least("rep", "p")).withColumn("y", F.greatest("rep", "p"))
+    # A pair that was not measured, its sizes being too far apart, is bounded by its sizes.
+    met = large.join(measured, ["x", "y"], "left").withColumn("total", F.coalesce("total", F.col("n") + F.col("np"))).withColumn("apart", F.coalesce("apart", F.abs(F.col("n") - F.col("np"))))
     met = met.withColumn("ball", F.coalesce(F.col("known") & _close(F.col("apart"), F.col("total"), percent), F.lit(False)))
     met = met.withColumn("distance", 2 * F.col("apart") / (F.col("total") + F.col("apart")))
-    outside = met.groupBy("key", "rep", "n", "label").agg(F.max("ball").alias("ball")).where("not ball").select(F.xxhash64("key", F.lit(0)).alias("key"), "rep", "n", F.lit(None).cast("int").alias("side"), "label")
+    outside = met.where("not ball").select(F.concat_ws("o", "p", F.lit("")).alias("key"), "rep", "n", F.lit(None).cast("int").alias("side"), "label")
     outer = ~F.col("ball") & _close(F.col("apart"), F.col("total"), percent, 2) & (F.col("label") != F.col("p_label"))
-    windows = met.where(F.col("ball") | outer)
     # Of the ball only what lies near enough to the nearest outer point can be within the radius of one.
-    nearest = F.min(F.when(~F.col("ball"), F.col("distance"))).over(Window.partitionBy("key", "at"))
-    radius = (100 - percent) / 100
-    windows = windows.withColumn("nearest", nearest).where(~F.col("ball") | (F.col("distance") >= F.col("nearest") - radius - 1e-9))
-    windows = windows.select(F.xxhash64("key", "at").alias("key"), "rep", "n", F.when(F.col("ball"), 0).otherwise(1).alias("side"), "label")
-    out = whole.unionByName(outside).unionByName(windows)
-    w = Window.partitionBy("key")
-    out = out.withColumn("m", F.count("*").over(w)).withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w))
-    return out.where("low < high").drop("low", "high")
+    nearest = met.where(outer).groupBy("p").agg(F.min("distance").alias("nearest"))
+    windows = met.where(F.col("ball") | outer).join(nearest, "p").where(~F.col("ball") | (F.col("distance") >= F.col("nearest") - (100 - percent) / 100 - 1e-9))
+    windows = windows.select(F.concat_ws("w", "p", F.lit("")).alias("key"), "rep", "n", F.when(F.col("ball"), 0).otherwise(1).alias("side"), "label")
+    return small, outside.unionByName(windows)
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,22 +330,17 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, i
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     points = staged(docs.mapInArrow(_points(size, percent), POINTS))
-    regions = region_rows(points, docs, size, percent).withColumns({"label": F.col("rep"), "side": F.lit(None).cast("int")})
-    measured, labels, pivot_count = None, None, 1
-    while True:
-        ranked = staged(_ranked(regions))
-        pairs = _pairs(ranked, percent, pivot_count)
-        if measured is not None:
-            pairs = pairs.join(measured.select("x", "y"), ["x", "y"], "left_anti")
-        pairs = checkpointed(pairs)
-        if measured is None or pairs.limit(1).count():
-            new = _distances(pairs, points, docs, size, percent)
-            measured = new if measured is None else staged(measured.unionByName(new))
-            labels = components(measured.where(F.col("known") & _close(F.col("apart"), F.col("total"), percent)).select("x", "y"))
-        regions = staged(_next_regions(ranked, measured, labels, percent, pivot_count))
-        if regions.isEmpty():
-            break
-        pivot_count *= MORE_PIVOTS
+    sketches = points.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    starred = staged(_with_pivots(region_rows(points, docs, size, percent)))
+    measured = _distances(checkpointed(_ordered_pairs(starred, percent)), sketches, docs, size, percent)
+    linked = F.col("known") & _close(F.col("apart"), F.col("total"), percent)
+    labels = components(measured.where(linked).select("x", "y"))
+    small, large = _remaining(starred, measured, labels, percent)
+    other = small.select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("label").alias("p_label"))
+    direct = _ordered_pairs(small.join(other, "key").where((F.col("rep") < F.col("p")) & (F.col("label") != F.col("p_label"))), percent)
+    pairs = direct.unionByName(_block_pairs(staged(large), sketches, percent)).distinct().join(measured.select("x", "y"), ["x", "y"], "left_anti")
+    more = _distances(checkpointed(pairs), sketches, docs, size, percent)
+    labels = components(measured.unionByName(more).where(linked).select("x", "y"))
     classes = points.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = points.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")

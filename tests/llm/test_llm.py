@@ -208,7 +208,7 @@ def test_ngram_join(docs, rows, empty):
 def test_ngram_join_large_regions(spark, monkeypatch):
     """Chains of near copies in one large region, with bounds so small that pivots, windows and recursion are all needed."""
     monkeypatch.setattr(ngram_join, "LEAF", 6)
-    monkeypatch.setattr(ngram_join, "MORE_PIVOTS", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
     r = random.Random(8)
     base = [f"w{k}" for k in range(70)]
     texts = []
