@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +38,23 @@ def bounds(transform: Column, width: Column, height: Column) -> Column:
     return F.struct(F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"))
 
 
-ROWS = "doc long, page int, block int, row int, x0 double, y0 double, x1 double, y1 double, text string"
-
+def cluster_rows(blocks: DataFrame, near: float = 3.0) -> DataFrame:
+    """Greedy rows of a page: a block joins the first row whose baseline (its first block's) is within `near` (column row).
 
-def cluster_rows(blocks: DataFrame) -> DataFrame:
-    """Greedy rows of a page: a block joins the first row whose baseline (its first block's) is within 3 (column row)."""
+    A fold over the blocks of one page; pages are small, and many of them share a task.
+    """
+    start = F.struct(F.array().cast("array<double>").alias("base"), F.array().cast("array<int>").alias("rows"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        base: list[float] = []
-        rows = []
-        for y in pdf.y1:
-            k = next((i for i, b in enumerate(base) if abs(b - y) <= 3), None)
-            if k is None:
-                k = len(base)
-                base.append(y)
-            rows.append(k)
-        return pdf.assign(row=rows)[[c.split()[0] for c in ROWS.split(", ")]]
+    def place(state: Column, block: Column) -> Column:
+        met = F.array_position(F.transform(state["base"], lambda b: F.abs(b - block["y1"]) <= near), F.lit(True)).cast("int")
+        base = F.when(met > 0, state["base"]).otherwise(F.array_append(state["base"], block["y1"]))
+        row = F.when(met > 0, met - 1).otherwise(F.size(state["base"]))
+        return F.struct(base.alias("base"), F.array_append(state["rows"], row).alias("rows"))
 
-    return blocks.groupBy("doc", "page").applyInPandas(run, ROWS)
+    page = blocks.groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct("block", "x0", "y0", "x1", "y1", "text"))).alias("blocks"))
+    placed = page.withColumn("rows", F.aggregate("blocks", start, place, lambda state: state["rows"]))
+    out = placed.select("doc", "page", F.explode(F.arrays_zip("blocks", "rows")).alias("z"))
+    return out.select("doc", "page", "z.blocks.block", F.col("z.rows").alias("row"), *(f"z.blocks.{c}" for c in ("x0", "y0", "x1", "y1", "text")))
 
 
 def split_rows(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -67,54 +68,63 @@ def split_rows(rows: DataFrame, by: list[str]) -> DataFrame:
 ORDERED = "doc long, page int, block int, place int, band int, col int, flag string"
 
 
+def _gutter(held: list[dict], width: float) -> float | None:
+    """Left edge of the widest gutter that parts a band: two blocks on each side, none across, real prose on the left."""
+    lefts, rights = sorted(b["x0"] for b in held), sorted(b["x1"] for b in held)
+    prose = min((b["x1"] for b in held if len(b["text"] or "") > 15), default=None)
+    best, found = max(24.0, 0.045 * width), None
+    for x in dict.fromkeys(rights):
+        n_left, first_right = bisect_right(rights, x), bisect_right(lefts, x)
+        if n_left == first_right and n_left >= 2 and len(held) - n_left >= 2 and prose is not None and prose <= x and lefts[first_right] - x > best:
+            best, found = lefts[first_right] - x, x
+    return found
+
+
+def _overlapping(held: list[dict]) -> bool:
+    return any(a["x0"] < b["x1"] and b["x0"] < a["x1"] and a["y0"] < b["y1"] and b["y0"] < a["y1"] for i, a in enumerate(held) for b in held[:i])
+
+
+def _ordered_page(blocks: list[dict]) -> list[tuple]:
+    """(block, place, band, col, flag) of one page's blocks."""
+    blocks = sorted(blocks, key=lambda b: (b["y0"], b["x0"], b["block"]))
+    width, lines = blocks[0]["width"], sorted(b["y1"] for b in blocks)
+    bands: list[tuple[list[dict], bool]] = []
+    for b in blocks:
+        alone = bisect_right(lines, b["y1"] + 3) - bisect_left(lines, b["y1"] - 3) == 1
+        if alone and b["x1"] - b["x0"] > 0.6 * width:
+            bands.append(([b], True))
+        elif bands and not bands[-1][1]:
+            bands[-1][0].append(b)
+        else:
+            bands.append(([b], False))
+    out: list[tuple] = []
+    for band, (held, spans) in enumerate(bands):
+        gutter = None if spans else _gutter(held, width)
+        flag = "overlapping_regions" if not spans and gutter is None and len(held) > 3 and _overlapping(held) else None
+        columns = [held] if gutter is None else [[b for b in held if b["x1"] <= gutter], [b for b in held if b["x0"] > gutter]]
+        for col, side in enumerate(columns):
+            out += [(b["block"], len(out) + k, band, col, flag) for k, b in enumerate(side)]
+    return out
+
+
+def _ordered_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in ORDERED.split(", ")]
+    types = [pa.int64(), *[pa.int32()] * 5, pa.string()]
+    for batch in batches:
+        rows = [(doc, page, *r) for doc, page, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in _ordered_page(blocks)]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+
+
 def reading_order(blocks: DataFrame) -> DataFrame:
     """Place of each block of a page, by bands between spanning blocks and, inside a band, columns at the widest gutter.
 
     A block is spanning if it takes more than 60 % of the page and stands alone on its baseline.  A band is split where
-    the gutter exceeds max(24, 4.5 % of the width) with two blocks on each side and real prose on the left.  Pages are
-    small groups, so each is one call.
+    the gutter exceeds max(24, 4.5 % of the width) with two blocks on each side and real prose on the left.  One row
+    holds the blocks of one page; a batch holds many pages.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "block"]).reset_index(drop=True)
-        width = float(pdf.width.iloc[0])
-        alone = [((pdf.y1 - y).abs() <= 3).sum() == 1 for y in pdf.y1]
-        spanning = [(r.x1 - r.x0) > 0.6 * width and a for r, a in zip(pdf.itertuples(), alone, strict=True)]
-        out, band, place, held = [], 0, 0, []
-
-        def flush() -> None:
-            nonlocal band, place
-            if not held:
-                return
-            flag, gutter = None, None
-            edges = sorted({h.x1 for h in held})
-            best = max(24.0, 0.045 * width)
-            for x in edges:
-                left, right = [h for h in held if h.x1 <= x], [h for h in held if h.x0 > x]
-                if len(left) + len(right) == len(held) and len(left) >= 2 and len(right) >= 2 and any(len(h.text) > 15 for h in left):
-                    gap = min(h.x0 for h in right) - x
-                    if gap > best:
-                        best, gutter = gap, x
-            if gutter is None and len(held) > 3 and any(a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1 for i, a in enumerate(held) for b in held[:i]):
-                flag = "overlapping_regions"
-            for col, side in enumerate((held,) if gutter is None else ([h for h in held if h.x1 <= gutter], [h for h in held if h.x0 > gutter])):
-                for h in side:
-                    out.append((h.doc, h.page, h.block, place, band, col, flag))
-                    place += 1
-            band += 1
-            held.clear()
-
-        for r, span in zip(pdf.itertuples(), spanning, strict=True):
-            if span:
-                flush()
-                out.append((r.doc, r.page, r.block, place, band, 0, None))
-                place, band = place + 1, band + 1
-            else:
-                held.append(r)
-        flush()
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ORDERED.split(", ")])
-
-    return blocks.groupBy("doc", "page").applyInPandas(run, ORDERED)
+    page = blocks.groupBy("doc", "page").agg(F.collect_list(F.struct("block", "x0", "y0", "x1", "y1", "text", "width")).alias("blocks"))
+    return page.mapInArrow(_ordered_pages, ORDERED)
 
 
 def repeated_margins(lines: DataFrame, doc: list[str], page: str, text: str, at: Column, role_top: float = 0.07, role_bottom: float = 0.91) -> DataFrame:

@@ -105,7 +105,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with i as (select l_orderkey as page, row_number() over w as n, 'w' || (l_partkey % 10) as str, floor(l_quantity / 10) * 5.0 as y, l_returnflag = 'R' as eol from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)),
 f as (select *, case when lag(y) over v is null or abs(y - lag(y) over v) > 3 or lag(eol) over v then 1 else 0 end as new from i window v as (partition by page order by n)),
 g as (select *, sum(new) over (partition by page order by n) - 1 as line from f)
-select page, line::bigint as line, string_agg(str, ' ' order by n) as text, min(n) * 50.0 as x0, max(n) * 50.0 + 40 as x1 from g group by 1, 2""")
+select page, line::bigint as line, string_agg(str, ' ' order by n) as text, (min(n) * 50.0)::double as x0, (max(n) * 50.0 + 40)::double as x1 from g group by 1, 2""")
 def l1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: runs to lines."""
     return l.assemble_lines(_items(spark, sf_dir), ["page"])
