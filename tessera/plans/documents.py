@@ -305,7 +305,7 @@ def x13_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", x.tiling("answer", "fragments").alias("order"))
 
 
-@query("""select item_id, list_filter(list_transform(string_split(translate(text, chr(10), ' '), ' '), lambda w, i: case when i % 3 = 0 and length(w) > 4 then substr(w, 3) end), lambda g: g is not null)::varchar as gaps from benchmark""")
+@query("""select item_id, '[' || array_to_string(list_filter(list_transform(string_split(translate(text, chr(10), ' '), ' '), lambda w, i: case when i % 3 = 0 and length(w) > 4 then substr(w, 3) end), lambda g: g is not null), ', ') || ']' as gaps from benchmark""")
 def x15_gap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is missing from gapped words, token by token."""
     b = c.table(spark, sf_dir, "benchmark").withColumn("t", F.translate("text", "\n", " "))
