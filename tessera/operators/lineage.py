@@ -134,11 +134,25 @@ def compile_subset(candidates: DataFrame, selection: DataFrame, by: list[str]) -
 
 
 def source_revision(files: DataFrame, by: list[str]) -> DataFrame:
-    """Hash of a material's files and texts, in the order of names."""
+    """Hash of a material's files and texts, in the order of names; one row holds all files of a material."""
     parts = F.sort_array(F.collect_list(F.struct("name", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))))
     return files.groupBy(*by).agg(parts.alias("parts")).select(*by, F.sha2(F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["name"], p["hash"])), "\n"), 256).alias("source_revision"))
 
 
+def source_revision_in_parts(files: DataFrame, by: list[str], digits: int = 3) -> DataFrame:
+    """The same for materials of any number of files, in two levels.
+
+    A file belongs to the part that the first hex digits of its name's hash say; a part's hash is over its files in the
+    order of names, the material's over its parts in order, so no row holds more than one part or 16 ** digits hashes.
+    """
+    part = F.substring(F.sha2(F.coalesce("name", F.lit("")), 256), 1, digits)
+    hashed = files.select(*by, "name", part.alias("part"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"))
+    lines = F.sort_array(F.collect_list(F.struct("name", "text")))
+    parts = hashed.groupBy(*by, "part").agg(F.sha2(F.array_join(F.transform(lines, lambda p: F.concat_ws(":", p["name"], p["text"])), "\n"), 256).alias("hash"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "hash"))), lambda p: F.concat_ws(":", p["part"], p["hash"])), "\n")
+    return parts.groupBy(*by).agg(F.sha2(whole, 256).alias("source_revision"))
+
+
 def receipts_match(receipts: DataFrame, compiled: DataFrame, on: list[str]) -> DataFrame:
     """Receipts whose recomputed selection key differs or is missing."""
     now = compiled.select(*on, F.col("selection_key").alias("_now"))

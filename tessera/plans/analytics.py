@@ -26,11 +26,18 @@ def query(sql: str | None = None):
 
 @query(f"with {c.ATTEMPTS} select attempt_id, row_number() over (order by created_at desc, seq) as place from attempts where user_id = 7")
 def a1_sorted_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: one user's attempts, newest first."""
+    """A1: one user's attempts, newest first; a1_sorted_attempts_all has every user's."""
     w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("seq"))
     return c.attempts(spark, sf_dir).where("user_id = 7").select("attempt_id", F.row_number().over(w).alias("place"))
 
 
+@query(f"with {c.ATTEMPTS} select user_id, attempt_id, row_number() over (partition by user_id order by created_at desc, seq) as place from attempts")
+def a1_sorted_attempts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: every user's attempts, newest first."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("seq"))
+    return c.attempts(spark, sf_dir).select("user_id", "attempt_id", F.row_number().over(w).alias("place"))
+
+
 @query(f"with {c.ATTEMPTS} select user_id, count(total) as graded, round(100.0 * sum(correct) / count(total))::bigint as accuracy_pct from attempts group by user_id")
 def a2_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: accuracy of each user."""

@@ -276,11 +276,20 @@ def g3_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select source, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) order by doc_id::varchar)) as source_revision from documents where doc_id % 10 = 0 group by 1""")
 def g4_source_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revision of a material from its files and texts."""
+    """Revision of a material from its files and texts, over every tenth document; g4_source_revision_all takes all."""
     d = c.table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("source", F.col("doc_id").cast("string").alias("name"), "text")
     return g.source_revision(d, ["source"])
 
 
+@query("""with d as (select source, doc_id::varchar as name, concat_ws(':', doc_id, sha256(coalesce(text, ''))) as line from documents),
+p as (select source, substr(sha256(coalesce(name, '')), 1, 3) as part, sha256(string_agg(line, chr(10) order by name nulls first, line)) as hash from d group by 1, 2)
+select source, sha256(string_agg(part || ':' || hash, chr(10) order by part)) as source_revision from p group by 1""")
+def g4_source_revision_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revision of a material from all its files and texts, however many."""
+    d = c.table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("name"), "text")
+    return g.source_revision_in_parts(d, ["source"])
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region -> nation -> customer -> order."""
     n = c.table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
