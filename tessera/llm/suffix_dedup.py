@@ -89,8 +89,8 @@ def _passages(least: int, seed: int):
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a sorted partition (key, doc_id, pos) whose run of equal keys holds two documents.
 
-    first is the smallest document of the run.  Runs at either end of the partition come with first null, for all their
-    rows, unless two documents are seen here; edge tells these runs from others.
+    first is the smallest document of the run.  The runs at either end of the partition may go on in others: edge tells
+    them from the rest, all their rows are given, and first is null.
     """
     held = list(batches)
     if not held or not sum(b.num_rows for b in held):
@@ -102,10 +102,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edge = np.zeros(len(starts), dtype=bool)
     edge[[0, -1]] = True
     kept = np.repeat((low != high) | edge, lengths)
-    out = [key[kept], doc[kept], pos[kept], np.repeat(low, lengths)[kept], np.repeat(edge, lengths)[kept], np.repeat(low == high, lengths)[kept]]
+    out = [key[kept], doc[kept], pos[kept], np.repeat(low, lengths)[kept], np.repeat(edge, lengths)[kept]]
     for at in range(0, len(out[0]), 65536):
-        k, d, p, f, e, alone = (x[at : at + 65536] for x in out)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.array(p), pa.array(f, mask=alone), pa.array(e)], ["key", "doc_id", "pos", "first", "edge"])
+        k, d, p, f, e = (x[at : at + 65536] for x in out)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.array(p), pa.array(f, mask=e), pa.array(e)], ["key", "doc_id", "pos", "first", "edge"])
 
 
 def sorted_neighbours(rows: DataFrame) -> DataFrame:
@@ -116,15 +116,17 @@ def sorted_neighbours(rows: DataFrame) -> DataFrame:
     found = staged(ordered.mapInArrow(_neighbours, "key long, doc_id long, pos int, first long, edge boolean"))
     # Two runs for each partition at most, each counted as one row before the exchange.
     ends = found.where("edge").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    unsure = found.where("first is null").join(ends, "key").select("key", "doc_id", "pos", F.col("low").alias("first"))
-    return found.where("first is not null").select("key", "doc_id", "pos", "first").unionByName(unsure)
+    known = found.join(F.broadcast(ends.select("key", "low")), "key", "left")
+    return known.select("key", "doc_id", "pos", F.coalesce("first", "low").alias("first")).where("first is not null")
 
 
 def suffix_array_dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal spans of words, at least `least` long, made of passages that also occur in another document.
 
     One row per span: doc_id, start_word, end_word (exclusive), n_words, first_doc (the smallest document seen with one of
-    its passages) and keep (whether that is doc_id itself).  Words are runs of characters other than white space, as they
+    its passages), kept (the parts of the span, as start_word and end_word, whose passages have doc_id itself as their
+    smallest document) and keep (whether there are any).  Each passage stays whole in the kept parts of its smallest
+    document; the other words of spans can go.  Words are runs of characters other than white space, as they
     stand.  Null, empty and shorter texts have no span; repetition inside one document alone is none; rows without a
     doc_id take no part; rows that share a doc_id count as one document.  Other columns are not read.
     """
@@ -134,7 +136,15 @@ def suffix_array_dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED, id
     around = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_passages(least, seed), "key long, doc_id long, pos int")
     found = sorted_neighbours(staged(around)).groupBy("doc_id", "pos").agg(F.min("first").alias("first"))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    new = (F.col("pos") > F.lag("pos").over(w) + least) | F.lag("pos").over(w).isNull()
-    spans = found.withColumn("span", F.sum(new.cast("int")).over(w)).groupBy("doc_id", "span")
-    spans = spans.agg(F.min("pos").cast("long").alias("start_word"), (F.max("pos") + least).cast("long").alias("end_word"), F.min("first").alias("first_doc"))
-    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc", (F.col("first_doc") == F.col("doc_id")).alias("keep"))
+    before = F.lag("pos").over(w)
+    own = F.when(F.col("first") == F.col("doc_id"), F.col("pos"))
+    own_before = F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("own", own).withColumns({"new": F.coalesce(F.col("pos") > before + least, F.lit(True)), "new_own": F.coalesce(F.col("own") > own_before + least, F.col("own").isNotNull())})
+    found = found.select("doc_id", "pos", "first", "own", F.sum(F.col("new").cast("int")).over(w).alias("span"), F.sum(F.col("new_own").cast("int")).over(w).alias("part"))
+    parts = found.groupBy("doc_id", "span", "part").agg(*(f(c).alias(n) for f, c, n in ((F.min, "pos", "low"), (F.max, "pos", "high"), (F.min, "first", "first"), (F.min, "own", "own_low"), (F.max, "own", "own_high"))))
+    part = F.struct(F.col("own_low").cast("long").alias("start_word"), (F.col("own_high") + least).cast("long").alias("end_word"))
+    spans = parts.groupBy("doc_id", "span").agg(
+        F.min("low").cast("long").alias("start_word"), (F.max("high") + least).cast("long").alias("end_word"), F.min("first").alias("first_doc"),
+        F.sort_array(F.collect_list(F.when(F.col("own_low").isNotNull(), part))).alias("kept"),
+    )
+    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc", (F.size("kept") > 0).alias("keep"), "kept")
