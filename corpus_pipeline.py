@@ -1,6 +1,9 @@
 """A pipeline over documents: quality classifier, line deduplication, near duplicates, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+
+Rows are told apart by a key that a stage gives them, never by doc_id.  Rows without a doc_id go through all stages like
+others.  Rows that share a doc_id stay as many as they are up to the near-copy stage, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -19,37 +22,57 @@ from tessera.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame, in_order: bool = False) -> DataFrame:
+    """docs, staged, with `row`, a number of each row that nulls and repeated rows have too; it rises with doc_id if asked."""
+    if in_order:
+        # The last column spreads repeated rows over partitions.
+        order = [F.asc_nulls_last("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("spread")]
+        docs = docs.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
+    return staged(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as good."""
-    good = quality_classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows that the quality classifier predicts as good, those without a doc_id too."""
+    rows = keyed(docs)
+    good = quality_classifier(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("row",)).where("predicted = 1").select("row")
+    return rows.join(good, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that a later document holds too; n_chars follows."""
-    kept = line_dedup(docs).select("doc_id", "kept")
-    rest = docs.select("doc_id", "lang", "source")
-    return rest.join(kept, "doc_id").select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+    """Texts without the lines that a later document holds too; n_chars follows.  Rows without a doc_id stay whole."""
+    kept = line_dedup(docs, carry=("lang", "source"))
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    first = ngram_jaccard_join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near copies, that of the smallest doc_id; nulls come last.
+
+    Texts without words are copies of nothing, so of them one row stays for each doc_id, and all rows without one.
+    """
+    rows = keyed(docs, in_order=True)
+    first = staged(ngram_jaccard_join(rows, id_col="row").where("component_id = doc_id").select(F.col("doc_id").alias("row"), "n_shingles"))
+    bare = rows.select("row", "doc_id").join(first.where("n_shingles = 0"), "row")
+    kept = first.where("n_shingles > 0").select("row").unionByName(bare.where("doc_id is null").select("row"))
+    kept = kept.unionByName(bare.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row")).select("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once for each of its copies; the last copy of a document that is taken in part is cut after its words."""
-    taken = staged(mix_sources(docs).select("doc_id", "size", "taken"))
+    """Each document once for each of its copies; the last copy of a document that is taken in part is cut after its words.
+
+    Each row, repeated or without a doc_id, has its own number of copies.
+    """
+    docs = keyed(docs)
+    taken = staged(mix_sources(docs, carry=("row",)).select("row", "size", "taken"))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1)
     parts = taken.withColumn("whole", whole).withColumn("rest", F.when(F.col("size") > 0, F.col("taken") - F.col("whole") * F.col("size")).otherwise(0))
     copies = F.concat(F.array_repeat("size", F.col("whole").cast("int")), F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<bigint>")))
-    rows = parts.select("doc_id", "size", F.explode(copies).alias("words"))
+    rows = parts.select("row", "size", F.explode(copies).alias("words"))
     blank = SPACES.replace(" ", r"\x20")
     # Cut at every end of a word: each part is one word with the white space before it.
     parts = F.split("text", rf"(?<=[^{blank}])(?=[{blank}])")
     head = F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")
-    out = docs.join(rows, "doc_id").withColumn("text", F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text")))
+    out = docs.join(rows, "row").withColumn("text", F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

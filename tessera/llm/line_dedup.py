@@ -92,7 +92,7 @@ class LineIndex:
         return self._merged(self.runs()).where(F.col("n_docs") >= self.min_docs).select("h1", "h2", "max_doc")
 
 
-def _drop_lines(min_chars: int):
+def _drop_lines(min_chars: int, carried: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -109,21 +109,23 @@ def _drop_lines(min_chars: int):
                     rows.append((doc, len(lines), n, kept))
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_lines", "n_dropped", "kept"])
+                others = [part.column(k) for k in range(3, 3 + carried)]
+                names = ["doc_id", "n_lines", "n_dropped", "kept", *part.schema.names[3 : 3 + carried]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), *others], names)
 
     return run
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped and the kept text of every row of docs.
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, the kept text and the carried columns of every row of docs.
 
     A key is a line stripped of SPACES with A-Z lower-cased.  Keys of min_chars code points or more that min_docs
     documents hold lose all their lines except in the largest doc_id that holds them.  Null or empty text is one empty
     line.  Rows that share a doc_id count as one document and are treated alike; rows without a doc_id hold no key and
     stay whole.  Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keys = staged(docs.mapInArrow(_emit_keys(min_chars), KEYS).dropDuplicates(["doc_id", "h1", "h2"]))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    keys = staged(docs.select("doc_id", "text").mapInArrow(_emit_keys(min_chars), KEYS).dropDuplicates(["doc_id", "h1", "h2"]))
     index = LineIndex(min_docs, fanout)
     cuts = [c for c in docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)] if batches > 1 else []
     edges = sorted({int(c) for c in cuts}, reverse=True)
@@ -136,7 +138,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
         index.add(part)
     drops = keys.join(index.repeated(), ["h1", "h2"]).where(F.col("doc_id") < F.col("max_doc"))
     per_doc = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))  # one document's lines at most
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "drops").mapInArrow(_drop_lines(min_chars), KEPT)
+    schema = ", ".join([KEPT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)])
+    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "drops", *carry).mapInArrow(_drop_lines(min_chars, len(carry)), schema)
 
 
 def digest(text: str) -> str:

@@ -21,12 +21,12 @@ UNIT, GRAIN = 1_000_000, 1000
 SALTS, STEPS = 64, 60
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size (words of the whole text; 0 for null), a key that is not null, and a salt."""
     s = F.col(source_col)
     key = F.when(s.isNull(), "n").otherwise(F.concat(F.lit("s"), s))
     return docs.select(
-        F.col(id_col).alias("doc_id"), s.alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), key.alias("key"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("salt")
+        F.col(id_col).alias("doc_id"), s.alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), key.alias("key"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("salt"), *carry
     )
 
 
@@ -79,15 +79,15 @@ def tilts(cells: DataFrame, aims: DataFrame, most: float = MOST) -> DataFrame:
     return state.select("key", "tilt").join(mean, "key")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken of every row of docs.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken and the carried columns of every row of docs.
 
     taken is copies * size but for one document of each source, on which the difference to the target is put as far as it
     fits between 0 and `most` copies.  Null text has size 0 and is taken 0 times its words; a null source is a source of
     its own, last in order.  Repeated rows are told apart only by their place among rows of one size, so a rerun gives
     equal rows.  Other columns are not read; an empty table gives an empty table.
     """
-    rows = staged(sized(docs, id_col, text_col, source_col))
+    rows = staged(sized(docs, id_col, text_col, source_col, carry))
     salted = checkpointed(rows.groupBy("key", "size", "salt").agg(F.first("source").alias("source"), F.count("*").alias("n")))
     cells = checkpointed(salted.groupBy("key", "size").agg(F.first("source").alias("source"), F.sum("n").alias("n")))
     aims = checkpointed(targets(cells, weights, share, most))
@@ -97,10 +97,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     rated = rated.select("key", "size", "units", F.coalesce(F.sum(F.col("n") * F.col("units")).over(up_to), F.lit(0)).alias("start"))
     before = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.select("key", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).join(rated, ["key", "size"])
-    k = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("doc_id")) + F.col("before")
+    k = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("doc_id", *carry)) + F.col("before")
     placed = rows.join(starts, ["key", "size", "salt"]).withColumn("k", k)
     total = lambda upto: F.floor((F.col("start") + F.col("units") * upto + F.lit(UNIT // 2)) / F.lit(UNIT))
-    placed = staged(placed.withColumn("copies", (total(F.col("k")) - total(F.col("k") - 1)).cast("int")).select("doc_id", "source", "key", "size", "k", (F.col("units") / UNIT).alias("rate"), "copies"))
+    placed = staged(placed.withColumn("copies", (total(F.col("k")) - total(F.col("k") - 1)).cast("int")).select("doc_id", "source", "key", "size", "k", (F.col("units") / UNIT).alias("rate"), "copies", *carry))
     taken = F.col("copies") * F.col("size")
     ceiling = F.floor(F.lit(most) * F.col("size"))
     ends = placed.groupBy("key").agg(
@@ -113,5 +113,5 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     )
     here = (F.col("size") == F.col("at_size")) & (F.col("k") == F.col("at_k"))
     return placed.join(ends, "key").select(
-        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (taken + F.when(here, F.col("extra")).otherwise(F.lit(0))).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (taken + F.when(here, F.col("extra")).otherwise(F.lit(0))).cast("long").alias("taken"), *carry
     )

@@ -64,7 +64,7 @@ def _emit_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             found = np.array([statistics(t) for t in part.column(1).to_pylist()], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([part.column(0), _vector_column(found)], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _vector_column(found), *part.columns[2:]], ["doc_id", "x", *part.schema.names[2:]])
 
 
 @dataclass(frozen=True)
@@ -147,7 +147,7 @@ def _score(phi: FourierMap, beta: np.ndarray, centres: np.ndarray, values: np.nd
                 level = np.interp(raw, centres, values)
                 # A thousandth of the raw order keeps apart what calibration has made equal.
                 score = np.round(0.999 * level + 0.001 * np.clip((raw - LOW) / (HIGH - LOW), 0, 1), 9)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
 
     return run
 
@@ -157,22 +157,23 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs.
+def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the carried columns for every row of docs.
 
     Labels are learned from rows of fold 1 to 4 only: the regression from 1 to 3, the calibration from 4.  doc_id picks
     folds and joins labels and is no input of a score; language and source are never read.  Null and empty texts are
     scored like any others.  Rows without a doc_id are scored and count as held out.  Null labels are no labels; of
     several labels for a doc_id each counts.  Without any label to learn from all scores are 0.5.
     """
-    stats = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_emit_statistics, "doc_id long, x array<double>"))
+    carried = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
+    stats = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(_emit_statistics, ", ".join(["doc_id long, x array<double>", *carried])))
     held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(True))
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = staged(stats.where(~held_out).join(marked, "doc_id").select("x", "y", fold_of(F.col("doc_id")).alias("fold")))
     d = len(NAMES)
     moments = known.select(*(f for k in range(d) for f in (F.avg(F.col("x")[k]), F.stddev_pop(F.col("x")[k])))).first()
     if moments is None or moments[0] is None:
-        return stats.select("doc_id", held_out.alias("held_out"), F.lit(0.5).alias("score"), F.lit(1 if threshold <= 0.5 else 0).alias("predicted"))
+        return stats.select("doc_id", held_out.alias("held_out"), F.lit(0.5).alias("score"), F.lit(1 if threshold <= 0.5 else 0).alias("predicted"), *carry)
     phi = fourier_map(np.array(moments[0::2]), np.array(moments[1::2]))
     size = 1 + d + FEATURES
     cells = known.where("fold < 4").select("x", "y").mapInArrow(_normal_equations(phi), "cell int, value double")
@@ -185,5 +186,5 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.
         centres, values = isotonic(np.array([LOW + (r["bin"] + 0.5) * step for r in bins]), np.array([r["y"] for r in bins]) / n, n)
     else:
         centres, values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    scored = stats.mapInArrow(_score(phi, beta, centres, np.clip(values, 0, 1)), "doc_id long, score double")
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = stats.mapInArrow(_score(phi, beta, centres, np.clip(values, 0, 1)), ", ".join(["doc_id long, score double", *carried]))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)

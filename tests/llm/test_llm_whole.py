@@ -1,12 +1,13 @@
 """Results of the training-data operators that depend on more than one partition, passage, row or token."""
 
 import collections
-import re
 
 import pytest
 
 from tessera.llm import suffix_dedup
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -56,3 +57,35 @@ def test_adjoining_passages(spark):
     x, y, z = (" ".join(f"{c}{k}" for k in range(12)) for c in "xyz")
     found = spans_agree(spark, [(1, f"a {x} b"), (4, f"{x} {y} c {z}"), (9, f"d {y} e"), (10, f"{z} {x} {y} f")], 12, 5)
     assert found[4].keep and not found[9].keep and not found[10].keep
+
+
+# pipeline ------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def pipeline_docs(spark, tmp_path):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(20 + i % 7))
+    rows = [(i, text(i)) for i in range(30)] + [(3, text(3))] * 4 + [(5, None)] * 3 + [(None, text(100)), (None, text(101)), (None, text(2)), (None, None), (None, None)]
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+
+
+def test_pipeline_rows(spark, pipeline_docs, tmp_path):
+    import corpus_pipeline as p
+
+    count = lambda df: collections.Counter((r.doc_id, r.text or "") for r in df.collect())
+    n = count(pipeline_docs)
+    # Without labels all scores are 0.5, and all rows are good.
+    assert count(p.keep_good(spark, pipeline_docs, str(tmp_path))) == n
+    assert count(p.drop_lines(spark, pipeline_docs, str(tmp_path))) == n
+    once = p.drop_near_copies(spark, pipeline_docs, str(tmp_path))
+    assert count(once) == collections.Counter({k: 2 if k == (None, "") else 1 for k in n if k[0] is not None or k[1] not in {t for i, t in n if i is not None and t}})
+
+
+def test_mix_takes_its_target(spark, pipeline_docs, tmp_path):
+    import corpus_pipeline as p
+
+    words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
+    mixed = p.mix(spark, pipeline_docs, str(tmp_path))
+    assert words(mixed) == pytest.approx(1.5 * words(pipeline_docs), abs=2)
+    assert {r.text for r in mixed.where("doc_id is null").collect()} - {None}
