@@ -207,11 +207,21 @@ def l15_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, case when doc_id % 3 = 0 then coalesce(b.text, '') else d.text end as text, doc_id % 3 = 0 and b.text is not null as scanned from documents d left join benchmark b on b.item_id = d.doc_id % 50 where d.text <> '' and regexp_matches(d.text, '\\S')")
 def l17_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blank pages take the scan's text."""
+    """Blank pages take the scan's text; here every third of those with text is blanked, l17_scans_all has the blank ones too."""
     d = c.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S")).select("doc_id", (F.col("doc_id") % 50).alias("item_id"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("text"))
     return l.apply_scans(d, c.table(spark, sf_dir, "benchmark"), ["item_id"]).select("doc_id", "text", "scanned")
 
 
+@query("""with p as (select doc_id, case when doc_id % 3 = 0 then '' else coalesce(text, '') end as text from documents),
+q as (select *, not regexp_matches(text, '[^\\s\\p{Z}\\x0B\\x{85}]') as blank from p)
+select doc_id, case when blank then coalesce(b.text, q.text) else q.text end as text, blank and b.text is not null as scanned from q left join benchmark b on b.item_id = doc_id % 50""")
+def l17_scans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are blank or null, and every third page, take the scan's text; all rows stay."""
+    text = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.coalesce("text", F.lit("")))
+    d = c.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("item_id"), text.alias("text"))
+    return l.apply_scans(d, c.table(spark, sf_dir, "benchmark"), ["item_id"]).select("doc_id", "text", "scanned")
+
+
 @query("""select e.conv_id, e.turn, coalesce(b.text, e.text) as text, case when b.text is null then 'kept' when len(regexp_split_to_array(e.text, '\\s+')) = len(regexp_split_to_array(b.text, '\\s+')) then 'same' else 'proportional' end as boxes
 from conversations e left join benchmark b on b.item_id = e.conv_id * 3 + e.turn""")
 def l18_proofread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,12 +284,23 @@ def x6_arbitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select o_orderkey, case o_orderkey % 4 when 0 then (o_custkey % 200) * 60 when 1 then o_custkey when 2 then 5400 end::int as seconds from (select * from orders) where not (o_orderkey % 4 = 0 and ((o_custkey % 200) * 60 > 7200 or o_custkey % 200 = 0)) and not (o_orderkey % 4 = 1 and (o_custkey > 7200 or o_custkey = 0))""")
 def x18_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Durations in words."""
+    """Durations in words, without the refused ones of two kinds; x18_durations_all has them."""
+    out = _durations(spark, sf_dir).withColumn("_k", F.col("o_orderkey") % 4)
+    return out.where("seconds is not null or _k > 1").select("o_orderkey", "seconds")
+
+
+@query("""select o_orderkey, case when s between 1 and 7200 then s end::int as seconds
+from (select o_orderkey, case o_orderkey % 4 when 0 then (o_custkey % 200) * 60 when 1 then o_custkey when 2 then 5400 end as s from orders)""")
+def x18_durations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations in words, null where refused."""
+    return _durations(spark, sf_dir)
+
+
+def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = c.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     text = F.when(k % 4 == 0, F.concat(F.lit("You have "), F.col("o_custkey") % 200, F.lit(" minutes."))).when(k % 4 == 1, F.concat("o_custkey", F.lit(" sec"))).when(k % 4 == 2, "1.5 hours").otherwise("soon")
-    out = o.select("o_orderkey", x.durations(text).alias("seconds"), (k % 4).alias("_k"))
-    return out.where("seconds is not null or _k > 1").select("o_orderkey", "seconds")
+    return o.select("o_orderkey", x.durations(text).alias("seconds"))
 
 
 @query(f"with {c.LINES} select doc_id, line_no::int as line_no, sum(case when regexp_matches(line, '!!$') then 1 else 0 end) over w as \"group\", max(case when regexp_matches(line, 'Licensed') then 1 else 0 end) over w = 1 as reference from lines window w as (partition by doc_id order by line_no)")

@@ -188,12 +188,20 @@ def j9_unique_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with d as (select doc_id, md5(regexp_replace(lower(coalesce(text, '')), '[a-z]', '_', 'g')) as skeleton from documents where length(text) < 400)
 select skeleton, count(*) as n, min(doc_id) as first_doc from d group by 1""")
 def j10_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that are equal once their letters are gaps."""
+    """Passages that are equal once their letters are gaps, of under 400 characters; j10_skeletons_all has all."""
     d = c.table(spark, sf_dir, "documents").where("length(text) < 400")
     s = F.md5(F.regexp_replace(F.lower("text"), "[a-z]", "_"))
     return d.groupBy(s.alias("skeleton")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+@query("""with d as (select doc_id, md5(regexp_replace(lower(coalesce(text, '')), '[a-z]', '_', 'g')) as skeleton from documents)
+select skeleton, count(*) as n, min(doc_id) as first_doc from d group by 1""")
+def j10_skeletons_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of any length that are equal once their letters are gaps; null is an empty one."""
+    s = F.md5(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[a-z]", "_"))
+    return c.table(spark, sf_dir, "documents").groupBy(s.alias("skeleton")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
 @query("""with q as (select l_orderkey as module_id, l_linenumber as number, l_partkey, l_suppkey, l_returnflag as kind, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as pos from lineitem),
 f as (select *, case when lag(kind) over w is distinct from kind then 1 else 0 end as new from q window w as (partition by module_id order by pos)),
 i as (select *, sum(new) over (partition by module_id order by pos) - 1 as ordinal from f)

@@ -25,3 +25,16 @@ def test_sorted_attempts_of_every_user(spark, tmp_path):
         own = sorted((r for r in rows if r[2] == user), key=lambda r: (-int(r[1][8:10]), r[0]))
         expected |= {(user, r[0], k) for k, r in enumerate(own, 1)}
     assert {tuple(r) for r in found} == expected and len(found) == 18
+
+
+def test_skeletons_scans_and_durations_of_every_row(spark, tmp_path):
+    texts = ["Ab 1" * 200, "cD 1" * 200, None, " \t", "page", ""]
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"scan {i}") for i in range(1, 6)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    skeletons = QUERIES["j10_skeletons_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.n, r.first_doc) for r in skeletons) == [(1, 4), (1, 5), (2, 1), (2, 3)]
+    scans = {r.doc_id: (r.text, r.scanned) for r in QUERIES["l17_scans_all"](spark, str(tmp_path)).collect()}
+    assert scans == {1: (texts[0], False), 2: (texts[1], False), 3: ("scan 3", True), 4: ("scan 4", True), 5: ("page", False), 6: ("", False)}
+    spark.createDataFrame([(4, 200), (8, 121), (12, 5), (5, 7201), (9, 30), (6, 1), (7, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = dict(QUERIES["x18_durations_all"](spark, str(tmp_path)).collect())
+    assert found == {4: None, 8: None, 12: 300, 5: None, 9: 30, 6: 5400, 7: None}
