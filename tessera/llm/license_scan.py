@@ -23,7 +23,10 @@ MORE_PHRASES = {
 }
 #: Phrase before an expression, as normalised words.
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r*/]{1,400})", re.IGNORECASE | re.ASCII)
+TAG_START = re.compile(r"spdx-license-identifier:[ \t]*", re.IGNORECASE | re.ASCII)
+_TOKEN = re.compile(r"[()\n\r]|[^\s()]+")
+#: An identifier with what may stand around it: opening quotes before, anything after.
+_OPERAND = re.compile(r"([\"'`]*)([a-z0-9][a-z0-9.+:_-]*)", re.IGNORECASE | re.ASCII)
 #: Prefixes of identifiers, longest first: label and permissiveness from 0 (no reuse) to 1 (free reuse).
 IDENTIFIERS = [
     ("agpl", "agpl", 0.1), ("lgpl", "lgpl", 0.5), ("gpl", "gpl", 0.2), ("apache", "apache", 0.95), ("mit", "mit", 1.0), ("bsd", "bsd", 1.0), ("0bsd", "bsd", 1.0), ("isc", "isc", 1.0), ("mpl", "mpl", 0.6),
@@ -112,6 +115,52 @@ def evaluate(expression: str) -> tuple[list[str], float] | None:
     return output[0] if len(output) == 1 else None
 
 
+def leading_expression(text: str, start: int) -> tuple[str, str]:
+    """The expression that stands from start on in its line: as it stands, and as bare tokens for evaluate().
+
+    It ends before the first token that cannot go on with it: a second operand in a row, a closing parenthesis without an
+    opening one, or the end of the line.  Quotes and punctuation after an identifier end it too, but for closing
+    parentheses.  A line whose expression is cut short is left for evaluate() to refuse.
+    """
+    tokens: list[str] = []
+    first, last, depth, operand_next, ended = None, start, 0, True, False
+    for m in _TOKEN.finditer(text, start):
+        token, end = m[0], m.end()
+        if token == ")":
+            if not depth or operand_next:
+                break
+            depth -= 1
+        elif ended or token in "\n\r":
+            break
+        elif token == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif token.lower() in _PRECEDENCE:
+            tokens.append(token)
+            first, last = m.start() if first is None else first, end
+            if operand_next:
+                break
+            operand_next = True
+            continue
+        else:
+            found = _OPERAND.match(token) if operand_next else None
+            name = found[2].rstrip(".:_-") if found else ""
+            if not name:
+                break
+            rest = token[found.start(2) + len(name) :]
+            quoted = bool(rest) and rest == found[1][::-1]
+            ended = bool(rest) and not quoted
+            begin = m.start() + (0 if quoted else found.start(2))
+            first = begin if first is None else first
+            tokens.append(name)
+            last, operand_next = end if quoted else end - len(rest), False
+            continue
+        tokens.append(token)
+        first, last = m.start() if first is None else first, end
+    return text[start if first is None else first : last], " ".join(tokens)
+
+
 def scan_text(text: str | None) -> tuple:
     """The columns of SCHEMA after doc_id for one text; null counts as empty."""
     text = text or ""
@@ -129,9 +178,10 @@ def scan_text(text: str | None) -> tuple:
             base_labels.add(label)
             base.append(end + 1 - len(phrase) - 2)
     expressions, degrees = [], []
-    for m in TAG_LINE.finditer(text) if tagged else ():
-        if value := evaluate(m[1].strip()):
-            expressions.append(m[1].strip())
+    for m in TAG_START.finditer(text) if tagged else ():
+        written, bare = leading_expression(text, m.end())
+        if value := evaluate(bare):
+            expressions.append(written)
             labels.update(value[0])
             degrees.append(value[1])
             miss *= 1 - TAG_WEIGHT

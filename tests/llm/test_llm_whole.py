@@ -4,6 +4,7 @@ import collections
 
 import pytest
 
+from tessera.llm import license_scan as lic
 from tessera.llm import suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -59,6 +60,29 @@ def test_adjoining_passages(spark):
     assert found[4].keep and not found[9].keep and not found[10].keep
 
 
+# 9 -------------------------------------------------------------------------------------------------------------------
+
+LONG = " OR ".join(["MIT"] * 150 + ["(GPL-2.0-only AND BSD-3-Clause)"])
+
+
+@pytest.mark.parametrize(
+    ("after", "expression", "labels", "permissive"),
+    [
+        ("Apache-2.0 -->", "Apache-2.0", "apache", 0.95), ("Apache-2.0-->", "Apache-2.0", "apache", 0.95), ("MIT</b> or later", "MIT", "mit", 1.0),
+        ("MIT. This file is free.", "MIT", "mit", 1.0), ("MIT This file and others", "MIT", "mit", 1.0), ('"MIT OR GPL-2.0+", "x"', 'MIT OR GPL-2.0+', "gpl,mit", 1.0),
+        ("(MIT OR GPL-3.0). See LICENSE", "(MIT OR GPL-3.0)", "gpl,mit", 1.0), ("MIT (see LICENSE)", "MIT", "mit", 1.0), ("(MIT) AND 'ISC' */", "(MIT) AND 'ISC'", "isc,mit", 1.0),
+        (LONG, LONG, "bsd,gpl,mit", 1.0), (LONG + " and", None, "", None), ("MIT OR\nApache-2.0", None, "", None), ("-->", None, "", None), ("(MIT prose", None, "", None),
+    ],
+)
+def test_expression_after_a_tag(after, expression, labels, permissive):
+    found = lic.scan_text(f"<!-- SPDX-License-Identifier: {after}")
+    assert (found[5], found[7], found[8]) == (labels, [expression] if expression else [], permissive)
+
+
+def test_two_tags_on_a_line():
+    assert lic.scan_text("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC")[7] == ["MIT", "ISC"]
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
