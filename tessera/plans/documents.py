@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import evidence_text, jaccard, normal_text, tokens
@@ -239,9 +239,10 @@ def l19_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.page_lines(o, ["page"]).select("page", "x", "place", "blank_before")
 
 
-def _template(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _template(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
+    text = F.substring("text", 1, 20) if text is None else text
     t = c.table(spark, sf_dir, "conversations")
-    line = F.when(F.col("role") == "user", F.concat(F.lit("@question "), F.substring("text", 1, 20))).when(F.col("role") == "system", "@group all").otherwise(F.concat(F.lit("@@ "), F.substring("text", 1, 20)))
+    line = F.when(F.col("role") == "user", F.concat(F.lit("@question "), text)).when(F.col("role") == "system", "@group all").otherwise(F.concat(F.lit("@@ "), text))
     return t.select("conv_id", "turn", line.alias("line"))
 
 
@@ -249,11 +250,20 @@ def _template(spark: SparkSession, sf_dir: str) -> DataFrame:
 select conv_id, at_turn as at, any_value(case when role = 'user' then 'question' when role = 'system' then 'group' end) as directive, string_agg(case role when 'user' then t when 'system' then 'all' else '@ ' || t end, chr(10) order by turn) as body, count(*) as n_lines
 from s where at_turn is not null group by 1, 2""")
 def x1_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directive lines and the text below them."""
+    """Directive lines and the text below them, of 20 characters a turn; x1_template_all has whole turns."""
     t = _template(spark, sf_dir).withColumn("line", F.translate("line", "\n", " "))
     return x.parse_template(t, ["conv_id"], "turn", "line")
 
 
+@query("""with l as (select conv_id, turn, role, replace(coalesce(text, ''), chr(10), ' ') as t from conversations), s as (select *, max(case when role in ('user', 'system') then turn end) over (partition by conv_id order by turn) as at_turn from l)
+select conv_id, at_turn as at, any_value(case when role = 'user' then 'question' when role = 'system' then 'group' end) as directive, string_agg(case role when 'user' then t when 'system' then 'all' else '@ ' || t end, chr(10) order by turn) as body, count(*) as n_lines
+from s where at_turn is not null group by 1, 2""")
+def x1_template_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directive lines and the text below them, with whole turns."""
+    t = _template(spark, sf_dir, F.coalesce("text", F.lit(""))).withColumn("line", F.translate("line", "\n", " "))
+    return x.parse_template(t, ["conv_id"], "turn", "line")
+
+
 @query()
 def x2_worksheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of worksheets (tested on small worksheets); line items written as worksheet lines."""
@@ -319,10 +329,12 @@ def x10_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def x13_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one order of fragments (tested on small cases); thirds of benchmark sentences, turned round."""
-    words = F.slice(F.split(F.translate("text", "\n", " "), " "), 1, 9)
-    part = lambda k: F.array_join(F.slice(words, k, 3), " ")
-    b = c.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("answer"), F.array(part(7), part(1), part(4)).alias("fragments"))
+    """The one order of fragments (tested on small cases); thirds of whole benchmark texts, turned round."""
+    words = F.split(F.translate("text", "\n", " "), " ")
+    third = F.ceil(F.size(words) / 3).cast("int")
+    part = lambda k: F.array_join(F.slice(words, k * third + 1, third), " ")
+    fragments = F.filter(F.array(part(2), part(0), part(1)), lambda f: F.trim(f) != "")
+    b = c.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("answer"), fragments.alias("fragments"))
     return b.select("item_id", x.tiling("answer", "fragments").alias("order"))
 
 

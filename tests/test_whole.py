@@ -1,5 +1,8 @@
 """Queries that take every row: what the registered subsets leave out."""
 
+import itertools
+
+from tessera.operators.extract import tile_sentence
 from tessera.plans.registry import QUERIES
 
 
@@ -38,3 +41,22 @@ def test_skeletons_scans_and_durations_of_every_row(spark, tmp_path):
     spark.createDataFrame([(4, 200), (8, 121), (12, 5), (5, 7201), (9, 30), (6, 1), (7, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     found = dict(QUERIES["x18_durations_all"](spark, str(tmp_path)).collect())
     assert found == {4: None, 8: None, 12: 300, 5: None, 9: 30, 6: 5400, 7: None}
+
+
+def test_template_has_whole_turns(spark, tmp_path):
+    rows = [(1, 0, "user", "a question of more than twenty characters"), (1, 1, "assistant", "an answer of more than twenty characters")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = QUERIES["x1_template_all"](spark, str(tmp_path)).collect()
+    assert rows[0][3] in row.body and rows[1][3] in row.body
+
+
+def test_tiling_takes_whole_texts(spark, tmp_path):
+    texts = {1: "a b c d e f g h i j k", 2: "a b c d e f g h i a b c d e f g h i j", 3: "one two", 4: "a a a b c d a a a", 5: "x y x y x y", 6: None}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = dict(QUERIES["x13_tiling"](spark, str(tmp_path)).collect())
+    assert found == {1: [1, 2, 0], 2: [1, 2, 0], 3: [0, 1], 4: found[4], 5: found[5], 6: None}
+    for i in (4, 5):
+        words, third = texts[i].split(), -(-len(texts[i].split()) // 3)
+        parts = [words[k * third : (k + 1) * third] for k in (2, 0, 1)]
+        orders = {tuple(map(tuple, (parts[k] for k in o))): list(o) for o in itertools.permutations(range(3)) if sum((parts[k] for k in o), []) == words}
+        assert found[i] == tile_sentence(words, parts) and (found[i] is not None) == (len(orders) == 1)
