@@ -1,7 +1,8 @@
 """Secret scan through a trigram inverted index, in DataFrame functions only.
 
-From each rule's pattern a Boolean trigram query is derived: every alternative of mandatory literals becomes a clause,
-the set of trigrams that any match must contain.  The index maps trigrams to documents.  A document is a candidate of a
+Each rule states by hand the alternatives of mandatory literals of its pattern; the pattern itself is not read.  From them
+comes its Boolean trigram query: every alternative becomes a clause, the set of trigrams that any match must contain.
+Literals that miss an alternative of the pattern lose its matches.  The index maps trigrams to documents.  A document is a candidate of a
 rule if the postings of all trigrams of one clause hold it; only candidates meet the rule's regular expression.  Rules
 without a mandatory trigram scan all documents.
 """

@@ -1,11 +1,12 @@
 """Results of the training-data operators that depend on more than one partition, passage, row or token."""
 
 import collections
+import re
 
 import pytest
 
 from tessera.llm import license_scan as lic
-from tessera.llm import suffix_dedup
+from tessera.llm import secret_scan, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -83,6 +84,24 @@ def test_two_tags_on_a_line():
     assert lic.scan_text("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC")[7] == ["MIT", "ISC"]
 
 
+# 10 ------------------------------------------------------------------------------------------------------------------
+
+SAMPLES = {
+    "assign": [f"{w}=abcdefghijklmnop" for k in ("password", "passwd", "secret", "token", "api_key", "apikey") for w in (k, k.upper())],
+    "access": ["AKIA" + "A1" * 8], "hex": ["0123456789abcdef"], "github": [f"gh{c}_" + "a1" * 18 for c in "pousr"], "slack": [f"xox{c}-" + "a1" * 5 for c in "abprs"],
+    "google": ["AIza" + "a" * 35], "stripe": [f"{c}k_live_" + "a1" * 8 for c in "sr"], "jwt": [".".join(["eyJ" + "a" * 10, "eyJ" + "b" * 10, "c" * 10])],
+    "private_key": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----"],
+}
+
+
+@pytest.mark.parametrize("rule", [*secret_scan.BASE_RULES, *secret_scan.MORE_RULES], ids=lambda r: r.kind)
+def test_matches_meet_a_clause(rule):
+    clauses = secret_scan.trigram_query(rule)
+    for text in SAMPLES[rule.kind]:
+        hit = re.search(rule.pattern, text)[0]
+        assert not clauses or any(c <= secret_scan.trigrams(hit) for c in clauses), text
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
