@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: A key is hot from HOT_ROWS rows on, and from 1 / HOT_KEYS of all rows on: at most HOT_KEYS keys are, however large the input.
+HOT_ROWS, HOT_KEYS, SALTS = 1000, 1 << 14, 64
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where it is unset on a local master."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
@@ -36,6 +42,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """big.join(small, on, how) for how inner or left, where the rows of one key of big don't meet in one task.
+
+    Rows of hot keys are dealt over SALTS and meet a copy of small's rows of their key in each; all others are joined as
+    they are.  small should hold one row for each key, and big be staged, since it is read more than once.  What is
+    broadcast are the keys of at most HOT_KEYS groups.
+    """
+    least = max(HOT_ROWS, big.count() // HOT_KEYS)
+    hot = checkpointed(big.groupBy(*on).count().where(F.col("count") > least).dropna(subset=on).select(*on))
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    few, salts = F.broadcast(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    dealt = big.join(few, on, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
+    copied = small.join(few, on, "left_semi").withColumn("_salt", F.explode(salts))
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt").unionByName(big.join(few, on, "left_anti").join(small, on, how))
+
+
 def words_of(text: Column) -> Column:
     """The array of words, runs of characters other than SPACES; empty for null."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5)

@@ -12,21 +12,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, staged, words_of
+from tessera.llm.common import checkpointed, skew_join, staged, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Rates and sums are whole numbers of millionths and thousandths, so that their sums don't depend on order.
 UNIT, GRAIN = 1_000_000, 1000
-SALTS, STEPS = 64, 60
+#: Salts deal the rows of one size of a source over tasks; their number grows with the table.
+LEAST_SALTS, ROWS_PER_SALT, STEPS = 64, 1_000_000, 60
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), salts: int = LEAST_SALTS) -> DataFrame:
     """doc_id, source, size (words of the whole text; 0 for null), a key that is not null, and a salt."""
     s = F.col(source_col)
     key = F.when(s.isNull(), "n").otherwise(F.concat(F.lit("s"), s))
     return docs.select(
-        F.col(id_col).alias("doc_id"), s.alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), key.alias("key"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("salt"), *carry
+        F.col(id_col).alias("doc_id"), s.alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), key.alias("key"), F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("salt"), *carry
     )
 
 
@@ -87,7 +88,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     its own, last in order.  Repeated rows are told apart only by their place among rows of one size, so a rerun gives
     equal rows.  Other columns are not read; an empty table gives an empty table.
     """
-    rows = staged(sized(docs, id_col, text_col, source_col, carry))
+    salts = max(LEAST_SALTS, docs.count() // ROWS_PER_SALT)
+    rows = staged(sized(docs, id_col, text_col, source_col, carry, salts))
     salted = checkpointed(rows.groupBy("key", "size", "salt").agg(F.first("source").alias("source"), F.count("*").alias("n")))
     cells = checkpointed(salted.groupBy("key", "size").agg(F.first("source").alias("source"), F.sum("n").alias("n")))
     aims = checkpointed(targets(cells, weights, share, most))
@@ -112,6 +114,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         "key", F.col("words").alias("source_size"), "target", pick["size"].alias("at_size"), pick["k"].alias("at_k"), F.when(gap > 0, F.least(gap, pick["room"])).otherwise(-F.least(-gap, pick["room"])).alias("extra")
     )
     here = (F.col("size") == F.col("at_size")) & (F.col("k") == F.col("at_k"))
-    return placed.join(ends, "key").select(
+    return skew_join(placed, ends, ["key"]).select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies", (taken + F.when(here, F.col("extra")).otherwise(F.lit(0))).cast("long").alias("taken"), *carry
     )
