@@ -1,7 +1,7 @@
 """Exact top-k inner-product search by columnar branch-and-bound.
 
-Vectors are dealt into blocks; the query set, a stated fraction of all vectors, meets every block.  Inside a block the
-vectors lie dimension by dimension.  Scores are accumulated one block of dimensions at a time; what the remaining
+Vectors and queries are dealt into blocks of bounded size; a task holds one block of each, and all pairs of blocks meet.
+Inside a block the vectors lie dimension by dimension.  Scores are accumulated one block of dimensions at a time; what the remaining
 dimensions can still add is bounded by the product of the remaining lengths (Cauchy-Schwarz), and candidates whose upper
 bound lies below the k-th best lower bound are compacted away.  All arithmetic is exact in whole numbers.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed
 
-ROWS_PER_BLOCK, QUERIES_AT_ONCE, DIMS_AT_ONCE = 16_384, 128, 8
+ROWS_PER_BLOCK, QUERIES_PER_BLOCK, QUERIES_AT_ONCE, DIMS_AT_ONCE = 16_384, 16_384, 128, 8
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -103,13 +103,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     the smallest vector asks; as candidates, repeated rows each count.  Vectors of different lengths are compared over
     the dimensions that both have.  Other columns are not read; an empty table gives an empty table.
 
-    Work grows with queries times rows; the queries are copied once to each block of ROWS_PER_BLOCK rows.
+    Work grows with queries times rows.  A row is copied once for each QUERIES_PER_BLOCK queries, a query once for each
+    ROWS_PER_BLOCK rows, and the best of all pairs of blocks are ranked together.
     """
     rows = quantised(vectors, id_col, vec_col, scale)
     queries = checkpointed(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
-    blocks = rows.count() // ROWS_PER_BLOCK + 1
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_search(k), FOUND)
+    blocks, asks = rows.count() // ROWS_PER_BLOCK + 1, queries.count() // QUERIES_PER_BLOCK + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # The place of a row keeps equal rows from meeting in one block.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(blocks))).withColumn("ask", every(asks))
+    asked = queries.withColumn("ask", F.pmod(F.xxhash64("vec_id"), F.lit(asks))).withColumn("block", every(blocks))
+    found = dealt.groupBy("block", "ask").cogroup(asked.groupBy("block", "ask")).applyInArrow(_search(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
