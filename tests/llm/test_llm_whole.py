@@ -4,9 +4,11 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.llm import common, secret_scan, suffix_dedup
 from tessera.llm import license_scan as lic
-from tessera.llm import secret_scan, suffix_dedup
+from tessera.llm.line_dedup import KEYS, LineIndex, _emit_keys, line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,6 +63,60 @@ def test_adjoining_passages(spark):
     assert found[4].keep and not found[9].keep and not found[10].keep
 
 
+# 8 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_runs_are_merged_and_opened_again(spark, tmp_path):
+    """Batches in any order, over several levels and two openings, count as one table; common keys are dealt over tasks."""
+    folder = f"file://{tmp_path}/index"
+    rows = [(doc, f"line number {k} of twenty and more") for doc in range(60) for k in range(12) if (doc * k) % 7 < 3]
+    held = collections.defaultdict(set)
+    for doc, line in rows:
+        held[line].add(doc)
+    frame = spark.createDataFrame(rows, "doc_id long, line string").select("doc_id", F.xxhash64("line").alias("h1"), F.hash("line").cast("long").alias("h2"))
+    index = LineIndex(spark, folder, 4, fanout=2)
+    parts = [(20, 40), (0, 5), (5, 20), (50, 60), (40, 50)]
+    for k, (low, high) in enumerate(parts):
+        if k == 3:
+            index = LineIndex.open(spark, folder, fanout=2)
+            assert index.version == 3 and [len(x) for x in index.levels] == [1, 1]
+        index.add(frame.where(f"doc_id >= {low} and doc_id < {high}"))
+    assert [len(x) for x in index.levels] == [1, 0, 1]
+    names = {r.h1: r.line for r in spark.createDataFrame([(x,) for x in held], "line string").select("line", F.xxhash64("line").alias("h1")).collect()}
+    assert {names[r.h1]: r.max_doc for r in index.repeated().collect()} == {x: max(d) for x, d in held.items() if len(d) >= 3}
+
+
+def test_runs_are_not_moved(spark, tmp_path):
+    index = LineIndex(spark, f"file://{tmp_path}/index", int(spark.conf.get("spark.sql.shuffle.partitions")), fanout=9)
+    for k in range(2):
+        index.add(spark.range(5).selectExpr(f"id + {10 * k} as doc_id", "id as h1", "id as h2"))
+    join = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = index.repeated()._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", join)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_later_documents_join_the_index(spark, tmp_path):
+    line = "a line that many documents hold"
+    docs = lambda ids: spark.createDataFrame([(i, f"own {i}\n{line}") for i in ids], "doc_id long, text string")
+    assert sum(r.n_dropped for r in line_dedup(docs(range(2)), batches=1).collect()) == 0
+    index = LineIndex(spark, f"file://{tmp_path}/lines", 4)
+    keys = docs(range(2)).mapInArrow(_emit_keys(20), KEYS)
+    index.add(keys)
+    got = {r.doc_id: r.n_dropped for r in line_dedup(docs([2, 3]), batches=1, index_dir=f"file://{tmp_path}/lines").collect()}
+    assert got == {2: 1, 3: 0}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skew_join(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    big = spark.createDataFrame([(i, None if i % 11 == 0 else 0 if i % 3 else i % 50) for i in range(400)], "i int, k int")
+    small = spark.createDataFrame([(k, k * 2) for k in range(0, 50, 2)], "k int, v int")
+    rows = lambda df: sorted(map(tuple, df.select("i", "k", "v").collect()), key=str)
+    assert rows(common.skew_join(big, small, ["k"], how)) == rows(big.join(small, "k", how))
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 
 LONG = " OR ".join(["MIT"] * 150 + ["(GPL-2.0-only AND BSD-3-Clause)"])
