@@ -1,20 +1,25 @@
 """Exact self-join of documents by the Jaccard distance of their word shingles, as a metric-space join.
 
 1. Documents with equal shingle sets are one point of the space; its smallest doc_id stands for it.
-2. The points are cut into regions.  Two points within the radius share one of the first n - ceil(0.8 n) + 1 elements
-   of their sets in any common order (frequent elements go last, else the order of hashes), so every point is placed
-   in the region of each of these elements and no close pair is lost.  Points at distance 1 from everything, among
-   which the triangle inequality says nothing, drop out here.
-3. Each region takes its most central point as pivot and every point is measured against it.  Points within the radius
-   make up the pivot's Voronoi ball: all are linked through it, so pairs inside a ball are never formed.  Regions whose
-   points are all linked already are finished, and what is left of a region of up to LEAF points is joined directly.
-   Larger regions of one pivot become one region, which is cut in two: the outside (points not in the ball), and the
-   pivot's window, the ball on one side and on the other the points that the triangle inequality lets come near it
-   (distance up to twice the radius) and that are not linked to it.  Both are joined block by block; a task holds two
-   blocks and puts out close pairs only.
-4. Before two points are measured, their sizes and their counts in CLASSES hash classes bound the distance from below.
-
-Links go between pivots and members only; components are found by spreading smallest ids with pointer jumping.
+2. Nearly all points lie at distance 1 from each other, where the triangle inequality says nothing.  So the space is first
+   cut by elements: two points within the radius share one of the first n - ceil(0.8 n) + 1 elements of their sets in any
+   common order (frequent elements go last, else the order of hashes), and every point is placed in the region of each of
+   these elements.  Each region takes its most central point as pivot; regions of one pivot are one region, in which every
+   point is measured against the pivot.  Points within the radius are linked through it, so pairs inside that ball are
+   never formed.  What is left of a region are its outside, the points not in the ball, and the window of the ball: the
+   ball on one side and on the other the points up to twice the radius away.
+3. These are joined recursively.  Pivots are chosen, every point goes to the Voronoi cell of its nearest pivot, and is
+   copied as a guest to the cells of other pivots that are at most twice the radius farther from it, which by the triangle
+   inequality is enough for every close pair to meet in the cell of one of its points.  Cells are cut again until they
+   hold LEAF points, or until cutting stops making them smaller; then their pairs are compared.  Cells whose points are all
+   linked already are finished.
+4. Regions of more than TASK_POINTS points are cut by Spark, level by level, and those that cutting does not make smaller
+   are joined block by block; all others are cut inside a task.
+
+Distances between cells are those of sketches: counts of a set's elements in CLASSES hash classes.  2 |a - b| / (|a| + |b| +
+|a - b|) of such counts is a metric, is never above the Jaccard distance, and needs no sets.  Pairs that it leaves are
+measured exactly.  Links go between pivots and members or out of leaves; components are found by spreading smallest ids
+with pointer jumping.
 """
 
 from __future__ import annotations
@@ -23,14 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, staged
+from tessera.llm.common import HOT_KEYS, HOT_ROWS, SALTS, checkpointed, skew_join, staged
 from tessera.llm.shingles import mixed, shingle_set
 
 PERCENT = 80
-LEAF, BLOCK = 64, 512
+#: Points of a leaf, of a block, and of a region that one task may cut; pivots of a cut, at most.
+LEAF, BLOCK, TASK_POINTS, PIVOTS = 64, 512, 4096, 64
+#: A cut is given up where a cell keeps this share of the points.
+STUCK = 0.9
 #: A key counts as frequent from this many points on, and from 1 / FREQUENT_LIMIT of all keys on: at most
 #: FREQUENT_LIMIT keys (8 MB) are frequent, however large the input.
 FREQUENT, FREQUENT_LIMIT = 48, 1 << 20
@@ -91,13 +100,17 @@ def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(keys[often][at : at + 65536]), pa.array(counts[often][at : at + 65536])], ["key", "n"])
 
 
-def frequent_keys(points: DataFrame) -> np.ndarray:
-    """Sorted frequent keys; counts may fall short by one for each partition, which changes the order of elements only."""
+def frequent_keys(points: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Sorted frequent keys, and those of them that are hot (at most HOT_KEYS).
+
+    Counts may fall short by one for each partition, which changes the order of elements and the way of rows only.
+    """
     total = points.agg(F.sum(F.size("prefix"))).first()[0] or 0
     least = max(FREQUENT, total // FREQUENT_LIMIT + 1)
     counts = points.select("prefix").mapInArrow(_local_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") > least).select("key").toArrow()
-    return np.sort(found.column(0).to_numpy().astype(np.int64))
+    found = counts.where(F.col("n") > least).toArrow()
+    keys, n = (found.column(k).to_numpy().astype(np.int64) for k in range(2))
+    return np.sort(keys), keys[n > max(HOT_ROWS, total // HOT_KEYS)].tolist()
 
 
 def _reordered(frequent, size: int, percent: int):
@@ -163,24 +176,35 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.abs(a - b).sum(axis=1, dtype=np.int64)
+
+
+def _vectors(sketches: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Class counts, and as one more class the elements that the counts, which end at 255, leave out."""
+    out = np.zeros((len(sketches), CLASSES + 1), dtype=np.int32)
+    out[:, :CLASSES] = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, CLASSES)
+    out[:, CLASSES] = n - out.sum(axis=1)
+    return out
+
+
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lower bounds of distances from class counts (columns x, y, nx, ny, sketch_x, sketch_y)."""
+    """Lower bounds of distances from class counts (columns p, rep, np, n, sketch_p, sketch)."""
     for batch in batches:
-        nx, ny = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CLASSES).astype(np.int16) for k in (4, 5))
-        apart = np.maximum(np.abs(a - b).sum(axis=1, dtype=np.int64), np.abs(nx - ny))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(apart)], ["x", "y", "nx", "ny", "apart"])
+        np_, n = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+        apart = _gap(_vectors(batch.column(4).to_pylist(), np_), _vectors(batch.column(5).to_pylist(), n))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np_ + n), pa.array(apart)], ["p", "rep", "total", "apart"])
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact number of elements in only one of the two sets (columns x, y, ex, ey)."""
+    """Exact number of elements in only one of the two sets (columns p, rep, elements_p, elements)."""
     for batch in batches:
         apart = []
         for ex, ey in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             a, b = np.frombuffer(ex, dtype=np.uint64), np.frombuffer(ey, dtype=np.uint64)
             common = len(a) + len(b) - len(np.union1d(a, b))
             apart.append(len(a) + len(b) - 2 * common)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.int64())], ["x", "y", "exact"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.int64())], ["p", "rep", "exact"])
 
 
 def _close(apart: Column, total: Column, percent: int, times: int = 1) -> Column:
@@ -189,18 +213,21 @@ def _close(apart: Column, total: Column, percent: int, times: int = 1) -> Column
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of all ends of edges (x, y): smallest id reachable.
+    """(id, component) of all ends of edges (p, rep): smallest id reachable.
 
     Each round takes the smallest label among neighbours, then jumps to that label's label; the number of rounds grows
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain.  Ids with very many neighbours, and labels of very many ids, are dealt over
+    tasks.
     """
-    both = checkpointed(edges.select(F.col("x").alias("id"), F.col("y").alias("to")).union(edges.select("y", "x")).distinct())
+    both = checkpointed(edges.select(F.col("p").alias("id"), F.col("rep").alias("to")).union(edges.select("rep", "p")).distinct())
     labels = checkpointed(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("component")))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("component").alias("jumped"))
-        new = checkpointed(step.join(jump, "low", "left").select("id", F.least("low", F.coalesce("jumped", "low")).alias("component"), F.col("component").alias("old")))
+        near = skew_join(both, labels.withColumnRenamed("id", "to"), ["to"]).groupBy("id").agg(F.min("component").alias("near"))
+        step = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("low"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+        # Few ids are labels, so their rows can stand once for each salt.
+        jump = labels.join(step.select(F.col("low").alias("id")).distinct(), "id").select(F.col("id").alias("low"), F.col("component").alias("jumped"), salts)
+        new = checkpointed(step.join(jump, ["low", "salt"], "left").select("id", F.least("low", F.coalesce("jumped", "low")).alias("component"), F.col("component").alias("old")))
         changed = new.where(F.col("component") != F.col("old")).limit(1).count()
         labels = new.select("id", "component")
         if not changed:
@@ -208,116 +235,282 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def region_rows(points: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, rep, n, m): the points of every region that has at least two, m being their number."""
+    """(key, rep, n, m): the points of every region that has at least two, m being their number (about, where it is hot)."""
     spark = docs.sparkSession
     reps = points.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
     chosen = points.where("n > 0").select("doc_id", "n", "prefix").join(reps, "doc_id", "left_semi")
-    frequent = frequent_keys(points)
+    frequent, hot = frequent_keys(points)
     if len(frequent):
         value = spark.sparkContext.broadcast(frequent)
         moved = staged(docs.where("doc_id is not null").mapInArrow(_reordered(value, size, percent), "doc_id long, moved array<long>"))
         chosen = chosen.join(moved.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("prefix", F.coalesce("moved", "prefix"))
     rows = chosen.select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("key"))
-    m = F.count("*").over(Window.partitionBy("key"))
-    return staged(rows.withColumn("m", m).where("m > 1"))
+    if not hot:
+        return staged(rows.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"))
+    # A window would bring a hot region into one task.
+    rows = staged(rows)
+    keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], "key long"))
+    cold = rows.join(keys, "key", "left_anti").withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
+    inside = rows.join(keys, "key", "left_semi")
+    counts = F.broadcast(checkpointed(inside.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")))
+    return staged(cold.unionByName(inside.join(counts, "key").select(*cold.columns)))
 
 
-def _with_pivots(regions: DataFrame) -> DataFrame:
-    """Adds the pivot of each region (p, np).
+def cells_of_pivots(regions: DataFrame) -> DataFrame:
+    """(p, np, rep, n): each point once with the pivot of each of its regions.
 
     A point is central if its elements are shared by many, counting those that nobody shares: the original of a group of
     edited copies comes before its copies.
     """
     central = regions.groupBy("rep").agg((F.sum("m") / F.max("n")).alias("central"))
     best = F.max(F.struct("central", (-F.col("rep")).alias("first"), F.col("rep").alias("p"), F.col("n").alias("np"))).alias("best")
-    ranked = regions.join(central, "rep")
-    pivots = ranked.groupBy("key").agg(best).select("key", "best.p", "best.np")
-    return regions.join(pivots, "key")
-
-
-def _ordered_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, y, nx, ny), x < y, of rows (rep, n, p, np) whose sizes allow a link."""
-    met = rows.where((F.col("rep") != F.col("p")) & (100 * F.least("n", "np") >= percent * F.greatest("n", "np")))
-    low = F.col("rep") < F.col("p")
-    return met.select(
-        F.least("rep", "p").alias("x"), F.greatest("rep", "p").alias("y"), F.when(low, F.col("n")).otherwise(F.col("np")).alias("nx"), F.when(low, F.col("np")).otherwise(F.col("n")).alias("ny")
-    ).distinct()
+    pivots = regions.join(central, "rep").groupBy("key").agg(best).select("key", "best.p", "best.np")
+    return staged(skew_join(regions, pivots, ["key"]).where("rep <> p").select("p", "np", "rep", "n").distinct())
 
 
 def _distances(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(x, y, total, apart, known): apart is exact where known, else a lower bound that already excludes a link."""
+    """(p, rep, total, apart, known) of staged pairs (p, np, rep, n) whose sizes allow a link; p may have many partners.
+
+    apart is exact where known, else a lower bound that already excludes a link.
+    """
     spark = docs.sparkSession
-    joined = pairs.join(sketches.select(F.col("doc_id").alias("x"), F.col("sketch").alias("sketch_x")), "x").join(sketches.select(F.col("doc_id").alias("y"), F.col("sketch").alias("sketch_y")), "y")
-    bounded = joined.select("x", "y", F.col("nx").cast("long"), F.col("ny").cast("long"), "sketch_x", "sketch_y").mapInArrow(_bounds, "x long, y long, nx long, ny long, apart long")
-    bounded = staged(bounded.select("x", "y", (F.col("nx") + F.col("ny")).alias("total"), "apart"))
-    near = bounded.where(_close(F.col("apart"), F.col("total"), percent))
+    fit = pairs.where(100 * F.least("n", "np") >= percent * F.greatest("n", "np"))
+    joined = skew_join(checkpointed(fit), sketches.select(F.col("doc_id").alias("p"), F.col("sketch").alias("sketch_p")), ["p"]).join(sketches.withColumnRenamed("doc_id", "rep"), "rep")
+    bounded = staged(joined.select("p", "rep", "np", "n", "sketch_p", "sketch").mapInArrow(_bounds, "p long, rep long, total long, apart long"))
+    near = checkpointed(bounded.where(_close(F.col("apart"), F.col("total"), percent)).select("p", "rep"))
     if near.isEmpty():
         return bounded.withColumn("known", F.lit(False))
-    wanted = near.select(F.col("x").alias("doc_id")).union(near.select("y")).distinct()
+    wanted = checkpointed(near.select(F.col("p").alias("doc_id")).union(near.select("rep")).distinct())
     bits = spark.sparkContext.broadcast(_filter_of(wanted))
     sets = docs.where("doc_id is not null").mapInArrow(_sets(size, bits), "doc_id long, elements binary").dropDuplicates(["doc_id"]).join(wanted, "doc_id", "left_semi")
     sets = staged(sets)
-    both = near.select("x", "y").join(sets.select(F.col("doc_id").alias("x"), F.col("elements").alias("ex")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("elements").alias("ey")), "y")
-    exact = both.select("x", "y", "ex", "ey").mapInArrow(_measure, "x long, y long, exact long")
-    out = bounded.join(exact, ["x", "y"], "left")
-    return staged(out.select("x", "y", "total", F.coalesce("exact", "apart").alias("apart"), F.col("exact").isNotNull().alias("known")))
+    both = skew_join(near, sets.select(F.col("doc_id").alias("p"), F.col("elements").alias("elements_p")), ["p"]).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    exact = both.select("p", "rep", "elements_p", "elements").mapInArrow(_measure, "p long, rep long, exact long")
+    out = bounded.join(exact, ["p", "rep"], "left")
+    return staged(out.select("p", "rep", "total", F.coalesce("exact", "apart").alias("apart"), F.col("exact").isNotNull().alias("known")))
+
+
+class Points:
+    """Points of one region as arrays: sizes, labels, sides (-1: none), cores (others are guests) and class counts."""
+
+    def __init__(self, n: np.ndarray, label: np.ndarray, side: np.ndarray, core: np.ndarray, sketches: list[bytes]) -> None:
+        self.n, self.label, self.side, self.core = n.astype(np.int64), label, side, core.astype(bool)
+        self.vectors = _vectors(sketches, self.n)
+        self.coarse = self.vectors[:, :CLASSES].reshape(len(n), -1, 8).sum(axis=2)
+
+    def distances(self, some: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        out = np.empty((len(some), len(pivots)))
+        for k, q in enumerate(pivots):
+            apart = _gap(self.vectors[some], self.vectors[q])
+            out[:, k] = 2 * apart / np.maximum(self.n[some] + self.n[q] + apart, 1)
+        return out
+
+    def finished(self, some: np.ndarray) -> bool:
+        """Whether no pair of these points needs to be looked at."""
+        one_side = self.side[some[0]] >= 0 and (self.side[some] == self.side[some[0]]).all()
+        return bool(one_side or (self.label[some] == self.label[some[0]]).all())
+
+    def near(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs (i, j) that bounds allow to be close and that are not linked."""
+        n, within = self.n, lambda apart, i, j: 200 * apart <= (100 - percent) * (n[i] + n[j] + apart)
+        fit = (self.label[i] != self.label[j]) & ((self.side[i] != self.side[j]) | (self.side[i] < 0)) & (self.core[i] | self.core[j])
+        fit &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        i, j = i[fit], j[fit]
+        for vectors in (self.coarse, self.vectors):
+            fit = within(_gap(vectors[i], vectors[j]), i, j)
+            i, j = i[fit], j[fit]
+        return i, j
+
+    def compared(self, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Close pairs of left and of left with right, some rows of left at a time."""
+        both = np.concatenate([left, right])
+        rows = max(1, 32768 // len(both))
+        for at in range(0, len(left), rows):
+            a, b = np.meshgrid(np.arange(at, min(at + rows, len(left))), np.arange(len(both)), indexing="ij")
+            once = a < b
+            yield self.near(both[a[once]], both[b[once]], percent)
+
+
+def cut(points: Points, core: np.ndarray, guests: np.ndarray, pivots: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Core points and guests of the Voronoi cell of each pivot.
+
+    A core point is a guest only in cells before its own; that is enough for a pair of core points to meet once.
+    """
+    d = points.distances(np.concatenate([core, guests]), pivots)
+    nearest, window = d.argmin(axis=1)[: len(core)], d <= d.min(axis=1, keepdims=True) + 2 * (100 - percent) / 100 + 1e-9
+    of_core, of_guests = window[: len(core)], window[len(core) :]
+    return [(core[nearest == q], np.concatenate([core[(nearest > q) & of_core[:, q]], guests[of_guests[:, q]]])) for q in range(len(pivots))]
+
+
+def close_pairs(points: Points, percent: int, leaf: int, depths: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that bounds allow to be close, by cells within cells; depths, if given, takes the depth of each leaf."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    todo = [(np.flatnonzero(points.core), np.flatnonzero(~points.core), 0)]
+    while todo:
+        core, guests, depth = todo.pop()
+        if not len(core) or points.finished(np.concatenate([core, guests])):
+            continue
+        m = len(core) + len(guests)
+        k = min(PIVOTS, len(core), max(8, m // leaf))
+        cells = cut(points, core, guests, core[np.linspace(0, len(core) - 1, k).astype(int)], percent) if m > leaf else []
+        if cells and max(len(c) + len(g) for c, g in cells) < STUCK * m:
+            todo += [(c, g, depth + 1) for c, g in cells]
+        else:
+            found += points.compared(core, guests, percent)
+            if depths is not None:
+                depths.append(depth)
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+CELL = "key string, rep long, n int, label long, side int, core boolean, sketch binary"
+PAIR = "p long, np int, rep long, n int"
+
+
+def _points_of(table: pa.Table | pa.RecordBatch) -> Points:
+    n, label, side, core = (table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in ("n", "label", "side", "core"))
+    return Points(n, label, side, core, table.column("sketch").to_pylist())
+
+
+def _pairs_of(table: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+    a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
+    return pa.table({"p": rep[a], "np": n[a], "rep": rep[b], "n": n[b]})
+
+
+def _cut_regions(percent: int, leaf: int):
+    """Close pairs of whole regions (CELL), which lie one behind the other in a partition sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def regions(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = table.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+            starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+            for low, high in zip(starts[:-1], starts[1:], strict=True):
+                part = table.slice(low, high - low)
+                a, b = close_pairs(_points_of(part), percent, leaf)
+                if len(a):
+                    yield from _pairs_of(part, a, b).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # What has the key of the last row may go on in the next batch.
+            last = pa.compute.equal(batch.column("key"), batch.column("key")[-1]).to_numpy(zero_copy_only=False)
+            tail = batch.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+            if held and (tail or held[0].column("key")[0] != batch.column("key")[0]):
+                whole = pa.Table.from_batches([*held, batch.slice(0, tail)] if tail else held)
+                yield from regions(whole)
+                held = []
+            elif tail:
+                yield from regions(pa.Table.from_batches([batch.slice(0, tail)]))
+            held.append(batch.slice(tail))
+        if held:
+            yield from regions(pa.Table.from_batches(held))
+
+    return run
+
+
+def _cut_level(percent: int):
+    """Rows of the next level from rows of CELL with the pivots of their region (sizes, sketches)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").dictionary_encode()
+            for at in range(len(keys.dictionary)):
+                part = batch.filter(pa.compute.equal(keys.indices, at))
+                sizes, sketches = part.column("sizes")[0].as_py(), part.column("sketches")[0].as_py()
+                m, k = part.num_rows, len(sizes)
+                points = Points(*(np.append(part.column(c).to_numpy(zero_copy_only=False), [fill] * k) for c, fill in (("n", 0), ("label", 0), ("side", -1), ("core", False))), part.column("sketch").to_pylist() + sketches)
+                points.n[m:] = sizes
+                points.vectors[m:] = _vectors(sketches, points.n[m:])
+                core = np.flatnonzero(points.core[:m])
+                for q, (own, guests) in enumerate(cut(points, core, np.flatnonzero(~points.core[:m]), np.arange(m, m + k), percent)):
+                    rows = np.concatenate([own, guests])
+                    if len(rows):
+                        cell = part.select(["key", "rep", "n", "label", "side", "core", "sketch"]).take(pa.array(rows))
+                        key = pa.compute.binary_join_element_wise(cell.column("key"), f"{q}", "/")
+                        kept = pa.array(np.arange(len(rows)) < len(own))
+                        yield pa.RecordBatch.from_arrays([key, *(cell.column(c) for c in ("rep", "n", "label", "side")), kept, cell.column("sketch")], cell.schema.names)
+
+    return run
+
+
+def _sized(cells: DataFrame) -> DataFrame:
+    """cells with m, the number of points of their region, without the regions that are finished."""
+    info = cells.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("side").alias("one"), F.max("side").alias("other"), F.max("core").alias("any"))
+    left = info.where("low < high and any and (one < 0 or one < other)").select("key", "m")
+    return staged(skew_join(cells, left, ["key"]))
+
+
+def recursive_join(cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs (PAIR) that bounds allow to be close, of regions (CELL) of any size."""
+    found, level, levels = [], _sized(cells), 0
+    while True:
+        large = level.where(F.col("m") > TASK_POINTS)
+        inside = level.where(F.col("m") <= TASK_POINTS).drop("m").repartition("key").sortWithinPartitions("key")
+        found.append(staged(inside.mapInArrow(_cut_regions(percent, LEAF), PAIR)))
+        if large.isEmpty():
+            break
+        large = staged(large)
+        # The smallest hash of each of PIVOTS classes of core points; no region is collected.
+        place = F.xxhash64("rep", F.lit(levels))
+        best = large.where("core").groupBy("key", "m", F.pmod(place, F.lit(PIVOTS)).alias("class")).agg(F.min(F.struct(place.alias("place"), "n", "sketch")).alias("best"))
+        pivots = best.groupBy("key").agg(F.sort_array(F.collect_list("best")).alias("best"))
+        pivots = pivots.select("key", F.col("best.n").alias("sizes"), F.col("best.sketch").alias("sketches"))
+        cut_rows = staged(skew_join(large.drop("m"), pivots, ["key"]).mapInArrow(_cut_level(percent), CELL))
+        before = large.groupBy("key").agg(F.max("m").alias("before"))
+        level = _sized(cut_rows).withColumn("parent", F.regexp_extract("key", "^(.*)/", 1))
+        # A region that keeps a cell of nearly its own size is stuck; its points are joined in blocks instead.
+        kept = level.groupBy("parent").agg(F.max("m").alias("largest")).join(before.withColumnRenamed("key", "parent"), "parent")
+        stuck = checkpointed(kept.where(F.col("largest") >= STUCK * F.col("before")).select(F.col("parent").alias("key")))
+        found.append(_block_pairs(skew_join(large, stuck, ["key"]), percent))
+        parents = stuck.select(F.col("key").alias("parent"), F.lit(True).alias("stays"))
+        level = staged(skew_join(level, parents, ["parent"], "left").where("stays is null").drop("stays", "parent"))
+        levels += 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def _near_in_blocks(percent: int):
-    """Pairs of one block pair (rows rep, n, label, side, block, lo, hi, sketch) whose bounds allow a link."""
+    """Pairs of one block pair (rows of CELL with block, lo, hi) whose bounds allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, n, label, side, block = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "label", "side", "block"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, CLASSES).astype(np.int16)
+        points, block = _points_of(table), table.column("block").to_numpy()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        out: list[list[np.ndarray]] = [[], []]
-        for i in left:
-            j = right[right > i] if lo == hi else right
-            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[j] < 0)) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            apart = np.abs(sketch[j] - sketch[i]).sum(axis=1, dtype=np.int64)
-            j = j[200 * apart <= (100 - percent) * (n[j] + n[i] + apart)]
-            out[0].append(np.full(len(j), i))
-            out[1].append(j)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-        a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
-        return pa.table({"x": pa.array(rep[a]), "y": pa.array(rep[b]), "nx": pa.array(n[a].astype(np.int32)), "ny": pa.array(n[b].astype(np.int32))})
+        if lo == hi:
+            found = list(points.compared(left, left[:0], percent))
+        else:
+            found = [points.near(np.repeat(left[at : at + 8], len(right)), np.tile(right, len(left[at : at + 8])), percent) for at in range(0, len(left), 8)]
+        empty = np.zeros(0, np.int64)
+        return _pairs_of(table, np.concatenate([empty, *(a for a, _ in found)]), np.concatenate([empty, *(b for _, b in found)]))
 
     return run
 
 
-def _block_pairs(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Close pairs of regions (key, rep, n, side, label) of any size, from tasks of two blocks each."""
-    m = regions.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+def _block_pairs(regions: DataFrame, percent: int) -> DataFrame:
+    """Close pairs of regions (CELL and m) of any size, from tasks of two blocks each."""
     blocks = F.floor((F.col("m") + BLOCK - 1) / BLOCK)
-    rows = regions.join(m.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("side", F.coalesce("side", F.lit(-1)))
-    rows = rows.join(sketches.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "n", "label", "side", "block", "lo", "hi", "sketch")
-    return rows.groupBy("key", "lo", "hi").applyInArrow(_near_in_blocks(percent), "x long, y long, nx int, ny int").distinct()
+    rows = regions.withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("with", "m")
+    return rows.groupBy("key", "lo", "hi").applyInArrow(_near_in_blocks(percent), PAIR)
 
 
-def _remaining(starred: DataFrame, measured: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """What the star round leaves: small regions (key, rep, n, label), and outsides and windows (key, rep, n, side, label)."""
-    named = labels.select(F.col("id").alias("rep"), F.col("component").alias("new"))
-    rows = starred.join(named, "rep", "left").withColumn("label", F.coalesce("new", "rep")).drop("new")
-    w = Window.partitionBy("key")
-    rows = staged(rows.withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).where("low < high").drop("low", "high"))
-    small = rows.where((F.col("m") <= LEAF) & (F.col("rep") != F.col("p"))).select("key", "rep", "n", "label")
-    # Regions of one pivot share most of their points; together each point is there once.
-    large = rows.where((F.col("m") > LEAF) & (F.col("rep") != F.col("p"))).select("p", "np", "rep", "n", "label").distinct()
-    large = large.join(named.withColumnRenamed("rep", "p"), "p", "left").withColumn("p_label", F.coalesce("new", "p")).withColumn("x", F.least("rep", "p")).withColumn("y", F.greatest("rep", "p"))
+def _remaining(pairs: DataFrame, measured: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """What the pivots leave, as regions (CELL): the outside of each pivot, and the window of its ball."""
     # A pair that was not measured, its sizes being too far apart, is bounded by its sizes.
-    met = large.join(measured, ["x", "y"], "left").withColumn("total", F.coalesce("total", F.col("n") + F.col("np"))).withColumn("apart", F.coalesce("apart", F.abs(F.col("n") - F.col("np"))))
+    met = pairs.join(measured, ["p", "rep"], "left").withColumn("total", F.coalesce("total", F.col("n") + F.col("np"))).withColumn("apart", F.coalesce("apart", F.abs(F.col("n") - F.col("np"))))
     met = met.withColumn("ball", F.coalesce(F.col("known") & _close(F.col("apart"), F.col("total"), percent), F.lit(False)))
-    met = met.withColumn("distance", 2 * F.col("apart") / (F.col("total") + F.col("apart")))
-    outside = met.where("not ball").select(F.concat_ws("o", "p", F.lit("")).alias("key"), "rep", "n", F.lit(None).cast("int").alias("side"), "label")
-    outer = ~F.col("ball") & _close(F.col("apart"), F.col("total"), percent, 2) & (F.col("label") != F.col("p_label"))
-    # Of the ball only what lies near enough to the nearest outer point can be within the radius of one.
-    nearest = met.where(outer).groupBy("p").agg(F.min("distance").alias("nearest"))
-    windows = met.where(F.col("ball") | outer).join(nearest, "p").where(~F.col("ball") | (F.col("distance") >= F.col("nearest") - (100 - percent) / 100 - 1e-9))
-    windows = windows.select(F.concat_ws("w", "p", F.lit("")).alias("key"), "rep", "n", F.when(F.col("ball"), 0).otherwise(1).alias("side"), "label")
-    return small, outside.unionByName(windows)
+    named = labels.select(F.col("id").alias("rep"), F.col("component").alias("new"))
+    met = staged(met.join(named, "rep", "left").select("p", "rep", "n", F.coalesce("new", "rep").alias("label"), "ball", (F.col("ball") | _close(F.col("apart"), F.col("total"), percent, 2)).alias("window")))
+    outside = met.where("not ball").select(F.concat("p", F.lit("o")).alias("key"), "rep", "n", "label", F.lit(-1).alias("side"))
+    window = met.where("window").select(F.concat("p", F.lit("w")).alias("key"), "rep", "n", "label", F.when(F.col("ball"), 0).otherwise(1).alias("side"))
+    cells = _sized(staged(outside.unionByName(window).withColumn("core", F.lit(True)))).drop("m")
+    return staged(cells.join(sketches.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "n", "label", "side", "core", "sketch"))
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,18 +523,17 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, i
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     points = staged(docs.mapInArrow(_points(size, percent), POINTS))
-    sketches = points.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    starred = staged(_with_pivots(region_rows(points, docs, size, percent)))
-    measured = _distances(checkpointed(_ordered_pairs(starred, percent)), sketches, docs, size, percent)
+    sketches = points.where("doc_id is not null").select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    pairs = cells_of_pivots(region_rows(points, docs, size, percent))
+    measured = _distances(pairs, sketches, docs, size, percent)
     linked = F.col("known") & _close(F.col("apart"), F.col("total"), percent)
-    labels = components(measured.where(linked).select("x", "y"))
-    small, large = _remaining(starred, measured, labels, percent)
-    other = small.select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("label").alias("p_label"))
-    direct = _ordered_pairs(small.join(other, "key").where((F.col("rep") < F.col("p")) & (F.col("label") != F.col("p_label"))), percent)
-    pairs = direct.unionByName(_block_pairs(staged(large), sketches, percent)).distinct().join(measured.select("x", "y"), ["x", "y"], "left_anti")
-    more = _distances(checkpointed(pairs), sketches, docs, size, percent)
-    labels = components(measured.unionByName(more).where(linked).select("x", "y"))
-    classes = points.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    labels = components(measured.where(linked).select("p", "rep"))
+    more = checkpointed(recursive_join(_remaining(pairs, measured, labels, sketches, percent), percent))
+    more = _distances(more, sketches, docs, size, percent)
+    labels = components(measured.unionByName(more).where(linked).select("p", "rep"))
+    sets = staged(points.where("n > 0").select("doc_id", "n", "s1", "s2"))
+    classes = sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = points.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = skew_join(sets, named, ["s1", "s2"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    bare = points.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.unionByName(bare).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")

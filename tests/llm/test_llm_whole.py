@@ -1,17 +1,100 @@
 """Results of the training-data operators that depend on more than one partition, passage, row or token."""
 
 import collections
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import common, secret_scan, suffix_dedup
+from tessera.llm import common, ngram_join, secret_scan, suffix_dedup
 from tessera.llm import license_scan as lic
 from tessera.llm.line_dedup import KEYS, LineIndex, _emit_keys, line_dedup
+from tessera.llm.shingles import shingle_set
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
+# 3 -------------------------------------------------------------------------------------------------------------------
+
+
+def clusters(seed, n_clusters, size, n_alone, most):
+    """Word sequences in clusters of edited copies, and others of their own; all share some words."""
+    r = random.Random(seed)
+    out = []
+    for c in range(n_clusters):
+        base = [f"c{c}w{k}" for k in range(r.randrange(30, 60))]
+        for _ in range(size):
+            words = list(base)
+            for _ in range(r.randrange(most)):
+                words[r.randrange(len(words))] = f"e{r.randrange(10**6)}"
+            out.append(words)
+    out += [[f"a{a}w{k}" for k in range(r.randrange(20, 60))] for a in range(n_alone)]
+    return [" ".join([*(f"s{k}" for k in range(6)), *w]) for w in out]
+
+
+def as_points(texts, label=None):
+    sets = [shingle_set(t) for t in texts]
+    m = len(texts)
+    return sets, ngram_join.Points(np.array([len(x) for x in sets]), np.arange(m) if label is None else label, np.full(m, -1), np.full(m, True), [ngram_join._sketch(x) for x in sets])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cells_within_cells_lose_no_pair(seed):
+    texts = clusters(seed, 20, 20, 10, 3)
+    sets, points = as_points(texts)
+    held = [set(x.tolist()) for x in sets]
+    close = {(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b])}
+    depths = []
+    a, b = ngram_join.close_pairs(points, 80, 8, depths)
+    found = {(max(x), min(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    assert close and close <= found and max(depths) > 1
+    assert len(found) < len(texts) ** 2 / 10
+
+
+def test_sketch_distance_is_a_metric_below_jaccard():
+    sets, points = as_points(clusters(9, 3, 4, 6, 6) + ["x " * 3, "a b c d e f g"])
+    every = np.arange(len(sets))
+    d = points.distances(every, every)
+    held = [set(x.tolist()) for x in sets]
+    true = np.array([[1 - len(a & b) / len(a | b) for a in held] for b in held])
+    assert (d <= true + 1e-12).all()
+    assert (d[:, None, :] <= d[:, :, None] + d[None, :, :] + 1e-12).all()
+
+
+@pytest.mark.parametrize(("task", "stuck"), [(12, 0.9), (40, 0.9), (12, 0.0)])
+def test_large_regions_are_cut_by_spark(spark, monkeypatch, task, stuck):
+    """One region of all points: levels of cells, stuck regions in blocks, hot regions and hubs dealt over tasks."""
+    for name, value in (("LEAF", 4), ("BLOCK", 16), ("TASK_POINTS", task), ("STUCK", stuck), ("HOT_ROWS", 30)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(common, "HOT_ROWS", 30)
+    texts = clusters(5, 8, 8, 6, 3)
+    sets, _ = as_points(texts)
+    cells = spark.createDataFrame([("k", i, len(x), i, -1, True, bytearray(ngram_join._sketch(x))) for i, x in enumerate(sets)], ngram_join.CELL)
+    held = [set(x.tolist()) for x in sets]
+    close = {(b, a) for a in range(len(texts)) for b in range(a) if 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b])}
+    assert close <= {(r.p, r.rep) for r in ngram_join.recursive_join(cells, 80).collect()}
+
+
+def test_ngram_join_with_hot_regions(spark, monkeypatch):
+    for name, value in (("LEAF", 4), ("BLOCK", 8), ("TASK_POINTS", 16), ("HOT_ROWS", 10), ("FREQUENT", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    texts = clusters(6, 3, 14, 10, 7) + [None, "", "one two", "one two"]
+    texts += texts[:2] * 8
+    sets = [set(shingle_set(t).tolist()) for t in texts]
+    name, changed = list(range(len(texts))), True
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            if name[a] != name[b]:
+                name[a] = name[b] = min(name[a], name[b])
+                changed = True
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: (len(sets[i]), name[i]) for i in range(len(texts))}
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -158,6 +241,73 @@ def test_matches_meet_a_clause(rule):
         assert not clauses or any(c <= secret_scan.trigrams(hit) for c in clauses), text
 
 
+PATTERNS = [
+    r"(abc|x+)(def){2}", r"a.*bcde", r"(?:abc)*xyz", r"(abcd)+e?", r"[ab]cde|fghi", r"(?i:Ab[cC]d)-?ef", r"abc(def|ghi)?jkl", r"\bfoo_bar\b|qux{3,5}", r"(a|b)(c|d)(e|f)(g|h)\d+",
+    r"x[0-9a-f]{2}yz\.w", "[^a]bcd", r"(?:one|two)[ _](three|four)\s*=", r"ab\dcd", "", r"a?b?c?d",
+]
+
+
+def sample(r, items):
+    """A string that the parse tree of a pattern matches."""
+    from re import _constants as k
+
+    out = ""
+    for kind, value in items:
+        if kind is k.LITERAL:
+            out += chr(value)
+        elif kind is k.ANY:
+            out += r.choice("zq9")
+        elif kind is k.NOT_LITERAL:
+            out += r.choice([c for c in "zqab" if ord(c) != value])
+        elif kind is k.IN:
+            what, v = r.choice([x for x in value if x[0] is not k.NEGATE])
+            out += r.choice("zq") if value[0][0] is k.NEGATE else chr(v) if what is k.LITERAL else chr(r.randint(*v)) if what is k.RANGE else {k.CATEGORY_DIGIT: "7", k.CATEGORY_SPACE: " "}[v]
+        elif kind in (k.MAX_REPEAT, k.MIN_REPEAT):
+            out += "".join(sample(r, value[2]) for _ in range(r.randint(value[0], min(value[1], value[0] + 2))))
+        elif kind is k.SUBPATTERN:
+            out += sample(r, value[3])
+        elif kind is k.BRANCH:
+            out += sample(r, r.choice(value[1]))
+        else:
+            assert kind is k.AT
+    return out
+
+
+@pytest.mark.parametrize("pattern", [*PATTERNS, *(r.pattern for r in [*secret_scan.BASE_RULES, *secret_scan.MORE_RULES])])
+def test_every_match_holds_its_query(pattern):
+    from re import _parser
+
+    r = random.Random(1)
+    clauses = secret_scan.trigram_query(secret_scan.Rule("x", pattern, 0))
+    for _ in range(300):
+        text = sample(r, list(_parser.parse(pattern)))
+        assert re.search(pattern, text), text
+        assert not clauses or any(c <= secret_scan.trigrams(text) for c in clauses), text
+
+
+def test_queries_are_not_empty():
+    ask = lambda p: secret_scan.trigram_query(secret_scan.Rule("x", p, 0))
+    assert ask(r"(abc|x+)(def){2}") == [frozenset({"def", "efd", "fde"})]
+    assert {frozenset({"abc", "bcd"}), frozenset({"xyz"})} == set(ask(r"abcd|xyz+"))
+    assert ask("a.*b") == [] and ask("(") == [] and ask("(?:abc)*") == []
+
+
+def test_secrets_over_blocks(spark, monkeypatch):
+    """Posting lists of several blocks, candidates joined both ways, ids null or repeated, very many matches in one text."""
+    monkeypatch.setattr(secret_scan, "BLOCK_BITS", 2)
+    many = " ".join(f"token={'a' * (11 + k % 3)}{k}" for k in range(2000))
+    rows = [(k if k % 5 else None, f"{'é' * k} secret: {'Q' * (8 + k % 9)} ghp_{'x1' * 18}" if k % 3 else "secre t tok en") for k in range(60)] + [(7, "token=abcdefghijklmnop")] * 3 + [(8, many), (9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    rule = {r.kind: r for r in (*secret_scan.BASE_RULES, *secret_scan.MORE_RULES)}
+    exp = collections.Counter()
+    for i, t in rows:
+        spans = sorted((m.start(), k, m.end(), kind) for k, (kind, x) in enumerate(rule.items()) for m in re.finditer(x.pattern, t or "", re.ASCII) if len(m[x.group]) >= x.at_least)
+        exp[(i, tuple(spans))] += 1
+    for most in (400_000, 0):
+        monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", most)
+        assert collections.Counter((r.doc_id, tuple(map(tuple, r.spans))) for r in secret_scan.secret_spans(d).collect()) == exp
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
