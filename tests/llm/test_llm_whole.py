@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,43 @@ def test_adjoining_passages(spark):
     assert found[4].keep and not found[9].keep and not found[10].keep
 
 
+@pytest.mark.parametrize(("least", "seed"), [(6, 3), (8, 4), (5, 5)])
+def test_agreement_of_sorted_suffixes(least, seed):
+    """Every suffix of small texts, sorted and extended both ways: each passage's smallest document."""
+    r = random.Random(least)
+    reach = least - seed
+    for _ in range(40):
+        words = [[r.choice("abcd"[: r.randint(2, 4)]) for _ in range(r.randint(0, 40))] for _ in range(8)]
+        places = [(d, p) for d, w in enumerate(words) for p in range(len(w) - seed + 1)]
+        if not places:
+            continue
+        joined = lambda ws: b"".join(x.encode() + b" " for x in ws)
+        after = pa.chunked_array([[joined(words[d][p : p + least]) for d, p in places]], pa.binary())
+        before = pa.chunked_array([[joined(words[d][max(0, p - reach) : p]) for d, p in places]], pa.binary())
+        back, ahead = np.array([min(p, reach) for _, p in places]), np.array([max(0, p - len(words[d]) + least) for d, p in places])
+        first = suffix_dedup.common_passages(suffix_dedup._codes(after, least), suffix_dedup._codes(before, reach, True), np.array([d for d, _ in places]), back, ahead)
+        where = collections.defaultdict(set)
+        for d, w in enumerate(words):
+            for k in range(len(w) - least + 1):
+                where[tuple(w[k : k + least])].add(d)
+        for i, (d, p) in enumerate(places):
+            held = [where[tuple(words[d][p - k : p - k + least])] if ahead[i] <= k <= back[i] else set() for k in range(reach + 1)]
+            assert first[i].tolist() == [min(h) if len(h) > 1 else -1 for h in held]
+
+
+@pytest.mark.parametrize("partitions", ["1", "8", "211"])
+def test_one_document_keeps_a_common_passage(spark, partitions):
+    """However many partitions the equal suffixes of a passage lie in."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows = [(i, f"own{i} a{i} {passage} b{i}") for i in range(1, 800)]
+    found = suffix_dedup.suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(found) == 799 and {(x.start_word, x.end_word, x.first_doc) for x in found} == {(2, 52, 1)}
+    assert [x.doc_id for x in found if x.keep] == [1]
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
