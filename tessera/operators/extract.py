@@ -77,13 +77,24 @@ def arbitrate(results: DataFrame, by: list[str]) -> DataFrame:
     return results.groupBy(*by).agg(best).select(*by, F.col("_b.parser").alias("parser"), F.col("_b.score").alias("score"))
 
 
+#: Labels of times and the form of a duration.
+TIME_LABEL = r"(?i)^\s*(?:(Group|Question)\s+)?(Preparation\s+time|Prep\s+time|Response\s+time|Answer\s+time|Time\s+limit)\s*:\s*(.*)$"
+DURATION = r"(?i)^(\d+(?:\.\d+)?)\s*(seconds?|secs?|s|minutes?|mins?|m)\.?$"
+
+
 def durations(text: Column) -> Column:
-    """The first number with a unit of time as whole seconds up to 7200, else null."""
-    pattern = r"(?i)(\d+(?:\.\d+)?)\s*(seconds?|secs?|s|minutes?|mins?|m|hours?|hrs?|h)\b"
-    n, unit = F.regexp_extract(text, pattern, 1), F.lower(F.regexp_extract(text, pattern, 2))
-    factor = F.when(unit.startswith("s"), 1).when(unit.startswith("m"), 60).otherwise(3600)
-    seconds = F.when(n != "", n.cast("double") * factor)
-    return F.when((seconds == F.floor(seconds)) & (seconds > 0) & (seconds <= 7200), seconds.cast("int"))
+    """A text that is one duration, with a unit, as whole seconds from 0 to 7200; null otherwise."""
+    n, unit = F.regexp_extract(text, DURATION, 1), F.lower(F.regexp_extract(text, DURATION, 2))
+    seconds = F.when(n != "", n.cast("double") * F.when(unit.startswith("m"), 60).otherwise(1))
+    return F.when((seconds == F.floor(seconds)) & (seconds <= 7200), seconds.cast("int"))
+
+
+def labelled_times(text: Column) -> Column:
+    """What a line `Response time: 45 seconds` sets: scope (group, question or null), field, seconds; null if it's no such line."""
+    label = F.lower(F.regexp_extract(text, TIME_LABEL, 2))
+    scope, value = F.lower(F.regexp_extract(text, TIME_LABEL, 1)), F.trim(F.regexp_extract(text, TIME_LABEL, 3))
+    field = F.when(label.startswith("prep"), "prepare").otherwise("time")
+    return F.when(label != "", F.struct(F.nullif(scope, F.lit("")).alias("scope"), field.alias("field"), durations(value).alias("seconds")))
 
 
 def source_groups(lines: DataFrame, doc: list[str], order: str, text: str, heading: str, key_heading: str) -> DataFrame:
@@ -170,14 +181,57 @@ def aligned_blanks(lengths: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else fewest_drops([int(x) for x in a], [int(x) for x in b]) for a, b in zip(lengths, wanted, strict=True)])
 
 
+#: Fixed value: words of letters, or single marks.
+TOKEN = r"[A-Za-z]+(?:['’][A-Za-z]+)*|\S"
+
+
 def gap_words(gapped: Column, full: Column) -> Column:
-    """Where a gapped word is a strict prefix of the full one, token by token; null if the texts don't align."""
-    a, b = F.split(gapped, " "), F.split(full, " ")
-    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-    bare = lambda z: F.regexp_replace(z["a"], "_+$", "")
-    fits = F.forall(pairs, lambda z: (z["a"] == z["b"]) | (z["a"].endswith("_") & F.startswith(z["b"], bare(z))))
-    gaps = F.transform(F.filter(pairs, lambda z: z["a"].endswith("_") & (z["a"] != z["b"])), lambda z: F.substring(z["b"], F.length(bare(z)) + 1, F.length(z["b"])))
-    return F.when((F.size(a) == F.size(b)) & fits, gaps)
+    """Gaps restored from the full text: passage (with one underscore for each missing letter) and missing.
+
+    Word by word, what differs must be letters that begin the full word, in either case.  Null where anything else
+    differs, or nothing does.
+    """
+    a, b = F.regexp_extract_all(gapped, F.lit(TOKEN), F.lit(0)), F.regexp_extract_all(full, F.lit(TOKEN), F.lit(0))
+    pairs = F.arrays_zip(a.alias("a"), b.alias("b"), F.slice(F.split(gapped, TOKEN, -1), 1, F.size(a)).alias("before"))
+    letters = lambda x: x.rlike("^[A-Za-z]+$")
+    begins = lambda z: letters(z["a"]) & letters(z["b"]) & (F.length(z["a"]) < F.length(z["b"])) & F.startswith(F.lower(z["b"]), F.lower(z["a"]))
+    fits = (F.size(a) == F.size(b)) & F.forall(pairs, lambda z: (z["a"] == z["b"]) | begins(z))
+    rest = lambda z: F.substring(z["b"], F.length(z["a"]) + 1, F.length(z["b"]))
+    missing = F.transform(F.filter(pairs, lambda z: z["a"] != z["b"]), rest)
+    shown = F.array_join(F.transform(pairs, lambda z: F.concat(z["before"], z["a"], F.repeat(F.lit("_"), F.length(z["b"]) - F.length(z["a"])))), "")
+    passage = F.concat(shown, F.element_at(F.split(gapped, TOKEN, -1), -1))
+    return F.when(fits & (F.size(missing) > 0), F.struct(passage.alias("passage"), missing.alias("missing")))
+
+
+#: Gaps of a passage, and of its key, where the letters stand in braces.
+GAP = r"([A-Za-z]+)((?:\s*_)+)"
+MARKED_GAP = r"([A-Za-z]+)\{([A-Za-z]+)\}"
+
+
+def gap_skeleton(text: Column, gap: str) -> Column:
+    """A passage with each gap as a mark, in the form in which passages and keys are compared."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(text, gap, "$1◊"), r"(?U)\s+", " "))
+    return F.regexp_replace(flat, r"\s+([,.;:!?])", "$1")
+
+
+def fill_answers(passages: DataFrame, keys: DataFrame, scope: list[str]) -> DataFrame:
+    """Letters of the gaps of passages (passage_id, text) from the one key (key_id, text, first, last) with the same skeleton.
+
+    The key's range of numbers must count as many gaps as both texts have; else nothing is applied.  A gap whose prefix or
+    number of letters differs stays open: its answer is null.
+    """
+    p = passages.withColumn("_s", gap_skeleton(F.col("text"), GAP))
+    k = keys.select(*scope, "key_id", "first", F.col("last").alias("_last"), F.col("text").alias("_key"), gap_skeleton(F.col("text"), MARKED_GAP).alias("_s"))
+    n = F.count("*").over(Window.partitionBy(*scope, "_s"))
+    k = k.withColumn("_n", n).where("_n = 1")
+    out = p.join(k, [*scope, "_s"], "left")
+    every = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    gaps = F.arrays_zip(every("text", GAP, 1).alias("prefix"), F.transform(every("text", GAP, 2), lambda x: F.length(F.regexp_replace(x, "[^_]", ""))).alias("letters"))
+    marks = F.arrays_zip(every("_key", MARKED_GAP, 1).alias("prefix"), every("_key", MARKED_GAP, 2).alias("answer"))
+    whole = F.coalesce((F.col("first") > 0) & (F.col("_last") - F.col("first") + 1 == F.size(gaps)) & (F.size(marks) == F.size(gaps)), F.lit(False))
+    same = lambda z: (z["g"]["prefix"] == z["m"]["prefix"]) & (z["g"]["letters"] == F.length(z["m"]["answer"]))
+    answers = F.transform(F.arrays_zip(gaps.alias("g"), marks.alias("m")), lambda z: F.when(same(z), z["m"]["answer"]))
+    return out.select("passage_id", F.size(gaps).alias("gaps"), whole.alias("applied"), F.when(whole, F.col("key_id")).alias("key_id"), F.when(whole, answers).alias("answers"))
 
 
 def insertion_points(passage: Column, paragraph: Column) -> Column:
@@ -187,8 +241,11 @@ def insertion_points(passage: Column, paragraph: Column) -> Column:
     return F.when((F.length(paragraph) > 0) & (first > 0) & (again == 0), first)
 
 
-def missing_letters(gap: Column, word: Column) -> Column:
-    """Letters to fill in, read in the case of the word; unsure look-alikes are null."""
-    clean = F.translate(gap, "01", "oi")
-    unsure = gap.rlike(r"[lI|]") & ~word.rlike(r"^\p{Lu}+$")
-    return F.when(~unsure, F.when(word.rlike(r"^\p{Lu}+$"), F.upper(clean)).otherwise(F.lower(clean)))
+def missing_letters(answer: Column) -> Column:
+    """Letters to fill in, as recognised: a capital I among small letters is an l, capitals are small; unsure ones are null.
+
+    What isn't all letters stays.  Capitals with an I, and a lone capital, may stand for something else.
+    """
+    letters, small = answer.rlike("^[A-Za-z]+$"), answer.rlike("[a-z]")
+    unsure = F.contains(answer, F.lit("I")) | (F.length(answer) == 1)
+    return F.when(~letters, answer).when(small, F.translate(answer, "I", "l")).when(~unsure, F.lower(answer))

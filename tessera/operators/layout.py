@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import digits_masked
+from tessera.functions.text import collapsed, digits_masked, has_text
 
 
 def assemble_lines(items: DataFrame, page: list[str]) -> DataFrame:
@@ -127,11 +127,39 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return page.mapInArrow(_ordered_pages, ORDERED)
 
 
-def repeated_margins(lines: DataFrame, doc: list[str], page: str, text: str, at: Column, role_top: float = 0.07, role_bottom: float = 0.91) -> DataFrame:
-    """Header and footer texts, digits masked, that stand on two pages of a document or more (at: height from 0 to 1)."""
-    role = F.when(at < role_top, "header").when(at > role_bottom, "footer")
-    marked = lines.withColumn("role", role).where("role is not null").withColumn("pattern", digits_masked(F.col(text)))
-    return marked.groupBy(*doc, "role", "pattern").agg(F.count_distinct(page).alias("pages")).where("pages >= 2")
+#: Margin texts that are headings, page labels, titles and imprints.
+MARGIN_HEADING = r"(?i)Section|Module|Question|Read |Listen |Fill in"
+PAGE_LABEL = r"(?i)^(?:\d+|Page\s+\d+)$"
+TITLE_LABEL = r"(?i)^(?:(?:Original|Practice|Sample|Mock)\s+(?:Workbook|Test)|(?:TOEFL\s+iBT[®™]?\s+)?(?:Teacher Resources\s*[–—-]\s*)?(?:Practice|Sample|Mock)\s+Test)\s+#?\d+(?:\s+\d+)?$"
+IMPRINT = r"(?i)^(?:Copyright\s*(?:©\s*)?|©\s*)\d{4}\b.{0,180}$"
+
+
+def repeated_margins(blocks: DataFrame, doc: list[str], role_top: float = 0.07, role_bottom: float = 0.91, near: int = 12, baseline: float = 3.0) -> DataFrame:
+    """Blocks (page, block, text, y, height, right, baseline) that repeat in the margins, with their role or the doubt about it.
+
+    Texts of a header or footer are alike if they are equal once digits are masked; headings don't count.  Of those that
+    two pages hold, page labels and titles count as margin only if their number follows the page number on two pages at
+    one right edge (a title also if such a bare counter stands on its line), and imprints always.  Others are kept as body,
+    as ambiguous: repetition alone is no permission to drop prose.
+    """
+    role = F.when(F.col("y") < F.col("height") * role_top, "header").when(F.col("y") > F.col("height") * role_bottom, "footer")
+    t = blocks.withColumn("margin", role).where("margin is not null").where(~F.col("text").rlike(MARGIN_HEADING))
+    t = t.withColumn("pattern", digits_masked(collapsed(F.col("text")))).withColumn("_text", F.trim("text"))
+    group = [*doc, "margin", "pattern"]
+    often = t.groupBy(*group).agg(F.count_distinct("page").alias("_pages")).where("_pages >= 2")
+    t = t.join(often, group)
+    number = F.regexp_extract("text", r"(\d{1,9})\s*$", 1).try_cast("long")
+    t = t.withColumn("_offset", number - F.col("page"))
+    along = Window.partitionBy(*group, "_offset").orderBy("right").rangeBetween(-near, near)
+    tracks = F.col("_offset").isNotNull() & (F.min("page").over(along) != F.max("page").over(along))
+    t = t.withColumn("_tracks", tracks)
+    counters = t.where(F.col("_tracks") & F.col("_text").rlike(r"^\d+$")).select(*doc, "page", F.col("baseline").alias("_line")).distinct()
+    titles = t.where(F.col("_text").rlike(TITLE_LABEL)).select(*doc, "page", "block", "baseline").join(counters, [*doc, "page"])
+    beside = titles.where(F.abs(F.col("_line") - F.col("baseline")) <= baseline).select(*doc, "page", "block", F.lit(True).alias("_beside")).distinct()
+    t = t.join(beside, [*doc, "page", "block"], "left")
+    title = F.col("_text").rlike(TITLE_LABEL) & (F.col("_tracks") | F.coalesce("_beside", F.lit(False)))
+    label = (F.col("_text").rlike(PAGE_LABEL) & F.col("_tracks")) | title | F.col("_text").rlike(IMPRINT)
+    return t.select(*doc, "page", "block", "pattern", F.when(label, F.col("margin")).otherwise("body").alias("role"), F.when(~label, "repeated_margin").alias("doubt"))
 
 
 def joined_rows(blocks: DataFrame, by: list[str]) -> DataFrame:
@@ -148,14 +176,30 @@ def reference_visibility(lines: DataFrame, page: list[str], text: str, marker: s
     return lines.withColumn("visibility", F.when(flag, "reference").otherwise("visible"))
 
 
+#: Lines with a structure of their own, which never are page furniture.
+STRUCTURAL = (
+    r"^\(?[A-F][.)]\s+\S", r"(?i)^(?:(?:Question|Item|Example|Prompt)\s+\d{1,3}\b|\d{1,3}[.)]\s+\S)", r"(?i)^(?:Passage|Recording|Text|Set|Conversation|Lecture|Talk|Announcement)\s+\d{1,3}\s*[:.—–-]",
+    r"(?i)^(?:Play|Listen to|Hear) (?:this|the) (?:recording|audio)\b", r"(?i)^[^a-z]*l[^a-z]*i[^a-z]*s[^a-z]*t[^a-z]*e[^a-z]*n[^a-z]*(?:a[^a-z]*n[^a-z]*d[^a-z]*)?r[^a-z]*e[^a-z]*p[^a-z]*e[^a-z]*a[^a-z]*t",
+)
+
+
 def edge_furniture(lines: DataFrame, doc: list[str], page: str, line: str, text: str, pages: int = 3, longest: int = 90) -> DataFrame:
-    """Short lines among the first two or last three of a page whose masked text stands so on `pages` pages or more."""
-    up, down = Window.partitionBy(*doc, page).orderBy(line), Window.partitionBy(*doc, page).orderBy(F.desc(line))
-    edge = (F.row_number().over(up) <= 2) | (F.row_number().over(down) <= 3)
-    t = lines.withColumn("_edge", edge & (F.length(text) <= longest) & (F.length(F.trim(text)) > 0)).withColumn("_mask", digits_masked(F.trim(text)))
-    often = t.where("_edge").groupBy(*doc, "_mask").agg(F.count_distinct(page).alias("_n")).where(F.col("_n") >= pages).select(*doc, "_mask", F.lit(True).alias("_often"))
+    """Furniture among the first two and last three non-blank lines of a page: what stands so on `pages` pages, digits masked.
+
+    Lines of more than `longest` characters and structural lines are none.  Blank lines are no edges.
+    """
+    t = lines.withColumn("_text", F.trim(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")))
+    filled = F.when(F.col("_text") != "", F.col(line))
+    up, down = (Window.partitionBy(*doc, page).orderBy(x) for x in (F.asc_nulls_last("_at"), F.desc_nulls_last("_at")))
+    edge = F.col("_at").isNotNull() & ((F.row_number().over(up) <= 2) | (F.row_number().over(down) <= 3))
+    structural = F.lit(False)
+    for pattern in STRUCTURAL:
+        structural = structural | F.col("_text").rlike(pattern)
+    t = t.withColumn("_at", filled).withColumn("_edge", edge).withColumn("_mask", digits_masked(F.col("_text")))
+    counted = t.where(F.col("_edge") & (F.length("_text") <= longest) & ~structural)
+    often = counted.groupBy(*doc, "_mask").agg(F.count_distinct(page).alias("_n")).where(F.col("_n") >= pages).select(*doc, "_mask", F.lit(True).alias("_often"))
     out = t.join(often, [*doc, "_mask"], "left")
-    return out.withColumn("furniture", F.col("_edge") & F.coalesce("_often", F.lit(False))).drop("_edge", "_mask", "_often")
+    return out.withColumn("furniture", F.col("_edge") & F.coalesce("_often", F.lit(False))).drop("_edge", "_mask", "_often", "_at", "_text")
 
 
 def last_line_footers(lines: DataFrame, page: list[str], line: str, text: str, pattern: str) -> DataFrame:
@@ -181,11 +225,20 @@ def repair_line(text: Column) -> Column:
 
 
 def repair_numbers(labels: DataFrame, by: list[str], order: list[str], number: str) -> DataFrame:
-    """A missing number is restored where the neighbours leave exactly one: after - 1 or before + 1."""
+    """Missing numbers of labels in order: the one before the next label's, else the one after the label before.
+
+    A restored number serves the next label; one below 1, or that doesn't follow the label before, is not restored.  In a
+    run of missing numbers all but the last therefore count on from the last known one, and the last must meet both ends.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
-    before, after = F.lag(number).over(w), F.lead(number).over(w)
-    agreed = F.when(before.isNotNull() & after.isNotNull(), F.when(before + 1 == after - 1, before + 1)).otherwise(F.coalesce(before + 1, after - 1))
-    return labels.withColumn("restored", F.col(number).isNull() & agreed.isNotNull()).withColumn(number, F.coalesce(F.col(number), agreed))
+    behind = w.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.row_number().over(w)
+    t = labels.withColumn("_place", place)
+    known, at = F.last(number, ignorenulls=True).over(behind), F.last(F.when(F.col(number).isNotNull(), F.col("_place")), ignorenulls=True).over(behind)
+    counted, after = known + (F.col("_place") - at), F.lead(number).over(w) - 1
+    fixed = F.when(after.isNull(), counted).when(counted.isNull() | (counted == after), after)
+    fixed = F.when(F.col(number).isNull() & (fixed >= 1), fixed)
+    return t.withColumn("_fixed", fixed).withColumn("restored", F.col("_fixed").isNotNull()).withColumn(number, F.coalesce(number, "_fixed")).drop("_fixed", "_place")
 
 
 def option_context(lines: DataFrame, by: list[str], order: str, explicit: Column, frame: int = 3, least: int = 2) -> DataFrame:
@@ -224,15 +277,26 @@ def apply_proofread(lines: DataFrame, corrections: DataFrame, key: list[str]) ->
 
 
 def page_lines(lines: DataFrame, page: list[str]) -> DataFrame:
-    """Lines from the top (y falling), with a blank before a gap of more than 1.55 times the median leading."""
-    w = Window.partitionBy(*page).orderBy(F.desc("y"), "x", "line")
-    t = lines.withColumn("gap", F.lag("y").over(w) - F.col("y"))
-    leading = F.median(F.when(F.col("gap") > 0, F.col("gap"))).over(Window.partitionBy(*page))
-    return t.withColumn("blank_before", F.coalesce(F.col("gap") > 1.55 * leading, F.lit(False))).withColumn("place", F.row_number().over(w)).drop("gap")
+    """Lines (text, x, y, line) of a page from the top, with a blank before a gap of more than 1.55 times the leading.
+
+    The leading is the upper median of gaps above 1, or 14 where there is none.  Lines without text fall away.  A page
+    with a line of text that has no y is left alone: all its lines in their order, no blanks.
+    """
+    whole = Window.partitionBy(*page)
+    filled = has_text(F.col("text"))
+    placed = F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") < float("inf"))
+    t = lines.withColumn("_filled", filled)
+    t = t.withColumn("_moved", F.coalesce(F.min(F.when(F.col("_filled"), placed)).over(whole), F.lit(False))).where(~F.col("_moved") | F.col("_filled"))
+    order = [F.when(F.col("_moved"), -F.col("y")), F.when(F.col("_moved"), F.col("x")), F.col("line")]
+    w = Window.partitionBy(*page).orderBy(*order)
+    t = t.withColumn("place", F.row_number().over(w)).withColumn("_gap", F.when(F.col("_moved"), F.lag("y").over(w) - F.col("y")))
+    wide = F.sort_array(F.collect_list(F.when(F.col("_gap") > 1, F.col("_gap"))).over(whole))
+    leading = F.coalesce(F.get(wide, F.floor(F.size(wide) / 2).cast("int")), F.lit(14.0))
+    return t.withColumn("blank_before", F.coalesce(F.col("_gap") > 1.55 * leading, F.lit(False))).drop("_gap", "_moved", "_filled")
 
 
 def name_to_post(names: DataFrame, posts: DataFrame, page: list[str]) -> DataFrame:
     """The one post of a page whose range of y holds a name."""
     from tessera.operators.resolve import range_match
 
-    return range_match(names, posts, page, "y", "y_low", "y_high", "post", [*page, "name"])
+    return range_match(names, posts, page, "y", "y_low", "y_high", "post", [*page, "name"], 100.0)

@@ -9,47 +9,87 @@ from tessera.functions.text import natural_key
 from tessera.operators.match import unique_match
 
 
-def resolve_keys(questions: DataFrame, keys: DataFrame, scope: list[str], number: str, answer: str) -> DataFrame:
-    """Answers of questions by (scope, number).
-
-    A number that several questions of a scope carry voids its keys; distinct answers for one number are ambiguous.
-    """
-    repeated = F.count("*").over(Window.partitionBy(*scope, number)) > 1
-    matched = unique_match(questions.withColumn("_repeated", repeated), keys, [*scope, number], answer, ["question_id", "_repeated"])
-    state = F.when(F.col("_repeated"), "void").otherwise(F.col("state"))
-    return matched.select("question_id", state.alias("state"), F.when(state == "applied", F.col(answer)).alias(answer))
+#: Answers of a key that are none, and what parts the items of an order.
+NO_ANSWER = r"(?i)^(?:\?|N/?A|not\s+(?:given|provided)|unknown|-)$"
+ORDER_PARTS = r"\s*(?:→|>|,|\|)\s*|\s+"
 
 
-def nearest_preceding(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
-    """As-of match: the value of the last right row of the same `by` before the left row's place.
+def resolve_keys(questions: DataFrame, keys: DataFrame, scope: list[str], number: str) -> DataFrame:
+    """Answers of questions (question_id, type, options, local) from what they state themselves and from keys (answer).
 
-    Both sides are laid in one order and the last value is carried forward, so the cost is one sort, not a range join.  A
-    right row at the same place doesn't precede; places are made unique by `seq` on the left.
+    A number that several questions of a scope carry voids the keys of that number, not the questions' own answers.
+    Refused literals are no answers; different ones are a conflict.  One answer is then held against the question: a
+    choice must be one of its options, an order must use each option once, and open questions have no key (subjective).
     """
-    l = left.select(*by, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias(value), F.struct(*left.columns).alias("_row"))
-    r = right.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.col(value), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.last(value, ignorenulls=True).over(w)
-    return l.unionByName(r).withColumn("_carried", carried).where("_side = 0").select("_row.*", F.col("_carried").alias(value))
-
-
-def claim_once(matched: DataFrame, claim: str, order: list[str]) -> DataFrame:
-    """Rows that claim the same thing: the first keeps it, the others lose it (state claimed)."""
-    n = F.row_number().over(Window.partitionBy(claim).orderBy(*order))
-    lost = F.col(claim).isNotNull() & (n > 1)
-    return matched.withColumn("state", F.when(F.col(claim).isNull(), "missing").when(lost, "claimed").otherwise("applied")).withColumn(claim, F.when(~lost, F.col(claim)))
-
-
-def range_match(left: DataFrame, ranges: DataFrame, on: list[str], at: str, low: str, high: str, value: str, key: list[str]) -> DataFrame:
-    """The one range of the same `on` that holds left's place; ranges include both ends."""
-    return unique_match(left, ranges, on, value, key, (F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
+    on = [*scope, number]
+    repeated = F.count("*").over(Window.partitionBy(*on)) > 1
+    stated = keys.groupBy(*on).agg(F.collect_set(F.trim("answer")).alias("_keys"))
+    rows = questions.withColumn("_repeated", repeated).join(stated, on, "left")
+    none = F.array().cast("array<string>")
+    own = F.transform(F.coalesce("local", none), lambda x: F.trim(x))
+    held = F.concat(own, F.when(F.col("_repeated"), none).otherwise(F.coalesce("_keys", none)))
+    rows = rows.withColumn("_found", F.array_distinct(F.filter(held, lambda x: (x != "") & ~x.rlike(NO_ANSWER))))
+    one = F.get("_found", 0)
+    letter = F.regexp_extract(one, r"^([A-Z])[.)]?$", 1)
+    items = F.filter(F.split(one, ORDER_PARTS), lambda x: x != "")
+    whole = (F.size(items) == F.size("options")) & (F.size(F.array_distinct(items)) == F.size(items)) & F.forall(items, lambda x: F.array_contains("options", x))
+    n, kind = F.size("_found"), F.col("type")
+    choice, order, free = kind == "single_choice", kind == "sentence_order", kind.isin("fill_blank", "listen_repeat")
+    fits = F.when(choice, F.array_contains("options", letter)).when(order, whole).otherwise(True)
+    state = F.when(n > 1, "conflict").when(n == 0, "missing").when(~choice & ~order & ~free, "subjective").when(fits, "applied").otherwise("unmatched")
+    answer = F.when(choice, F.array(letter)).when(order, items).otherwise(F.array(one))
+    return rows.select("question_id", state.alias("state"), F.when(state == "applied", answer).alias("answer"))
+
+
+def keys_look_back(keys: DataFrame, questions: DataFrame, doc: list[str]) -> DataFrame:
+    """The question that each key (key_id, block, type, number, scanned) marks; blocks count the groups of a document.
+
+    A key goes back to the unkeyed questions (question_id, group, type, number) of its type and number in groups before
+    its block: to those since the block of keys before it, or if there are none to any earlier, except for scanned keys.
+    It's applied if there is exactly one; several are ambiguous.  Keys go in order of block and key_id, and a question
+    takes one key.  One group holds the questions and keys of one number in one document.
+    """
+    by = [*doc, "type", "number"]
+    # The last block of keys before a key's own, whatever their numbers.
+    before = Window.partitionBy(*doc).orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    k = keys.withColumn("_before", F.coalesce(F.max("block").over(before), F.lit(-1)))
+    k = k.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("block", "key_id", "_before", "scanned"))).alias("_keys"))
+    q = questions.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("group", "question_id"))).alias("_questions"))
+    both = k.join(q, by, "left").withColumn("_questions", F.coalesce("_questions", F.array().cast(q.schema["_questions"].dataType)))
+    key_id, question_id = (df.schema[c].dataType.simpleString() for df, c in ((keys, "key_id"), (questions, "question_id")))
+    start = F.struct(F.array().cast(f"array<{question_id}>").alias("used"), F.array().cast(f"array<struct<key_id:{key_id},n:int,question_id:{question_id}>>").alias("out"))
+
+    def step(state: Column, key: Column) -> Column:
+        pool = F.filter("_questions", lambda x: (x["group"] < key["block"]) & ~F.array_contains(state["used"], x["question_id"]))
+        recent = F.filter(pool, lambda x: x["group"] >= key["_before"])
+        old = F.when(key["scanned"] & (key["_before"] >= 0), F.slice(pool, 1, 0)).otherwise(pool)
+        found = F.when(F.size(recent) > 0, recent).otherwise(old)
+        one = F.when(F.size(found) == 1, F.get(found, 0)["question_id"])
+        used = F.when(one.isNotNull(), F.array_append(state["used"], one)).otherwise(state["used"])
+        return F.struct(used.alias("used"), F.array_append(state["out"], F.struct(key["key_id"].alias("key_id"), F.size(found).alias("n"), one.alias("question_id"))).alias("out"))
+
+    out = both.select(F.explode(F.aggregate("_keys", start, step, lambda s: s["out"])).alias("_k"))
+    n = F.col("_k.n")
+    state = F.when(n == 1, "applied").when(n > 1, "ambiguous").otherwise("missing")
+    return out.select("_k.key_id", n.alias("n_matches"), state.alias("state"), "_k.question_id")
+
+
+def range_match(left: DataFrame, ranges: DataFrame, on: list[str], at: str, low: str, high: str, value: str, key: list[str], width: float) -> DataFrame:
+    """The one range of the same `on` that holds left's place; ranges include both ends.
+
+    Places are dealt into buckets of `width`, about the length of a range, and a range stands in each bucket that it
+    touches, so a place meets the ranges around it only.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    near = ranges.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    return unique_match(left.withColumn("_bucket", bucket(at)), near, [*on, "_bucket"], value, key, (F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
 
 
 def mutual_match(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs that are unique in both directions."""
-    one_a = F.size(F.collect_set(b).over(Window.partitionBy(a))) == 1
-    one_b = F.size(F.collect_set(a).over(Window.partitionBy(b))) == 1
-    return pairs.distinct().withColumn("_a", one_a).withColumn("_b", one_b).where("_a and _b").select(a, b)
+    once = pairs.distinct()
+    one = lambda side, other: once.groupBy(side).agg(F.count("*").alias("_n"), F.first(other).alias(other)).where("_n = 1").select(a, b)
+    return one(a, b).intersect(one(b, a))
 
 
 def media_mappings(targets: DataFrame, assets: DataFrame, scope: list[str], pair_in_order: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import jaccard, tokens
+from tessera.functions.text import collapsed, jaccard, tokens
 
 #: Words of negation and of numbers.
 NEGATION = ("no", "not", "never", "neither", "nor", "without", "cannot")
@@ -128,17 +128,25 @@ def compare_texts(rows: DataFrame, reference: str, transcript: str, adjacent: st
     return rows.withColumn("state", state).withColumn("doubts", F.when(F.col("state") == "notChecked", F.array().cast("array<string>")).otherwise(doubts))
 
 
+#: Fixed value: words of negation and exception in a question.
+OCR_NEGATION = r"(?i)\b(?:not|no|never|except|without)\b"
+
+
 def compare_ocr(rows: DataFrame, layer: str, ocr: str) -> DataFrame:
-    """Disagreements of a text layer with its OCR: words, negation, number of blanks, digits."""
-    a, b = F.col(layer), F.col(ocr)
-    flat = lambda x: F.array_join(tokens(x), " ")
-    digits = lambda x: F.array_join(F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0)), " ")
-    blanks = lambda x: F.size(F.regexp_extract_all(x, F.lit("_{2,}"), F.lit(0)))
+    """Disagreements of a text layer with its OCR: text, words of negation, number of underscores, digits.
+
+    An empty layer has nothing to disagree with; neither do texts that differ in white space only.
+    """
+    a, b = F.coalesce(layer, F.lit("")), F.coalesce(ocr, F.lit(""))
+    every = lambda x, pattern: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.lower), "|")
+    underscores = lambda x: F.length(F.regexp_replace(x, "[^_]", ""))
+    differ = (collapsed(a) != "") & (collapsed(a) != collapsed(b))
     codes = [
-        ("text_disagreement", flat(a) != flat(b)), ("negation_difference", _chosen(tokens(a), NEGATION, r"^\w+n't$") != _chosen(tokens(b), NEGATION, r"^\w+n't$")),
-        ("blank_count", blanks(a) != blanks(b)), ("digit_difference", digits(a) != digits(b)),
+        ("text_ocr_disagreement", F.lit(True)), ("critical_negation_conflict", every(a, OCR_NEGATION) != every(b, OCR_NEGATION)),
+        ("blank_anchor_conflict", underscores(a) != underscores(b)), ("number_conflict", every(a, r"\d+") != every(b, r"\d+")),
     ]
-    return rows.withColumn("issues", F.array_compact(F.array(*(F.when(cond, F.lit(code)) for code, cond in codes))))
+    found = F.array_compact(F.array(*(F.when(differ & cond, F.lit(code)) for code, cond in codes)))
+    return rows.withColumn("issues", found)
 
 
 def reliable_region(text: Column, hidden: Column) -> Column:
@@ -175,13 +183,31 @@ def clean_feedback(rows: DataFrame) -> DataFrame:
     return rows.withColumn("kept", ok).withColumn("removed", F.size("corrections") - F.size("kept")).drop("corrections")
 
 
-def key_in_window(lines: DataFrame, prompts: DataFrame, on: list[str], span: int) -> DataFrame:
-    """Whether a prompt's key stands within `span` lines after it and before the next prompt."""
-    w = Window.partitionBy(*on).orderBy("line_no")
-    bounded = prompts.withColumn("_end", F.least(F.col("line_no") + span, F.coalesce(F.lead("line_no").over(w) - 1, F.lit(1 << 30)))).withColumnRenamed("line_no", "prompt_line")
-    hit = (F.col("line_no") > F.col("prompt_line")) & (F.col("line_no") <= F.col("_end")) & F.contains("line", F.col("key"))
-    joined = bounded.join(lines.select(*on, "line_no", "line"), on, "left")
-    return joined.groupBy(*on, "prompt_line", "key").agg(F.coalesce(F.max(hit), F.lit(False)).alias("found"))
+#: Headings that end the reach of a key row, a key row, and an entry of it.
+SECTION_HEADING = r"(?i)^\s*(Reading|Listening|Speaking|Writing)\s*[:：]"
+KEY_ROW = r"(?i)^(?:Answer key|Answers?)\s*:\s*(.+)$"
+KEY_ENTRY = r"(?:^|[;,\s])(\d+)\s*[.):]?\s*([A-Za-z])(?=$|[;,\s])"
+
+
+def answer_evidence(questions: DataFrame, blocks: DataFrame, doc: list[str]) -> DataFrame:
+    """What the key rows after a question's prompt say of its answer (questions: question_id, number, answer, place).
+
+    Blocks (place, name, text) are those of a document in reading order.  A question reaches from its prompt to the next
+    heading or the end of the source.  One entry of its number that is its answer makes it known, another answer is a
+    conflict, several entries are ambiguous; questions without an entry are not returned.
+    """
+    w = Window.partitionBy(*doc).orderBy("place")
+    new = F.col("text").rlike(SECTION_HEADING) | (F.lag("name").over(w) != F.col("name"))
+    b = blocks.withColumn("_reach", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w))
+    key = F.regexp_extract("text", KEY_ROW, 1)
+    entries = F.arrays_zip(*(F.regexp_extract_all(key, F.lit(KEY_ENTRY), F.lit(k)).alias(n) for k, n in ((1, "n"), (2, "value"))))
+    found = b.where(key != "").select(*doc, "_reach", F.col("place").alias("_at"), F.explode(entries).alias("_e"))
+    found = found.select(*doc, "_reach", "_at", F.col("_e.n").alias("_number"), F.col("_e.value").alias("_value"))
+    q = questions.join(b.select(*doc, "place", "_reach"), [*doc, "place"]).withColumn("_number", F.col("number").cast("string"))
+    hits = q.join(found, [*doc, "_reach", "_number"]).where("_at >= place")
+    out = hits.groupBy(*doc, "question_id", "answer").agg(F.count("*").alias("n"), F.first("_value").alias("_value"))
+    state = F.when(F.col("n") > 1, "ambiguous").when(F.col("_value") == F.col("answer"), "known").otherwise("conflict")
+    return out.select(*doc, "question_id", "n", state.alias("state"))
 
 
 def status_rollup(issues: DataFrame, by: list[str]) -> DataFrame:

@@ -24,15 +24,8 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"with {c.ATTEMPTS} select attempt_id, row_number() over (order by created_at desc, seq) as place from attempts where user_id = 7")
-def a1_sorted_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: one user's attempts, newest first; a1_sorted_attempts_all has every user's."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("seq"))
-    return c.attempts(spark, sf_dir).where("user_id = 7").select("attempt_id", F.row_number().over(w).alias("place"))
-
-
 @query(f"with {c.ATTEMPTS} select user_id, attempt_id, row_number() over (partition by user_id order by created_at desc, seq) as place from attempts")
-def a1_sorted_attempts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a1_sorted_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: every user's attempts, newest first."""
     w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("seq"))
     return c.attempts(spark, sf_dir).select("user_id", "attempt_id", F.row_number().over(w).alias("place"))
@@ -311,7 +304,7 @@ def r18_blank_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.sort_array(F.collect_list(edit)).alias("es")).select("user_id", r.blank_edits(F.col("es"), 6).alias("cells"))
 
 
-@query("select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::int as n from documents where text is not null")
+@query("select doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''))::int as n from documents")
 def h3_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H3: words by white space."""
-    return c.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", word_count(F.col("text")).alias("n"))
+    return c.table(spark, sf_dir, "documents").select("doc_id", word_count(F.coalesce("text", F.lit(""))).alias("n"))

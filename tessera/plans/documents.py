@@ -82,10 +82,10 @@ def s12_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.canonical_names(p, ["p_brand"]).select("p_partkey", "canonical")
 
 
-@query("select doc_id, nfc_normalize(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as text from documents where text is not null")
+@query("select doc_id, nfc_normalize(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as text from documents")
 def s14_evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form in which quotations are looked for."""
-    return c.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", evidence_text(normal_text(F.col("text"))).alias("text"))
+    return c.table(spark, sf_dir, "documents").select("doc_id", evidence_text(normal_text(F.col("text"))).alias("text"))
 
 
 @query("select conv_id, string_agg(text, chr(10) || chr(10) order by turn, role, text) as text, length(string_agg(text, chr(10) || chr(10) order by turn, role, text)) as chars, length(string_agg(text, chr(10) || chr(10) order by turn, role, text)) <= 500000 as ok from conversations group by 1")
@@ -133,21 +133,38 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def l3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy rows, cut at gaps (tested on small pages)."""
+    """L3: greedy rows, cut at gaps (tested on small pages)."""
     rows = l.split_rows(l.cluster_rows(_blocks(spark, sf_dir).drop("width")), ["doc", "page"])
     return rows.select("doc", "page", "block", "row", "cell")
 
 
 @query()
 def l4_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order of blocks by bands and columns (tested on small pages)."""
+    """L4: order of blocks by bands and columns (tested on small pages)."""
     return l.reading_order(_blocks(spark, sf_dir))
 
 
-@query(f"with {c.LINES} select source, regexp_replace(line, '\\d+', '#', 'g') as pattern, case when line_no * 1.0 / n < 0.07 then 'header' else 'footer' end as role, count(distinct doc_id) as pages from lines where line_no * 1.0 / n < 0.07 or line_no * 1.0 / n > 0.91 group by all having count(distinct doc_id) >= 2")
+_MARGINS = f"""{c.LINES}, b as (select source, doc_id as page, line_no as block, (line_no + 0.5) / n * 1000 as y, 500.0 + doc_id % 3 * 10 as "right", case
+  when line_no = n - 1 and doc_id % 4 = 0 then 'Page ' || (doc_id + 2) when line_no = n - 1 and doc_id % 4 = 1 then (doc_id + 5)::varchar when line_no = n - 1 and doc_id % 4 = 2 then 'Page ' || doc_id * 3
+  when line_no = 0 and doc_id % 5 = 0 then 'Copyright 2020 Somebody' when line_no = 0 and doc_id % 5 = 1 then 'Practice Test 1 ' || (doc_id + 2) when line_no = 0 and doc_id % 5 = 2 then 'Section 4' else line end as text from lines),
+m as (select *, trim(text) as t, case when y < 70 then 'header' when y > 910 then 'footer' end as margin, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\d+', '#', 'g') as pattern, try_cast(regexp_extract(text, '(\\d{{1,9}})\\s*$', 1) as bigint) - page as gap from b where not regexp_matches(text, 'Section|Module|Question|Read |Listen |Fill in', 'i')),
+o as (select source, margin, pattern from m where margin is not null group by 1, 2, 3 having count(distinct page) >= 2),
+a as (select m.*, coalesce(gap is not null and min(page) over w <> max(page) over w, false) as tracks from m semi join o using (source, margin, pattern) window w as (partition by source, margin, pattern, gap order by "right" range between 12 preceding and 12 following)),
+k as (select distinct source, page, y from a where tracks and regexp_full_match(t, '\\d+')),
+l as (select a.*, regexp_matches(t, '^(?:(?:Original|Practice|Sample|Mock)\\s+(?:Workbook|Test))\\s+#?\\d+(?:\\s+\\d+)?$', 'i') as title, exists (select 1 from k where k.source = a.source and k.page = a.page and abs(k.y - a.y) <= 3) as beside from a),
+f as (select *, regexp_matches(t, '^(?:\\d+|Page\\s+\\d+)$', 'i') and tracks or title and (tracks or beside) or regexp_matches(t, '^(?:Copyright\\s*(?:©\\s*)?|©\\s*)\\d{{4}}\\b.{{0,180}}$', 'i') as label from l)"""
+
+
+@query(f"with {_MARGINS} select source, page, block::int as block, pattern, case when label then margin else 'body' end as role, case when not label then 'repeated_margin' end as doubt from f")
 def l5_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that repeat in the margins; documents of a source as its pages."""
-    return l.repeated_margins(c.lines(spark, sf_dir), ["source"], "doc_id", "line", F.col("line_no") / F.col("n")).select("source", "pattern", "role", "pages")
+    """Texts that repeat in the margins; documents of a source as its pages, some with labels, titles and imprints."""
+    d, i, n = F.col("doc_id"), F.col("line_no"), F.col("n")
+    first, last = i == 0, i == n - 1
+    text = F.when(last & (d % 4 == 0), F.concat(F.lit("Page "), d + 2)).when(last & (d % 4 == 1), (d + 5).cast("string")).when(last & (d % 4 == 2), F.concat(F.lit("Page "), d * 3))
+    text = text.when(first & (d % 5 == 0), "Copyright 2020 Somebody").when(first & (d % 5 == 1), F.concat(F.lit("Practice Test 1 "), d + 2)).when(first & (d % 5 == 2), "Section 4").otherwise(F.col("line"))
+    y = (i + 0.5) / n * 1000
+    blocks = c.lines(spark, sf_dir).select("source", d.alias("page"), i.alias("block"), text.alias("text"), y.alias("y"), F.lit(1000.0).alias("height"), (d % 3 * 10 + 500.0).alias("right"), y.alias("baseline"))
+    return l.repeated_margins(blocks, ["source"])
 
 
 @query(f"with {c.LINES} select doc_id, line_no::int as line_no, case when bool_or(regexp_matches(line, '^\\s*Licensed under')) over (partition by doc_id) then 'reference' else 'visible' end as visibility from lines")
@@ -156,11 +173,15 @@ def l8_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.reference_visibility(c.lines(spark, sf_dir), ["doc_id"], "line", r"^\s*Licensed under").select("doc_id", "line_no", "visibility")
 
 
-@query(f"""with {c.LINES}, t as (select *, (line_no < 2 or line_no >= n - 3) and length(line) <= 90 and length(trim(line, ' ')) > 0 as edge, regexp_replace(trim(line, ' '), '\\d+', '#', 'g') as mask from lines),
-o as (select source, mask from t where edge group by 1, 2 having count(distinct doc_id) >= 3)
-select doc_id, line_no::int as line_no from t semi join o using (source, mask) where edge""")
+_STRUCTURE = " or ".join(f"regexp_matches(t, '{pattern}')" for pattern in l.STRUCTURAL)
+
+
+@query(f"""with {c.LINES}, t as (select *, regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', '') as t from lines),
+r as (select *, regexp_replace(t, '\\d+', '#', 'g') as mask, row_number() over (partition by source, doc_id order by line_no) <= 2 or row_number() over (partition by source, doc_id order by line_no desc) <= 3 as edge from t where t <> ''),
+o as (select source, mask from r where edge and length(t) <= 90 and not ({_STRUCTURE}) group by 1, 2 having count(distinct doc_id) >= 3)
+select doc_id, line_no::int as line_no from r semi join o using (source, mask) where edge""")
 def l9_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines at the edges of three pages or more."""
+    """What stands alike at the edges of three pages or more; structural lines stay."""
     return l.edge_furniture(c.lines(spark, sf_dir), ["source"], "doc_id", "line_no", "line").where("furniture").select("doc_id", "line_no")
 
 
@@ -177,14 +198,17 @@ def l11_group_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.group_words(i, ["l_orderkey"]).select("l_orderkey", "group", "text")
 
 
-@query("""with t as (select l_orderkey, row_number() over w as pos, case when l_partkey % 4 <> 0 then row_number() over w end as number from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)),
-n as (select *, lag(number) over v as b, lead(number) over v as a from t window v as (partition by l_orderkey order by pos)),
-r as (select *, case when b is not null and a is not null then case when b + 1 = a - 1 then b + 1 end else coalesce(b + 1, a - 1) end as fix from n)
-select l_orderkey, pos::int as pos, coalesce(number, fix)::int as number, number is null and fix is not null as restored from r""")
+@query("""with t as (select l_orderkey, row_number() over w as pos, case when l_partkey % 4 < 2 then null when l_partkey % 11 = 0 then row_number() over w + 3 else row_number() over w end as number from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)),
+n as (select *, last_value(number ignore nulls) over b + pos - last_value(case when number is not null then pos end ignore nulls) over b as counted, lead(number) over (partition by l_orderkey order by pos) - 1 as after
+  from t window b as (partition by l_orderkey order by pos rows between unbounded preceding and 1 preceding)),
+f as (select *, case when number is null then case when after is null then counted when counted is null or counted = after then after end end as fix from n)
+select l_orderkey, pos::int as pos, coalesce(number, case when fix >= 1 then fix end)::int as number, coalesce(fix >= 1, false) as restored from f""")
 def l13_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing numbers from their neighbours."""
+    """Missing numbers in order, from the labels around them."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    t = c.table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(w)).withColumn("number", F.when(F.col("l_partkey") % 4 != 0, F.col("pos")))
+    k = F.col("l_partkey")
+    number = F.when(k % 4 >= 2, F.when(k % 11 == 0, F.col("pos") + 3).otherwise(F.col("pos")))
+    t = c.table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(w)).withColumn("number", number)
     return l.repair_numbers(t.select("l_orderkey", "pos", "number"), ["l_orderkey"], ["pos"], "number").select("l_orderkey", "pos", "number", "restored")
 
 
@@ -205,23 +229,19 @@ def l15_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "pos", "number", "repaired", "letter")
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then coalesce(b.text, '') else d.text end as text, doc_id % 3 = 0 and b.text is not null as scanned from documents d left join benchmark b on b.item_id = d.doc_id % 50 where d.text <> '' and regexp_matches(d.text, '\\S')")
-def l17_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blank pages take the scan's text; here every third of those with text is blanked, l17_scans_all has the blank ones too."""
-    d = c.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S")).select("doc_id", (F.col("doc_id") % 50).alias("item_id"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("text"))
-    return l.apply_scans(d, c.table(spark, sf_dir, "benchmark"), ["item_id"]).select("doc_id", "text", "scanned")
-
-
 @query("""with p as (select doc_id, case when doc_id % 3 = 0 then '' else coalesce(text, '') end as text from documents),
 q as (select *, not regexp_matches(text, '[^\\s\\p{Z}\\x0B\\x{85}]') as blank from p)
 select doc_id, case when blank then coalesce(b.text, q.text) else q.text end as text, blank and b.text is not null as scanned from q left join benchmark b on b.item_id = doc_id % 50""")
-def l17_scans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def l17_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that are blank or null, and every third page, take the scan's text; all rows stay."""
     text = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.coalesce("text", F.lit("")))
     d = c.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("item_id"), text.alias("text"))
     return l.apply_scans(d, c.table(spark, sf_dir, "benchmark"), ["item_id"]).select("doc_id", "text", "scanned")
 
 
+
+
+
 @query("""select e.conv_id, e.turn, coalesce(b.text, e.text) as text, case when b.text is null then 'kept' when len(regexp_split_to_array(e.text, '\\s+')) = len(regexp_split_to_array(b.text, '\\s+')) then 'same' else 'proportional' end as boxes
 from conversations e left join benchmark b on b.item_id = e.conv_id * 3 + e.turn""")
 def l18_proofread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,43 +250,32 @@ def l18_proofread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.apply_proofread(t, c.table(spark, sf_dir, "benchmark"), ["item_id"]).select("conv_id", "turn", "text", "boxes")
 
 
-@query("""with t as (select *, lag(y) over (partition by page order by y desc, x) - y as gap from (select o_custkey as page, o_totalprice as y, o_orderkey as x from orders)),
-m as (select page, median(case when gap > 0 then gap end) as lead from t group by 1)
-select page, x, row_number() over (partition by page order by y desc, x)::int as place, coalesce(gap > 1.55 * lead, false) as blank_before from t join m using (page)""")
+@query("""with t as (select o_custkey as page, o_orderkey as line, case when o_orderkey % 97 <> 0 then o_totalprice end as y, o_orderkey % 13 <> 0 as filled from orders),
+m as (select *, coalesce(bool_and(y is not null) filter (where filled) over (partition by page), false) as moved from t),
+g as (select *, row_number() over w as place, case when moved then lag(y) over w - y end as gap from m where not moved or filled window w as (partition by page order by case when moved then -y end, line)),
+h as (select page, list_sort(list(gap) filter (where gap > 1)) as gaps from g group by 1)
+select page, line, place::int as place, coalesce(gap > 1.55 * coalesce(gaps[len(gaps) // 2 + 1], 14), false) as blank_before from g join h using (page)""")
 def l19_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a page and their gaps."""
-    o = c.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_totalprice").alias("y"), F.col("o_orderkey").alias("x"), F.lit(0).alias("line"))
-    return l.page_lines(o, ["page"]).select("page", "x", "place", "blank_before")
-
-
-def _template(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
-    text = F.substring("text", 1, 20) if text is None else text
-    t = c.table(spark, sf_dir, "conversations")
-    line = F.when(F.col("role") == "user", F.concat(F.lit("@question "), text)).when(F.col("role") == "system", "@group all").otherwise(F.concat(F.lit("@@ "), text))
-    return t.select("conv_id", "turn", line.alias("line"))
-
-
-@query("""with l as (select conv_id, turn, role, replace(substr(text, 1, 20), chr(10), ' ') as t from conversations), s as (select *, max(case when role in ('user', 'system') then turn end) over (partition by conv_id order by turn) as at_turn from l)
-select conv_id, at_turn as at, any_value(case when role = 'user' then 'question' when role = 'system' then 'group' end) as directive, string_agg(case role when 'user' then t when 'system' then 'all' else '@ ' || t end, chr(10) order by turn) as body, count(*) as n_lines
-from s where at_turn is not null group by 1, 2""")
-def x1_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directive lines and the text below them, of 20 characters a turn; x1_template_all has whole turns."""
-    t = _template(spark, sf_dir).withColumn("line", F.translate("line", "\n", " "))
-    return x.parse_template(t, ["conv_id"], "turn", "line")
+    """Lines of a page and their gaps; some have no text, some no place."""
+    k = F.col("o_orderkey")
+    o = c.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.when(k % 97 != 0, F.col("o_totalprice").cast("double")).alias("y"), k.alias("x"), k.alias("line"), F.when(k % 13 == 0, " ").otherwise("line").alias("text"))
+    return l.page_lines(o, ["page"]).select("page", "line", "place", "blank_before")
 
 
 @query("""with l as (select conv_id, turn, role, replace(coalesce(text, ''), chr(10), ' ') as t from conversations), s as (select *, max(case when role in ('user', 'system') then turn end) over (partition by conv_id order by turn) as at_turn from l)
 select conv_id, at_turn as at, any_value(case when role = 'user' then 'question' when role = 'system' then 'group' end) as directive, string_agg(case role when 'user' then t when 'system' then 'all' else '@ ' || t end, chr(10) order by turn) as body, count(*) as n_lines
 from s where at_turn is not null group by 1, 2""")
-def x1_template_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directive lines and the text below them, with whole turns."""
-    t = _template(spark, sf_dir, F.coalesce("text", F.lit(""))).withColumn("line", F.translate("line", "\n", " "))
+def x1_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directive lines and the text below them; turns as lines."""
+    text = F.coalesce("text", F.lit(""))
+    line = F.when(F.col("role") == "user", F.concat(F.lit("@question "), text)).when(F.col("role") == "system", "@group all").otherwise(F.concat(F.lit("@@ "), text))
+    t = c.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate(line, "\n", " ").alias("line"))
     return x.parse_template(t, ["conv_id"], "turn", "line")
 
 
 @query()
 def x2_worksheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of worksheets (tested on small worksheets); line items written as worksheet lines."""
+    """Questions of worksheets (tested on small worksheets); line items written as worksheet lines."""
     i = c.table(spark, sf_dir, "lineitem")
     text = F.when(F.col("l_linenumber") == 1, "Section one").when(F.col("l_linenumber") % 3 == 2, F.concat(F.col("l_linenumber").cast("string"), F.lit(". What is it?"))).otherwise(F.concat(F.lit("(A) "), F.col("l_returnflag")))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
@@ -292,25 +301,24 @@ def x6_arbitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.arbitrate(r, ["c_custkey"])
 
 
-@query("""select o_orderkey, case o_orderkey % 4 when 0 then (o_custkey % 200) * 60 when 1 then o_custkey when 2 then 5400 end::int as seconds from (select * from orders) where not (o_orderkey % 4 = 0 and ((o_custkey % 200) * 60 > 7200 or o_custkey % 200 = 0)) and not (o_orderkey % 4 = 1 and (o_custkey > 7200 or o_custkey = 0))""")
+@query("""select o_orderkey, case when k in (0, 3) then 'group' when k = 1 then 'question' end as scope, case when k in (0, 2) then 'prepare' when k < 6 then 'time' end as field,
+  case k when 0 then case when n * 60 <= 7200 then n * 60 end when 1 then case when o_custkey <= 7200 then o_custkey end when 2 then 90 when 3 then 0 end::int as seconds
+from (select o_orderkey, o_orderkey % 8 as k, o_custkey % 200 as n, o_custkey from orders)""")
 def x18_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Durations in words, without the refused ones of two kinds; x18_durations_all has them."""
-    out = _durations(spark, sf_dir).withColumn("_k", F.col("o_orderkey") % 4)
-    return out.where("seconds is not null or _k > 1").select("o_orderkey", "seconds")
-
+    """Labelled times; what is no single duration of up to two hours in minutes or seconds is refused (null)."""
+    o, k = c.table(spark, sf_dir, "orders"), F.col("o_orderkey") % 8
+    text = F.when(k == 0, F.concat(F.lit("Group Preparation time: "), F.col("o_custkey") % 200, F.lit(" minutes."))).when(k == 1, F.concat(F.lit("question response time : "), "o_custkey", F.lit(" sec")))
+    text = text.when(k == 2, "Prep time: 1.5 m").when(k == 3, "Group time limit: 0 seconds").when(k == 4, "Answer time: 1 hour").when(k == 5, "Time limit: about 5 minutes").when(k == 6, "You have 5 minutes.").otherwise("Time: 5 s")
+    out = o.select("o_orderkey", x.labelled_times(text).alias("t"))
+    return out.select("o_orderkey", "t.*")
 
-@query("""select o_orderkey, case when s between 1 and 7200 then s end::int as seconds
-from (select o_orderkey, case o_orderkey % 4 when 0 then (o_custkey % 200) * 60 when 1 then o_custkey when 2 then 5400 end as s from orders)""")
-def x18_durations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Durations in words, null where refused."""
-    return _durations(spark, sf_dir)
 
-
-def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = c.table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    text = F.when(k % 4 == 0, F.concat(F.lit("You have "), F.col("o_custkey") % 200, F.lit(" minutes."))).when(k % 4 == 1, F.concat("o_custkey", F.lit(" sec"))).when(k % 4 == 2, "1.5 hours").otherwise("soon")
-    return o.select("o_orderkey", x.durations(text).alias("seconds"))
+@query("""select p_partkey, case p_partkey % 8 when 0 then 'so' when 1 then 'lved' when 2 then null when 3 then null when 4 then 'a-B' when 5 then '' when 6 then 'bcd' end as letters from part""")
+def x17_missing_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters to fill in, as a scan gives them."""
+    k = F.col("p_partkey") % 8
+    read = F.element_at(F.array(*(F.lit(x) for x in ("SO", "Ived", "IN", "A", "a-B", "", "bcd"))), (k + 1).cast("int"))
+    return c.table(spark, sf_dir, "part").select("p_partkey", x.missing_letters(F.when(k < 7, read)).alias("letters"))
 
 
 @query(f"with {c.LINES} select doc_id, line_no::int as line_no, sum(case when regexp_matches(line, '!!$') then 1 else 0 end) over w as \"group\", max(case when regexp_matches(line, 'Licensed') then 1 else 0 end) over w = 1 as reference from lines window w as (partition by doc_id order by line_no)")
@@ -338,13 +346,17 @@ def x13_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", x.tiling("answer", "fragments").alias("order"))
 
 
-@query("""select item_id, '[' || array_to_string(list_filter(list_transform(string_split(translate(text, chr(10), ' '), ' '), lambda w, i: case when i % 3 = 0 and length(w) > 4 then substr(w, 3) end), lambda g: g is not null), ', ') || ']' as gaps from benchmark""")
+@query("""with w as (select item_id, string_split(translate(coalesce(text, ''), chr(10), ' '), ' ') as ws from benchmark),
+g as (select *, list_filter(ws, lambda x, i: i % 3 = 0 and length(x) > 4 and regexp_full_match(x, '[A-Za-z]+')) as cut from w)
+select item_id, case when len(cut) > 0 then array_to_string(list_transform(cut, lambda x: substr(x, 3)), ',') end as missing,
+  case when len(cut) > 0 then array_to_string(list_transform(ws, lambda x, i: case when i % 3 = 0 and length(x) > 4 and regexp_full_match(x, '[A-Za-z]+') then upper(substr(x, 1, 2)) || repeat('_', length(x) - 2) else x end), ' ') end as passage from g""")
 def x15_gap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is missing from gapped words, token by token."""
-    b = c.table(spark, sf_dir, "benchmark").withColumn("t", F.translate("text", "\n", " "))
-    gapped = F.array_join(F.transform(F.split("t", " "), lambda w, i: F.when((i % 3 == 2) & (F.length(w) > 4), F.concat(F.substring(w, 1, 2), F.lit("___"))).otherwise(w)), " ")
-    gaps = x.gap_words(gapped, F.col("t"))
-    return b.select("item_id", F.concat(F.lit("["), F.array_join(gaps, ", "), F.lit("]")).alias("gaps"))
+    """Words that lost their ends, in capitals and without a mark, restored from the full text."""
+    b = c.table(spark, sf_dir, "benchmark").withColumn("t", F.translate(F.coalesce("text", F.lit("")), "\n", " "))
+    cut = lambda w, i: (i % 3 == 2) & (F.length(w) > 4) & w.rlike("^[A-Za-z]+$")
+    gapped = F.array_join(F.transform(F.split("t", " ", -1), lambda w, i: F.when(cut(w, i), F.upper(F.substring(w, 1, 2))).otherwise(w)), " ")
+    out = b.select("item_id", x.gap_words(gapped, F.col("t")).alias("g"))
+    return out.select("item_id", F.array_join("g.missing", ",").alias("missing"), "g.passage")
 
 
 RULES = [
@@ -356,7 +368,7 @@ RULES = [
 @query("""select 'warning' as severity, 'text too short' as message, doc_id::varchar as path from documents where not coalesce(length(text) >= 100, false) union all select 'error', 'length recorded wrongly', doc_id::varchar from documents where not coalesce(n_chars = length(text), false)
 union all select 'error', 'language unknown', doc_id::varchar from documents where not coalesce(lang in ('en','de','fr'), false) union all select 'error', 'source id malformed', doc_id::varchar from documents where not coalesce(regexp_full_match(source, '[a-z0-9]{1,128}'), false)""")
 def v1_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rules table in one pass."""
+    """V1: a rules table in one pass; three of its rules."""
     return v.check_rules(c.table(spark, sf_dir, "documents"), RULES, F.col("doc_id"))
 
 
@@ -419,10 +431,17 @@ def v11_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(nxt, "item_id").select(F.col("item_id").alias("a"), "b", F.round(jaccard(F.col("w"), F.col("w2")), 6).alias("similarity"))
 
 
-@query()
+@query("""with t as (select item_id, case when item_id % 5 = 1 then ' ' else text end as a, case item_id % 5 when 0 then text || ' 5 _' when 2 then replace(text, ' ', '  ') when 3 then 'NOT ' || text when 4 then text end as b from benchmark),
+n as (select item_id, coalesce(a, '') as a, coalesce(b, '') as b from t), d as (select *, trim(regexp_replace(a, '\\s+', ' ', 'g')) as x, trim(regexp_replace(b, '\\s+', ' ', 'g')) as y from n)
+select item_id, case when x = '' or x = y then '' else array_to_string(list_filter(['text_ocr_disagreement',
+  case when list_transform(regexp_extract_all(a, '(?i)\\b(?:not|no|never|except|without)\\b'), lambda w: lower(w)) <> list_transform(regexp_extract_all(b, '(?i)\\b(?:not|no|never|except|without)\\b'), lambda w: lower(w)) then 'critical_negation_conflict' end,
+  case when length(regexp_replace(a, '[^_]', '', 'g')) <> length(regexp_replace(b, '[^_]', '', 'g')) then 'blank_anchor_conflict' end,
+  case when regexp_extract_all(a, '\\d+') <> regexp_extract_all(b, '\\d+') then 'number_conflict' end], lambda c: c is not null), ',') end as issues from d""")
 def v12_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text layer against its OCR (tested on small cases)."""
-    rows = c.table(spark, sf_dir, "benchmark").select("item_id", "text", F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit(" 5 ___"))).otherwise(F.col("text")).alias("ocr"))
+    """A text layer against its OCR; an empty layer and other white space are no disagreement."""
+    k, text = F.col("item_id") % 5, F.col("text")
+    ocr = F.when(k == 0, F.concat(text, F.lit(" 5 _"))).when(k == 2, F.replace(text, F.lit(" "), F.lit("  "))).when(k == 3, F.concat(F.lit("NOT "), text)).when(k == 4, text)
+    rows = c.table(spark, sf_dir, "benchmark").select("item_id", F.when(k == 1, " ").otherwise(text).alias("text"), ocr.alias("ocr"))
     return v.compare_ocr(rows, "text", "ocr").select("item_id", F.array_join("issues", ",").alias("issues"))
 
 
@@ -456,12 +475,20 @@ def v17_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", F.size("kept").alias("n"), "removed")
 
 
-@query(f"""with {c.LINES}, p as (select doc_id, line_no as p, substr(line, 1, 4) as k, lead(line_no) over (partition by doc_id order by line_no) as nxt from lines where line_no % 4 = 0)
-select p.doc_id, p.p::int as prompt_line, p.k as key, coalesce(bool_or(l.line_no > p.p and l.line_no <= least(p.p + 3, coalesce(nxt - 1, 1 << 30)) and contains(l.line, p.k)), false) as found from p left join lines l using (doc_id) group by 1, 2, 3""")
+@query("""with b as (select o_custkey as doc, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as place, case when o_orderdate < date '1996-01-01' then 'a' else 'b' end as name, o_orderkey % 6 as k from orders),
+r as (select *, sum(case when new then 1 else 0 end) over (partition by doc order by place) as reach from (select *, k = 0 or coalesce(lag(name) over (partition by doc order by place) <> name, false) as new from b)),
+e as (select doc, reach, place as at, unnest([1, 2, 12]) as number, unnest([chr(65 + (id // 6 % 3)::int), 'B', 'C']) as value from r where k = 1),
+h as (select q.id, chr(65 + (q.doc % 3)::int) as answer, e.value from r q join e on e.doc = q.doc and e.reach = q.reach and e.number = q.id % 4 + 1 and e.at >= q.place where q.k > 1)
+select id as question_id, count(*) as n, case when count(*) > 1 then 'ambiguous' when any_value(value) = any_value(answer) then 'known' else 'conflict' end as state from h group by 1""")
 def v18_key_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys within a bounded window after their prompts."""
-    lines = c.lines(spark, sf_dir)
-    return v.key_in_window(lines, lines.where("line_no % 4 = 0").select("doc_id", "line_no", F.substring("line", 1, 4).alias("key")), ["doc_id"], 3)
+    """What the key rows between a prompt and the next heading say of its answer; orders of a customer as blocks."""
+    k = F.col("o_orderkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    key = F.concat(F.lit("Answer key: 1 "), F.char(65 + F.expr("o_orderkey div 6 % 3")), F.lit("; 2. B, 12) C"))
+    text = F.when(k % 6 == 0, "Reading: more").when(k % 6 == 1, key).otherwise("What is it?")
+    b = c.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), k.alias("id"), place.alias("place"), F.when(F.col("o_orderdate") < F.lit("1996-01-01").cast("date"), "a").otherwise("b").alias("name"), text.alias("text"))
+    q = b.where("id % 6 > 1").select("doc", F.col("id").alias("question_id"), (F.col("id") % 4 + 1).alias("number"), F.char(65 + F.col("doc") % 3).alias("answer"), "place")
+    return v.answer_evidence(q, b.select("doc", "place", "name", "text"), ["doc"]).select("question_id", "n", "state")
 
 
 @query("""with i as (select doc_id, 1 as r from documents where not coalesce(length(text) >= 100, false) union all select doc_id, 2 from documents where not coalesce(lang in ('en','de','fr'), false))

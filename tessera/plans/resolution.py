@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import content_hash
 from tessera.functions.text import natural_key
+from tessera.operators import extract as x
 from tessera.operators import jobs as k
 from tessera.operators import lineage as g
 from tessera.operators import resolve as j
@@ -46,12 +47,32 @@ _Q = "q as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey
 _K = "k as (select l_orderkey, l_linenumber as number, l_linenumber % 2 as module, l_returnflag as answer from lineitem where l_suppkey % 2 = 1)"
 
 
-@query(f"""with {_Q}, {_K}, r as (select *, count(*) over (partition by l_orderkey, number) as same from q),
-m as (select question_id, same, count(distinct answer) as n, min(answer) as answer from r left join k using (l_orderkey, number) group by 1, 2)
-select question_id, case when same > 1 then 'void' else {_UNIQUE.removesuffix(' as state')} end as state, case when same = 1 and n = 1 then answer end as answer from m""")
+_TYPES = "case l_partkey % 5 when 0 then 'single_choice' when 1 then 'sentence_order' when 2 then 'fill_blank' when 3 then 'interview' else 'single_choice' end"
+
+
+@query(f"""with q as (select l_orderkey, l_linenumber as number, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as question_id, {_TYPES} as type, case when l_partkey % 5 = 1 then ['a', 'b', 'c'] else ['A', 'N'] end as options,
+  case l_suppkey % 7 when 0 then [' A '] when 1 then ['N/A', 'R.'] when 2 then ['a > b | c'] else [] end as own, count(*) over (partition by l_orderkey, l_linenumber) as same from lineitem),
+k as (select l_orderkey, number, list(distinct answer) as found from (select l_orderkey, l_linenumber as number, case l_suppkey % 4 when 0 then 'c, a,b' when 1 then l_returnflag when 2 then 'unknown' else l_returnflag || '.' end as answer from lineitem) group by 1, 2),
+f as (select q.*, list_distinct(list_filter(list_transform(own, lambda x: trim(x)) || case when same = 1 then coalesce(found, []) else [] end, lambda x: x not in ('', 'N/A', 'unknown'))) as held from q left join k using (l_orderkey, number)),
+o as (select *, held[1] as one, rtrim(held[1], '.') as letter, list_filter(regexp_split_to_array(held[1], '\\s*(?:→|>|,|\\|)\\s*|\\s+'), lambda x: x <> '') as items from f),
+t as (select *, case when len(held) > 1 then 'conflict' when len(held) = 0 then 'missing' when type = 'interview' then 'subjective' when type = 'fill_blank' then 'applied'
+  when type = 'single_choice' then case when length(letter) = 1 and list_contains(options, letter) then 'applied' else 'unmatched' end when list_sort(items) = options then 'applied' else 'unmatched' end as state from o)
+select question_id, state, case when state = 'applied' then array_to_string(case type when 'single_choice' then [letter] when 'sentence_order' then items else [one] end, ' ') end as answer from t""")
 def j1_resolve_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys by (group, number); a number used twice voids its keys."""
-    return j.resolve_keys(_questions(spark, sf_dir), _keys(spark, sf_dir), ["l_orderkey"], "number", "answer")
+    """Answers of questions, of what they state and of keys by (group, number), held against their options."""
+    i = c.table(spark, sf_dir, "lineitem")
+    pick = lambda k, values: F.element_at(F.array(*(F.lit(x) for x in values)), (k + 1).cast("int"))
+    kind, own = F.col("l_partkey") % 5, F.col("l_suppkey") % 7
+    options = F.when(kind == 1, F.array(*map(F.lit, "abc"))).otherwise(F.array(F.lit("A"), F.lit("N")))
+    local = F.when(own == 0, F.array(F.lit(" A "))).when(own == 1, F.array(F.lit("N/A"), F.lit("R."))).when(own == 2, F.array(F.lit("a > b | c"))).otherwise(F.array().cast("array<string>"))
+    q = i.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("question_id"), "l_orderkey", F.col("l_linenumber").alias("number"), options.alias("options"), local.alias("local"),
+        pick(kind, ("single_choice", "sentence_order", "fill_blank", "interview", "single_choice")).alias("type"),
+    )
+    stated = F.col("l_suppkey") % 4
+    answer = F.when(stated == 0, "c, a,b").when(stated == 1, F.col("l_returnflag")).when(stated == 2, "unknown").otherwise(F.concat("l_returnflag", F.lit(".")))
+    keys = i.select("l_orderkey", F.col("l_linenumber").alias("number"), answer.alias("answer"))
+    return j.resolve_keys(q, keys, ["l_orderkey"], "number").withColumn("answer", F.array_join("answer", " "))
 
 
 @query(f"with {_Q}, {_K} select l_orderkey, number, answer from k where (l_orderkey, number) not in (select (l_orderkey, number) from q where number <= 3)")
@@ -74,29 +95,44 @@ def j2_key_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues_of(j2_module_keys(spark, sf_dir), ["question_id"])
 
 
-@query("""with o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as place, o_totalprice from orders)
-select a.o_orderkey, max(b.place) as place_of_key, arg_max(b.o_orderkey, b.place) as key_order from o a left join o b on a.o_custkey = b.o_custkey and b.place < a.place and b.o_orderkey % 3 = 0
-where a.o_orderkey % 3 <> 0 group by 1""")
-def j3_nearest_preceding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last key block before a question, of the same customer."""
+_BACK = """o as (select o_orderkey as id, o_custkey as doc, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as place, case when o_orderkey % 4 < 2 then 'single_choice' else 'sentence_order' end as type, o_orderkey % 7 = 0 as scanned from orders),
+k as (select id as key_id, doc, place as block, type, id // 3 % 2 as number, scanned, coalesce(max(place) over (partition by doc order by place range between unbounded preceding and 1 preceding), -1) as seen from o where id % 3 = 0),
+n as (select *, row_number() over (partition by doc, type, number order by block, key_id) as nth from k),
+q as (select doc, type, id % 2 as number, list({'g': place, 'id': id} order by place, id) as qs from o where id % 3 <> 0 group by 1, 2, 3),
+s as (
+  select distinct doc, type, number, 0::bigint as nth, []::bigint[] as used, null::bigint as key_id, null::bigint as n_matches, null::bigint as question_id from n
+  union all
+  select doc, type, number, nth, case when len(found) = 1 then list_append(used, found[1].id) else used end, key_id, len(found), case when len(found) = 1 then found[1].id end
+  from (select *, case when len(recent) > 0 then recent when scanned and seen >= 0 then pool[1:0] else pool end as found
+    from (select *, list_filter(pool, lambda x: x.g >= seen) as recent
+      from (select n.*, s.used, list_filter(coalesce(q.qs, []), lambda x: x.g < n.block and not list_contains(s.used, x.id)) as pool
+        from s join n on n.doc = s.doc and n.type = s.type and n.number = s.number and n.nth = s.nth + 1 left join q on q.doc = n.doc and q.type = n.type and q.number = n.number))))"""
+
+
+def _looking_back(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders of a customer as the groups of a document: every third is a key block, the others hold one question each."""
     o = c.table(spark, sf_dir, "orders")
-    o = o.withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long"))
-    right = o.where("o_orderkey % 3 = 0").select("o_custkey", "place", F.struct("place", F.col("o_orderkey").alias("key_order")).alias("hit"))
-    out = j.nearest_preceding(o.where("o_orderkey % 3 <> 0").select("o_orderkey", "o_custkey", "place"), right, ["o_custkey"], "place", "hit")
-    return out.select("o_orderkey", F.col("hit.place").alias("place_of_key"), F.col("hit.key_order").alias("key_order"))
+    k = F.col("o_orderkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long")
+    kind = F.when(k % 4 < 2, "single_choice").otherwise("sentence_order").alias("type")
+    o = o.select(F.col("o_custkey").alias("doc"), k.alias("id"), place.alias("place"), kind, (k % 7 == 0).alias("scanned"))
+    keys = o.where("id % 3 = 0").select("doc", F.col("id").alias("key_id"), F.col("place").alias("block"), "type", F.expr("id div 3 % 2").alias("number"), "scanned")
+    return keys, o.where("id % 3 <> 0").select("doc", F.col("id").alias("question_id"), F.col("place").alias("group"), "type", F.expr("id % 2").alias("number"))
+
+
+@query(f"""with recursive {_BACK} select key_id, n_matches::int as n_matches, case when n_matches = 1 then 'applied' when n_matches > 1 then 'ambiguous' else 'missing' end as state, question_id from s where key_id is not null""")
+def j3_nearest_preceding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key goes back to the one unkeyed question of its type and number since the key block before it."""
+    return j.keys_look_back(*_looking_back(spark, sf_dir), ["doc"])
 
 
-@query("""with o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as place from orders),
-m as (select a.o_orderkey, a.place, arg_max(b.o_orderkey, b.place) as key_order from o a left join o b on a.o_custkey = b.o_custkey and b.place < a.place and b.o_orderkey % 3 = 0 where a.o_orderkey % 3 <> 0 group by 1, 2),
-n as (select *, row_number() over (partition by key_order order by place, o_orderkey) as nth from m)
-select o_orderkey, case when key_order is null then 'missing' when nth > 1 then 'claimed' else 'applied' end as state, case when nth = 1 then key_order end as key_order from n""")
+@query(f"""with recursive {_BACK} select o.id as question_id, s.key_id, case when s.key_id is null then 'unscored' else 'keyed' end as state from o left join s on s.question_id = o.id where o.id % 3 <> 0""")
 def j3_claimed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A key block serves one question only, the first that claims it."""
-    o = c.table(spark, sf_dir, "orders")
-    o = o.withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long"))
-    right = o.where("o_orderkey % 3 = 0").select("o_custkey", "place", F.col("o_orderkey").alias("key_order"))
-    out = j.nearest_preceding(o.where("o_orderkey % 3 <> 0").select("o_orderkey", "o_custkey", "place"), right, ["o_custkey"], "place", "key_order")
-    return j.claim_once(out, "key_order", ["place", "o_orderkey"]).select("o_orderkey", "state", "key_order")
+    """The key that each question took; the others stay unscored."""
+    keys, questions = _looking_back(spark, sf_dir)
+    taken = j.keys_look_back(keys, questions, ["doc"]).where("question_id is not null").select("question_id", "key_id")
+    out = questions.select("question_id").join(taken, "question_id", "left")
+    return out.select("question_id", "key_id", F.when(F.col("key_id").isNull(), "unscored").otherwise("keyed").alias("state"))
 
 
 def _media(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -147,15 +183,15 @@ def j5_range_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one medium of a nation whose range holds a number."""
     ranges = c.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("lo"), (F.col("s_suppkey") + 40).alias("hi"), F.col("s_name").alias("media"))
     left = c.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 100).alias("at"))
-    return j.range_match(left, ranges, ["nation"], "at", "lo", "hi", "media", ["c_custkey"])
+    return j.range_match(left, ranges, ["nation"], "at", "lo", "hi", "media", ["c_custkey"], 41)
 
 
-@query("""with p as (select distinct l_partkey as a, l_suppkey as b from lineitem where l_quantity > 40)
+@query("""with p as (select distinct floor(o_totalprice)::bigint as a, case when o_orderkey % 3 = 0 then o_orderkey - 1 else o_orderkey end as b from orders)
 select a, b from p where a in (select a from p group by a having count(*) = 1) and b in (select b from p group by b having count(*) = 1)""")
 def j6_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that are unique in both directions."""
-    i = c.table(spark, sf_dir, "lineitem").where("l_quantity > 40")
-    return j.mutual_match(i.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")), "a", "b")
+    o = c.table(spark, sf_dir, "orders")
+    return j.mutual_match(o.select(F.floor("o_totalprice").cast("long").alias("a"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey")).alias("b")), "a", "b")
 
 
 @query(f"""with e as (select event_id, user_id, epoch_us(ts) // 1000 as ms from events), r as (select user_id, ms as lo, ms + 3600000 as hi, event_id as link from e where event_id % 10 = 0),
@@ -165,7 +201,7 @@ def j7_link_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line in the range of exactly one link of its page (here an hour of a user)."""
     e = c.ordered_events(spark, sf_dir)
     r = e.where("event_id % 10 = 0").select("user_id", F.col("at_ms").alias("lo"), (F.col("at_ms") + 3_600_000).alias("hi"), F.col("event_id").alias("link"))
-    return j.range_match(e.where("event_id % 10 <> 0").select("event_id", "user_id", "at_ms"), r, ["user_id"], "at_ms", "lo", "hi", "link", ["event_id"])
+    return j.range_match(e.where("event_id % 10 <> 0").select("event_id", "user_id", "at_ms"), r, ["user_id"], "at_ms", "lo", "hi", "link", ["event_id"], 3_600_000)
 
 
 @query("""with o as (select o_custkey, min(o_orderkey) as first_question from orders where o_orderkey % 5 = 0 group by 1)
@@ -177,29 +213,37 @@ def j8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.where("o_orderkey % 5 <> 0").join(first, "o_custkey").where("o_orderkey < first_question").select(F.col("o_orderkey").alias("figure"), "o_custkey", "first_question")
 
 
-@query(f"""with m as (select n_nationkey, count(distinct s_suppkey) as n, min(s_suppkey) as s_suppkey from nation left join (select s_nationkey as n_nationkey, s_suppkey from supplier where s_acctbal > 5000) using (n_nationkey) group by 1)
+@query(f"""with m as (select n_nationkey, count(distinct s_suppkey) as n, min(s_suppkey) as s_suppkey from nation left join (select s_nationkey as n_nationkey, s_suppkey from supplier) using (n_nationkey) group by 1)
 select n_nationkey, n as n_matches, {_UNIQUE}, case when n = 1 then s_suppkey end as s_suppkey from m""")
 def j9_unique_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The only entry of a keyed list."""
-    s = c.table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
+    s = c.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
     return unique_match(c.table(spark, sf_dir, "nation"), s, ["n_nationkey"], "s_suppkey", ["n_nationkey"])
 
 
-@query("""with d as (select doc_id, md5(regexp_replace(lower(coalesce(text, '')), '[a-z]', '_', 'g')) as skeleton from documents where length(text) < 400)
-select skeleton, count(*) as n, min(doc_id) as first_doc from d group by 1""")
-def j10_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that are equal once their letters are gaps, of under 400 characters; j10_skeletons_all has all."""
-    d = c.table(spark, sf_dir, "documents").where("length(text) < 400")
-    s = F.md5(F.regexp_replace(F.lower("text"), "[a-z]", "_"))
-    return d.groupBy(s.alias("skeleton")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+_GAPPED = """w as (select item_id, string_split(translate(coalesce(text, ''), chr(10), ' '), ' ') as ws from benchmark),
+g as (select item_id, list_filter(ws, lambda x, i: i % 3 = 0 and length(x) > 4 and regexp_full_match(x, '[A-Za-z]+')) as cut,
+  array_to_string(list_transform(ws, lambda x, i: case when i % 3 = 0 and length(x) > 4 and regexp_full_match(x, '[A-Za-z]+') then substr(x, 1, 2) || repeat('_', length(x) - 2) else x end), ' ') as shown from w)"""
 
 
-@query("""with d as (select doc_id, md5(regexp_replace(lower(coalesce(text, '')), '[a-z]', '_', 'g')) as skeleton from documents)
-select skeleton, count(*) as n, min(doc_id) as first_doc from d group by 1""")
-def j10_skeletons_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of any length that are equal once their letters are gaps; null is an empty one."""
-    s = F.md5(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[a-z]", "_"))
-    return c.table(spark, sf_dir, "documents").groupBy(s.alias("skeleton")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+@query(f"""with {_GAPPED}, k as (select item_id, shown, len(cut) as n, item_id % 2 as module from g), d as (select module, shown, sum(case when item_id % 5 = 0 then 2 else 1 end) as keys, min(item_id) as key_id, min(n + case when item_id % 3 = 0 then 1 else 0 end) as last from k group by 1, 2)
+select k.item_id as passage_id, k.n::int as gaps, keys = 1 and last = k.n as applied, case when keys = 1 and last = k.n then d.key_id end as key_id, case when keys = 1 and last = k.n then array_to_string(list_transform(g.cut, lambda x: substr(x, 3)), ',') end as answers
+from k join d using (module, shown) join g using (item_id)""")
+def j10_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages with gaps and the one key paragraph that is equal once gaps are marks; its letters fill the gaps.
+
+    Keys of every third item count one gap too many, those of every fifth stand twice.
+    """
+    b = c.table(spark, sf_dir, "benchmark").withColumn("ws", F.split(F.translate(F.coalesce("text", F.lit("")), "\n", " "), " ", -1))
+    cut = lambda w, i: (i % 3 == 2) & (F.length(w) > 4) & w.rlike("^[A-Za-z]+$")
+    text = lambda shown: F.array_join(F.transform("ws", lambda w, i: F.when(cut(w, i), shown(w)).otherwise(w)), " ")
+    hidden = text(lambda w: F.concat(F.substring(w, 1, 2), F.repeat(F.lit("_"), F.length(w) - 2)))
+    marked = text(lambda w: F.concat(F.substring(w, 1, 2), F.lit("{"), F.substring(w, 3, 1000), F.lit("}")))
+    n = F.size(F.regexp_extract_all(marked, F.lit(r"\{"), F.lit(0)))
+    key = F.col("item_id")
+    passages = b.select(key.alias("passage_id"), (key % 2).alias("module"), hidden.alias("text"))
+    keys = b.select(key.alias("key_id"), (key % 2).alias("module"), marked.alias("text"), F.lit(1).alias("first"), (n + F.when(key % 3 == 0, 1).otherwise(0)).alias("last"), F.explode(F.when(key % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return x.fill_answers(passages, keys.drop("col"), ["module"]).withColumn("answers", F.array_join("answers", ","))
 
 
 @query("""with q as (select l_orderkey as module_id, l_linenumber as number, l_partkey, l_suppkey, l_returnflag as kind, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as pos from lineitem),
@@ -282,17 +326,10 @@ def g3_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.commit_new(d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0"), "ref").select("doc_id", "outcome")
 
 
-@query("""select source, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) order by doc_id::varchar)) as source_revision from documents where doc_id % 10 = 0 group by 1""")
-def g4_source_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revision of a material from its files and texts, over every tenth document; g4_source_revision_all takes all."""
-    d = c.table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("source", F.col("doc_id").cast("string").alias("name"), "text")
-    return g.source_revision(d, ["source"])
-
-
 @query("""with d as (select source, doc_id::varchar as name, concat_ws(':', doc_id, sha256(coalesce(text, ''))) as line from documents),
 p as (select source, substr(sha256(coalesce(name, '')), 1, 3) as part, sha256(string_agg(line, chr(10) order by name nulls first, line)) as hash from d group by 1, 2)
 select source, sha256(string_agg(part || ':' || hash, chr(10) order by part)) as source_revision from p group by 1""")
-def g4_source_revision_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g4_source_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revision of a material from all its files and texts, however many."""
     d = c.table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("name"), "text")
     return g.source_revision_in_parts(d, ["source"])
