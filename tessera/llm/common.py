@@ -13,7 +13,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 #: A key is hot from HOT_ROWS rows on, and from 1 / HOT_KEYS of all rows on: at most HOT_KEYS keys are, however large the input.
-HOT_ROWS, HOT_KEYS, SALTS = 1000, 1 << 14, 64
+HOT_ROWS, HOT_KEYS, SALTS = 256, 1 << 14, 64
 
 
 def shared_dir(spark: SparkSession) -> str:

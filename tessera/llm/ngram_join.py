@@ -37,7 +37,7 @@ from tessera.llm.shingles import mixed, shingle_set
 
 PERCENT = 80
 #: Points of a leaf, of a block, and of a region that one task may cut; pivots of a cut, at most.
-LEAF, BLOCK, TASK_POINTS, PIVOTS = 64, 512, 4096, 64
+LEAF, BLOCK, TASK_POINTS, PIVOTS = 64, 512, 512, 64
 #: A cut is given up where a cell keeps this share of the points.
 STUCK = 0.9
 #: A key counts as frequent from this many points on, and from 1 / FREQUENT_LIMIT of all keys on: at most
