@@ -32,7 +32,7 @@ LEAST, SEED = 50, 25
 #: Rows of a sorted partition of (hash, document, place); it is held in memory while neighbours are compared.
 PARTITION_ROWS = 500_000
 #: Suffixes with words of a partition (some 50 MB), and of one seed in it.
-SUFFIX_ROWS, GROUP_ROWS = 50_000, 5_000
+SUFFIX_ROWS, GROUP_ROWS = 50_000, 1_000
 RUN = "doc_id long, low int, high int, first long"
 
 
