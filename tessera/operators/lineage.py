@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +48,15 @@ def closure(roots: DataFrame, edges: DataFrame, checkpoint_every: int = 1) -> Da
             found = found.checkpoint()
 
 
-def shallow_closure(spark: SparkSession, roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same for graphs of few levels without shared paths to walk twice, as one recursive query."""
-    roots.createOrReplaceTempView("_closure_roots")
-    edges.createOrReplaceTempView("_closure_edges")
+def shallow_closure(spark: SparkSession, roots: DataFrame, edges: DataFrame, most_levels: int = 64) -> DataFrame:
+    """The same for graphs of few levels without shared paths to walk twice, as one recursive query; it ends at most_levels."""
     return spark.sql(
-        """with recursive walk(root, node, depth) as (
-             select root, root, 0 from _closure_roots
-             union all select w.root, e.child, w.depth + 1 from walk w join _closure_edges e on e.parent = w.node)
-           select root, node, min(depth) as depth from walk group by root, node"""
+        f"""with recursive walk(root, node, depth) as (
+             select root, root, 0 from {{roots}}
+             union all select w.root, e.child, w.depth + 1 from walk w join {{edges}} e on e.parent = w.node where w.depth < {most_levels})
+           select root, node, min(depth) as depth from walk group by root, node""",
+        roots=roots,
+        edges=edges,
     )
 
 
@@ -93,19 +96,35 @@ def dropped_members(frames: DataFrame, key: list[str], revision: str, member: st
     return frames.join(last, key).where(F.col(revision) < F.col("_last")).drop("_last").join(nxt, [*key, revision, member], "left_anti")
 
 
+def _appended(n_keys: int):
+    """Adds to rows sorted by their first n_keys columns, then by order, whether each expects the revision that it meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, revision = None, 0
+        for batch in batches:
+            accepted = []
+            for row in zip(*(c.to_pylist() for c in (*batch.columns[:n_keys], batch.column("expected"))), strict=True):
+                if row[:-1] != now:
+                    now, revision = row[:-1], 0
+                accepted.append(row[-1] == revision)
+                revision += accepted[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_())], [*batch.schema.names, "accepted"])
+
+    return run
+
+
 def conditional_append(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Optimistic concurrency: an event is accepted if it expects the current revision, which then grows by one.
 
-    The events of a key are folded in order; `expected` is what an event expects (from 0).
+    The events of a key pass one after the other in order; `expected` is what an event expects (from 0).  What is held is the
+    key and its revision, however many events it has.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*order, "expected")))
-    acc = F.struct(F.lit(0).cast("long").alias("rev"), F.array().cast("array<boolean>").alias("ok"))
-    step = lambda a, e: F.struct(
-        (a["rev"] + (e["expected"] == a["rev"]).cast("long")).alias("rev"), F.concat(a["ok"], F.array(e["expected"] == a["rev"])).alias("ok")
-    )
-    g = events.groupBy(*key).agg(rows.alias("_rows")).withColumn("_fold", F.aggregate("_rows", acc, step))
-    flat = g.select(*key, F.col("_fold.rev").alias("final_revision"), F.explode(F.arrays_zip(F.col("_rows").alias("row"), F.col("_fold.ok").alias("ok"))).alias("_z"))
-    return flat.select(*key, "_z.row.*", F.col("_z.ok").alias("accepted"), "final_revision")
+    rows = events.select(*key, *order, "expected")
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, *order)
+    out = dealt.mapInArrow(_appended(len(key)), f"{names}, accepted boolean")
+    last = out.groupBy(*key).agg(F.count_if("accepted").alias("final_revision"))
+    return out.join(last, key)
 
 
 def patch_latest(patches: DataFrame, key: list[str], field: str, order: list[str]) -> DataFrame:
@@ -133,14 +152,8 @@ def compile_subset(candidates: DataFrame, selection: DataFrame, by: list[str]) -
     return g.select(*by, F.size("items").alias("n_items"), F.size(F.filter("items", lambda x: x["answer"].isNotNull())).alias("n_answers"), F.sha2(ids, 256).alias("selection_key"))
 
 
-def source_revision(files: DataFrame, by: list[str]) -> DataFrame:
-    """Hash of a material's files and texts, in the order of names; one row holds all files of a material."""
-    parts = F.sort_array(F.collect_list(F.struct("name", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))))
-    return files.groupBy(*by).agg(parts.alias("parts")).select(*by, F.sha2(F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["name"], p["hash"])), "\n"), 256).alias("source_revision"))
-
-
-def source_revision_in_parts(files: DataFrame, by: list[str], digits: int = 3) -> DataFrame:
-    """The same for materials of any number of files, in two levels.
+def source_revision(files: DataFrame, by: list[str], digits: int = 3) -> DataFrame:
+    """Hash of a material's files and texts, however many, in two levels.
 
     A file belongs to the part that the first hex digits of its name's hash say; a part's hash is over its files in the
     order of names, the material's over its parts in order, so no row holds more than one part or 16 ** digits hashes.

@@ -9,6 +9,7 @@ from tessera.functions.text import evidence_text, jaccard, normal_text, tokens
 from tessera.operators import extract as x
 from tessera.operators import helpers as h
 from tessera.operators import layout as l
+from tessera.operators import resolve as j
 from tessera.operators import verify as v
 from tessera.plans import carriers as c
 from tessera.sources import intake as s
@@ -67,15 +68,17 @@ def s8_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.tolerant_intake(p, "p_brand").select("p_partkey", "kept")
 
 
-@query()
+@query("""select p_brand as path, p_name || '/' || p_partkey || '.txt' as name, strlen(p_type) as size, p_type as text, null as issue from part""")
 def s4_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages written as ZIP and read again; tested as an exact round trip."""
+    """Packages written as ZIP and read again, an exact round trip."""
     p = c.table(spark, sf_dir, "part").select("p_brand", F.concat("p_name", F.lit("/"), F.col("p_partkey"), F.lit(".txt")).alias("name"), F.encode("p_type", "UTF-8").alias("content"))
     z = s.package_archives(p, "p_brand")
     return s.read_archives(z.select(F.col("p_brand").alias("path"), F.col("zip").alias("content"))).select("path", "name", "size", F.decode("content", "UTF-8").alias("text"), "issue")
 
 
-@query()
+@query("""with p as (select *, p_name || '.png' as name, sha256(p_partkey::varchar) as sha from part), n as (select *, row_number() over (partition by p_brand, lower(name) order by sha) as n from p),
+k as (select *, row_number() over (partition by p_brand, lower(name), substr(sha, 1, 12) order by n) as k from n)
+select p_partkey, case when n = 1 then name else p_name || '-' || substr(sha, 1, 12) || case when k > 1 then '-' || k else '' end || '.png' end as canonical from k""")
 def s12_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique media names in natural order."""
     p = c.table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat("p_name", F.lit(".png")).alias("name"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("sha256"))
@@ -273,14 +276,29 @@ def x1_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.parse_template(t, ["conv_id"], "turn", "line")
 
 
-@query()
+@query("""with i as (select l_orderkey as doc, l_partkey, l_suppkey, l_returnflag, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n from lineitem)
+select doc, n::int as number, n || '. What about ' || l_partkey || '?' || chr(10) || 'and why' as prompt, 'A) ' || l_returnflag || '|B) other' as options,
+  case when l_suppkey % 4 = 3 then 'missing' when l_suppkey % 4 = 2 then 'unmatched' else 'applied' end as state, case l_suppkey % 4 when 0 then 'A' when 1 then 'B' end as answer from i""")
 def x2_worksheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of worksheets (tested on small worksheets); line items written as worksheet lines."""
-    i = c.table(spark, sf_dir, "lineitem")
-    text = F.when(F.col("l_linenumber") == 1, "Section one").when(F.col("l_linenumber") % 3 == 2, F.concat(F.col("l_linenumber").cast("string"), F.lit(". What is it?"))).otherwise(F.concat(F.lit("(A) "), F.col("l_returnflag")))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    questions, _, _ = x.worksheet(i.select("l_orderkey", F.row_number().over(w).alias("line_no"), text.alias("line")), ["l_orderkey"], "line_no", "line")
-    return questions
+    """Questions of worksheets with their options, and the answers of their group's key; an order's items as a group."""
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    i = c.table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(own))
+    n, kind = F.col("n"), F.col("l_suppkey") % 4
+    line = lambda at, text: F.struct(at.cast("int").alias("line_no"), text.alias("line"))
+    asked = F.array(
+        line(10 * n, F.concat(n, F.lit(". What about "), "l_partkey", F.lit("?"))), line(10 * n + 1, F.lit("and why")), line(10 * n + 2, F.concat(F.lit("(A) "), "l_returnflag")), line(10 * n + 3, F.lit("B. other")),
+        line(10000 + n, F.when(kind < 3, F.concat(n, F.lit(" "), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("D"), F.lit("")), (kind + 1).cast("int")))).otherwise("")),
+    )
+    rows = i.select("l_orderkey", F.explode(asked).alias("l"))
+    ends = F.array(line(F.lit(0), F.lit("Section one")), line(F.lit(9999), F.lit("Answer key:")))
+    rows = rows.unionByName(i.select("l_orderkey").distinct().select("l_orderkey", F.explode(ends).alias("l"))).select(F.col("l_orderkey").alias("doc"), "l.line_no", "l.line")
+    questions, options, keys = x.worksheet(rows, ["doc"], "line_no", "line")
+    listed = options.groupBy("doc", "question").agg(F.sort_array(F.collect_list(F.struct("label", "option"))).alias("o"))
+    q = questions.join(listed, ["doc", "question"], "left").withColumn("question_id", F.concat_ws("-", "doc", "question"))
+    asked = q.select("question_id", "doc", "group", "number", F.lit("single_choice").alias("type"), F.transform("o", lambda x: x["label"]).alias("options"), F.array().cast("array<string>").alias("local"))
+    found = j.resolve_keys(asked, keys, ["doc", "group"], "number")
+    shown = F.array_join(F.transform("o", lambda x: F.concat(x["label"], F.lit(") "), x["option"])), "|")
+    return q.join(found, "question_id").select("doc", "number", "prompt", shown.alias("options"), "state", F.get("answer", 0).alias("answer"))
 
 
 @query("""select o_orderkey, number, answer from (select o_orderkey, unnest([1, 2, 3]) as number, unnest([chr(65 + (o_orderkey % 4)::int), chr(65 + (o_custkey % 4)::int), 'D']) as answer from orders where o_orderkey % 5 <> 0)""")
@@ -327,17 +345,21 @@ def x21_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.source_groups(c.lines(spark, sf_dir), ["doc_id"], "line_no", "line", "!!$", "Licensed").select("doc_id", "line_no", "group", "reference")
 
 
-@query()
+@query("""with b as (select item_id, string_split(translate(coalesce(text, ''), chr(10), ' '), ' ') as ws from benchmark), p as (select item_id, ws, unnest(range(1, len(ws) + 1)) as i from b),
+w as (select item_id, ws[i] as w, i, (coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x) + 1)), 0))::int as at0 from p)
+select item_id, at0 + 2 as start, at0 + length(w)::int as "end", at0 as prefix_start, length(w)::int - 2 as missing from w where i % 3 = 0 and length(w) > 4 and regexp_full_match(w, '[A-Za-z]+')""")
 def x10_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps with offsets (tested on small texts); every third word of a benchmark text loses its end."""
+    """Gaps with their offsets; every third word of letters in a benchmark text loses its end."""
     b = c.table(spark, sf_dir, "benchmark")
-    gapped = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when((i % 3 == 2) & (F.length(w) > 4), F.concat(F.substring(w, 1, 2), F.repeat(F.lit("_"), F.length(w) - 2))).otherwise(w)), " ")
+    cut = lambda w, i: (i % 3 == 2) & (F.length(w) > 4) & w.rlike("^[A-Za-z]+$")
+    words = F.split(F.translate(F.coalesce("text", F.lit("")), "\n", " "), " ", -1)
+    gapped = F.array_join(F.transform(words, lambda w, i: F.when(cut(w, i), F.concat(F.substring(w, 1, 2), F.repeat(F.lit("_"), F.length(w) - 2))).otherwise(w)), " ")
     return b.select("item_id", F.explode(x.inline_blanks(gapped)).alias("b")).select("item_id", "b.*")
 
 
 @query()
 def x13_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one order of fragments (tested on small cases); thirds of whole benchmark texts, turned round."""
+    """The one order of fragments (held against all orders in tests/test_whole.py); thirds of whole benchmark texts, turned round."""
     words = F.split(F.translate("text", "\n", " "), " ")
     third = F.ceil(F.size(words) / 3).cast("int")
     part = lambda k: F.array_join(F.slice(words, k * third + 1, third), " ")
@@ -415,7 +437,7 @@ def v8_media_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def v10_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A transcript against its reference (tested on small cases); neighbours of a conversation."""
+    """A transcript against its reference (held against a plain version in tests/test_exam.py); neighbours of a conversation."""
     t = c.table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = t.select("conv_id", "turn", F.col("text").alias("reference"), F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", "^\\S+ ", "not 7 ")).alias("transcript"), F.array_compact(F.array(F.lag("text").over(w), F.lead("text").over(w))).alias("near"))
