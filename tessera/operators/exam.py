@@ -334,3 +334,77 @@ def mark_scanned(questions: DataFrame, scanned: DataFrame) -> DataFrame:
     """Questions (name, page) on a scanned page say so."""
     hit = scanned.select("name", "page").distinct().withColumn("_scan", F.lit(True))
     return questions.join(hit, ["name", "page"], "left").withColumn("scanned", F.coalesce("_scan", F.lit(False))).drop("_scan")
+
+
+#: Kinds of tasks by the letters of their headings, in order of precedence.
+BANK_KINDS = {
+    "listen_repeat": ("listenandrepeat", "listenrepeat"), "interview": ("takeaninterview", "interviewprompt", "interviewquestion"), "sentence_order": ("buildasentence",), "discussion": ("academicdiscussion",),
+    "email": ("writeanemail", "emailprompt"), "complete_words": ("completethewords", "fillinthemissingletters"), "listening": ("chooseabestresponse", "chooseresponse"), "reading": ("readindailylife", "readanacademicpassage"),
+}
+SECTION_WORDS = ("listening", "reading", "speaking", "writing")
+BANK_OPTION = r"^\(?([A-F])[.)]\s+(\S.*)$"
+BANK_ITEM = r"(?i)^(?:(?:Question|Item|Example|Prompt)\s+(\d{1,3})\b\s*[.:)]?\s*(.*)|(\d{1,3})[.)]\s+(\S.*))$"
+BANK_ANCHOR = r"(?i)^(?:Passage|Recording|Text|Set|Conversation|Lecture|Talk|Announcement)\s+\d{1,3}\s*[:.—–-]\s*(.*)$"
+BANK_INLINE = r"(?i)^(?:Correct\s+|Right\s+)?Answers?\s*[:：]\s*\(?([A-F])\)?[.)]?$"
+BANK_TABLE = r"(?i)^(?:Answer key|Answers)\s*[:：]\s*((?:\d{1,3}\s*[.):-]?\s*[A-F]\b[\s,;]*)+)$"
+BANK_KEY_HEADING = r"^(?:answerkey|answersandexplanations|answers)"
+BANK_KEY_ROW = r"^(\d{1,3})\s*[.):]?\s+(\S.*)$"
+
+
+def bank_kind(text: Column) -> Column:
+    """The kind of task that a heading names, by its letters alone; section words count in short headings and as `section` or `part` only."""
+    letters = F.regexp_replace(F.lower(text), "[^a-z]", "")
+    short = (F.size(F.split(F.trim(text), r"\s+")) <= 4) | text.rlike(r"(?i)\b(?:section|part)\b")
+    out = F.lit(None).cast("string")
+    for word in reversed(SECTION_WORDS):
+        out = F.when(short & letters.startswith(word), word).otherwise(out)
+    for kind, keys in reversed(BANK_KINDS.items()):
+        held = F.lit(False)
+        for k in keys:
+            held = held | F.contains(letters, F.lit(k))
+        out = F.when(held, kind).otherwise(out)
+    return out
+
+
+def task_bank(lines: DataFrame, doc: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Questions and keys of banks of single tasks, by the features of their lines (line_no counts through a document).
+
+    A heading sets the kind of task; an anchor (`Passage 2: ...`) opens a group, as does a heading.  Items are numbered
+    lines, with lettered options below; `Answer: B` below an item is its own answer.  An answer key heading turns lines
+    into keys up to the next anchor or heading of a task; a key stands in the block of the groups before it.  One-line
+    tables of keys count anywhere.  questions: group, number, kind, type, prompt, options, stated; keys: key_id, block,
+    type, number, answer.
+    """
+    c, order = F.col("text"), ["line_no"]
+    t = lines.withColumn("text", F.trim("text")).where("text <> ''")
+    item, option, anchor, inline = c.rlike(BANK_ITEM), c.rlike(BANK_OPTION), c.rlike(BANK_ANCHOR), c.rlike(BANK_INLINE)
+    heading = c.rlike(r"^[A-Z0-9]") & (F.size(F.split("text", r"\s+")) <= 14) & ~c.rlike(r"[.?!:,;]$") & ~option & ~item & (~c.rlike(r"^[^:：]{1,30}[:：]\s*\S") | c.rlike(r"(?i)^(?:Task|Section|Part)\s*\d+\s*[:：]"))
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    table = c.rlike(BANK_TABLE)
+    keys_begin = letters.rlike(BANK_KEY_HEADING) & (heading | c.rlike(r"(?i)^answers?\s*[:：]?$")) & ~table
+    kind = F.when(heading & ~keys_begin & ~anchor, bank_kind(c))
+    t = t.withColumns({"_table": table, "_keys": keys_begin, "_kind": kind, "_anchor": anchor})
+    opens = F.col("_anchor") | F.col("_kind").isNotNull()
+    t = carry_forward(t, doc, order, {"kind": F.col("_kind"), "_mode": F.when(F.col("_keys"), True).when(opens, False)})
+    w = Window.partitionBy(*doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("group", F.sum(opens.cast("int")).over(w)).withColumn("_mode", F.coalesce("_mode", F.lit(False)) & ~F.col("_keys"))
+    # Keys: rows of a key, with the lines below as their explanation, and tables.
+    number = lambda pattern, k=1: F.regexp_extract("text", pattern, k).try_cast("int")
+    listed = t.where(F.col("_mode") & c.rlike(BANK_KEY_ROW) & ~F.col("_table")).select(*doc, "line_no", "group", number(BANK_KEY_ROW).alias("number"), F.regexp_extract("text", BANK_KEY_ROW, 2).alias("answer"))
+    pairs = F.arrays_zip(*(F.regexp_extract_all(F.regexp_extract("text", BANK_TABLE, 1), F.lit(r"(?i)(\d{1,3})\s*[.):-]?\s*([A-F])\b"), F.lit(k)).alias(n) for k, n in ((1, "n"), (2, "a"))))
+    tabled = t.where("_table").select(*doc, "line_no", "group", F.explode(pairs).alias("_p")).select(*doc, "line_no", "group", F.col("_p.n").cast("int").alias("number"), F.upper("_p.a").alias("answer"))
+    letter = F.regexp_extract("answer", r"^\(?([A-F])\)?[.)]?$", 1)
+    keys = listed.unionByName(tabled).select(*doc, F.struct("line_no", "number").alias("key_id"), (F.col("group") + 1).alias("block"), F.when(letter != "", "single_choice").otherwise("sentence_order").alias("type"), "number", F.when(letter != "", letter).otherwise(F.col("answer")).alias("answer"))
+    # Items, outside keys.
+    body = t.where(~F.col("_mode") & ~F.col("_keys") & ~F.col("_table") & ~opens)
+    head = F.when(item, F.struct("line_no", F.coalesce(number(BANK_ITEM, 1), number(BANK_ITEM, 3)).alias("number")))
+    body = carry_forward(body, [*doc, "group"], order, {"_item": head}).where("_item is not null")
+    first = F.trim(F.concat(F.coalesce(F.regexp_extract("text", BANK_ITEM, 2), F.lit("")), F.regexp_extract("text", BANK_ITEM, 4)))
+    value = F.when(F.col("line_no") == F.col("_item.line_no"), first).otherwise(F.col("text"))
+    plain = ~inline & ((F.col("line_no") == F.col("_item.line_no")) | ~option)
+    parts = F.sort_array(F.collect_list(F.when(plain & (value != ""), F.struct("line_no", value.alias("value")))))
+    options = F.sort_array(F.collect_list(F.when(option & (F.col("line_no") > F.col("_item.line_no")), F.struct("line_no", F.regexp_extract("text", BANK_OPTION, 1).alias("id"), F.regexp_extract("text", BANK_OPTION, 2).alias("text")))))
+    stated = F.array_sort(F.collect_set(F.when(inline, F.upper(F.regexp_extract("text", BANK_INLINE, 1)))))
+    q = body.groupBy(*doc, "group", "kind", "_item").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("prompt"), F.transform(options, lambda o: F.struct(o["id"].alias("id"), o["text"].alias("text"))).alias("options"), stated.alias("stated"))
+    kind_of = F.when(F.size("options") >= 2, "single_choice").when(F.col("kind") == "sentence_order", "sentence_order").otherwise("open")
+    return q.select(*doc, F.col("_item.line_no").alias("question_id"), "group", F.col("_item.number").alias("number"), "kind", kind_of.alias("type"), "prompt", "options", "stated"), keys

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import exam as e
+from tessera.operators import extract as x
 from tessera.operators import runs as r
+from tessera.operators import sentences as sent
 from tessera.operators import sessions as s
 from tessera.operators import verify as v
 from tessera.operators import workspace as w
@@ -92,6 +94,68 @@ def x9_objective_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.objective_keys(i.select(F.col("l_orderkey").alias("doc"), F.lit("reading").alias("section"), place.alias("line_no"), text.alias("text")), ["doc"]).drop("section")
 
 
+def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as a bank: most are a passage with one item, every fifth is a block of keys."""
+    o, k = c.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    n = (k % 3 + 1).cast("string")
+    texts = F.when(k % 5 == 0, F.array(F.lit("Answer Key"), F.concat(n, F.lit(" A")), F.lit("explained"))).otherwise(
+        F.array(F.concat(F.lit("Passage "), place, F.lit(": about it")), F.concat(n, F.lit(". What about "), k, F.lit("?")), F.lit("more"), F.lit("A. yes"), F.lit("(B) no"), F.when(k % 4 == 0, "Correct answer: b").otherwise(""))
+    )
+    rows = o.select(F.col("o_custkey").alias("doc"), place.alias("place"), texts.alias("texts")).select("doc", "place", F.posexplode("texts").alias("i", "text"))
+    return rows.select("doc", (F.col("place") * 10 + F.col("i")).alias("line_no"), "text")
+
+
+_BANKED = """o as (select o_custkey as doc, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as place from orders),
+g as (select *, sum(case when id % 5 <> 0 then 1 else 0 end) over (partition by doc order by place) as grp from o)"""
+
+
+@query(f"""with {_BANKED} select doc, place * 10 + 1 as question_id, grp::bigint as "group", (id % 3 + 1)::int as number, 'single_choice' as type, 'What about ' || id || '?' || chr(10) || 'more' as prompt, 'A yes|B no' as options, case when id % 4 = 0 then 'B' else '' end as stated from g where id % 5 <> 0""")
+def x5_task_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of banks of single tasks, with their options and the answers that they state."""
+    q, _ = e.task_bank(_bank(spark, sf_dir), ["doc"])
+    return q.select("doc", "question_id", "group", "number", "type", "prompt", F.array_join(F.transform("options", lambda o: F.concat(o["id"], F.lit(" "), o["text"])), "|").alias("options"), F.array_join("stated", ",").alias("stated"))
+
+
+@query(f"""with {_BANKED} select doc, (id % 3 + 1)::int as number, (grp + 1)::bigint as block, 'single_choice' as type, 'A' as answer from g where id % 5 = 0""")
+def x5_bank_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key blocks of banks, each after the groups that it may answer."""
+    return e.task_bank(_bank(spark, sf_dir), ["doc"])[1].select("doc", "number", "block", "type", "answer")
+
+
+@query("""with o as (select o_orderkey, o_orderkey % 5 as pos, o_orderkey % 7 = 0 as twin from orders)
+select o_orderkey, case when not twin then array_to_string(list_filter(range(5), lambda i: i <> pos), ',') end as kept from o""")
+def x11_aligned_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11: the one way to drop surplus gaps so that lengths fit best; a gap beside its twin leaves two ways, and nothing is dropped."""
+    k = F.col("o_orderkey")
+    wanted = F.array(*(F.lit(n) for n in (3, 4, 5, 6)))
+    at = (k % 5).cast("int")
+    extra = F.when(k % 7 == 0, F.get(wanted, F.least(at, F.lit(3)))).otherwise(9)
+    lengths = F.concat(F.slice(wanted, F.lit(1), at), F.array(extra), F.slice(wanted, at + 1, F.lit(4)))
+    return c.table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(x.aligned_blanks(lengths, wanted), ",").alias("kept"))
+
+
+@query("""select p_partkey, case when p_partkey % 5 in (0, 1) then 'Is the _____ _____ _____ shelf?' when p_partkey % 5 = 4 then 'Is the _____ _____ ' || lower(p_type) || ' shelf?' end as frame, case when p_partkey % 5 in (0, 1) then '1,2,0' when p_partkey % 5 = 4 then '0,1' end as "order",
+  case when p_partkey % 5 in (0, 1, 4) then true end as inferred_text, case when p_partkey % 5 in (0, 1) then false when p_partkey % 5 = 4 then true end as left_in_frame, case when p_partkey % 5 in (0, 1) then true when p_partkey % 5 = 4 then false end as looks_whole from part""")
+def x12_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences covered by fragments, and what speaks against a cover."""
+    k, name, kind = F.col("p_partkey") % 5, F.col("p_name"), F.lower("p_type")
+    answer = F.concat(F.lit("Is the "), name, F.lit(" on the "), kind, F.lit(" shelf?"))
+    parts = F.when(k == 0, F.array(kind, name, F.lit("on the"))).when(k == 1, F.array(kind, name, F.lit("on the"), F.lit("xyz"))).when(k == 2, F.array(F.lit("the"), name)).when(k == 3, F.array(name))
+    parts = parts.otherwise(F.array(name, F.lit("on the"), F.lit("shelfs"), F.lit("a|b")))
+    out = c.table(spark, sf_dir, "part").select("p_partkey", sent.covers(answer, parts).alias("c"))
+    return out.select("p_partkey", "c.frame", F.array_join("c.order", ",").alias("order"), "c.inferred_text", "c.left_in_frame", "c.looks_whole")
+
+
+@query("""select p_partkey, p_name || '|on|the' as fragments, 'Is the ' || p_name || ' on the shelf, now.' as answer from part""")
+def x14_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spaces that a scan lost in fragments and in the sentence."""
+    name = F.col("p_name")
+    parts = F.array(F.replace(name, F.lit(" "), F.lit("")), F.lit("on"), F.lit("the"))
+    out = c.table(spark, sf_dir, "part").select("p_partkey", sent.rejoined(F.concat(F.lit("Is the "), name, F.lit(" onthe shelf, now.")), parts).alias("r"))
+    return out.select("p_partkey", F.array_join("r.fragments", "|").alias("fragments"), "r.answer")
+
+
 _MARKED = "'(A)' || substr(t, 1, 5) || '(B)' || substr(t, 6, 5) || '(C)' || substr(t, 11, 5) || '(D)' || substr(t, 16)"
 
 

@@ -1,11 +1,13 @@
 """Exam documents, sessions and the workspace on small cases; queries without SQL against plain versions."""
 
+import itertools
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import exam, lineage, resolve, sessions, verify, workspace
+from tessera.operators import exam, extract, lineage, resolve, sentences, sessions, verify, workspace
 
 LINE = "doc string, page int, line_no int, text string"
 
@@ -69,6 +71,80 @@ def test_discussion_posts(spark):
     assert [(r.page, r.prompt, r.first_post, r.second_post) for r in found] == [(0, "p1\np2", "a1\na2", "b1\nb2")]
 
 
+def best_covers(answer, fragments):
+    """All covers by brute force: (cost, steps) of the best, steps as texts of fragments or words."""
+    words, parts = answer.split(), [f.split() for f in fragments]
+    out = []
+
+    def walk(at, used, steps, cost):
+        if at == len(words):
+            out.append((cost, tuple(steps)))
+            return
+        walk(at + 1, used, [*steps, ("x", words[at].lower())], cost + 100)
+        for i, p in enumerate(parts):
+            if i not in used and all(j in used or fragments[j].lower() != fragments[i].lower() for j in range(i)) and [w.lower() for w in words[at : at + len(p)]] == [w.lower() for w in p]:
+                walk(at + len(p), {*used, i}, [*steps, ("f", fragments[i].lower())], cost + sum(a != b for a, b in zip(words[at:], p, strict=False)))
+
+    walk(0, frozenset(), [], 0)
+    low = min(c for c, _ in out)
+    return {s for c, s in out if c == low}
+
+
+def test_covers_against_brute_force():
+    r = random.Random(2)
+    for _ in range(400):
+        answer = " ".join(r.choice("abAc") for _ in range(r.randint(1, 7)))
+        fragments = [" ".join(r.choice("abcB") for _ in range(r.randint(1, 2))) for _ in range(r.randint(1, 5))]
+        best, found = best_covers(answer, fragments), sentences.cover_sentence(answer, fragments)
+        (steps,) = best if len(best) == 1 else (None,)
+        slots = [t for what, t in steps or () if what == "f"]
+        if steps is None or len(slots) < 2:
+            assert found is None, (answer, fragments)
+        else:
+            assert [fragments[i].lower() for i in found[1]] == slots and found[0].count("_____") == len(slots)
+
+
+def test_blanks_dropped_against_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        wanted = [r.randint(1, 3) for _ in range(r.randint(0, 4))]
+        lengths = [r.randint(1, 3) for _ in range(r.randint(0, 7))]
+        extra = len(lengths) - len(wanted)
+        ways = [(sum(lengths[i] != q for i, q in zip(kept, wanted, strict=True)), list(kept)) for kept in itertools.combinations(range(len(lengths)), len(wanted))] if extra >= 0 else []
+        low = [k for c, k in ways if c == min(c for c, _ in ways)]
+        assert extract.fewest_drops(lengths, wanted) == (low[0] if len(low) == 1 and 0 <= extra <= 3 else None)
+
+
+def test_task_bank(spark):
+    text = """Choose a Best Response
+Question 1: Where?
+(A) here
+(B) there
+Answer: A
+2) When?
+A. now
+B. then
+Build a Sentence
+3. Why so?
+Answers and Explanations
+2 B
+because
+3. it is so
+Passage 2: more
+1. Who?
+what is more
+Answer key: 1 A, 3. c"""
+    rows = [("d", i, t) for i, t in enumerate(text.split("\n"))]
+    questions, keys = exam.task_bank(spark.createDataFrame(rows, "doc string, line_no int, text string"), ["doc"])
+    assert [(r.group, r.number, r.kind, r.type, r.prompt, [tuple(o) for o in r.options], r.stated) for r in questions.orderBy("question_id").collect()] == [
+        (1, 1, "listening", "single_choice", "Where?", [("A", "here"), ("B", "there")], ["A"]), (1, 2, "listening", "single_choice", "When?", [("A", "now"), ("B", "then")], []),
+        (2, 3, "sentence_order", "sentence_order", "Why so?", [], []), (3, 1, "sentence_order", "sentence_order", "Who?\nwhat is more", [], []),
+    ]
+    assert {(r.block, r.number, r.type, r.answer) for r in keys.collect()} == {(3, 2, "single_choice", "B"), (3, 3, "sentence_order", "it is so"), (4, 1, "single_choice", "A"), (4, 3, "single_choice", "C")}
+    taken = resolve.keys_look_back(keys.withColumn("scanned", F.lit(False)), questions, ["doc"]).collect()
+    assert {(r.key_id.number, r.state, r.question_id) for r in taken} == {(2, "applied", 5), (3, "applied", 9), (1, "applied", 1), (3, "missing", None)}
+
+
 def test_presentations(spark):
     email = "Write to him.\nYou will have 7 minutes to write.\nTo: A B\nSubject: Hi\nbody\nYour Response:\nx"
     read = "Read an email in a box.\nTo: me\nDate: now\nDear,\nyou"
