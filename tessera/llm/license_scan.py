@@ -27,12 +27,22 @@ TAG_START = re.compile(r"spdx-license-identifier:[ \t]*", re.IGNORECASE | re.ASC
 _TOKEN = re.compile(r"[()\n\r]|[^\s()]+")
 #: An identifier with what may stand around it: opening quotes before, anything after.
 _OPERAND = re.compile(r"([\"'`]*)([a-z0-9][a-z0-9.+:_-]*)", re.IGNORECASE | re.ASCII)
-#: Prefixes of identifiers, longest first: label and permissiveness from 0 (no reuse) to 1 (free reuse).
-IDENTIFIERS = [
-    ("agpl", "agpl", 0.1), ("lgpl", "lgpl", 0.5), ("gpl", "gpl", 0.2), ("apache", "apache", 0.95), ("mit", "mit", 1.0), ("bsd", "bsd", 1.0), ("0bsd", "bsd", 1.0), ("isc", "isc", 1.0), ("mpl", "mpl", 0.6),
-    ("epl", "epl", 0.6), ("cc0", "cc0", 1.0), ("cc-by-nc", "cc-by-nc", 0.2), ("cc-by-nd", "cc-by-nd", 0.2), ("cc-by-sa", "cc-by-sa", 0.5), ("cc-by", "cc-by", 0.8), ("zlib", "zlib", 1.0),
-    ("bsl", "boost", 1.0), ("artistic", "artistic", 0.8), ("unlicense", "public-domain", 1.0),
-]
+#: Families of licence identifiers as prefixes, with their degree of permissiveness from 0 (no reuse) to 1
+#: (free reuse).  The label of a family is its prefix, unless FAMILY_LABELS names another.
+FAMILIES = {
+    "0bsd": 1.0, "aal": 0.9, "abstyles": 0.9, "afl": 0.9, "agpl": 0.1, "aladdin": 0.2, "apache": 0.95, "apsl": 0.5, "artistic": 0.8, "beerware": 1.0, "bittorrent": 0.5, "blueoak": 1.0, "bsd": 1.0, "bsl": 1.0, "busl": 0.1,
+    "bzip2": 1.0, "cal": 0.2, "caldera": 0.8, "catosl": 0.5, "cc-by": 0.8, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "cc-by-sa": 0.5, "cc-pddc": 1.0, "cc0": 1.0, "cddl": 0.5, "cdla-permissive": 0.9, "cdla-sharing": 0.5, "cecill": 0.3,
+    "cern-ohl-p": 0.9, "cern-ohl-s": 0.2, "cern-ohl-w": 0.5, "clartistic": 0.8, "cpal": 0.3, "cpl": 0.5, "cua-opl": 0.5, "curl": 1.0, "ecl": 0.9, "efl": 0.9, "elastic": 0.1, "entessa": 0.9, "epl": 0.6, "erlpl": 0.5, "etalab": 0.8,
+    "eudatagram": 0.9, "eupl": 0.4, "fair": 1.0, "frameworx": 0.5, "freetype": 0.9, "ftl": 0.9, "gfdl": 0.2, "gpl": 0.2, "hippocratic": 0.2, "hpnd": 1.0, "icu": 1.0, "ijg": 1.0, "imagemagick": 0.9, "intel": 0.9, "ipa": 0.6, "ipl": 0.5, "isc": 1.0,
+    "jasper": 1.0, "json": 0.8, "latex2e": 0.8, "lgpl": 0.5, "libpng": 1.0, "liliq-p": 0.9, "liliq-r": 0.4, "lpl": 0.5, "lppl": 0.7, "mit": 1.0, "miros": 1.0, "motosoto": 0.5, "mpl": 0.6, "ms-pl": 0.8, "ms-rl": 0.4, "mulanpsl": 0.9,
+    "multics": 0.9, "nasa": 0.6, "naumen": 0.9, "ncsa": 1.0, "nist": 1.0, "nokia": 0.5, "nosl": 0.3, "nposl": 0.2, "npl": 0.5, "ntp": 1.0, "o-uda": 0.8, "oclc": 0.5, "odbl": 0.4, "odc-by": 0.8, "ofl": 0.7, "ogc": 0.9, "ogl": 0.8, "ogtsl": 0.7,
+    "oldap": 0.9, "openssl": 0.9, "opl": 0.5, "osl": 0.2, "parity": 0.1, "pddl": 1.0, "php": 0.9, "plexus": 1.0, "polyform": 0.1, "postgresql": 1.0, "prosperity": 0.1, "psf": 0.95, "python": 0.95, "qpl": 0.3, "rpl": 0.1, "rpsl": 0.4, "rscpl": 0.5,
+    "ruby": 0.8, "sgi": 0.9, "simpl": 0.3, "sissl": 0.5, "sleepycat": 0.3, "spl": 0.5, "sspl": 0.05, "tcl": 1.0, "ucl": 0.4, "unicode": 0.95, "unlicense": 1.0, "upl": 0.95, "vim": 0.6, "vsl": 0.9, "w3c": 0.95, "watcom": 0.4, "wtfpl": 1.0, "x11": 1.0,
+    "xnet": 1.0, "zend": 0.9, "zlib": 1.0, "zpl": 0.9,
+}
+FAMILY_LABELS = {"0bsd": "bsd", "bsl": "boost", "unlicense": "public-domain", "cc-pddc": "public-domain", "pddl": "public-domain"}
+#: Families by length, the longest first.
+IDENTIFIERS = [(f, FAMILY_LABELS.get(f, f), FAMILIES[f]) for f in sorted(FAMILIES, key=lambda f: (-len(f), f))]
 #: What each kind of evidence adds to the score, as independent chances.
 TAG_WEIGHT, BASE_WEIGHT, MORE_WEIGHT = 0.95, 0.8, 0.6
 
