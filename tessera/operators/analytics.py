@@ -88,7 +88,7 @@ def section_tiles(sections: DataFrame, questions: DataFrame, attempts: DataFrame
     """Every section once: its questions, attempts, accuracy, and which of them its note shows."""
     q = questions.groupBy("section").agg(F.count("*").alias("questions"))
     a = attempts.groupBy("section").agg(F.count("*").alias("attempts"), accuracy(F.col("correct"), F.col("total")).alias("accuracy_pct"))
-    out = F.broadcast(sections).join(q, "section", "left").join(a, "section", "left").fillna(0, ["questions", "attempts"])
+    out = sections.join(q, "section", "left").join(a, "section", "left").fillna(0, ["questions", "attempts"])
     note = F.when(F.col("accuracy_pct").isNotNull(), "accuracy").when(F.col("attempts") > 0, "attempts").when(F.col("questions") > 0, "untried").otherwise("empty")
     return out.select("section", "questions", "attempts", "accuracy_pct", note.alias("note"))
 

@@ -88,3 +88,17 @@ def test_sessions_of_a_stream(spark, tmp_path):
     query.awaitTermination()
     last = spark.table("runs").groupBy("session_id").agg(F.max_by(F.struct("*"), F.col("accepted") + F.col("rejected")).alias("r")).select("r.*").orderBy("session_id")
     assert [r.asDict() for r in last.collect()] == reduced(rows, 6000)
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    """Session 1 is idle for longer than the bound; its state goes, and that of the others stays."""
+    batches = [[(1, 0, "answer", 1_000, "q", "x"), (2, 0, "answer", 2_000, "q", "x")], [(2, 1, "answer", 60_000, "q", "y")], [(2, 2, "answer", 120_000, "q", "y")], [(2, 3, "answer", 125_000, "q", "z")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    query = stream_sessions(stream, None, "10 seconds").writeStream.outputMode("update").format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) == 2 and kept[-1] == 1
+    last = spark.table("idle").where("session_id = 2").agg(F.max("accepted")).first()[0]
+    assert last == 4
