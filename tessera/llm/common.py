@@ -5,14 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The separators of words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-#: A key is hot from HOT_ROWS rows on, and from 1 / HOT_KEYS of all rows on: at most HOT_KEYS keys are, however large the input.
+#: A key is hot from HOT_ROWS rows on; of more than HOT_KEYS such keys those with most rows are.
 HOT_ROWS, HOT_KEYS, SALTS = 256, 1 << 14, 64
 
 
@@ -42,20 +43,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def skew_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def hot_keys(rows: DataFrame, on: list[str]) -> list[Row]:
+    """The keys that most rows hold, above HOT_ROWS: at most HOT_KEYS of them, so others hold less than 1 / HOT_KEYS of all rows."""
+    counts = rows.groupBy(*on).count().where(F.col("count") > HOT_ROWS).dropna(subset=on)
+    return counts.orderBy(F.desc("count")).limit(HOT_KEYS).select(*on).collect()
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", hot: list[Row] | None = None) -> DataFrame:
     """big.join(small, on, how) for how inner or left, where the rows of one key of big don't meet in one task.
 
     Rows of hot keys are dealt over SALTS and meet a copy of small's rows of their key in each; all others are joined as
     they are.  small should hold one row for each key, and big be staged, since it is read more than once.  What is
-    broadcast are the keys of at most HOT_KEYS groups.
+    broadcast are the hot keys, HOT_KEYS at most; hot takes them where they are known already.
     """
-    least = max(HOT_ROWS, big.count() // HOT_KEYS)
-    hot = checkpointed(big.groupBy(*on).count().where(F.col("count") > least).dropna(subset=on).select(*on))
-    if hot.isEmpty():
+    hot = hot_keys(big, on) if hot is None else hot
+    if not hot:
         return big.join(small, on, how)
-    few, salts = F.broadcast(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    few = F.broadcast(big.sparkSession.createDataFrame(hot, StructType([big.schema[c] for c in on])))
     dealt = big.join(few, on, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
-    copied = small.join(few, on, "left_semi").withColumn("_salt", F.explode(salts))
+    copied = small.join(few, on, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(copied, [*on, "_salt"], how).drop("_salt").unionByName(big.join(few, on, "left_anti").join(small, on, how))
 
 

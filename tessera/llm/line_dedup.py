@@ -185,7 +185,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         index.add(part)
-    drops = skew_join(keys, index.repeated(), ["h1", "h2"]).where(F.col("doc_id") < F.col("max_doc"))
+    drops = skew_join(keys, staged(index.repeated()), ["h1", "h2"]).where(F.col("doc_id") < F.col("max_doc"))
     per_doc = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))  # one document's lines at most
     schema = ", ".join([KEPT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)])
     return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "drops", *carry).mapInArrow(_drop_lines(min_chars, len(carry)), schema)

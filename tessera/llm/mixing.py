@@ -114,6 +114,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         "key", F.col("words").alias("source_size"), "target", pick["size"].alias("at_size"), pick["k"].alias("at_k"), F.when(gap > 0, F.least(gap, pick["room"])).otherwise(-F.least(-gap, pick["room"])).alias("extra")
     )
     here = (F.col("size") == F.col("at_size")) & (F.col("k") == F.col("at_k"))
-    return skew_join(placed, ends, ["key"]).select(
+    return skew_join(placed, checkpointed(ends), ["key"]).select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies", (taken + F.when(here, F.col("extra")).otherwise(F.lit(0))).cast("long").alias("taken"), *carry
     )

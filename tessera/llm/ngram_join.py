@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT_KEYS, HOT_ROWS, SALTS, checkpointed, skew_join, staged
+from tessera.llm.common import HOT_KEYS, HOT_ROWS, SALTS, checkpointed, hot_keys, skew_join, staged
 from tessera.llm.shingles import mixed, shingle_set
 
 PERCENT = 80
@@ -221,9 +221,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = checkpointed(edges.select(F.col("p").alias("id"), F.col("rep").alias("to")).union(edges.select("rep", "p")).distinct())
     labels = checkpointed(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("component")))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salts, hubs = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), hot_keys(both, ["to"])
     while True:
-        near = skew_join(both, labels.withColumnRenamed("id", "to"), ["to"]).groupBy("id").agg(F.min("component").alias("near"))
+        near = skew_join(both, labels.withColumnRenamed("id", "to"), ["to"], hot=hubs).groupBy("id").agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("low"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
         # Few ids are labels, so their rows can stand once for each salt.
         jump = labels.join(step.select(F.col("low").alias("id")).distinct(), "id").select(F.col("id").alias("low"), F.col("component").alias("jumped"), salts)
@@ -264,7 +264,7 @@ def cells_of_pivots(regions: DataFrame) -> DataFrame:
     """
     central = regions.groupBy("rep").agg((F.sum("m") / F.max("n")).alias("central"))
     best = F.max(F.struct("central", (-F.col("rep")).alias("first"), F.col("rep").alias("p"), F.col("n").alias("np"))).alias("best")
-    pivots = regions.join(central, "rep").groupBy("key").agg(best).select("key", "best.p", "best.np")
+    pivots = staged(regions.join(central, "rep").groupBy("key").agg(best).select("key", "best.p", "best.np"))
     return staged(skew_join(regions, pivots, ["key"]).where("rep <> p").select("p", "np", "rep", "n").distinct())
 
 
@@ -439,7 +439,7 @@ def _cut_level(percent: int):
 def _sized(cells: DataFrame) -> DataFrame:
     """cells with m, the number of points of their region, without the regions that are finished."""
     info = cells.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("side").alias("one"), F.max("side").alias("other"), F.max("core").alias("any"))
-    left = info.where("low < high and any and (one < 0 or one < other)").select("key", "m")
+    left = checkpointed(info.where("low < high and any and (one < 0 or one < other)").select("key", "m"))
     return staged(skew_join(cells, left, ["key"]))
 
 
@@ -533,7 +533,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, i
     labels = components(measured.unionByName(more).where(linked).select("p", "rep"))
     sets = staged(points.where("n > 0").select("doc_id", "n", "s1", "s2"))
     classes = sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    named = staged(classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")))
     out = skew_join(sets, named, ["s1", "s2"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
     bare = points.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return out.unionByName(bare).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
