@@ -1,4 +1,4 @@
-"""Queries of exam documents, sessions and the workspace (X3, X8, X9, X16, X19, X20, L12, L16, L20, R1, R7, R10, R14 to R17, R19, S11, S13, S21, V2, V9, V14, V20, G9, G13, K12, H4, H7 to H11)."""
+"""Queries of exam documents, sessions and the workspace (X3, X8, X9, X16, X19, X20, L12, L16, L20, R1, R7, R10, R14 to R17, R19, V1, V3, S11, S13, S21, V2, V9, V14, V20, G9, G13, K12, H4, H7 to H11)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import exam as e
 from tessera.operators import extract as x
+from tessera.operators import packages as pk
 from tessera.operators import runs as r
 from tessera.operators import sentences as sent
 from tessera.operators import sessions as s
@@ -569,3 +570,57 @@ def h11_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = o.select(k.alias("job_id"), (k % 3).alias("chunk_id"), F.when(k % 3 == 2, "failed").otherwise("completed").alias("state"), F.sha2(k.cast("string"), 256).alias("checkpoint"))
     jobs = o.select(k.alias("job_id"), F.col("o_custkey").alias("material_id"), F.when(k % 4 == 0, "failed").otherwise("completed").alias("state"), F.lit(1).alias("revision"), F.when(k % 5 == 0, 2).otherwise(1).alias("now_revision"))
     return w.ocr_proofs(evidence, chunks, jobs).select("ref", "job_id", "chunk_id", "page", "material_id")
+
+
+_PACKED = """q as (select o_orderkey as id, o_custkey as pack, (['single_choice','sentence_order','fill_blank','listen_repeat','essay'])[o_orderkey % 5 + 1] as type, o_orderkey % 7 as k, o_orderkey % 11 as m, o_orderkey % 13 as t from orders),
+i as (select *, case when m = 0 then 'bad id' when m = 1 then 'same' else 'q' || id end as qid, case when k = 0 then ['A'] when k = 1 then ['A', 'A'] else ['A', 'B'] end as opts, case when k = 2 then [] when k = 3 then ['C'] when k = 4 then ['A', 'B'] when k = 5 then ['A', 'A'] else ['A'] end as ans, case when t = 1 then 7201 when t = 2 then -1 when t = 3 then 0 end as tl from q)"""
+
+
+@query(f"""with {_PACKED}, r as (
+select id, 'error' as severity, 'id empty or with other characters' as message from i where m = 0 union all select id, 'error', 'unknown type' from i where type = 'essay' union all select id, 'error', 'prompt empty' from i where m = 2
+union all select id, 'error', 'option id twice' from i where k = 1 union all select id, 'error', 'fewer than two options' from i where type in ('single_choice', 'sentence_order') and k = 0
+union all select id, 'warning', 'no standard answer' from i where type in ('single_choice', 'fill_blank', 'sentence_order') and len(ans) = 0 union all select id, 'error', 'answer is no option' from i where type = 'single_choice' and len(ans) > 0 and not (len(ans) = 1 and list_contains(opts, ans[1]))
+union all select id, 'error', 'order does not fill the slots' from i where type = 'sentence_order' and len(ans) > 0 and not (len(ans) = len(opts) and len(list_distinct(ans)) = len(ans) and len(list_filter(ans, lambda a: not list_contains(opts, a))) = 0)
+union all select id, 'warning', 'no sentence to repeat' from i where type = 'listen_repeat' and len(ans) = 0 union all select id, 'error', 'several sentences to repeat' from i where type = 'listen_repeat' and len(ans) > 1
+union all select id, 'error', 'time out of bounds' from i where t in (1, 2) union all select id, 'error', 'question id twice' from (select id, row_number() over (partition by pack, qid order by id) as n from i) where n > 1),
+g as (select c_custkey as id, case when c_custkey % 4 = 0 then 'maths' else 'reading' end as section, (select count(*) from orders where o_custkey = c_custkey) as n from customer)
+select severity, message, 'q' || id as path from r union all select 'error', 'unknown section', 'g' || id from g where section = 'maths' union all select 'error', 'group without questions', 'g' || id from g where n = 0
+union all select 'error', 'unknown schema version', 'p' || c_custkey from customer where c_custkey % 9 = 0 union all select 'error', 'not 1 to 100 groups', 'p' || c_custkey from customer where c_custkey % 10 = 0 union all select 'error', 'title empty', 'p' || c_custkey from customer where c_custkey % 14 = 0""")
+def v1_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: the rules of packages, groups and questions, each table in one pass, and ids used twice."""
+    o, k = c.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    letters = lambda *x_: F.array(*map(F.lit, x_))
+    none = F.array().cast("array<string>")
+    ids = F.when(k % 7 == 0, letters("A")).when(k % 7 == 1, letters("A", "A")).otherwise(letters("A", "B"))
+    answer = F.when(k % 7 == 2, none).when(k % 7 == 3, letters("C")).when(k % 7 == 4, letters("A", "B")).when(k % 7 == 5, letters("A", "A")).otherwise(letters("A"))
+    questions = o.select(
+        F.col("o_custkey").alias("pack"), F.concat(F.lit("q"), F.lpad(k.cast("string"), 12, "0")).alias("path"), F.when(k % 11 == 0, "bad id").when(k % 11 == 1, "same").otherwise(F.concat(F.lit("q"), k)).alias("id"),
+        _pick(k % 5, "single_choice", "sentence_order", "fill_blank", "listen_repeat", "essay").alias("type"), F.when(k % 11 == 2, " ").otherwise("Why?").alias("prompt"), F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit("t").alias("text"))).alias("options"), answer.alias("answer"),
+        F.lit(None).cast("int").alias("slots"), F.lit(None).cast("string").alias("frame"), F.when(k % 13 == 1, 7201).when(k % 13 == 2, -1).when(k % 13 == 3, 0).alias("time_limit"), F.lit(None).cast("int").alias("prepare"), F.lit(False).alias("interaction"),
+    )
+    cust = c.table(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey").cast("string"))
+    n = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_questions"))
+    cust = cust.join(n, "c_custkey", "left").withColumn("n_questions", F.coalesce("n_questions", F.lit(0)))
+    ck = F.col("c_custkey")
+    groups = cust.select(ck.alias("pack"), F.concat(F.lit("g"), "id").alias("path"), "id", F.when(ck % 4 == 0, "maths").otherwise("reading").alias("section"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("passage"), "n_questions")
+    packs = cust.select(F.concat(F.lit("p"), "id").alias("path"), F.when(ck % 9 == 0, 3).otherwise(2).alias("schema_version"), "id", F.lit("1").alias("version"), F.when(ck % 14 == 0, "").otherwise("t").alias("title"), F.lit("").alias("rights"), F.when(ck % 10 == 0, 0).otherwise(1).alias("n_groups"), F.lit(5).alias("n_questions"))
+    out = pk.package_issues(packs, groups, questions)
+    return out.withColumn("path", F.regexp_replace("path", r"^q0*(?=\d)", "q"))
+
+
+@query("""with t as (select o_orderkey as id, (['module','task','inherit_module','none','other'])[o_orderkey % 5 + 1] as scope, case o_orderkey % 4 when 0 then 60 when 1 then 0 when 2 then 7201 end as d, case o_orderkey % 3 when 0 then 10 end as p, (['document','unknown','guess'])[o_orderkey % 7 % 3 + 1] as basis, o_orderkey % 2 = 0 as inh from orders),
+i as (select id, 'unknown scope' as m from t where not (scope in ('module', 'task', 'question', 'none') or inh and scope = 'inherit_module') union all select id, 'inherited timing with seconds' from t where scope = 'inherit_module' and (d is not null or p is not null)
+union all select id, 'duration out of bounds' from t where d is not null and d not between 1 and 7200 union all select id, 'unknown basis' from t where basis = 'guess' union all select id, 'untimed with a duration' from t where scope = 'none' and d is not null
+union all select id, 'seconds of unknown origin' from t where scope <> 'inherit_module' and basis = 'unknown' and (d is not null or p is not null))
+select 'error' as severity, m as message, 't' || id as path from i union all select 'error', 'unknown way back', 'n' || p_partkey from part where p_partkey % 4 = 3 union all select 'error', 'lock_on_advance missing', 'n' || p_partkey from part where p_partkey % 5 = 0
+union all select 'error', 'neither text nor audio', 'd' || p_partkey from part where p_partkey % 6 = 0 union all select 'error', 'verified by its file name', 'd' || p_partkey from part where p_partkey % 3 = 1 and p_partkey % 2 = 0""")
+def v3_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: timings, navigations and directions of exam settings."""
+    k, p = F.col("o_orderkey"), F.col("p_partkey")
+    timings = c.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("t"), k).alias("path"), _pick(k % 5, "module", "task", "inherit_module", "none", "other").alias("scope"), F.when(k % 4 < 3, _pick(k % 4, 60, 0, 7201, 0)).alias("duration"), F.when(k % 3 == 0, 10).alias("prepare"), _pick(k % 7 % 3, "document", "unknown", "guess").alias("basis"), (k % 2 == 0).alias("may_inherit")
+    )
+    parts = c.table(spark, sf_dir, "part")
+    navigations = parts.select(F.concat(F.lit("n"), p).alias("path"), _pick(p % 4, "module", "task", "none", "anywhere").alias("back"), F.lit("none").alias("review"), F.when(p % 5 != 0, True).alias("lock_on_advance"))
+    directions = parts.select(F.concat(F.lit("d"), p).alias("path"), F.lit("d1").alias("id"), F.when(p % 6 != 0, "Listen.").alias("text"), F.lit(None).cast("string").alias("audio"), _pick(p % 3, "document", "filename", "user").alias("basis"), (p % 2 == 0).alias("verified"))
+    return pk.setting_issues(timings, navigations, directions)

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import exam, extract, lineage, resolve, sentences, sessions, verify, workspace
+from tessera.operators import exam, extract, lineage, packages, resolve, sentences, sessions, verify, workspace
 
 LINE = "doc string, page int, line_no int, text string"
 
@@ -210,3 +210,21 @@ def test_capacity_of_sessions(spark, monkeypatch):
     libraries, legacy = spark.createDataFrame([(1, "h")], "library_id int, content_hash string"), spark.createDataFrame([], "legacy_id int, library_id int, mode string")
     held = spark.createDataFrame([(9, None, False)], "session_id int, legacy_id int, finished boolean")
     assert [r.state for r in sessions.create_sessions(requests, libraries, legacy, held).orderBy("request_id").collect()] == ["created", "created", "full", "full"]
+
+
+def test_rules_of_packages(spark):
+    question = "pack string, path string, id string, type string, prompt string, options array<struct<id:string,text:string>>, answer array<string>, slots int, frame string, time_limit int, prepare int, interaction boolean"
+    ab = [("A", "a"), ("B", "b")]
+    rows = [
+        ("p", "q1", "q1", "single_choice", "x", ab, ["B"], None, None, 60, 0, False), ("p", "q2", "q2", "sentence_order", "x", ab, ["B"], 1, "so __ it", None, None, False), ("p", "q3", "q3", "sentence_order", "x", ab, ["A", "B"], 3, "so __ it", None, None, False),
+        ("p", "q4", "q4", "single_choice", "x", [], ["any"], None, None, None, None, True), ("p", "q5", "q1", "email", "x", [], None, None, None, 7200, None, False), ("p", "q6", "q6", "fill_blank", "x", [], [" "], None, None, None, 9000, False), ("r", "q7", "q1", "email", "x", [("A", "")], None, None, None, None, None, False),
+    ]
+    group = spark.createDataFrame([("p", "g1", "g1", "reading", "t", "x", 1), ("p", "g2", "g1", "reading", " ", "x" * 500_001, 0)], "pack string, path string, id string, section string, title string, passage string, n_questions int")
+    pack = spark.createDataFrame([("p", 2, "é.1-a", "1", "t" * 301, None, 2, 1001), ("r", 1, "-x", "", "t", None, 101, 1)], "path string, schema_version int, id string, version string, title string, rights string, n_groups int, n_questions int")
+    found = packages.package_issues(pack, group, spark.createDataFrame(rows, question)).collect()
+    assert {(r.path, r.message) for r in found} == {
+        ("q3", "slots differ from the frame"), ("q3", "more slots than options"), ("q3", "order does not fill the slots"), ("q5", "question id twice"), ("q6", "no standard answer"), ("q6", "preparation out of bounds"), ("q7", "option without id or text"),
+        ("g2", "group id twice"), ("g2", "title empty"), ("g2", "passage too long"), ("g2", "group without questions"), ("p", "title too long"), ("p", "more than 1000 questions"), ("r", "id empty or with other characters"), ("r", "version empty"), ("r", "not 1 to 100 groups"),
+    }
+    times = {r.path: r.time_limit for r in packages.default_times(spark.createDataFrame(rows, question)).collect()}
+    assert times == {"q1": 60, "q2": 60, "q3": 60, "q4": 60, "q5": 7200, "q6": 60, "q7": 420}
