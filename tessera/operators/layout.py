@@ -164,7 +164,7 @@ def repeated_margins(blocks: DataFrame, doc: list[str], role_top: float = 0.07,
 
 def joined_rows(blocks: DataFrame, by: list[str]) -> DataFrame:
     """Neighbours on one baseline and in one region as one line, unless a gutter of 24 parts them."""
-    w = Window.partitionBy(*by, "row").orderBy("x0")
+    w = Window.partitionBy(*by, "row").orderBy("x0", "text")
     cut = F.coalesce(F.col("x0") - F.lag("x1").over(w) > 24, F.lit(False)).cast("int")
     t = blocks.withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(w))
     return t.groupBy(*by, "row", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))

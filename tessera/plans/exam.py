@@ -1,4 +1,4 @@
-"""Queries of exam documents, sessions and the workspace (X3, X8, X9, X16, X19, X20, L12, L16, L20, R1, R7, R10, R14 to R17, R19, V1, V3, S11, S13, S21, V2, V9, V14, V20, G9, G13, K12, H4, H7 to H11)."""
+"""Queries of exam documents, sessions and the workspace (X3, X8, X9, X16, X19, X20, L6, L12, L16, L20, R1, R7, R10, R14 to R17, R19, V1, V3, S11, S13, S21, V2, V9, V14, V20, G9, G13, K12, H4, H7 to H11)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import exam as e
 from tessera.operators import extract as x
+from tessera.operators import layout as l
 from tessera.operators import packages as pk
 from tessera.operators import runs as r
 from tessera.operators import sentences as sent
@@ -232,6 +233,16 @@ def l16_ocr_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "run", "text", F.round("x", 6).alias("x"), F.round("width", 6).alias("width"), "confidence", "low_confidence")
 
 
+@query("""with i as (select l_orderkey, l_linenumber % 2 as row_no, l_partkey % 9 * 60.0 + l_linenumber as x0, l_partkey % 9 * 60.0 + l_linenumber + 40 as x1, 'w' || l_suppkey as text from lineitem),
+g as (select *, case when x0 - lag(x1) over o > 24 then 1 else 0 end as cut from i window o as (partition by l_orderkey, row_no order by x0, text)), r as (select *, sum(cut) over (partition by l_orderkey, row_no order by x0, text) as part from g)
+select l_orderkey, row_no as "row", part::bigint as part, string_agg(text, ' ' order by x0, text) as text, min(x0)::double as x0, max(x1)::double as x1 from r group by 1, 2, 3""")
+def l6_joined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours on one baseline as one line, unless a gutter parts them."""
+    x0 = (F.col("l_partkey") % 9 * 60 + F.col("l_linenumber")).cast("double")
+    blocks = c.table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 2).alias("row"), x0.alias("x0"), (x0 + 40).alias("x1"), F.concat(F.lit("w"), "l_suppkey").alias("text"))
+    return l.joined_rows(blocks, ["l_orderkey"])
+
+
 @query("""with o as (select o_custkey as page, o_orderkey as id, row_number() over w as n, count(*) over (partition by o_custkey) as m from orders window w as (partition by o_custkey order by o_orderkey))
 select page, string_agg(id::varchar, chr(10) order by n) filter (where n <= 2) as prompt, string_agg(id::varchar, chr(10) order by n) filter (where n between 3 and 5) as first_post, string_agg(id::varchar, chr(10) order by n) filter (where n > 5) as second_post
 from o where m between 6 and 12 and page % 3 <> 0 group by 1""")
