@@ -247,13 +247,11 @@ def region_rows(points: DataFrame, docs: DataFrame, size: int, percent: int) ->
     rows = chosen.select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("key"))
     if not hot:
         return staged(rows.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"))
-    # A window would bring a hot region into one task.
-    rows = staged(rows)
-    keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], "key long"))
-    cold = rows.join(keys, "key", "left_anti").withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    inside = rows.join(keys, "key", "left_semi")
-    counts = F.broadcast(checkpointed(inside.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")))
-    return staged(cold.unionByName(inside.join(counts, "key").select(*cold.columns)))
+    # A window would bring a hot region into one task, so it is dealt over salts, each of which stands for its share.
+    keys = F.broadcast(spark.createDataFrame([(k, True) for k in hot], "key long, hot boolean"))
+    rows = rows.join(keys, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0))
+    m = F.count("*").over(Window.partitionBy("key", "salt")) * F.when(F.col("hot"), SALTS).otherwise(1)
+    return staged(rows.withColumn("m", m).where("m > 1").select("rep", "n", "key", "m"))
 
 
 def cells_of_pivots(regions: DataFrame) -> DataFrame:
