@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.staging import checkpoint_dir
 from tessera.functions.hashing import content_hash
 from tessera.functions.text import natural_key
 from tessera.operators import extract as x
@@ -349,22 +350,10 @@ _WALK = f"""with recursive {_EDGES}, w as (select 'r' || r_regionkey as root, 'r
 select root, node, min(depth) as depth from w group by 1, 2"""
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset on a local master (tests)."""
-    import tempfile
-
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
-
-
 @query(_WALK)
 def g5_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that the regions reach, by a frontier loop."""
-    _checkpoints(spark)
+    checkpoint_dir(spark)
     return g.closure(c.table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("root")), _edges(spark, sf_dir))
 
 
