@@ -15,9 +15,11 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,12 +38,10 @@ _SAFE = re.compile(f"(?<=[{_PLAIN}])(?=[ \n][{_PLAIN}])")
 _ODD = re.compile(f"[^{_PLAIN} \n]|[ \n](?![{_PLAIN}])")
 _CUT = re.compile("[ \n][^ \n]+")
 
-BLOCKS = """block long, doc_id long, codes binary, n_a binary, n_b binary, n_groups binary, groups array<string>,
-    link_ends binary, link_pairs binary, pairs array<struct<a: int, b: int, n: bigint>>"""
+BLOCKS = "block long, doc_id long, codes binary, sizes binary, link_pairs binary, link_starts binary, pairs array<struct<a: int, b: int, n: bigint>>"
 _BLOCKS = pa.schema(
     [
-        ("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("n_a", pa.binary()), ("n_b", pa.binary()), ("n_groups", pa.binary()),
-        ("groups", pa.list_(pa.string())), ("link_ends", pa.binary()), ("link_pairs", pa.binary()),
+        ("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("sizes", pa.binary()), ("link_pairs", pa.binary()), ("link_starts", pa.binary()),
         ("pairs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))),
     ]
 )
@@ -81,7 +81,7 @@ def _byte_tokenizer(path: str):
         data[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
     merge = _merger(path)
     if merge:
-        return (lambda texts: [merge(x) for x in texts]), data
+        return (lambda texts: list(map(merge, texts))), data
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
@@ -109,8 +109,18 @@ def _piece_tokenizer(path: str):
     return encode, data, safe
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[0] .. starts[0] + sizes[0] - 1, starts[1] .. and so on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class _Aligner:
-    """The alignments of cuts that a worker has seen: ids, links and groups by a cut's number."""
+    """The alignments of cuts that a worker has seen, by a cut's number: (n_a, n_b, n_groups, n_links), and its links.
+
+    A link is A's id << 32 | B's id, in the order of the text; where it is the first of its A token bit 0 is set in
+    `first`, of its B token bit 1.  Both are set where a group begins.
+    """
 
     def __init__(self, byte_path: str, piece_path: str):
         self.encode_a, self.bytes_a = _byte_tokenizer(byte_path)
@@ -120,106 +130,96 @@ class _Aligner:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.n_a, self.n_b, self.n_groups, self.groups, self.links = [], [], [], [], []
+        self.bad: set[int] = set()
+        self.sizes, self.links, self.first = [np.empty((0, 4), np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
 
     def cuts(self, text: str) -> list[str]:
         return cuts_of(text) if self.safe else [" " + text]
 
+    def _given_back(self, cuts: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
+        """Whether both tokenizers give each cut back byte by byte."""
+        return [b"".join([self.bytes_a[i] for i in a]) == x.encode("utf-8", "surrogatepass") == b"".join([self.bytes_b[i] for i in b]) for x, a, b in zip(cuts, ids_a, ids_b, strict=True)]
+
     def learn(self, cuts: list[str]) -> None:
-        """Align new cuts.  One that a tokenizer does not give back byte by byte gets no tokens and n_a = -1."""
-        good: list[tuple[str, list[int], list[int]]] = []
-        ids_a, ids_b = self.encode_a(cuts), self.encode_b(cuts)
-        for cut, a, b in zip(cuts, ids_a, ids_b, strict=True):
-            whole = cut.encode("utf-8", "surrogatepass")
-            if b"".join([self.bytes_a[i] for i in a]) == whole == b"".join([self.bytes_b[i] for i in b]):
-                good.append((cut, a, b))
-            else:
-                self._put(cut, -1, -1, 0, "", np.empty(0, np.int64))
-        if not good:
+        """Align new cuts.  One that a tokenizer does not give back gets no tokens and is bad."""
+        if not cuts:
             return
-        n_a, n_b = (np.fromiter((len(x[k]) for x in good), np.int64, len(good)) for k in (1, 2))
-        a = np.fromiter((i for x in good for i in x[1]), np.int64, int(n_a.sum()))
-        b = np.fromiter((i for x in good for i in x[2]), np.int64, int(n_b.sum()))
-        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        ids_a, ids_b = self.encode_a(cuts), self.encode_b(cuts)
+        n_a, n_b, a, b, ends_a, ends_b = self._tokens(ids_a, ids_b)
+        sizes = np.zeros((len(cuts), 4), np.int32)
+        # All at once, as nearly all are given back; else one by one.
+        whole = "".join(cuts).encode("utf-8", "surrogatepass")
+        last = np.cumsum(np.fromiter((len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in cuts), np.int64, len(cuts)))
+        same = bool(n_a.all() and n_b.all()) and np.array_equal(ends_a[np.cumsum(n_a) - 1], last) and np.array_equal(ends_b[np.cumsum(n_b) - 1], last)
+        if not (same and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole == b"".join(map(self.bytes_b.__getitem__, b.tolist()))):
+            kept = self._given_back(cuts, ids_a, ids_b)
+            self.bad.update(len(self.number) + i for i, k in enumerate(kept) if not k)
+            ids_a, ids_b = ([x if k else [] for x, k in zip(ids, kept, strict=True)] for ids in (ids_a, ids_b))
+            n_a, n_b, a, b, ends_a, ends_b = self._tokens(ids_a, ids_b)
         # Between two neighbouring ends of any token lies one overlap, of one A and one B token.
         ends = np.union1d(ends_a, ends_b)
         u, v = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         root = components(len(a) + len(b), u, v + len(a))
-        link = (a[u] << 32) | b[v]
-        # Groups are stretches of tokens; those of A and B come in the same order.
-        new_a, new_b = np.flatnonzero(np.diff(root[: len(a)], prepend=-1)), np.flatnonzero(np.diff(root[len(a) :], prepend=-1))
-        stop_a, stop_b = np.append(new_a[1:], len(a)), np.append(new_b[1:], len(b))
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(new_a.tolist(), stop_a.tolist(), new_b.tolist(), stop_b.tolist(), strict=True)]
-        last_a = np.cumsum(n_a)
-        group_end = np.searchsorted(stop_a, last_a, "right")
-        link_end = np.searchsorted(ends, ends_a[last_a - 1], "right")
-        g0 = l0 = 0
-        for (cut, x, y), g1, l1 in zip(good, group_end.tolist(), link_end.tolist(), strict=True):
-            self._put(cut, len(x), len(y), g1 - g0, ";".join(groups[g0:g1]), link[l0:l1].copy())
-            g0, l0 = g1, l1
-
-    def _put(self, cut: str, n_a: int, n_b: int, n_groups: int, groups: str, links: np.ndarray) -> None:
-        self.number[cut] = len(self.n_a)
-        self.n_a.append(n_a)
-        self.n_b.append(n_b)
-        self.n_groups.append(n_groups)
-        self.groups.append(groups)
-        self.links.append(links)
+        begins = np.diff(root[: len(a)], prepend=-1) != 0  # groups are stretches of tokens
+        new_a, new_b = np.diff(u, prepend=-1) != 0, np.diff(v, prepend=-1) != 0
+        sizes[:, 0], sizes[:, 1] = n_a, n_b
+        cut_of_a = np.repeat(np.arange(len(cuts)), n_a)
+        sizes[:, 2] = np.bincount(cut_of_a[begins], minlength=len(cuts))
+        sizes[:, 3] = np.bincount(cut_of_a[u], minlength=len(cuts))
+        self.number.update(zip(cuts, range(len(self.number), len(self.number) + len(cuts)), strict=True))
+        self.sizes.append(sizes)
+        self.links.append((a[u] << 32) | b[v])
+        self.first.append(new_a.astype(np.uint8) | (new_b.astype(np.uint8) << 1))
+
+    def _tokens(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[np.ndarray, ...]:
+        """Tokens for each cut, all ids, and where each token ends in the joined bytes of the cuts, for A and B."""
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
+        return n_a, n_b, a, b, np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
 
     def codes(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The numbers of each text's cuts; None for texts without tokens."""
         cut = [self.cuts(x) if x else None for x in texts]
-        distinct: dict[str, None] = {}
+        distinct: set[str] = set()
         for x in cut:
             if x:
-                distinct.update(dict.fromkeys(x))
+                distinct.update(x)
         self.learn([x for x in distinct if x not in self.number])
         out: list[np.ndarray | None] = []
         for x in cut:
             numbers = None if x is None else list(map(self.number.__getitem__, x))
-            bad = numbers is None or min(map(self.n_a.__getitem__, set(numbers))) < 0
-            out.append(None if bad else np.array(numbers, np.int64))
+            out.append(None if numbers is None or (self.bad and not self.bad.isdisjoint(numbers)) else np.array(numbers, np.int32))
         return out
 
     def trim(self) -> None:
-        """Forget everything where too much is kept, and cuts that are very long."""
+        """Forget everything where much is kept: many cuts, or one that is very long."""
         if len(self.number) > CACHE_ENTRIES or any(len(x) > CACHE_LENGTH for x in self.number):
-            keep = [] if len(self.number) > CACHE_ENTRIES else [(x, i) for x, i in self.number.items() if len(x) <= CACHE_LENGTH]
-            rows = [(x, self.n_a[i], self.n_b[i], self.n_groups[i], self.groups[i], self.links[i]) for x, i in keep]
             self.clear()
-            for row in rows:
-                self._put(*row)
 
     def block(self, block: int, ids: list[int | None], codes: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
         """A row for each document and one for the dictionary of their cuts."""
+        self.sizes, self.links, self.first = [np.concatenate(self.sizes)], [np.concatenate(self.links)], [np.concatenate(self.first)]
         there = [x for x in codes if x is not None]
-        flat = np.concatenate(there) if there else np.empty(0, np.int64)
-        used, local, times = np.unique(flat, return_inverse=True, return_counts=True)
-        links = [self.links[i] for i in used.tolist()]
-        sizes = np.fromiter(map(len, links), np.int64, len(links))
-        keys, place = np.unique(np.concatenate(links) if links else np.empty(0, np.int64), return_inverse=True)
+        used, local, times = np.unique(np.concatenate(there) if there else np.empty(0, np.int32), return_inverse=True, return_counts=True)
+        sizes = self.sizes[0][used]
+        n_links = self.sizes[0][:, 3].astype(np.int64)
+        at_links = _ragged((np.cumsum(n_links) - n_links)[used], n_links[used])
+        keys, place = np.unique(self.links[0][at_links], return_inverse=True)
         n = np.zeros(len(keys), np.int64)
-        np.add.at(n, place, np.repeat(times, sizes))
+        np.add.at(n, place, np.repeat(times, sizes[:, 3]))
         local, at, rows = local.astype("<i4"), 0, []
         for x in codes:
             size = 0 if x is None else len(x)
             rows.append(local[at : at + size].tobytes())
             at += size
-        step = 512
-        for low in range(0, len(ids), step):
-            part = slice(low, low + step)
+        for low in range(0, len(ids), ROWS):
+            part = slice(low, low + ROWS)
             given = {"block": [block] * len(ids[part]), "doc_id": ids[part], "codes": rows[part]}
             yield pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(len(ids[part]), f.type) for f in _BLOCKS], schema=_BLOCKS)
-
-        def taken(x: list[int]) -> bytes:
-            return np.fromiter((x[i] for i in used.tolist()), "<i4", len(used)).tobytes()
-
         pairs = pa.StructArray.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
         one = {
-            "block": pa.array([block]), "n_a": pa.array([taken(self.n_a)]), "n_b": pa.array([taken(self.n_b)]), "n_groups": pa.array([taken(self.n_groups)]),
-            "groups": pa.array([[self.groups[i] for i in used.tolist()]], pa.list_(pa.string())), "link_ends": pa.array([np.cumsum(sizes).astype("<i8").tobytes()]),
-            "link_pairs": pa.array([place.astype("<i4").tobytes()]), "pairs": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pairs),
+            "block": pa.array([block]), "sizes": pa.array([sizes.astype("<i4").tobytes()]), "link_pairs": pa.array([place.astype("<i4").tobytes()]), "link_starts": pa.array([self.first[0][at_links].tobytes()]),
+            "pairs": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pairs),
         }
         yield pa.RecordBatch.from_arrays([one[f.name].cast(f.type) if f.name in one else pa.nulls(1, f.type) for f in _BLOCKS], schema=_BLOCKS)
 
@@ -268,35 +268,51 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
 
 
+def _written(pairs: np.ndarray, a: np.ndarray, b: np.ndarray, starts: np.ndarray, n_groups: np.ndarray) -> list[str]:
+    """The groups of each cut as text, from the links' pairs (ids a and b by pair) in order and what begins at each.
+
+    Most groups are one token each side, so their text is that of their pair and is made once.
+    """
+    group = np.flatnonzero(starts == 3)
+    first_a, first_b = (starts & 1) > 0, (starts & 2) > 0
+    # How many tokens of either kind stand before each group.
+    before_a, before_b = (np.append((np.cumsum(first) - 1)[group], np.count_nonzero(first)) for first in (first_a, first_b))
+    single = (np.diff(before_a) == 1) & (np.diff(before_b) == 1)
+    out = np.empty(len(group), object)
+    out[single] = np.array([f"{x}|{y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)], object)[pairs[group[single]]]
+    tokens_a, tokens_b = a[pairs[first_a]], b[pairs[first_b]]
+    many = np.flatnonzero(~single)
+    bounds = zip(before_a[many].tolist(), before_a[many + 1].tolist(), before_b[many].tolist(), before_b[many + 1].tolist(), strict=True)
+    out[many] = [",".join(map(str, tokens_a[i:j].tolist())) + "|" + ",".join(map(str, tokens_b[k:m].tolist())) for i, j, k, m in bounds]
+    groups, ends = out.tolist(), np.cumsum(n_groups).tolist()
+    return [";".join(groups[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+
+
 def _sums(rows: pa.Table, counts: pa.Table) -> pa.Table:
     """The documents of one block with the counts of their links."""
-    rows = rows.combine_chunks()
-    known = pa.compute.is_valid(rows.column("link_ends"))
+    known = pc.is_valid(rows.column("sizes"))
     head = rows.filter(known).to_pylist()[0]
-    docs = rows.filter(pa.compute.invert(known))
-    n_a, n_b, n_groups, pairs = (np.frombuffer(head[c], "<i4") for c in ("n_a", "n_b", "n_groups", "link_pairs"))
-    ends = np.frombuffer(head["link_ends"], "<i8")
-    count, best = np.zeros(counts.num_rows, np.int64), np.zeros(counts.num_rows, np.int64)
-    k = counts.column("k").to_numpy()
-    count[k] = counts.column("count").to_numpy()
-    best[k] = counts.column("best").to_numpy(zero_copy_only=False)
+    docs = rows.filter(pc.invert(known))
+    sizes, pairs, starts = np.frombuffer(head["sizes"], "<i4").reshape(-1, 4).astype(np.int64), np.frombuffer(head["link_pairs"], "<i4"), np.frombuffer(head["link_starts"], np.uint8)
+    order = np.argsort(counts.column("k").to_numpy())
+    a, b, count, best = (counts.column(c).to_numpy(zero_copy_only=False)[order] for c in ("a", "b", "count", "best"))
+    ends = np.cumsum(sizes[:, 3])
 
     def of_cuts(values: np.ndarray) -> np.ndarray:
         """Sums over the links of each cut."""
         before = np.concatenate(([0], np.cumsum(values[pairs])))
-        return before[ends] - before[np.concatenate(([0], ends[:-1]))] if len(ends) else np.empty(0, np.int64)
+        return before[ends] - before[ends - sizes[:, 3]]
 
-    links = np.diff(ends, prepend=0) if len(ends) else np.empty(0, np.int64)
-    per_cut = (n_a, n_b, n_groups, links, of_cuts(best), of_cuts(count))
-    sums: list[list[int]] = [[] for _ in per_cut]
-    groups = []
+    per_cut = np.column_stack([sizes, of_cuts(best.astype(np.int64)), of_cuts(count)])
+    written = _written(pairs, a, b, starts, sizes[:, 2])
+    sums, groups = [], []
     for data in docs.column("codes").to_pylist():
         codes = np.frombuffer(data, "<i4")
-        for out, values in zip(sums, per_cut, strict=True):
-            out.append(int(values[codes].sum()) if len(codes) else 0)
-        groups.append(";".join(map(head["groups"].__getitem__, codes.tolist())))
+        sums.append(per_cut[codes].sum(axis=0))
+        groups.append(";".join(map(written.__getitem__, codes.tolist())))
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    return pa.table({"doc_id": docs.column("doc_id"), **{c: pa.array(x, pa.int64()) for c, x in zip(names, sums, strict=True)}, "groups": pa.array(groups, pa.string())})
+    columns = np.array(sums, np.int64).reshape(-1, len(names)).T
+    return pa.table({"doc_id": docs.column("doc_id"), **{c: pa.array(x) for c, x in zip(names, columns, strict=True)}, "groups": pa.array(groups, pa.string())})
 
 
 def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -311,5 +327,5 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, id_col: s
     blocks = staged(cut_blocks(docs, byte_path, piece_path, id_col, text_col, block_chars))
     pairs = block_pairs(blocks)
     counts = staged(pair_counts(pairs))
-    counted = pairs.join(counts, ["a", "b"]).select(F.col("block").alias("of_block"), "k", "count", "best")
+    counted = pairs.join(counts, ["a", "b"]).select(F.col("block").alias("of_block"), "k", "a", "b", "count", "best")
     return blocks.drop("pairs").groupBy("block").cogroup(counted.groupBy("of_block")).applyInArrow(_sums, ALIGNED)
