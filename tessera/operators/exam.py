@@ -5,7 +5,9 @@ Lines have a document, a page, a place in it (line_no) and a text.  Everything i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -131,51 +133,35 @@ def objective_keys(lines: DataFrame, doc: list[str]) -> DataFrame:
 INSERTION = r"(?is)^(.*?sentence best fit\?)\s+(.+?)\s+(\(A\).+)$"
 
 
-def _flat_offsets(text: str) -> tuple[str, list[int]]:
-    """A text with white space runs as one space, and where each of its characters stands in UTF-16 units."""
-    out: list[str] = []
-    at: list[int] = []
-    units = 0
-    for ch in text:
-        if ch.isspace():
-            if out and out[-1] != " ":
-                out.append(" ")
-                at.append(units)
-        else:
-            out.append(ch)
-            at.append(units)
-        units += 1 if ord(ch) < 0x10000 else 2
-    if out and out[-1] == " ":
-        out.pop()
-        at.pop()
-    at.append(at[-1] + (1 if ord(out[-1]) < 0x10000 else 2) if at else 0)
-    return "".join(out), at
+def insertion_places(passage: str | None, marked: str | None) -> list[int] | None:
+    """UTF-16 offsets in a passage of the marks (A) to (D) of a paragraph that stands in it exactly once; None otherwise.
 
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _insertions(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Offsets of (A) to (D) of a marked paragraph in a passage that holds the paragraph exactly once, else null."""
-
-    def places(passage: str | None, marked: str | None) -> list[int] | None:
-        pieces = [] if not marked else [marked[: marked.find(f"({c})")] for c in "ABCD" if marked.count(f"({c})") == 1]
-        if not passage or len(pieces) != 4 or sorted(map(len, pieces)) != [len(p) for p in pieces]:
-            return None
-        bare = lambda t: " ".join("".join(x for x in _unmarked(t)).split())
-        flat, at = _flat_offsets(passage)
-        target = bare(marked)
-        start = flat.find(target)
-        if not target or start < 0 or flat.find(target, start + 1) >= 0:
-            return None
-        return [at[start + len(bare(p))] for p in pieces]
-
-    for passages, marks in batches:
-        yield pd.Series([places(p, m) for p, m in zip(passages, marks, strict=True)], dtype=object)
+    White space of any kind and length counts as one space.  Words are found once; their places in the flat text are running
+    sums of their lengths, so a place there is looked up among them.
+    """
+    parts = re.split(r"\(([ABCD])\)", marked or "")
+    if not passage or parts[1::2] != list("ABCD"):
+        return None
+    spans = [m.span() for m in re.finditer(r"\S+", passage)]
+    flat = " ".join(passage[a:b] for a, b in spans)
+    starts = list(accumulate((b - a + 1 for a, b in spans), initial=0))[:-1]
+    texts = parts[0::2]
+    target = " ".join("".join(texts).split())
+    found = [m.start() for m in re.finditer(f"(?={re.escape(target)})", flat)]
+    if not target or len(found) != 1:
+        return None
+    out = []
+    for k in range(4):
+        place = found[0] + len(" ".join("".join(texts[: k + 1]).split()))
+        word = bisect_right(starts, place) - 1
+        at = min(spans[word][0] + place - starts[word], spans[word][1])
+        out.append(len(passage[:at].encode("utf-16-le")) // 2)
+    return out
 
 
-def _unmarked(text: str) -> str:
-    for c in "ABCD":
-        text = text.replace(f"({c})", "")
-    return text
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _insertions(passages: pd.Series, marks: pd.Series) -> pd.Series:
+    return pd.Series([insertion_places(p, m) for p, m in zip(passages, marks, strict=True)], dtype=object)
 
 
 def insertion_interaction(questions: DataFrame) -> DataFrame:
@@ -247,39 +233,41 @@ def instruction_prefix(kind: Column, passage: Column, prompt: Column) -> Column:
     return F.when(kind.isin("complete_words", "write_email", "academic_discussion"), first(prompt)).when(kind.isin("build_sentence", "listen_repeat", "interview"), F.coalesce(passage, F.lit(""))).otherwise(cue)
 
 
-#: Words that a scan glues together, and marks of a blank.
-LABEL_WORD = r"(?i)^(Questions?|Passage|Item|Set|Part|Module|Task|Section)(\d{1,3}(?:[-–]\d{1,3})?[.:]?)$"
-KEY_WORD = r"^(\d{1,3})[.)]([A-Ea-e08]|Cc|cc)$"
-OPTION_WORD = r"^\(?([A-E])[.)]([A-Za-z'\"‘“].*)$"
-COUNT_WORD = r"(?i)^(\d{1,2})(words?)$"
-DASH_WORD = r"^[A-Za-z]*[-_]*[—–][-—–_]*[,.;:!?]?$"
+#: Words that a scan glues together, where they count (any, first of a line, first before `words`), and their two parts.
+GLUED = (
+    (r"(?i)^(Questions?|Passage|Item|Set|Part|Module|Task|Section)(\d{1,3}(?:[-–]\d{1,3})?[.:]?)$", "any", ""), (r"^(\d{1,3})[.)]([A-Ea-e08]|Cc|cc)$", "any", "."), (r"^(\d{1,3}\.)(\d{1,2})$", "counted", ""),
+    (r"(?i)^(\d{1,2})(words?)$", "any", ""), (r"^\(?([A-E])[.)]([A-Za-z'\"‘“].*)$", "first", "."),
+)
+#: A blank written with long dashes; a blank by itself; where a blank ends and where it goes on.
+DASHED = r"^(?=.*[A-Za-z]|[-—–]+$)[A-Za-z]*[-_]*[—–][-—–_]*[,.;:!?]?$"
+SLOT, ENDS, GOES_ON = r"^_{3,}[,.;:!?]?$", r"(?<=_|_[,.;:!?])(?=[A-Za-z])", r"(?<=[A-Za-z_]) (?=_+[,.;:!?]?(?:[ \x01]|$))"
 
 
-def repair_words(words: Column) -> Column:
+def repair_words(words: Column, near: Column | None = None) -> Column:
     """Words of a recognised line: glued labels, keys, counts and first options parted, dashes made blanks, blanks joined.
 
     Long dashes in a blank stand for two hyphens, short ones for one; a blank ends where letters go on; a piece of a blank
-    belongs to the blank or word before it, unless the line is a frame of separate slots.
+    belongs to the blank or word before it, unless the line is a frame of separate slots.  near: for each word, whether its
+    box stands close to that of the word before; pieces of blanks that are far apart stay words of their own.
     """
-    two = lambda w, pattern, mark="": F.array(F.concat(F.regexp_extract(w, pattern, 1), F.lit(mark)), F.regexp_extract(w, pattern, 2))
-    dashed = lambda w: F.when(w.rlike(DASH_WORD) & (w.rlike("[A-Za-z]") | w.rlike("^[-—–]+$")), F.replace(F.replace(w, F.lit("—"), F.lit("--")), F.lit("–"), F.lit("-"))).otherwise(w)
-    counted = r"^(\d{1,3}\.)(\d{1,2})$"
+    first_count = F.coalesce(F.get(words, 1).rlike("(?i)^words?$"), F.lit(False))
 
     def parted(w: Column, i: Column) -> Column:
-        follows = (i == 0) & F.coalesce(F.get(words, 1).rlike("(?i)^words?$"), F.lit(False))
-        split = F.when(w.rlike(LABEL_WORD), two(w, LABEL_WORD)).when(w.rlike(KEY_WORD), two(w, KEY_WORD, ".")).when(follows & w.rlike(counted), two(w, counted)).when(w.rlike(COUNT_WORD), two(w, COUNT_WORD))
-        return split.when((i == 0) & w.rlike(OPTION_WORD), two(w, OPTION_WORD, ".")).otherwise(F.split(dashed(w), r"(?<=_[,.;:!?]?)(?=[A-Za-z])"))
-
-    out = F.flatten(F.transform(words, parted))
-    slots = F.size(F.filter(out, lambda w: w.rlike(r"^_{3,}[,.;:!?]?$")))
-    frame = (slots >= 2) & (slots >= 0.4 * F.size(out))
-
-    def join(acc: Column, w: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = F.coalesce((F.size(acc) > 0) & ~frame & w.rlike(r"^_+[,.;:!?]?$") & last.rlike("[A-Za-z_]$"), F.lit(False))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.get(acc, F.size(acc) - 1), w)))).otherwise(F.concat(acc, F.array(w)))
-
-    return F.aggregate(out, F.array().cast("array<string>"), join)
+        """The word with a space between its parts."""
+        out = w
+        for pattern, where, mark in reversed(GLUED):
+            counts = w.rlike(pattern) & {"any": F.lit(True), "first": i == 0, "counted": (i == 0) & first_count}[where]
+            out = F.when(counts, F.regexp_replace(w, pattern, f"$1{mark} $2")).otherwise(out)
+        blank = F.when(w.rlike(DASHED), F.replace(F.replace(w, F.lit("—"), F.lit("--")), F.lit("–"), F.lit("-"))).otherwise(out)
+        return F.regexp_replace(F.when(out == w, blank).otherwise(out), ENDS, " ")
+
+    # Words that are far from the one before are set off by another character than a space.
+    pieces = F.transform(words, parted)
+    count = F.size(F.split(F.array_join(pieces, " "), " "))
+    slots = F.size(F.filter(F.split(F.array_join(pieces, " "), " "), lambda w: w.rlike(SLOT)))
+    line = F.array_join(pieces, " ") if near is None else F.array_join(F.transform(pieces, lambda w, i: F.concat(F.when(i == 0, "").when(F.coalesce(F.get(near, i), F.lit(False)), " ").otherwise("\x01"), w)), "")
+    joined = F.when((slots >= 2) & (slots >= 0.4 * count), line).otherwise(F.regexp_replace(line, GOES_ON, ""))
+    return F.split(joined, "[ \x01]", -1)
 
 
 def ocr_runs(words: DataFrame, line: list[str], scale: Column, height: Column) -> DataFrame:

@@ -63,11 +63,15 @@ def key_table(lines: DataFrame, by: list[str], text: str) -> DataFrame:
 
 
 def parse_template(lines: DataFrame, doc: list[str], order: str, text: str) -> DataFrame:
-    """`@directive value` lines: each directive with the text up to the next one; `@@` stands for a plain @."""
-    directive = F.regexp_extract(text, r"^@([a-z]+)", 1)
-    is_one = F.col(text).rlike(r"^@[a-z]+")
-    c = carry_forward(lines, doc, [order], {"at": F.when(is_one, F.col(order)), "directive": F.when(is_one, directive)})
-    value = F.regexp_replace(F.when(is_one, F.regexp_replace(text, r"^@[a-z]+\s*", "")).otherwise(F.col(text)), "@@", "@")
+    """`@directive: value` lines: each directive with the text up to the next one.
+
+    Directives may be indented, in any case, with or without a colon.  A line that begins with `@@` is text that begins with
+    one @; elsewhere signs stay as they are.
+    """
+    form = r"(?is)^\s*@([a-z]+)\b\s*:?\s*(.*?)\s*$"
+    is_one = F.col(text).rlike(form)
+    c = carry_forward(lines, doc, [order], {"at": F.when(is_one, F.col(order)), "directive": F.when(is_one, F.lower(F.regexp_extract(text, form, 1)))})
+    value = F.when(is_one, F.regexp_extract(text, form, 2)).otherwise(F.regexp_replace(text, r"^(\s*)@@", "$1@"))
     return fold_text(c.where("at is not null").withColumn("value", value), [*doc, "at", "directive"], order, "value")
 
 

@@ -47,14 +47,16 @@ def keys_look_back(keys: DataFrame, questions: DataFrame, doc: list[str]) -> Dat
     A key goes back to the unkeyed questions (question_id, group, type, number) of its type and number in groups before
     its block: to those since the block of keys before it, or if there are none to any earlier, except for scanned keys.
     It's applied if there is exactly one; several are ambiguous.  Keys go in order of block and key_id, and a question
-    takes one key.  One group holds the questions and keys of one number in one document.
+    takes one key.  Questions whose number stands more than once in their group take none.
     """
     by = [*doc, "type", "number"]
     # The last block of keys before a key's own, whatever their numbers.
     before = Window.partitionBy(*doc).orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
     k = keys.withColumn("_before", F.coalesce(F.max("block").over(before), F.lit(-1)))
     k = k.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("block", "key_id", "_before", "scanned"))).alias("_keys"))
-    q = questions.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("group", "question_id"))).alias("_questions"))
+    alone = F.count("*").over(Window.partitionBy(*by, "group")) == 1
+    single = questions.withColumn("_alone", alone).where("_alone")
+    q = single.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("group", "question_id"))).alias("_questions"))
     both = k.join(q, by, "left").withColumn("_questions", F.coalesce("_questions", F.array().cast(q.schema["_questions"].dataType)))
     key_id, question_id = (df.schema[c].dataType.simpleString() for df, c in ((keys, "key_id"), (questions, "question_id")))
     start = F.struct(F.array().cast(f"array<{question_id}>").alias("used"), F.array().cast(f"array<struct<key_id:{key_id},n:int,question_id:{question_id}>>").alias("out"))

@@ -176,7 +176,7 @@ def l8_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.reference_visibility(c.lines(spark, sf_dir), ["doc_id"], "line", r"^\s*Licensed under").select("doc_id", "line_no", "visibility")
 
 
-_STRUCTURE = " or ".join(f"regexp_matches(t, '{pattern}')" for pattern in l.STRUCTURAL)
+_STRUCTURE = " or ".join(f"regexp_matches(t, '{pattern}')" for pattern in l.STRUCTURAL) + " or regexp_matches(regexp_replace(lower(t), '[^a-z]', '', 'g'), 'listenandrepeat|listenrepeat')"
 
 
 @query(f"""with {c.LINES}, t as (select *, regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', '') as t from lines),
@@ -266,12 +266,13 @@ def l19_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with l as (select conv_id, turn, role, replace(coalesce(text, ''), chr(10), ' ') as t from conversations), s as (select *, max(case when role in ('user', 'system') then turn end) over (partition by conv_id order by turn) as at_turn from l)
-select conv_id, at_turn as at, any_value(case when role = 'user' then 'question' when role = 'system' then 'group' end) as directive, string_agg(case role when 'user' then t when 'system' then 'all' else '@ ' || t end, chr(10) order by turn) as body, count(*) as n_lines
+select conv_id, at_turn as at, any_value(case when role = 'user' then 'question' when role = 'system' then 'group' end) as directive, string_agg(case role when 'user' then regexp_replace(regexp_replace(t, '^\\s+', ''), '\\s+$', '') when 'system' then 'all' else case when turn % 3 = 0 then ' ' else '' end || '@ ' || t || '@@' end, chr(10) order by turn) as body, count(*) as n_lines
 from s where at_turn is not null group by 1, 2""")
 def x1_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directive lines and the text below them; turns as lines."""
+    """Directive lines, some indented, in capitals or with a colon, and the text below them; turns as lines."""
     text = F.coalesce("text", F.lit(""))
-    line = F.when(F.col("role") == "user", F.concat(F.lit("@question "), text)).when(F.col("role") == "system", "@group all").otherwise(F.concat(F.lit("@@ "), text))
+    asked, odd = F.when(F.col("turn") % 4 == 0, " @Question: ").otherwise("@question "), F.when(F.col("turn") % 3 == 0, " @@ ").otherwise("@@ ")
+    line = F.when(F.col("role") == "user", F.concat(asked, text)).when(F.col("role") == "system", "@GROUP all ").otherwise(F.concat(odd, text, F.lit("@@")))
     t = c.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate(line, "\n", " ").alias("line"))
     return x.parse_template(t, ["conv_id"], "turn", "line")
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import extract, layout, resolve, verify
+from tessera.operators import exam, extract, layout, resolve, verify
 
 
 @pytest.mark.parametrize(
@@ -73,8 +73,8 @@ def test_keys_look_back(spark):
     k = [("d", i, b, "single_choice", n, s) for i, b, n, s in ((1, 2, 1, False), (2, 2, 2, False), (3, 4, 2, False), (4, 4, 1, True), (5, 6, 1, False), (6, 6, 3, False), (7, 6, 3, False))]
     found = resolve.keys_look_back(spark.createDataFrame(k, "doc string, key_id long, block int, type string, number int, scanned boolean"), spark.createDataFrame(q, "doc string, question_id long, group int, type string, number int"), ["doc"])
     got = {r.key_id: (r.state, r.question_id) for r in found.collect()}
-    # Number 1 stands in two groups before the first block; number 2 twice since it; a scanned key doesn't reach back.
-    assert got == {1: ("ambiguous", None), 2: ("applied", 2), 3: ("ambiguous", None), 4: ("missing", None), 5: ("ambiguous", None), 6: ("applied", 6), 7: ("missing", None)}
+    # Number 1 stands in two groups before the first block; number 2 twice in one group, so neither takes a key; a scanned key doesn't reach back.
+    assert got == {1: ("ambiguous", None), 2: ("applied", 2), 3: ("missing", None), 4: ("missing", None), 5: ("ambiguous", None), 6: ("applied", 6), 7: ("missing", None)}
 
 
 def test_answers_against_options(spark):
@@ -117,3 +117,29 @@ def test_mutual_and_ranges(spark):
     for i in range(-30, 60):
         hit = [v for p, lo, hi, v in (("p", -25, -10, "a"), ("p", 0, 20, "b"), ("p", 20, 41, "c")) if lo <= i <= hi]
         assert found[i] == (("applied", hit[0]) if len(hit) == 1 else ("ambiguous" if hit else "missing", None))
+
+
+def test_directives_may_be_indented_and_signs_stay(spark):
+    lines = ["x", "  @Title : A  B ", "mail x@@y.z", "@@ home", " @@@deep", "@GROUP", "@question:what", "@1 no"]
+    found = extract.parse_template(spark.createDataFrame([("d", i, t) for i, t in enumerate(lines)], "doc string, i int, line string"), ["doc"], "i", "line").collect()
+    assert {(r.at, r.directive, r.body) for r in found} == {(1, "title", "A  B\nmail x@@y.z\n@ home\n @@deep"), (5, "group", ""), (6, "question", "what\n@1 no")}
+
+
+def test_headings_of_tasks_to_repeat_are_no_furniture(spark):
+    rows = [("d", p, i, t) for p in range(4) for i, t in enumerate(["Task 3 Listen and Repeat", "Some Book 2020", f"text {'abcd'[p]}", "more"])]
+    found = layout.edge_furniture(spark.createDataFrame(rows, "doc string, page int, line_no int, line string"), ["doc"], "page", "line_no", "line").where("furniture").collect()
+    assert {r.line for r in found} == {"Some Book 2020", "more"}
+
+
+def test_far_pieces_of_a_blank_stay_apart(spark):
+    rows = [(["care", "___", "_", "on"], [True, True, False, True]), (["care", "___", "_", "on"], [True, True, True, None]), ([], []), (["3.B"], [None])]
+    out = [r[0] for r in spark.createDataFrame(rows, "w array<string>, n array<boolean>").select(exam.repair_words(F.col("w"), F.col("n"))).collect()]
+    assert out == [["care___", "_", "on"], ["care____", "on"], [""], ["3.", "B"]]
+
+
+def test_repeated_numbers_of_a_group_take_no_key(spark):
+    """Number 4 stands twice in group 3, so a key after it goes back to the single 4 of group 1."""
+    keys = spark.createDataFrame([("d", "k", 5, "single_choice", 4, False)], "doc string, key_id string, block int, type string, number int, scanned boolean")
+    questions = spark.createDataFrame([("d", "a", 1, "single_choice", 4), ("d", "b", 3, "single_choice", 4), ("d", "c", 3, "single_choice", 4), ("d", "e", 3, "single_choice", 5)], "doc string, question_id string, group int, type string, number int")
+    (row,) = resolve.keys_look_back(keys, questions, ["doc"]).collect()
+    assert (row.state, row.question_id) == ("applied", "a")
