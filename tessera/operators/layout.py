@@ -277,6 +277,42 @@ def apply_proofread(lines: DataFrame, corrections: DataFrame, key: list[str]) ->
     return out.withColumn("boxes", boxes).withColumn("text", F.coalesce("_new", "text")).drop("_new")
 
 
+#: Fixed value: the confidence of a word that proofreading has changed.
+PROOFREAD = 95
+
+
+def proofread_words(words: DataFrame, corrections: DataFrame, page: list[str], confidence: float = PROOFREAD) -> DataFrame:
+    """Words of recognised lines after proofreading: page, line, word, text, confidence, x0, y0, x1, y1.
+
+    words: page, line, word (from 0, in order), text, confidence, box; corrections: page, line, text.  With as many tokens as
+    words each keeps its box, and its confidence where its text is as it was.  Else the line's box is dealt over the tokens by
+    their lengths in UTF-16 units with one unit between them, a token's place being the length of those before it.  Lines
+    without a correction stay; those corrected to nothing go.
+    """
+    own = F.sort_array(F.collect_list(F.struct("word", "text", "confidence", "x0", "y0", "x1", "y1")))
+    box = {c: (F.min if c.endswith("0") else F.max)(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")}
+    t = words.groupBy(*page, "line").agg(own.alias("_own"), *box.values())
+    t = t.join(corrections.select(*page, "line", F.coalesce("text", F.lit("")).alias("_new")), [*page, "line"], "left")
+    told = F.coalesce("_new", F.array_join(F.transform("_own", lambda w: w["text"]), " "))
+    t = t.withColumn("_tokens", F.filter(F.split(collapsed(told), " "), lambda x: x != ""))
+    units = lambda x: F.length(F.encode(x, "UTF-16BE")) / 2
+    whole = F.array_join("_tokens", " ")
+    unit = (F.col("_x1") - F.col("_x0")) / F.greatest(F.lit(1.0), units(whole))
+    before = lambda i: F.when(i == 0, 0.0).otherwise(units(F.array_join(F.slice("_tokens", 1, i), " ")) + 1)
+
+    def kept(x: Column, i: Column) -> Column:
+        w = F.get("_own", i)
+        sure = F.when(w["text"] == x, w["confidence"]).otherwise(F.lit(confidence))
+        return F.struct(i.alias("word"), x.alias("text"), sure.cast("double").alias("confidence"), *(w[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+    def dealt(x: Column, i: Column) -> Column:
+        start = F.col("_x0") + before(i) * unit
+        return F.struct(i.alias("word"), x.alias("text"), F.lit(confidence).cast("double").alias("confidence"), start.cast("double").alias("x0"), F.col("_y0").cast("double").alias("y0"), (start + units(x) * unit).cast("double").alias("x1"), F.col("_y1").cast("double").alias("y1"))
+
+    new = F.when(F.size("_tokens") == F.size("_own"), F.transform("_tokens", kept)).otherwise(F.transform("_tokens", dealt))
+    return t.select(*page, "line", F.explode(new).alias("_w")).select(*page, "line", "_w.*")
+
+
 def page_lines(lines: DataFrame, page: list[str]) -> DataFrame:
     """Lines (text, x, y, line) of a page from the top, with a blank before a gap of more than 1.55 times the leading.
 

@@ -143,3 +143,15 @@ def test_repeated_numbers_of_a_group_take_no_key(spark):
     questions = spark.createDataFrame([("d", "a", 1, "single_choice", 4), ("d", "b", 3, "single_choice", 4), ("d", "c", 3, "single_choice", 4), ("d", "e", 3, "single_choice", 5)], "doc string, question_id string, group int, type string, number int")
     (row,) = resolve.keys_look_back(keys, questions, ["doc"]).collect()
     assert (row.state, row.question_id) == ("applied", "a")
+
+
+def test_boxes_of_proofread_words(spark):
+    words = [(1, k, w, t, 50.0, 10.0 * w, 0.0, 10.0 * w + 8, 5.0 + k) for k in range(4) for w, t in enumerate(["ab", "c"])]
+    fixed = [(1, 0, " ab  d "), (1, 1, "a b c"), (1, 2, " "), (1, 9, "no such line")]
+    box = "page int, line int, word int, text string, confidence double, x0 double, y0 double, x1 double, y1 double"
+    found = layout.proofread_words(spark.createDataFrame(words, box), spark.createDataFrame(fixed, "page int, line int, text string"), ["page"]).orderBy("line", "word").collect()
+    unit = 18 / 5
+    assert [(r.line, r.text, r.confidence, round(r.x0, 6), round(r.x1, 6)) for r in found] == [
+        (0, "ab", 50.0, 0.0, 8.0), (0, "d", layout.PROOFREAD, 10.0, 18.0), *((1, t, layout.PROOFREAD, round(2 * i * unit, 6), round((2 * i + 1) * unit, 6)) for i, t in enumerate("abc")), (3, "ab", 50.0, 0.0, 8.0), (3, "c", 50.0, 10.0, 18.0),
+    ]
+    assert layout.proofread_words(spark.createDataFrame([], box), spark.createDataFrame(fixed, "page int, line int, text string"), ["page"]).collect() == []
