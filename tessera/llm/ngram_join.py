@@ -61,12 +61,23 @@ def _sketch(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def _points(size: int, percent: int):
+def _prefix(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The first elements of a set that any close set shares one of: in the order of hashes, frequent elements last."""
+    p = prefix_length(len(s), percent) if len(s) else 0
+    if len(often) and p:
+        held = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+        if held[:p].any():
+            s = np.concatenate([s[~held], s[held]])
+    return _as_long(s[:p])
+
+
+def _points(size: int, percent: int, frequent):
     """One row for each document: set size, a 128-bit name of its set, its first elements and its class counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        often = np.sort(frequent.value.view(np.uint64))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -75,7 +86,7 @@ def _points(size: int, percent: int):
                     s = shingle_set(text, size)
                     ns.append(len(s))
                     names.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    first.append(_as_long(s[: prefix_length(len(s), percent)]) if len(s) else _as_long(s))
+                    first.append(_prefix(s, often, percent))
                     sketches.append(_sketch(s))
                 both = np.frombuffer(b"".join(names), dtype="<i8").reshape(-1, 2)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
@@ -91,52 +102,37 @@ def _points(size: int, percent: int):
 POINTS = "doc_id long, n int, s1 long, s2 long, prefix array<long>, sketch binary"
 
 
-def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys that occur more than once in this partition, with counts: a partition holds back single ones only."""
-    found = [b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches]
-    keys, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    often = counts > 1
-    for at in range(0, int(often.sum()), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often][at : at + 65536]), pa.array(counts[often][at : at + 65536])], ["key", "n"])
+def _local_counts(size: int, percent: int):
+    """Prefix elements that occur more than once in this partition, with counts, and in a row without a key how many there are in all."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, none = [np.zeros(0, np.int64)], np.zeros(0, np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                found += [_prefix(shingle_set(text, size), none, percent) for text in batch.slice(at, 1024).column(0).to_pylist()]
+                found = [np.concatenate(found)]
+        keys, counts = np.unique(found[0], return_counts=True)
+        often = counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(found[0])], pa.int64())], ["key", "n"])
+        for at in range(0, int(often.sum()), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[often][at : at + 65536]), pa.array(counts[often][at : at + 65536])], ["key", "n"])
 
-def frequent_keys(points: DataFrame) -> tuple[np.ndarray, list[int]]:
+    return run
+
+
+def frequent_keys(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, list[int]]:
     """Sorted frequent keys, and those of them that are hot (at most HOT_KEYS).
 
     Counts may fall short by one for each partition, which changes the order of elements and the way of rows only.
     """
-    total = points.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    local = staged(docs.select("text").mapInArrow(_local_counts(size, percent), "key long, n long"))
+    total = local.where("key is null").agg(F.sum("n")).first()[0] or 0
     least = max(FREQUENT, total // FREQUENT_LIMIT + 1)
-    counts = points.select("prefix").mapInArrow(_local_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") > least).toArrow()
+    found = local.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > least).toArrow()
     keys, n = (found.column(k).to_numpy().astype(np.int64) for k in range(2))
     return np.sort(keys), keys[n > max(HOT_ROWS, total // HOT_KEYS)].tolist()
 
 
-def _reordered(frequent, size: int, percent: int):
-    """Prefixes with frequent elements last, for the documents whose prefix holds one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value.view(np.uint64)
-        often = np.sort(often)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                docs, first = [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    s = shingle_set(text, size)
-                    held = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                    p = prefix_length(len(s), percent)
-                    if held[:p].any():
-                        docs.append(doc)
-                        first.append(_as_long(np.concatenate([s[~held], s[held]])[:p]))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), prefix], ["doc_id", "moved"])
-
-    return run
-
-
 def _sets(size: int, wanted):
     """Shingle sets of the documents that pass the filter."""
 
@@ -197,14 +193,21 @@ def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact number of elements in only one of the two sets (columns p, rep, elements_p, elements)."""
+    """Exact number of elements in only one of the two sets, for rows (p, member, doc_id, elements) sorted so that p's own set comes before its members."""
+    at, own = None, None
     for batch in batches:
-        apart = []
-        for ex, ey in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = np.frombuffer(ex, dtype=np.uint64), np.frombuffer(ey, dtype=np.uint64)
-            common = len(a) + len(b) - len(np.union1d(a, b))
-            apart.append(len(a) + len(b) - 2 * common)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.int64())], ["p", "rep", "exact"])
+        p, member, ids, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+        ps, reps, apart = [], [], []
+        for k in range(batch.num_rows):
+            elements = np.frombuffer(sets[k].as_buffer(), dtype=np.uint64)
+            if not member[k]:
+                at, own = p[k], elements.copy()
+            elif p[k] == at:
+                common = len(own) + len(elements) - len(np.union1d(own, elements))
+                ps.append(at)
+                reps.append(ids[k])
+                apart.append(len(own) + len(elements) - 2 * common)
+        yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(reps, pa.int64()), pa.array(apart, pa.int64())], ["p", "rep", "exact"])
 
 
 def _close(apart: Column, total: Column, percent: int, times: int = 1) -> Column:
@@ -234,36 +237,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def region_rows(points: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, rep, n, m): the points of every region that has at least two, m being their number (about, where it is hot)."""
-    spark = docs.sparkSession
+def region_rows(points: DataFrame, hot: list[int]) -> DataFrame:
+    """(key, rep, n, m, hot): the points of every region that has at least two, m being their number (about, where it is hot)."""
+    spark = points.sparkSession
     reps = points.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
     chosen = points.where("n > 0").select("doc_id", "n", "prefix").join(reps, "doc_id", "left_semi")
-    frequent, hot = frequent_keys(points)
-    if len(frequent):
-        value = spark.sparkContext.broadcast(frequent)
-        moved = staged(docs.where("doc_id is not null").mapInArrow(_reordered(value, size, percent), "doc_id long, moved array<long>"))
-        chosen = chosen.join(moved.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("prefix", F.coalesce("moved", "prefix"))
     rows = chosen.select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("key"))
-    if not hot:
-        return staged(rows.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"))
     # A window would bring a hot region into one task, so it is dealt over salts, each of which stands for its share.
     keys = F.broadcast(spark.createDataFrame([(k, True) for k in hot], "key long, hot boolean"))
-    rows = rows.join(keys, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0))
+    rows = rows.join(keys, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0))
     m = F.count("*").over(Window.partitionBy("key", "salt")) * F.when(F.col("hot"), SALTS).otherwise(1)
-    return staged(rows.withColumn("m", m).where("m > 1").select("rep", "n", "key", "m"))
+    return staged(rows.withColumn("m", m).where("m > 1").select("key", "rep", "n", "m", "hot"))
 
 
 def cells_of_pivots(regions: DataFrame) -> DataFrame:
     """(p, np, rep, n): each point once with the pivot of each of its regions.
 
     A point is central if its elements are shared by many, counting those that nobody shares: the original of a group of
-    edited copies comes before its copies.
+    edited copies comes before its copies.  Regions that are not hot find their pivot where their points meet; hot ones,
+    HOT_KEYS at most, have theirs broadcast.
     """
-    central = regions.groupBy("rep").agg((F.sum("m") / F.max("n")).alias("central"))
-    best = F.max(F.struct("central", (-F.col("rep")).alias("first"), F.col("rep").alias("p"), F.col("n").alias("np"))).alias("best")
-    pivots = staged(regions.join(central, "rep").groupBy("key").agg(best).select("key", "best.p", "best.np"))
-    return staged(skew_join(regions, pivots, ["key"]).where("rep <> p").select("p", "np", "rep", "n").distinct())
+    central = F.sum("m").over(Window.partitionBy("rep")) / F.col("n")
+    order = F.struct("central", (-F.col("rep")).alias("first"), F.col("rep").alias("p"), F.col("n").alias("np"))
+    placed = regions.withColumn("central", central)
+    cold = placed.where("not hot").withColumn("best", F.max(order).over(Window.partitionBy("key")))
+    pivots = checkpointed(placed.where("hot").groupBy("key").agg(F.max(order).alias("best")))
+    hot = placed.where("hot").join(F.broadcast(pivots), "key")
+    both = cold.select("best.p", "best.np", "rep", "n").unionByName(hot.select("best.p", "best.np", "rep", "n"))
+    return staged(both.where("rep <> p").distinct())
 
 
 def _distances(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -278,12 +279,18 @@ def _distances(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int
     near = checkpointed(bounded.where(_close(F.col("apart"), F.col("total"), percent)).select("p", "rep"))
     if near.isEmpty():
         return bounded.withColumn("known", F.lit(False))
-    wanted = checkpointed(near.select(F.col("p").alias("doc_id")).union(near.select("rep")).distinct())
+    wanted = near.select(F.col("p").alias("doc_id")).union(near.select("rep")).distinct()
     bits = spark.sparkContext.broadcast(_filter_of(wanted))
-    sets = docs.where("doc_id is not null").mapInArrow(_sets(size, bits), "doc_id long, elements binary").dropDuplicates(["doc_id"]).join(wanted, "doc_id", "left_semi")
-    sets = staged(sets)
-    both = skew_join(near, sets.select(F.col("doc_id").alias("p"), F.col("elements").alias("elements_p")), ["p"]).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    exact = both.select("p", "rep", "elements_p", "elements").mapInArrow(_measure, "p long, rep long, exact long")
+    # Each set goes to the pivots that it is measured against, a pivot's own set too; the members of one with very many are
+    # dealt over salts, and its set stands once for each.
+    hot = spark.createDataFrame(hot_keys(near, ["p"]), "p long").withColumn("hot", F.lit(True))
+    dealt = near.join(F.broadcast(hot), "p", "left")
+    members = dealt.select(F.col("rep").alias("doc_id"), "p", F.lit(True).alias("member"), F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    owners = dealt.select("p", "hot").distinct().select(F.col("p").alias("doc_id"), "p", F.lit(False).alias("member"), F.explode(salts).alias("salt"))
+    sets = docs.where("doc_id is not null").mapInArrow(_sets(size, bits), "doc_id long, elements binary").dropDuplicates(["doc_id"])
+    rows = sets.join(members.unionByName(owners), "doc_id").repartition("p", "salt").sortWithinPartitions("p", "salt", "member")
+    exact = rows.select("p", "member", "doc_id", "elements").mapInArrow(_measure, "p long, rep long, exact long")
     out = bounded.join(exact, ["p", "rep"], "left")
     return staged(out.select("p", "rep", "total", F.coalesce("exact", "apart").alias("apart"), F.col("exact").isNotNull().alias("known")))
 
@@ -520,9 +527,10 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, i
     one text.  Other columns are not read; an empty table gives an empty table.  Elements are 64-bit hashes of shingles.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    points = staged(docs.mapInArrow(_points(size, percent), POINTS))
+    frequent, hot = frequent_keys(docs, size, percent)
+    points = staged(docs.mapInArrow(_points(size, percent, docs.sparkSession.sparkContext.broadcast(frequent)), POINTS))
     sketches = points.where("doc_id is not null").select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    pairs = cells_of_pivots(region_rows(points, docs, size, percent))
+    pairs = cells_of_pivots(region_rows(points, hot))
     measured = _distances(pairs, sketches, docs, size, percent)
     linked = F.col("known") & _close(F.col("apart"), F.col("total"), percent)
     labels = components(measured.where(linked).select("p", "rep"))
