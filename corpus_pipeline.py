@@ -8,6 +8,7 @@ others.  Rows that share a doc_id stay as many as they are up to the near-copy s
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +23,22 @@ from tessera.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def keyed(docs: DataFrame, in_order: bool = False) -> DataFrame:
-    """docs, staged, with `row`, a number of each row that nulls and repeated rows have too; it rises with doc_id if asked."""
-    if in_order:
-        # The last column spreads repeated rows over partitions.
-        order = [F.asc_nulls_last("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("spread")]
-        docs = docs.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
-    return staged(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+def _scanned(docs: DataFrame) -> bool:
+    """Whether docs are rows of files as they lie there, perhaps filtered: reading them again gives the same rows in the same order."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `row`, a number of each row that nulls and repeated rows have too.
+
+    Numbers go by partition and place, so texts of files need no copy to keep them; any other docs are staged.
+    """
+    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    return rows if _scanned(docs) else staged(rows)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +59,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words are copies of nothing, so of them one row stays for each doc_id, and all rows without one.
     """
-    rows = keyed(docs, in_order=True)
-    first = staged(ngram_jaccard_join(rows, id_col="row").where("component_id = doc_id").select(F.col("doc_id").alias("row"), "n_shingles"))
-    bare = rows.select("row", "doc_id").join(first.where("n_shingles = 0"), "row")
-    kept = first.where("n_shingles > 0").select("row").unionByName(bare.where("doc_id is null").select("row"))
+    rows = keyed(docs)
+    found = staged(ngram_jaccard_join(rows, id_col="row").select(F.col("doc_id").alias("row"), "n_shingles", "component_id"))
+    named = found.join(rows.select("row", "doc_id", F.xxhash64("text").alias("h")), "row")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "row")
+    kept = named.where("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    bare = named.where("n_shingles = 0")
+    kept = kept.unionByName(bare.where("doc_id is null").select("row"))
     kept = kept.unionByName(bare.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row")).select("row"))
     return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
