@@ -45,6 +45,8 @@ STUCK = 0.9
 FREQUENT, FREQUENT_LIMIT = 48, 1 << 20
 #: Bits of the filter by which texts are picked for measuring; fixed, so what is broadcast is 8 MB at most.
 FILTER_BITS = 1 << 26
+#: Pairs to be measured that are broadcast at most.
+FEW_ROLES = 1 << 20
 CLASSES = 256
 
 
@@ -134,13 +136,16 @@ def frequent_keys(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray,
 
 
 def _sets(size: int, wanted):
-    """Shingle sets of the documents that pass the filter."""
+    """Shingle sets of the documents that pass the filter, of each doc_id one in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits, seen = wanted.value, np.zeros(0, np.int64)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             passed = np.flatnonzero(_holds(bits, _bit(ids, 0)) & _holds(bits, _bit(ids, 1)))
+            passed = passed[np.unique(ids[passed], return_index=True)[1]]
+            passed = passed[~np.isin(ids[passed], seen)]
+            seen = np.union1d(seen, ids[passed])
             for at in range(0, len(passed), 512):
                 part = batch.take(pa.array(passed[at : at + 512]))
                 sets = [shingle_set(text, size).tobytes() for text in part.column(1).to_pylist()]
@@ -288,9 +293,14 @@ def _distances(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int
     members = dealt.select(F.col("rep").alias("doc_id"), "p", F.lit(True).alias("member"), F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     owners = dealt.select("p", "hot").distinct().select(F.col("p").alias("doc_id"), "p", F.lit(False).alias("member"), F.explode(salts).alias("salt"))
-    sets = docs.where("doc_id is not null").mapInArrow(_sets(size, bits), "doc_id long, elements binary").dropDuplicates(["doc_id"])
-    rows = sets.join(members.unionByName(owners), "doc_id").repartition("p", "salt").sortWithinPartitions("p", "salt", "member")
+    roles = checkpointed(members.unionByName(owners))
+    sets = docs.where("doc_id is not null").mapInArrow(_sets(size, bits), "doc_id long, elements binary")
+    # A table of up to FEW_ROLES rows (24 MB) goes to the sets; beyond that sets and roles meet by doc_id.
+    few = roles.count() <= FEW_ROLES
+    met = sets.join(F.broadcast(roles), "doc_id") if few else sets.dropDuplicates(["doc_id"]).join(roles, "doc_id")
+    rows = met.repartition("p", "salt").sortWithinPartitions("p", "salt", "member")
     exact = rows.select("p", "member", "doc_id", "elements").mapInArrow(_measure, "p long, rep long, exact long")
+    exact = exact.groupBy("p", "rep").agg(F.min("exact").alias("exact"))  # rows that share a doc_id
     out = bounded.join(exact, ["p", "rep"], "left")
     return staged(out.select("p", "rep", "total", F.coalesce("exact", "apart").alias("apart"), F.col("exact").isNotNull().alias("known")))
 

@@ -379,3 +379,41 @@ def walked(docs):
     for (_, b), n in counts.items():
         best[b] = max(best[b], n)
     return {i: (*h[:3], len(links[i]), sum(counts[p] == best[p[1]] for p in links[i]), sum(counts[p] for p in links[i]), h[3]) for i, h in heads.items()}
+
+
+# 3 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_sets_meet_their_pivots_either_way(spark, monkeypatch):
+    """Near copies, and an id that stands twice with one text: the same groups whether pairs are broadcast or shuffled."""
+    from tessera.llm import ngram_join
+
+    r = random.Random(8)
+    base = [[f"w{r.randrange(400)}" for _ in range(150)] for _ in range(6)]
+    rows = []
+    for k, text in enumerate(base):
+        for j in range(8):
+            edited = list(text)
+            for i in r.sample(range(150), j % 4):
+                edited[i] = f"e{r.randrange(9)}"
+            rows.append((100 * k + j, " ".join(edited)))
+    rows += [rows[3]] * 5
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    want = collections.Counter(map(tuple, ngram_join.ngram_jaccard_join(docs).collect()))
+    monkeypatch.setattr(ngram_join, "FEW_ROLES", -1)
+    assert collections.Counter(map(tuple, ngram_join.ngram_jaccard_join(docs).collect())) == want
+
+    def shingles(t):
+        w = t.split(" ")
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {d: shingles(t) for d, t in rows}
+    label = {d: d for d in sets}
+    for _ in range(len(sets)):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+        if all(label[label[d]] == label[d] for d in label):
+            break
+    assert {d: c for d, _, c in want} == label and sum(want.values()) == len(rows)
