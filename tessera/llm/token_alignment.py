@@ -33,7 +33,7 @@ BLOCK_CHARS, ROWS = 8_000_000, 256
 CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
 
 #: Characters beside which a space or line feed is white space to neither regular expressions nor tokenizers.
-_PLAIN = "!-~¡-ᙿ、-퟿"
+_PLAIN = "!-~\u00a1-\u167f\u3001-\ud7ff"
 _SAFE = re.compile(f"(?<=[{_PLAIN}])(?=[ \n][{_PLAIN}])")
 _ODD = re.compile(f"[^{_PLAIN} \n]|[ \n](?![{_PLAIN}])")
 _CUT = re.compile("[ \n][^ \n]+")
