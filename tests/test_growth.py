@@ -34,6 +34,10 @@ def test_media_of_large_scopes_make_no_product(spark):
     assert most_rows(resolve.media_mappings(*_media(spark, 600), ["scope"])) <= 2400
 
 
+def test_media_in_order_of_large_scopes_make_no_product(spark):
+    assert most_rows(resolve.media_mappings(*_media(spark, 600), ["scope"], pair_in_order=True)) <= 2400
+
+
 def test_keys_that_stand_several_times_count_distinct_values(spark):
     left = [(k, a, b) for k in range(6) for a, b in ((k % 3, 0), (k % 2, k % 2), (None, 1), (9, 9))[: 1 + k % 4]]
     right = [(a, b, f"v{v % 4}" if v else None) for v, (a, b) in enumerate([(0, 0), (0, 0), (1, 1), (1, 0), (2, 0), (0, 0), (1, 1), (2, 0), (None, 1)])]
