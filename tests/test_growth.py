@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import match, resolve
+from tessera.operators import evidence, match, resolve
 
 
 def most_rows(df):
@@ -47,3 +47,11 @@ def test_keys_that_stand_several_times_count_distinct_values(spark):
         met = {v for x, a, b in left if x == k and a is not None for c, d, v in right if (a, b) == (c, d) and v is not None}
         expected[k] = (len(met), "applied" if len(met) == 1 else "ambiguous" if met else "missing", min(met) if len(met) == 1 else None)
     assert {r.k: (r.n_matches, r.state, r.v) for r in found} == expected
+
+
+def test_quotations_move_no_words_that_nothing_asks_for(spark):
+    blocks = spark.range(200).select(F.lit(1).alias("doc"), F.col("id").alias("block_id"), F.col("id").alias("place"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.concat(F.lit("w"), F.col("id") * 50 + i)), " ").alias("text"))
+    fields = spark.createDataFrame([(1, 1, "w120 w121 w122 w123 w124 w125"), (1, 2, "98 w9999"), (1, 3, "w7777"), (1, 4, " ".join(f"w{i}" for i in range(40, 310))), (1, 5, "w1 w2 w4")], "doc int, field int, text string")
+    found = evidence.find_quotations(fields, blocks, ["doc"], ["field"])
+    assert most_rows(found) <= 1000
+    assert {(r.field, r.i0, tuple(r.block_ids)) for r in found.collect()} == {(1, 120, (2,)), (2, 9998, (199,)), (3, 7777, (155,)), (4, 40, tuple(range(7)))}
