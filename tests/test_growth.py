@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, match, resolve
+from tessera.operators import evidence, match, resolve, workbook
 
 
 def most_rows(df):
@@ -55,3 +55,16 @@ def test_quotations_move_no_words_that_nothing_asks_for(spark):
     found = evidence.find_quotations(fields, blocks, ["doc"], ["field"])
     assert most_rows(found) <= 1000
     assert {(r.field, r.i0, tuple(r.block_ids)) for r in found.collect()} == {(1, 120, (2,)), (2, 9998, (199,)), (3, 7777, (155,)), (4, 40, tuple(range(7)))}
+
+
+def test_workbook_lines_are_moved_once(spark):
+    lines = spark.createDataFrame([(1, 1, 1, "Practice Test #1", None)], "doc int, page int, line_no int, text string, style string")
+    for labels in (workbook.front_labels, workbook.answer_labels):
+        plan = labels(workbook.workbook_lines(lines, ["doc"]), ["doc"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_issues_of_a_question_come_from_one_reading(spark):
+    lines = spark.createDataFrame([(1, 1, 1, "Practice Test #1", None)], "doc int, page int, line_no int, text string, style string")
+    plan = workbook.read_workbook(lines, ["doc"]).issues._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("several keys") <= 3
