@@ -48,8 +48,10 @@ def merge_ledger(records: DataFrame, key: list[str]) -> DataFrame:
     no_send = F.max((F.col("state") == "not_sent").cast("int")) == 1
     rank = F.max(state_rank(F.col("state")))
     settled = F.max((F.col("state") == "settled").cast("int")) == 1
-    differs = (F.count_distinct("request_digest") > 1) | (F.count_distinct("reserved_input") > 1) | (F.count_distinct("reserved_output") > 1)
-    usage = (F.count_distinct("used_input") > 1) | (F.count_distinct("used_output") > 1)
+    # Two values differ where the least is not the greatest; distinct counts would repeat each record for each column.
+    several = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    differs = several("request_digest") | several("reserved_input") | several("reserved_output")
+    usage = several("used_input") | several("used_output")
     conflict = differs | usage | (no_send & (settled | (F.count("used_input") > 0)))
     state = F.when(no_send, "not_sent").otherwise(F.element_at(F.array(*(F.lit(s) for s in STATES)), rank + 1))
     agg = records.groupBy(*key).agg(conflict.alias("conflict"), state.alias("_state"), F.max("used_input").alias("_in"), F.max("used_output").alias("_out"), F.max("acknowledged_at").alias("_ack"))
