@@ -44,8 +44,10 @@ def create_sessions(requests: DataFrame, libraries: DataFrame, legacy: DataFrame
         ("bad_mode", ~mode.isin(*MODES)), ("mode_changed", named & (mode != F.col("_mode"))),
     ]
     t = t.withColumn("state", _first(cases, "created")).withColumn("mode", mode)
-    n = F.row_number().over(Window.partitionBy("state", "legacy_id").orderBy("request_id"))
-    t = t.withColumn("state", F.when((F.col("state") == "created") & named & (n > 1), "reused").otherwise(F.col("state")))
+    # The first request for a legacy run is counted, not ranked: requests without one, or for one run, are never brought together.
+    first = t.where((F.col("state") == "created") & named).groupBy("legacy_id").agg(F.min("request_id").alias("_first"))
+    t = t.join(first, "legacy_id", "left")
+    t = t.withColumn("state", F.when((F.col("state") == "created") & named & (F.col("request_id") > F.col("_first")), "reused").otherwise(F.col("state")))
     # Only new sessions are numbered, in the order of requests, up to what the workspace holds.
     held = sessions.count()
     place = F.row_number().over(Window.orderBy("request_id")) + held

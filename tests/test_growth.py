@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, jobs, match, resolve, workbook
+from tessera.operators import evidence, jobs, match, resolve, sessions, workbook
 
 
 def most_rows(df):
@@ -76,3 +76,23 @@ def test_ledger_records_are_not_repeated_for_each_column(spark):
     found = jobs.merge_ledger(records, ["request"])
     assert most_rows(found) <= 300
     assert sorted(r.request for r in found.collect() if r.conflict) == [0, 1]
+
+
+def test_synchronized_records_are_not_repeated_for_each_column(spark):
+    rows = [(i % 50, "d", "in_flight", 1, 2, i % 50, 5, i) for i in range(100)]
+    records = spark.createDataFrame(rows, "request int, request_digest string, state string, reserved_input int, reserved_output int, used_input int, used_output int, acknowledged_at int")
+    found = jobs.synchronize(records, records, ["request"])
+    assert most_rows(found) <= 200
+    assert {(r.conflict, r.state) for r in found.collect()} == {(False, "outcome_unknown")}
+
+
+def test_requests_are_not_ranked_in_one_window(spark):
+    requests = spark.createDataFrame([(i, 1, "practice", None if i % 3 else i % 2) for i in range(20)], "request_id long, library_id int, mode string, legacy_id int")
+    libraries = spark.createDataFrame([(1, "h")], "library_id int, content_hash string")
+    legacy = spark.createDataFrame([(0, 1, "practice"), (1, 1, "practice")], "legacy_id int, library_id int, mode string")
+    held = spark.createDataFrame([(7, None, True)], "session_id long, legacy_id int, finished boolean")
+    found = sessions.create_sessions(requests, libraries, legacy, held)
+    assert {r.request_id for r in found.where("state = 'reused'").collect()} == {6, 9, 12, 15, 18}
+    assert {r.request_id for r in found.where("state = 'created'").collect()} == {i for i in range(20) if i % 3 or i in (0, 3)}
+    windows = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(state" not in windows
