@@ -69,7 +69,7 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def missing_children(edges: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Edges whose child does not exist."""
-    return edges.join(artifacts.select(F.col("ref").alias("child")).distinct(), "child", "left_anti").select("parent", "child")
+    return edges.join(artifacts.select(F.col("ref").alias("child")), "child", "left_anti").select("parent", "child")
 
 
 def typed_edges(artifacts: DataFrame, paths: dict[str, str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, jobs, match, resolve, sessions, workbook
+from tessera.operators import evidence, jobs, lineage, match, resolve, sessions, workbook
 
 
 def most_rows(df):
@@ -96,3 +96,11 @@ def test_requests_are_not_ranked_in_one_window(spark):
     assert {r.request_id for r in found.where("state = 'created'").collect()} == {i for i in range(20) if i % 3 or i in (0, 3)}
     windows = found._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(state" not in windows
+
+
+def test_missing_children_group_nothing(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("b", "d"), ("b", None)], "parent string, child string")
+    refs = spark.createDataFrame([("b",), ("b",), ("d",), (None,)], "ref string")
+    found = lineage.missing_children(edges, refs)
+    assert sorted((r.parent, r.child or "") for r in found.collect()) == [("a", "c"), ("b", "")]
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
