@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,21 +39,30 @@ def bounds(transform: Column, width: Column, height: Column) -> Column:
     return F.struct(F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"))
 
 
-def cluster_rows(blocks: DataFrame, near: float = 3.0) -> DataFrame:
-    """Greedy rows of a page: a block joins the first row whose baseline (its first block's) is within `near` (column row).
+def row_numbers(blocks: Column, baseline: str, near: float, own: Callable[[Column], Column] | None = None) -> Column:
+    """Row of each block of an array: it joins the first row whose baseline (its first block's) is within `near`.
 
-    A fold over the blocks of one page; pages are small, and many of them share a task.
+    own: a number for blocks that are rows of their own, null for others.
     """
     start = F.struct(F.array().cast("array<double>").alias("base"), F.array().cast("array<int>").alias("rows"))
 
     def place(state: Column, block: Column) -> Column:
-        met = F.array_position(F.transform(state["base"], lambda b: F.abs(b - block["y1"]) <= near), F.lit(True)).cast("int")
-        base = F.when(met > 0, state["base"]).otherwise(F.array_append(state["base"], block["y1"]))
-        row = F.when(met > 0, met - 1).otherwise(F.size(state["base"]))
+        apart = own(block) if own else F.lit(None).cast("int")
+        met = F.array_position(F.transform(state["base"], lambda b: F.abs(b - block[baseline]) <= near), F.lit(True)).cast("int")
+        base = F.when(apart.isNotNull() | (met > 0), state["base"]).otherwise(F.array_append(state["base"], block[baseline]))
+        row = F.coalesce(apart, F.when(met > 0, met - 1).otherwise(F.size(state["base"]))).cast("int")
         return F.struct(base.alias("base"), F.array_append(state["rows"], row).alias("rows"))
 
+    return F.aggregate(blocks, start, place, lambda state: state["rows"])
+
+
+def cluster_rows(blocks: DataFrame, near: float = 3.0) -> DataFrame:
+    """Greedy rows of a page: a block joins the first row whose baseline (its first block's) is within `near` (column row).
+
+    A fold over the blocks of one page; pages are small, and many of them share a task.
+    """
     page = blocks.groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct("block", "x0", "y0", "x1", "y1", "text"))).alias("blocks"))
-    placed = page.withColumn("rows", F.aggregate("blocks", start, place, lambda state: state["rows"]))
+    placed = page.withColumn("rows", row_numbers(F.col("blocks"), "y1", near))
     out = placed.select("doc", "page", F.explode(F.arrays_zip("blocks", "rows")).alias("z"))
     return out.select("doc", "page", "z.blocks.block", F.col("z.rows").alias("row"), *(f"z.blocks.{c}" for c in ("x0", "y0", "x1", "y1", "text")))
 

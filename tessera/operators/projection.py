@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.staging import checkpointed
-from tessera.operators.layout import cluster_rows, repeated_margins
+from tessera.operators.layout import repeated_margins, row_numbers
 
 #: Baselines that are one row; the least gutter, and how many heights it may also be.
 NEAR, GUTTER, HEIGHTS = 3.0, 24.0, 2
@@ -28,7 +28,7 @@ _NUMBER = re.compile(r"\d+[.)]?")
 _COLUMN_HEAD = re.compile(r"(?:\d+[.)]?|Question|Number|Answer)", re.I)
 _MAIL_HEAD = re.compile(r"(?:To|From|Date|Subject|Cc|Bcc):", re.I)
 
-ORDER = "name string, page int, chunk int, block_id string, place int, region string, row_id string"
+ORDER = "ordered array<struct<place: int, region: string, row_id: string>>"
 FLAG = "flags array<struct<code: string, block_ids: array<string>>>"
 
 
@@ -64,9 +64,10 @@ def blocks_of_runs(boxes: DataFrame) -> DataFrame:
     wider than max(GUTTER, HEIGHTS times the height of the run after it).
     """
     page = ["name", "page", "chunk"]
-    flat = boxes.where("not vertical").select(F.struct(*page).alias("doc"), F.lit(0).alias("page"), F.col("item_index").alias("block"), "x0", "y0", "x1", F.col("baseline").alias("y1"), F.lit("").alias("text"))
-    rows = cluster_rows(flat, NEAR).select("doc.*", F.col("block").alias("item_index"), "row")
-    t = boxes.join(rows, [*page, "item_index"], "left").withColumn("row", F.coalesce("row", -1 - F.col("item_index")))
+    # A page's runs are gathered once, and all that follows stays where they lie.
+    runs = F.sort_array(F.collect_list(F.struct("item_index", "str", "line", "x0", "y0", "x1", "y1", "baseline", "vertical")))
+    t = boxes.groupBy(*page).agg(runs.alias("runs")).withColumn("rows", row_numbers(F.col("runs"), "baseline", NEAR, lambda r: F.when(r["vertical"], -1 - r["item_index"])))
+    t = t.select(*page, F.explode(F.arrays_zip("runs", "rows")).alias("_z")).select(*page, "_z.runs.*", F.col("_z.rows").alias("row"))
     w = Window.partitionBy(*page, "row").orderBy("x0", "item_index")
     gap = F.col("x0") - F.lag("x1").over(w)
     wide = F.coalesce(gap > F.greatest(F.lit(GUTTER), HEIGHTS * (F.col("y1") - F.col("y0"))), F.lit(False))
@@ -189,20 +190,29 @@ def _in_rows(ordered: list[tuple[dict, str]], table: set[str]) -> list[tuple[str
 
 
 def _order_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each page's blocks what their order is, as an array of equal length; blocks of margins have none."""
     flag = pa.list_(pa.struct([("code", pa.string()), ("block_ids", pa.list_(pa.string()))]))
-    order = pa.list_(pa.struct([("block_id", pa.string()), ("place", pa.int32()), ("region", pa.string()), ("row_id", pa.string())]))
+    names = ("block_id", "text", "x0", "y0", "x1", "y1", "baseline", "source_place")
     for batch in batches:
-        orders, flags = [], []
-        for blocks, width in zip(batch.column("blocks").to_pylist(), batch.column("width").to_pylist(), strict=True):
-            blocks.sort(key=lambda b: b["source_place"])
-            if all(b["x0"] is not None for b in blocks):
+        held = batch.column("blocks")
+        flat, offsets = held.flatten(), held.offsets.to_numpy() - held.offsets[0].as_py()
+        boxed, body = flat.field("x0").is_valid().to_numpy(zero_copy_only=False), (c == "body" for c in flat.field("role").to_numpy(zero_copy_only=False))
+        rows = [dict(zip(names, r, strict=True)) if b else None for b, *r in zip(body, *(flat.field(n).to_numpy(zero_copy_only=False).tolist() for n in names), strict=True)]
+        order: list[tuple] = []
+        flags = []
+        for at, end, width in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("width").to_pylist(), strict=True):
+            blocks = sorted((b for b in rows[at:end] if b), key=lambda b: b["source_place"])
+            if boxed[at:end].all():
                 found, doubts = order_page(blocks, width)
             else:
                 found, doubts = [(b["block_id"], "body", b["block_id"]) for b in blocks], []
-            orders.append([{"block_id": b, "place": i, "region": r, "row_id": row} for i, (b, r, row) in enumerate(found)])
+            places = {b: (i, r, row) for i, (b, r, row) in enumerate(found)}
+            order.extend(places[b["block_id"]] if b else (None, None, None) for b in rows[at:end])
             flags.append([{"code": c, "block_ids": ids} for c, ids in doubts])
-        keys = [batch.column(c) for c in ("name", "page", "chunk")]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(orders, order), pa.array(flags, flag)], ["name", "page", "chunk", "ordered", "flags"])
+        columns = zip(*order, strict=True) if order else [[]] * 3
+        ordered = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string()), strict=True)], ["place", "region", "row_id"])
+        ordered = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ordered)
+        yield pa.RecordBatch.from_arrays([*batch.columns, ordered, pa.array(flags, flag)], [*batch.schema.names, "ordered", "flags"])
 
 
 class Projection(NamedTuple):
@@ -222,23 +232,27 @@ def project_layout(pages: DataFrame, items: DataFrame) -> Projection:
     # Documents without pages have one that is below zero, so that equal keys join.
     pages, items = (t.withColumn("page", F.coalesce("page", F.lit(-1))) for t in (pages, items))
     finite = lambda c: F.coalesce(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf"))), F.lit(False))
-    whole = items.groupBy(*page).agg(F.min(finite("x") & finite("y") & finite("width") & finite("height")).alias("positioned")).where("positioned")
-    boxes = run_boxes(items.join(whole.select(*page), page, "left_semi"), pages)
-    blocks = blocks_of_runs(boxes).unionByName(blocks_of_text(pages.join(whole, page, "left_anti")))
-    blocks = checkpointed(blocks)
-    sized = blocks.join(pages.select(*page, F.col("height").alias("_height")), page).where("x0 is not null and _height > 0")
-    margin = sized.select("name", "page", F.col("block_id").alias("block"), "text", F.col("y0").alias("y"), F.col("_height").alias("height"), F.col("x1").alias("right"), "baseline")
+    placed = finite("x") & finite("y") & finite("width") & finite("height")
+    whole = items.groupBy(*page).agg(F.min(placed).alias("positioned")).where("positioned").select(*page)
+    boxes = run_boxes(items.withColumn("_placed", F.min(placed).over(Window.partitionBy(*page))).where("_placed").drop("_placed"), pages)
+    fields = ["block_id", "text", "x0", "y0", "x1", "y1", "baseline", "raw_items", "raw_lines", "source_place", "method"]
+    size = pages.select(*page, F.col("width").cast("double").alias("width"), F.col("height").alias("_height"))
+    by_page = lambda blocks: blocks.groupBy(*page).agg(F.collect_list(F.struct(*fields)).alias("blocks")).join(size, page)
+    # A row holds a page from here to the end, so that blocks are moved neither to their roles nor to their places.
+    positioned = checkpointed(by_page(blocks_of_runs(boxes)))
+    sized = positioned.where("_height > 0").select("name", "page", F.col("_height").alias("height"), F.inline("blocks")).where("x0 is not null")
+    margin = sized.select("name", "page", F.col("block_id").alias("block"), "text", F.col("y0").alias("y"), "height", F.col("x1").alias("right"), "baseline")
     margins = checkpointed(repeated_margins(margin, ["name"]).select("name", "page", F.col("block").alias("block_id"), "role", "doubt"))
-    t = blocks.join(margins.where("doubt is null").select("block_id", F.col("role").alias("_margin")), "block_id", "left").withColumn("role", F.coalesce("_margin", F.lit("body"))).drop("_margin")
-    body = t.where("role = 'body'").groupBy(*page).agg(F.collect_list(F.struct("block_id", "text", "x0", "y0", "x1", "y1", "baseline", "source_place")).alias("blocks"))
-    body = body.join(pages.select(*page, F.col("width").cast("double").alias("width")), page).select(*page, "blocks", "width")
-    kinds = {f.name: f.dataType.simpleString() for f in body.schema.fields}
-    ordered = checkpointed(body.mapInArrow(_order_pages, ", ".join(f"{c} {kinds[c]}" for c in page) + ", ordered array<struct<block_id: string, place: int, region: string, row_id: string>>, " + FLAG))
-    places = ordered.select(F.explode("ordered").alias("o")).select("o.*")
-    t = t.join(places, "block_id", "left").withColumn("region", F.coalesce("region", "role"))
-    key = F.max((F.col("role") == "body") & F.trim("text").rlike(REFERENCE_PAGE)).over(Window.partitionBy(*page))
-    t = t.withColumn("visibility", F.when(key | F.col("text").rlike(REFERENCE), "reference").otherwise("source"))
-    found = ordered.select("name", "page", F.explode("flags").alias("f")).select("name", "page", "f.code", "f.block_ids")
+    sure = margins.where("doubt is null").groupBy("name", "page").agg(F.map_from_entries(F.collect_set(F.struct("block_id", "role"))).alias("_roles"))
+    role = lambda b: F.coalesce(F.col("_roles")[b["block_id"]], F.lit("body"))
+    texts = by_page(blocks_of_text(pages.join(whole, page, "left_anti"))).withColumn("_roles", F.lit(None).cast("map<string, string>"))
+    t = positioned.join(sure, ["name", "page"], "left").unionByName(texts)
+    t = t.select(*page, "width", F.transform("blocks", lambda b: b.withField("role", role(b))).alias("blocks"))
+    t = t.mapInArrow(_order_pages, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema) + f", {ORDER}, {FLAG}")
+    key = F.exists("blocks", lambda b: (b["role"] == "body") & F.trim(b["text"]).rlike(REFERENCE_PAGE))
+    found = t.select("name", "page", F.explode("flags").alias("f")).select("name", "page", "f.code", "f.block_ids")
+    t = t.select(*page, key.alias("_key"), F.explode(F.arrays_zip("blocks", "ordered")).alias("_z")).select(*page, "_key", "_z.blocks.*", "_z.ordered.*")
+    t = t.withColumn("region", F.coalesce("region", "role")).withColumn("visibility", F.when(F.col("_key") | F.col("text").rlike(REFERENCE), "reference").otherwise("source")).drop("_key")
     found = found.unionByName(margins.where("doubt is not null").select("name", "page", F.col("doubt").alias("code"), F.array("block_id").alias("block_ids")))
     named = lambda t: t.withColumn("page", F.when(F.col("page") >= 0, F.col("page")))
     turned = pages.join(whole, page, "left_semi").where("rotation <> 0").select("name", "page", F.lit("rotated_page").alias("code"), F.array().cast("array<string>").alias("block_ids"))

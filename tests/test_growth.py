@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, jobs, lineage, match, resolve, sessions, workbook
+from tessera.operators import evidence, jobs, lineage, match, projection, resolve, sessions, workbook
 
 
 def most_rows(df):
@@ -98,3 +98,13 @@ def test_missing_children_group_nothing(spark):
     found = lineage.missing_children(edges, refs)
     assert sorted((r.parent, r.child or "") for r in found.collect()) == [("a", "c"), ("b", "")]
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_of_projected_pages_are_moved_by_page_only(spark):
+    heads = spark.createDataFrame([("a", n, n, "pdf", "", 600.0, 800.0, 0) for n in range(3)], "name string, page int, chunk int, kind string, text string, width double, height double, rotation int").withColumn("transform", F.lit(None).cast("array<double>"))
+    rows = [("a", n, n, i, f"word {i}", 50.0 * i, 700.0 - 100 * (i % 2), 40.0, 10.0, i) for n in range(3) for i in range(4)]
+    items = spark.createDataFrame(rows, "name string, page int, chunk int, item_index int, str string, x double, y double, width double, height double, line int").withColumn("axis", F.lit(None).cast("array<double>"))
+    blocks = projection.project_layout(heads, items).blocks
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block_id" not in plan
+    assert sorted((r.page, r.place, r.text) for r in blocks.collect()) == [(n, i, t) for n in range(3) for i, t in enumerate(("word 0", "word 2", "word 1", "word 3"))]
