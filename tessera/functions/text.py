@@ -34,9 +34,14 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: Characters that NFC leaves as they are, whatever stands beside them: no marks, no jamo, none with another form.
+STABLE = r"\x{0}-\x{2FF}\x{400}-\x{482}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{2190}-\x{22FF}\x{2500}-\x{27BF}\x{3000}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FE}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{FF01}-\x{FF9D}\x{1F300}-\x{1F64F}"
+
+
 def evidence_text(text: Column) -> Column:
-    """NFC, then collapsed: the form in which a quotation is looked for."""
-    return collapsed(nfc(text))
+    """NFC, then collapsed: the form in which a quotation is looked for.  Only texts that NFC may change go through Python."""
+    other = (F.octet_length(text) > F.length(text)) & text.rlike(f"[^{STABLE}]")
+    return collapsed(F.coalesce(nfc(F.when(other, text)), text))
 
 
 def folded(text: Column) -> Column:

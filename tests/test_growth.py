@@ -1,7 +1,11 @@
 """What a job does on larger tables: the rows that its steps put out stay near those of its inputs."""
 
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import evidence, jobs, lineage, match, projection, resolve, sessions, workbook
 
 
@@ -108,3 +112,19 @@ def test_blocks_of_projected_pages_are_moved_by_page_only(spark):
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(block_id" not in plan
     assert sorted((r.page, r.place, r.text) for r in blocks.collect()) == [(n, i, t) for n in range(3) for i, t in enumerate(("word 0", "word 2", "word 1", "word 3"))]
+
+
+def test_texts_that_nfc_leaves_alone_go_around_python(spark):
+    texts = ["plain", "“quoted” 中文 が", "e\u0301 x", "\u1112\u1161\u11ab", "\u212b", "a\u00a0 b", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = {r.i: r.text for r in rows.select("i", text.evidence_text(F.col("text")).alias("text")).collect()}
+    assert found == {i: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()) for i, t in enumerate(texts)}
+    plan = rows.select(text.evidence_text(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "nfc(CASE WHEN" in plan
+
+
+def test_characters_that_nfc_leaves_alone_meet_no_other():
+    ranges = [range(int(a, 16), int(b, 16) + 1) for a, b in re.findall(r"\\x\{([0-9A-F]+)\}-\\x\{([0-9A-F]+)\}", text.STABLE)]
+    parts = [unicodedata.decomposition(chr(c)).split() for c in range(0x110000)]
+    second = {int(p[1], 16) for p in parts if len(p) == 2 and not p[0].startswith("<")} | {*range(0x1161, 0x1176), *range(0x11A7, 0x11C3)}
+    assert not [c for r in ranges for c in r if c in second or unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c)]
