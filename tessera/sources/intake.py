@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import unicodedata
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,26 +125,32 @@ def _members(path: str, content: bytes, most: int) -> Iterator[tuple]:
             return  # a failed entry uses up the archive
 
 
+#: Members that are put out at once.
+MEMBERS = 1000
+
+
 def read_archives(files: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
     """Members of ZIP files (path, content, as spark.read.format("binaryFile") gives), one row each; issues as rows."""
+    schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("issue", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf.path, pdf.content, strict=True):
-                for row in _members(path, bytes(content or b""), most):
-                    yield pd.DataFrame([row], columns=ARCHIVE.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                members = _members(path.as_py(), content.as_py() or b"", most)
+                while rows := list(itertools.islice(members, MEMBERS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return files.select("path", "content").mapInPandas(run, ARCHIVE)
+    return files.select("path", "content").mapInArrow(run, ARCHIVE)
 
 
-def zip_bytes(entries: list[tuple[str, bytes]]) -> bytes:
-    """A deterministic ZIP: sorted names, fixed times, no overwriting."""
-    names = [n for n, _ in entries]
-    if len(set(names)) < len(names):
-        raise ValueError("duplicate name")
-    out = io.BytesIO()
+def zip_bytes(entries: Iterable[tuple[str, bytes]]) -> bytes:
+    """A deterministic ZIP of entries sorted by name, taken one at a time: fixed times, no overwriting."""
+    out, before = io.BytesIO(), None
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in sorted(entries):
+        for name, data in entries:
+            if name == before:
+                raise ValueError("duplicate name")
+            before = name
             info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
             info.compress_type = zipfile.ZIP_DEFLATED
             z.writestr(info, data)
@@ -150,13 +158,16 @@ def zip_bytes(entries: list[tuple[str, bytes]]) -> bytes:
 
 
 def package_archives(entries: DataFrame, by: str) -> DataFrame:
-    """One ZIP per package (by, name, content) with the hash of its bytes."""
+    """One ZIP per package (by, name, content) with the hash of its bytes; entries come sorted and are written as they come."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = zip_bytes([(n, bytes(c)) for n, c in zip(pdf.name, pdf.content, strict=True)])
-        return pd.DataFrame([(str(pdf[by].iloc[0]), data)], columns=[by, "zip"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for key, held in itertools.groupby(rows, lambda r: r[0]):
+            data = zip_bytes((name, content) for _, name, content in held)
+            yield pa.RecordBatch.from_arrays([pa.array([str(key)]), pa.array([data], pa.binary())], [by, "zip"])
 
-    return entries.groupBy(by).applyInPandas(run, f"{by} string, zip binary").withColumn("sha256", F.sha2("zip", 256))
+    dealt = entries.select(by, "name", "content").repartition(by).sortWithinPartitions(by, "name")
+    return dealt.mapInArrow(run, f"`{by}` string, zip binary").withColumn("sha256", F.sha2("zip", 256))
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

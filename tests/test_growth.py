@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import evidence, jobs, lineage, match, projection, resolve, sessions, workbook
+from tessera.sources import intake
 
 
 def most_rows(df):
@@ -128,3 +129,14 @@ def test_characters_that_nfc_leaves_alone_meet_no_other():
     parts = [unicodedata.decomposition(chr(c)).split() for c in range(0x110000)]
     second = {int(p[1], 16) for p in parts if len(p) == 2 and not p[0].startswith("<")} | {*range(0x1161, 0x1176), *range(0x11A7, 0x11C3)}
     assert not [c for r in ranges for c in r if c in second or unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c)]
+
+
+def test_packages_are_written_and_read_without_holding_their_entries(spark):
+    entries = [(f"n{i:04}", b"x" * (i % 3)) for i in range(2500)]
+    data = intake.zip_bytes(iter(entries))
+    assert data == intake.zip_bytes(entries)
+    rows = spark.createDataFrame([("p", n, bytearray(c)) for n, c in entries] + [("q", "é", bytearray(b"1"))], "pack string, name string, content binary")
+    found = intake.package_archives(rows, "pack")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    read = intake.read_archives(found.select(F.col("pack").alias("path"), F.col("zip").alias("content"))).collect()
+    assert sorted((r.path, r.name, bytes(r.content)) for r in read) == [*(("p", n, c) for n, c in entries), ("q", "é", b"1")]
