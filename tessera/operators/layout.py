@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
@@ -117,11 +118,21 @@ def _ordered_page(blocks: list[dict]) -> list[tuple]:
     return out
 
 
+def listed_records(held: pa.ListArray) -> Iterator[list[dict]]:
+    """The lists of records of an array, read column by column, which takes a fraction of what to_pylist takes."""
+    flat, offsets = held.flatten(), (held.offsets.to_numpy() - held.offsets[0].as_py()).tolist()
+    names = [f.name for f in flat.type]
+    plain = lambda c: c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist()
+    rows = [dict(zip(names, r, strict=True)) for r in zip(*(plain(flat.field(n)) for n in names), strict=True)]
+    return (rows[at:end] for at, end in itertools.pairwise(offsets))
+
+
 def _ordered_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in ORDERED.split(", ")]
     types = [pa.int64(), *[pa.int32()] * 5, pa.string()]
     for batch in batches:
-        rows = [(doc, page, *r) for doc, page, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in _ordered_page(blocks)]
+        docs, pages, held = batch.columns
+        rows = [(doc, page, *r) for doc, page, blocks in zip(docs.to_pylist(), pages.to_pylist(), listed_records(held), strict=True) for r in _ordered_page(blocks)]
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 

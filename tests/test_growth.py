@@ -3,10 +3,11 @@
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import evidence, jobs, lineage, match, projection, resolve, sessions, workbook
+from tessera.operators import evidence, jobs, layout, lineage, match, projection, resolve, sessions, workbook
 from tessera.sources import intake
 
 
@@ -140,3 +141,10 @@ def test_packages_are_written_and_read_without_holding_their_entries(spark):
     assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
     read = intake.read_archives(found.select(F.col("pack").alias("path"), F.col("zip").alias("content"))).collect()
     assert sorted((r.path, r.name, bytes(r.content)) for r in read) == [*(("p", n, c) for n, c in entries), ("q", "é", b"1")]
+
+
+def test_records_are_read_by_columns():
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("t", pa.string()), ("x", pa.float64())]))
+    values = [[{"a": 1, "t": "u", "x": 0.5}], [], [{"a": None, "t": None, "x": None}, {"a": 2, "t": "", "x": 1.0}], [{"a": 3, "t": "w", "x": 2.0}]]
+    assert list(layout.listed_records(pa.array(values, kind))) == values
+    assert list(layout.listed_records(pa.array(values, kind).slice(1, 2))) == values[1:3]
