@@ -15,6 +15,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: A key is hot from HOT_ROWS rows on; of more than HOT_KEYS such keys those with most rows are.
 HOT_ROWS, HOT_KEYS, SALTS = 256, 1 << 14, 64
+#: Rows of a table of few numbers that is broadcast at most, and the tasks that a counted small table is read by.
+FEW_ROWS, LEAST_TASKS, ROWS_PER_TASK = 1 << 17, 8, 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,13 +51,21 @@ def hot_keys(rows: DataFrame, on: list[str]) -> list[Row]:
     return counts.orderBy(F.desc("count")).limit(HOT_KEYS).select(*on).collect()
 
 
-def skew_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", hot: list[Row] | None = None) -> DataFrame:
+def tasks_for(rows: int) -> int:
+    """Partitions of a table of so many short rows.  What loops read again and again should not keep those of a large shuffle."""
+    return max(LEAST_TASKS, rows // ROWS_PER_TASK + 1)
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", hot: list[Row] | None = None, narrow: bool = False) -> DataFrame:
     """big.join(small, on, how) for how inner or left, where the rows of one key of big don't meet in one task.
 
     Rows of hot keys are dealt over SALTS and meet a copy of small's rows of their key in each; all others are joined as
     they are.  small should hold one row for each key, and big be staged, since it is read more than once.  What is
-    broadcast are the hot keys, HOT_KEYS at most; hot takes them where they are known already.
+    broadcast are the hot keys, HOT_KEYS at most; hot takes them where they are known already.  narrow: small, staged and
+    of a few short columns, is counted and broadcast instead while it has at most FEW_ROWS rows.
     """
+    if narrow and small.count() <= FEW_ROWS:
+        return big.join(F.broadcast(small), on, how)
     hot = hot_keys(big, on) if hot is None else hot
     if not hot:
         return big.join(small, on, how)

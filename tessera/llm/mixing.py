@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, skew_join, staged, words_of
+from tessera.llm.common import FEW_ROWS, checkpointed, skew_join, staged, tasks_for, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -59,23 +59,26 @@ def tilts(cells: DataFrame, aims: DataFrame, most: float = MOST) -> DataFrame:
     """key and tilt, by Newton steps from tilt 0 (one copy each).
 
     The words as a function of the tilt bend towards the root on either side of it, so plain steps never overshoot.
-    Sources that aim at `most` times their words get a tilt that gives that rate to every size.
+    Sources that aim at `most` times their words get a tilt that gives that rate to every size.  cells and aims are
+    checkpointed; the state of the steps keeps its number of partitions, and is broadcast for up to FEW_ROWS sources.
     """
+    tasks, few = tasks_for(n := aims.count()), n <= FEW_ROWS
     mean = cells.where("size > 0").groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     rows = cells.join(mean, "key").withColumn("z", F.col("size") / F.col("mean")).select("key", "size", "n", "z")
-    rows = checkpointed(rows)
+    rows = checkpointed(rows.coalesce(tasks_for(cells.count())))
     full = F.col("target") >= most * F.col("words") * (1 - 1e-9)
-    state = checkpointed(aims.where("words > 0").select("key", "target", F.when(full, 1e9).otherwise(0.0).alias("tilt"), full.alias("done")))
+    state = checkpointed(aims.where("words > 0").select("key", "target", F.when(full, 1e9).otherwise(0.0).alias("tilt"), full.alias("done")).coalesce(tasks))
     for _ in range(STEPS):
         r = _rate(F.col("tilt"), F.col("z"), most)
         words = F.sum(F.round(F.col("n") * F.col("size") * r * GRAIN).cast("long")) / GRAIN
         slope = F.sum(F.round(F.col("n") * F.col("size") * F.col("z") * r * (1 - r / most) * GRAIN).cast("long")) / GRAIN
-        step = rows.join(state.where("not done"), "key").groupBy("key", "target", "tilt").agg(words.alias("words"), slope.alias("slope"))
+        moving = state.where("not done")
+        step = rows.join(F.broadcast(moving) if few else moving, "key").groupBy("key", "target", "tilt").agg(words.alias("words"), slope.alias("slope"))
         gap = F.col("target") - F.col("words")
         near = F.abs(gap) <= F.greatest(F.lit(0.5), F.col("target") * 1e-6)
         moved = step.select("key", "target", (F.col("tilt") + F.when(near | (F.col("slope") <= 0), 0.0).otherwise(gap / F.col("slope"))).alias("tilt"), (near | (F.col("slope") <= 0)).alias("done"))
-        state = checkpointed(state.where("done").unionByName(moved))
-        if not state.where("not done").limit(1).count():
+        state = checkpointed(state.where("done").unionByName(moved).coalesce(tasks))
+        if state.where("not done").isEmpty():
             break
     return state.select("key", "tilt").join(mean, "key")
 
@@ -114,6 +117,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         "key", F.col("words").alias("source_size"), "target", pick["size"].alias("at_size"), pick["k"].alias("at_k"), F.when(gap > 0, F.least(gap, pick["room"])).otherwise(-F.least(-gap, pick["room"])).alias("extra")
     )
     here = (F.col("size") == F.col("at_size")) & (F.col("k") == F.col("at_k"))
-    return skew_join(placed, checkpointed(ends), ["key"]).select(
+    return skew_join(placed, checkpointed(ends), ["key"], narrow=True).select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies", (taken + F.when(here, F.col("extra")).otherwise(F.lit(0))).cast("long").alias("taken"), *carry
     )

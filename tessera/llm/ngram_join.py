@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT_KEYS, HOT_ROWS, SALTS, checkpointed, hot_keys, skew_join, staged
+from tessera.llm.common import FEW_ROWS, HOT_KEYS, HOT_ROWS, SALTS, checkpointed, hot_keys, skew_join, staged, tasks_for
 from tessera.llm.shingles import mixed, shingle_set
 
 PERCENT = 80
@@ -225,9 +225,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among neighbours, then jumps to that label's label; the number of rounds grows
     with the logarithm of the longest chain.  Ids with very many neighbours, and labels of very many ids, are dealt over
-    tasks.
+    tasks.  Labels of up to FEW_ROWS edges are broadcast instead, and read by as few tasks as they need.
     """
     both = checkpointed(edges.select(F.col("p").alias("id"), F.col("rep").alias("to")).union(edges.select("rep", "p")).distinct())
+    n = both.count()
+    if n <= FEW_ROWS:
+        return _few_components(both.coalesce(tasks_for(n)), tasks_for(n))
     labels = checkpointed(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("component")))
     salts, hubs = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), hot_keys(both, ["to"])
     while True:
@@ -242,6 +245,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _few_components(both: DataFrame, tasks: int) -> DataFrame:
+    """The same rounds over edges (id, to) in both directions, with labels that are broadcast."""
+    labels = checkpointed(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("component")).coalesce(tasks))
+    while True:
+        near = both.join(F.broadcast(labels.withColumnRenamed("id", "to")), "to").groupBy("id").agg(F.min("component").alias("near"))
+        step = near.join(F.broadcast(labels), "id").select("id", "component", F.least("component", "near").alias("low"))
+        jump = labels.select(F.col("id").alias("low"), F.col("component").alias("jumped"))
+        new = step.join(F.broadcast(jump), "low", "left").select("id", F.least("low", F.coalesce("jumped", "low")).alias("component"), F.col("component").alias("old"))
+        new = checkpointed(new.coalesce(tasks))
+        labels = new.select("id", "component")
+        if new.where(F.col("component") != F.col("old")).isEmpty():
+            return labels
+
+
 def region_rows(points: DataFrame, hot: list[int]) -> DataFrame:
     """(key, rep, n, m, hot): the points of every region that has at least two, m being their number (about, where it is hot)."""
     spark = points.sparkSession
@@ -455,7 +472,7 @@ def _sized(cells: DataFrame) -> DataFrame:
     """cells with m, the number of points of their region, without the regions that are finished."""
     info = cells.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("side").alias("one"), F.max("side").alias("other"), F.max("core").alias("any"))
     left = checkpointed(info.where("low < high and any and (one < 0 or one < other)").select("key", "m"))
-    return staged(skew_join(cells, left, ["key"]))
+    return staged(skew_join(cells, left, ["key"], narrow=True))
 
 
 def recursive_join(cells: DataFrame, percent: int) -> DataFrame:
@@ -479,9 +496,9 @@ def recursive_join(cells: DataFrame, percent: int) -> DataFrame:
         # A region that keeps a cell of nearly its own size is stuck; its points are joined in blocks instead.
         kept = level.groupBy("parent").agg(F.max("m").alias("largest")).join(before.withColumnRenamed("key", "parent"), "parent")
         stuck = checkpointed(kept.where(F.col("largest") >= STUCK * F.col("before")).select(F.col("parent").alias("key")))
-        found.append(_block_pairs(skew_join(large, stuck, ["key"]), percent))
+        found.append(_block_pairs(skew_join(large, stuck, ["key"], narrow=True), percent))
         parents = stuck.select(F.col("key").alias("parent"), F.lit(True).alias("stays"))
-        level = staged(skew_join(level, parents, ["parent"], "left").where("stays is null").drop("stays", "parent"))
+        level = staged(skew_join(level, parents, ["parent"], "left", narrow=True).where("stays is null").drop("stays", "parent"))
         levels += 1
     out = found[0]
     for more in found[1:]:
@@ -550,6 +567,6 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = PERCENT, i
     sets = staged(points.where("n > 0").select("doc_id", "n", "s1", "s2"))
     classes = sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     named = staged(classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")))
-    out = skew_join(sets, named, ["s1", "s2"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    out = skew_join(sets, named, ["s1", "s2"], "left", narrow=True).select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
     bare = points.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return out.unionByName(bare).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
