@@ -395,6 +395,8 @@ def close_pairs(points: Points, percent: int, leaf: int, depths: list[int] | Non
 
 
 CELL = "key string, rep long, n int, label long, side int, core boolean, sketch binary"
+COUNTS = "key string, m long, low long, high long, one int, other int, any boolean"
+COUNTED = pa.schema([("key", pa.string()), *((c, pa.int64()) for c in ("m", "low", "high")), ("one", pa.int32()), ("other", pa.int32()), ("any", pa.bool_())])
 PAIR = "p long, np int, rep long, n int"
 
 
@@ -443,8 +445,8 @@ def _cut_regions(percent: int, leaf: int):
     return run
 
 
-def _cut_level(percent: int):
-    """Rows of the next level from rows of CELL with the pivots of their region (sizes, sketches)."""
+def _cut_level(percent: int, counted: bool = False):
+    """Rows of the next level from rows of CELL with the pivots of their region (sizes, sketches); counted: what COUNTS says of them instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -460,6 +462,11 @@ def _cut_level(percent: int):
                 for q, (own, guests) in enumerate(cut(points, core, np.flatnonzero(~points.core[:m]), np.arange(m, m + k), percent)):
                     rows = np.concatenate([own, guests])
                     if len(rows):
+                        if counted:
+                            label, side = points.label[rows].astype(np.int64), points.side[rows].astype(np.int32)
+                            held = [len(rows), label.min(), label.max(), side.min(), side.max(), len(own) > 0]
+                            yield pa.RecordBatch.from_pylist([{"key": f"{part.column('key')[0].as_py()}/{q}", **{c: x if isinstance(x, bool) else int(x) for c, x in zip(("m", "low", "high", "one", "other", "any"), held, strict=True)}}], COUNTED)
+                            continue
                         cell = part.select(["key", "rep", "n", "label", "side", "core", "sketch"]).take(pa.array(rows))
                         key = pa.compute.binary_join_element_wise(cell.column("key"), f"{q}", "/")
                         kept = pa.array(np.arange(len(rows)) < len(own))
@@ -470,9 +477,14 @@ def _cut_level(percent: int):
 
 def _sized(cells: DataFrame) -> DataFrame:
     """cells with m, the number of points of their region, without the regions that are finished."""
-    info = cells.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("side").alias("one"), F.max("side").alias("other"), F.max("core").alias("any"))
-    left = checkpointed(info.where("low < high and any and (one < 0 or one < other)").select("key", "m"))
-    return staged(skew_join(cells, left, ["key"], narrow=True))
+    info = cells.select("key", F.lit(1).cast("long").alias("m"), F.col("label").alias("low"), F.col("label").alias("high"), F.col("side").alias("one"), F.col("side").alias("other"), F.col("core").alias("any"))
+    return staged(skew_join(cells, checkpointed(_unfinished(info)), ["key"], narrow=True))
+
+
+def _unfinished(info: DataFrame) -> DataFrame:
+    """key and m of the regions of which there is something left to look at, from COUNTS of their parts."""
+    sums = info.groupBy("key").agg(F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("one").alias("one"), F.max("other").alias("other"), F.max("any").alias("any"))
+    return sums.where("low < high and any and (one < 0 or one < other)").select("key", "m")
 
 
 def recursive_join(cells: DataFrame, percent: int) -> DataFrame:
@@ -490,15 +502,19 @@ def recursive_join(cells: DataFrame, percent: int) -> DataFrame:
         best = large.where("core").groupBy("key", "m", F.pmod(place, F.lit(PIVOTS)).alias("class")).agg(F.min(F.struct(place.alias("place"), "n", "sketch")).alias("best"))
         pivots = best.groupBy("key").agg(F.sort_array(F.collect_list("best")).alias("best"))
         pivots = pivots.select("key", F.col("best.n").alias("sizes"), F.col("best.sketch").alias("sketches"))
-        cut_rows = staged(skew_join(large.drop("m"), pivots, ["key"]).mapInArrow(_cut_level(percent), CELL))
+        pivots = staged(pivots)
         before = large.groupBy("key").agg(F.max("m").alias("before"))
-        level = _sized(cut_rows).withColumn("parent", F.regexp_extract("key", "^(.*)/", 1))
+        # Cells are counted before they are made: one of a stuck region may hold all its points, and there are PIVOTS of them.
+        counts = skew_join(large.drop("m"), pivots, ["key"]).mapInArrow(_cut_level(percent, counted=True), COUNTS)
+        cells = checkpointed(_unfinished(counts).withColumn("parent", F.regexp_extract("key", "^(.*)/", 1)))
         # A region that keeps a cell of nearly its own size is stuck; its points are joined in blocks instead.
-        kept = level.groupBy("parent").agg(F.max("m").alias("largest")).join(before.withColumnRenamed("key", "parent"), "parent")
+        kept = cells.groupBy("parent").agg(F.max("m").alias("largest")).join(before.withColumnRenamed("key", "parent"), "parent")
         stuck = checkpointed(kept.where(F.col("largest") >= STUCK * F.col("before")).select(F.col("parent").alias("key")))
         found.append(_block_pairs(skew_join(large, stuck, ["key"], narrow=True), percent))
-        parents = stuck.select(F.col("key").alias("parent"), F.lit(True).alias("stays"))
-        level = staged(skew_join(level, parents, ["parent"], "left", narrow=True).where("stays is null").drop("stays", "parent"))
+        going = checkpointed(cells.join(stuck.withColumnRenamed("key", "parent"), "parent", "left_anti").select("key", "m", "parent"))
+        parents = checkpointed(going.select(F.col("parent").alias("key")).distinct())
+        cut_rows = skew_join(skew_join(large.drop("m"), parents, ["key"], narrow=True), pivots, ["key"]).mapInArrow(_cut_level(percent), CELL)
+        level = staged(skew_join(staged(cut_rows), going.drop("parent"), ["key"], narrow=True))
         levels += 1
     out = found[0]
     for more in found[1:]:

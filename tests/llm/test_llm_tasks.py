@@ -47,3 +47,26 @@ def test_newton_steps_keep_their_partitions(many_partitions):
     aims = mixing.checkpointed(mixing.targets(cells))
     found, tasks = tasks_of(spark, lambda: {r.key: r.tilt for r in mixing.tilts(cells, aims).collect()})
     assert len(found) == 5 and tasks < 1200
+
+
+def test_cells_of_stuck_regions_are_not_made(spark, monkeypatch):
+    """One group of near copies cannot be cut: its points stay as many as they are, and its pairs are found in blocks."""
+    import numpy as np
+
+    rng, rows, made, real = np.random.default_rng(1), [], [], ngram_join.staged
+    base = rng.integers(0, 1 << 63, 60, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    for k in range(150):
+        x = base.copy()
+        x[rng.integers(0, 60, 3)] = rng.integers(0, 1 << 63, 3, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+        rows.append(("a", k, 60, k, -1, True, bytearray(ngram_join._sketch(np.sort(x)))))
+
+    def staged(df):
+        out = real(df)
+        if "sketch" in out.columns:
+            made.append(out.where("key like '%/%'").count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "TASK_POINTS", 64)
+    monkeypatch.setattr(ngram_join, "staged", staged)
+    assert ngram_join.recursive_join(spark.createDataFrame(rows, ngram_join.CELL), 80).count() > 0
+    assert sum(made) == 0
