@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task sorts, about.
+ROWS_PER_TASK = 1 << 19
+
 
 def checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that spark.checkpoint.dir names; a temporary one where it is unset on a local master (tests)."""
@@ -21,3 +24,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and written there; its lineage ends."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, *keys: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """df by keys in partitions whose number grows with its rows, so that what a task sorts doesn't; at least as many as other shuffles have.
+
+    df is counted first and should be a table as it is read.
+    """
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows_per_task + 1)
+    return df.repartition(tasks, *keys)

@@ -6,7 +6,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import staging, text
 from tessera.operators import evidence, jobs, layout, lineage, match, projection, resolve, sessions, workbook
 from tessera.sources import intake
 
@@ -148,3 +148,15 @@ def test_records_are_read_by_columns():
     values = [[{"a": 1, "t": "u", "x": 0.5}], [], [{"a": None, "t": None, "x": None}, {"a": 2, "t": "", "x": 1.0}], [{"a": 3, "t": "w", "x": 2.0}]]
     assert list(layout.listed_records(pa.array(values, kind))) == values
     assert list(layout.listed_records(pa.array(values, kind).slice(1, 2))) == values[1:3]
+
+
+def test_islands_of_many_rows_are_sorted_by_more_tasks(spark):
+    """Tasks grow with the rows, and runs come from the one sort without groups held in memory."""
+    rows = spark.range(3000).select((F.col("id") % 500).alias("k"), F.col("id").alias("at"), (F.col("id") % 7 < 3).cast("int").alias("kind"))
+    by_kind = [F.col("at")], F.col("kind").isin(1)
+    assert staging.dealt(rows, "k", rows_per_task=100).rdd.getNumPartitions() == 31
+    heads = resolve.island_heads(staging.dealt(rows, "k"), ["k"], *by_kind)
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort [") == 1
+    expected = resolve.islands(rows, ["k"], *by_kind).groupBy("k", "island").agg(F.count("*").alias("size"), F.min("at").alias("at"))
+    assert {(r.k, r.island, r.size, r["at"]) for r in heads.collect()} == {(r.k, r.island, r["size"], r["at"]) for r in expected.collect()}
