@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.staging import dealt
 from tessera.operators import exam as e
 from tessera.operators import extract as x
 from tessera.operators import layout as l
@@ -17,6 +18,9 @@ from tessera.operators import workspace as w
 from tessera.plans import carriers as c
 from tessera.sources import intake
 
+#: Orders of the banks that a task holds, about.
+ORDERS_PER_TASK = 1 << 16
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -98,7 +102,8 @@ def x9_objective_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as a bank: most are a passage with one item, every fifth is a block of keys."""
-    o, k = c.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    # An order becomes up to six lines in the task that it is dealt to.
+    o, k = dealt(c.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", rows_per_task=ORDERS_PER_TASK), F.col("o_orderkey")
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     n = (k % 3 + 1).cast("string")
     texts = F.when(k % 5 == 0, F.array(F.lit("Answer Key"), F.concat(n, F.lit(" A")), F.lit("explained"))).otherwise(

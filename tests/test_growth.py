@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import staging, text
 from tessera.operators import evidence, jobs, layout, lineage, match, projection, resolve, sessions, workbook
+from tessera.plans import exam as exam_plans
 from tessera.sources import intake
 
 
@@ -160,3 +161,10 @@ def test_islands_of_many_rows_are_sorted_by_more_tasks(spark):
     assert "Aggregate" not in plan and plan.count("Sort [") == 1
     expected = resolve.islands(rows, ["k"], *by_kind).groupBy("k", "island").agg(F.count("*").alias("size"), F.min("at").alias("at"))
     assert {(r.k, r.island, r.size, r["at"]) for r in heads.collect()} == {(r.k, r.island, r["size"], r["at"]) for r in expected.collect()}
+
+
+def test_banks_of_many_orders_are_dealt_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(exam_plans, "ORDERS_PER_TASK", 50, raising=False)
+    orders = spark.range(2000).selectExpr("id % 90 as o_custkey", "id as o_orderkey", "date'2020-01-01' as o_orderdate")
+    monkeypatch.setattr(exam_plans.c, "table", lambda *_: orders)
+    assert exam_plans._bank(spark, "").rdd.getNumPartitions() == 41
