@@ -9,6 +9,7 @@ distinct lengths (2048 at most), not on the number of documents.  Documents then
 
 from __future__ import annotations
 
+import ctypes
 import importlib.util
 import json
 import os
@@ -17,6 +18,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,8 +29,8 @@ from tessera.llm.common import staged
 CAPACITY = 2048
 #: Groups into which the pieces of one length are dealt for ranking.
 SALTS = 256
-#: Pieces of text that one Python worker keeps encoded, and the longest that it keeps.
-CACHE_ENTRIES, CACHE_LENGTH = 1_600_000, 32
+#: Pieces of text that a partition keeps encoded (about 90 MB), those that stay in its worker after it, and the longest that is kept.
+CACHE_ENTRIES, KEPT_ENTRIES, CACHE_LENGTH = 500_000, 150_000, 32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SLOTS = "length long, rank_from long, rank_to long, per_sequence long, first_sequence long, first_offset long"
@@ -137,10 +139,21 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         if len(x) > CACHE_LENGTH:
             del cache[x]
     if len(cache) > CACHE_ENTRIES:
-        cache.clear()
+        release(path)
     return out
 
 
+def release(path: str) -> None:
+    """Give back what was encoded, but for the first pieces, which are mostly frequent ones: a worker lives on after its partition and does other stages' work."""
+    cache = _encoded.get(path, {})
+    if len(cache) > KEPT_ENTRIES:
+        _encoded[path] = dict(islice(cache.items(), KEPT_ENTRIES))
+        cache.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # else freed memory stays with the process
+        if trim:
+            trim(0)
+
+
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: whole ones of capacity at the end, the rest first."""
     if n <= capacity:
@@ -166,6 +179,7 @@ def _pieces(path: str, end_id: int, capacity: int):
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        release(path)
 
     return run
 

@@ -108,6 +108,22 @@ def test_packing_odd_texts():
         assert np.frombuffer(data, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_packing_gives_back_what_a_partition_encoded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "_encoded", {})
+    monkeypatch.setattr(packing, "KEPT_ENTRIES", 50, raising=False)
+    texts = [" ".join(f"w{k * 20 + i}" for i in range(20)) for k in range(40)]
+    want = packing.encode_texts(texts, path())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    rows = [x for out in packing._pieces(path(), 0, 2048)(iter([batch, batch])) for x in out.to_pylist()]
+    assert [x["ids_crc32"] for x in rows] == 2 * [zlib.crc32(x + bytes(4)) for x in want]
+    assert len(packing._encoded[path()]) <= 50
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 60)
+    assert packing.encode_texts(texts, path()) == want and len(packing._encoded[path()]) <= 50
+    assert packing.encode_texts(texts, path()) == want
+
+
 def test_plan_is_best_fit():
     r = random.Random(2)
     for _ in range(50):
