@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.staging import written
+
 
 def classify(lines: DataFrame, text: str, classes: dict[str, str], default: str = "text") -> DataFrame:
     """Adds class: the first whose pattern fits a line."""
@@ -46,11 +48,18 @@ def worksheet(lines: DataFrame, doc: list[str], order: str, text: str) -> tuple[
         "group": F.when(F.col("class") == "heading", F.col(order)), "in_key": F.when(F.col("class") == "key_heading", True).when(F.col("class") == "heading", False), "question": F.when(F.col("class") == "question", F.col(order)),
         "number": F.when(F.col("class") == "question", number),
     })
-    inside = ~F.coalesce("in_key", F.lit(False))
-    body = c.where(inside & F.col("question").isNotNull() & F.col("class").isin("question", "text"))
-    questions = fold_text(body, [*doc, "group", "question", "number"], order, text).withColumnRenamed("body", "prompt")
-    options = c.where(inside & (F.col("class") == "option") & F.col("question").isNotNull()).select(*doc, "question", F.regexp_extract(text, r"^\s*\(?([A-D])", 1).alias("label"), F.trim(F.regexp_replace(text, r"^\s*\(?[A-D][.)]\s+", "")).alias("option"))
-    keys = key_table(c.where(F.coalesce("in_key", F.lit(False)) & (F.col("class") == "key")), [*doc, "group"], text)
+    in_key, asked = F.coalesce("in_key", F.lit(False)), F.col("question").isNotNull()
+    held = F.when(in_key, F.col("class") == "key").otherwise(asked & F.col("class").isin("question", "text", "option"))
+    # Lines are classified and carried once: the lines of a question or of a key, a row each, are written and give all three tables.
+    lines_of = F.sort_array(F.collect_list(F.struct(order, text, "class"))).alias("_lines")
+    units = written(c.where(held).groupBy(*doc, "group", "question", "number", in_key.alias("in_key")).agg(lines_of))
+    at = F.col("_l").getField(text)
+    body = F.transform(F.filter("_lines", lambda l: l["class"] != "option"), lambda l: l[text])
+    inside = units.where("not in_key")
+    questions = inside.where(F.size(body) > 0).select(*doc, "group", "question", "number", F.array_join(body, "\n").alias("prompt"), F.size(body).cast("long").alias("n_lines"))
+    options = inside.select(*doc, "question", F.explode(F.filter("_lines", lambda l: l["class"] == "option")).alias("_l"))
+    options = options.select(*doc, "question", F.regexp_extract(at, r"^\s*\(?([A-D])", 1).alias("label"), F.trim(F.regexp_replace(at, r"^\s*\(?[A-D][.)]\s+", "")).alias("option"))
+    keys = key_table(units.where("in_key").select(*doc, "group", F.explode("_lines").alias("_l")).select(*doc, "group", at.alias(text)), [*doc, "group"], text)
     return questions, options, keys
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import staging, text
-from tessera.operators import evidence, jobs, layout, lineage, match, projection, resolve, sessions, workbook
+from tessera.operators import evidence, extract, jobs, layout, lineage, match, projection, resolve, sessions, workbook
 from tessera.plans import exam as exam_plans
 from tessera.sources import intake
 
@@ -182,3 +182,15 @@ def test_banks_of_many_orders_are_dealt_over_more_tasks(spark, monkeypatch):
     orders = spark.range(2000).selectExpr("id % 90 as o_custkey", "id as o_orderkey", "date'2020-01-01' as o_orderdate")
     monkeypatch.setattr(exam_plans.c, "table", lambda *_: orders)
     assert exam_plans._bank(spark, "").rdd.getNumPartitions() == 41
+
+
+def test_worksheet_lines_are_classified_and_carried_once(spark):
+    text = ["no question", "Section one", "1. First?", "and more", "(A) x", "B. y ", "", "2) Second?", "A) z", "Part two", "C. w", "1. Third?", "Answer key:", "1 B; 2 A", "note", "Task 3", "7. Last"]
+    lines = spark.createDataFrame([(d, k, t) for d in (1, 2) for k, t in enumerate(text)], "doc int, line_no int, line string")
+    questions, options, keys = extract.worksheet(lines, ["doc"], "line_no", "line")
+    for found in (questions, options, keys):
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    asked = [(1, 2, 1, "1. First?\nand more", 2), (1, 7, 2, "2) Second?", 1), (9, 11, 1, "1. Third?", 1), (15, 16, 7, "7. Last", 1)]
+    assert sorted(map(tuple, questions.select("doc", "group", "question", "number", "prompt", "n_lines").collect())) == [(d, *x) for d in (1, 2) for x in asked]
+    assert sorted(map(tuple, options.collect())) == [(d, *x) for d in (1, 2) for x in [(2, "A", "x"), (2, "B", "y"), (7, "A", "z"), (7, "C", "w")]]
+    assert sorted(map(tuple, keys.collect())) == [(d, 9, *x) for d in (1, 2) for x in [(1, "B"), (2, "A")]]
