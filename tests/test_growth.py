@@ -194,3 +194,21 @@ def test_worksheet_lines_are_classified_and_carried_once(spark):
     assert sorted(map(tuple, questions.select("doc", "group", "question", "number", "prompt", "n_lines").collect())) == [(d, *x) for d in (1, 2) for x in asked]
     assert sorted(map(tuple, options.collect())) == [(d, *x) for d in (1, 2) for x in [(2, "A", "x"), (2, "B", "y"), (7, "A", "z"), (7, "C", "w")]]
     assert sorted(map(tuple, keys.collect())) == [(d, 9, *x) for d in (1, 2) for x in [(1, "B"), (2, "A")]]
+
+
+def test_workbooks_are_read_where_their_orders_lie(spark, tmp_path):
+    """Orders are moved once, before they become lines; nothing is staged, and no line goes through Python."""
+    from tessera.plans import workbooks
+
+    spark.createDataFrame([(1, 1, "1-URGENT", "2020-01-01")], "o_custkey long, o_orderkey long, o_orderpriority string, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = workbooks._lines(spark, str(tmp_path))
+    plan = workbook.read_workbook(lines, ["doc"]).questions._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ExistingRDD" not in plan and "SortMergeJoin" not in plan and "MapInPandas" not in plan
+    labels = workbook.front_labels(workbook.workbook_lines(lines.withColumn("style", F.lit(None).cast("string")), ["doc"]), ["doc"])
+    assert "Python" not in labels._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compatible_forms_without_python(spark):
+    texts = ["plain", "１． ﬁ", "é x", "한", "Å½", "a b　c", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert {r.i: r.t for r in rows.select("i", text.nfkc_text(F.col("text")).alias("t")).collect()} == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
