@@ -212,3 +212,12 @@ def test_compatible_forms_without_python(spark):
     texts = ["plain", "１． ﬁ", "é x", "한", "Å½", "a b　c", None, ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     assert {r.i: r.t for r in rows.select("i", text.nfkc_text(F.col("text")).alias("t")).collect()} == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+
+
+def test_addressed_rows_are_put_together_where_they_lie(spark):
+    """Of rows and fields that lie by document only one side is moved again, to meet the other."""
+    rows = spark.createDataFrame([(1, 1, 7, 70, 0, "3.", [4]), (1, 1, 7, 71, 1, "B", [5])], "doc int, page int, row_id int, block_id int, place int, text string, lines array<int>").repartition(5, "doc")
+    fields = spark.createDataFrame([("a", 1, 1, 5, "B"), ("b", 1, 2, 5, "B")], "field string, doc int, page int, line int, value string").repartition(5, "doc").hint("merge")
+    found = evidence.addressed_answers(fields, rows, ["doc"], ["field"])
+    assert {(r.field, r.state) for r in found.collect()} == {("a", "known"), ("b", "unmapped")}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 3
